@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pieces, quality, simhash
+from . import chat, katz, langid, licenses, merkle, mixing, pieces, quality, simhash, topk
 
-QUERIES = {f.__name__: f for f in (langid.op1_language_id, pieces.op4_sentencepiece, mixing.op5_mixing, simhash.op6_simhash, quality.op8_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (langid.op1_language_id, topk.op2_topk, licenses.op3_licenses, pieces.op4_sentencepiece, mixing.op5_mixing, simhash.op6_simhash, chat.op7_chat, quality.op8_quality, merkle.op9_fingerprints, katz.op10_katz)}
+ORACLES = {"op2_topk": topk.OP2_SQL, "op3_licenses": licenses.OP3_SQL}

@@ -22,47 +22,58 @@ BITS = 64
 BLOCK = 2048
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
-    """SimHash of the word shingles of a whole text, A-Z in lower case; 0 without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+def fingerprint(text: str | None, width: int, words: int = 1, seed: int = 42) -> list[int]:
+    """SimHash of the word shingles of a whole text, A-Z in lower case, as signed 64-bit words; zeros without words.
+
+    One word takes its bits from XXH64, two from XXH128.
+    """
+    found = (text or "").encode().lower().split()
+    if not found:
+        return [0] * words
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    last = ends[min(width, len(words)) - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
+    n = max(1, len(found) - width + 1)
+    last = ends[min(width, len(found)) - 1 :].tolist()
+    ones = np.zeros(BITS * words, np.int64)
     for at in range(0, n, 1 << 14):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : min(at + (1 << 14), n)].tolist(), last[at : at + (1 << 14)])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+        spans = zip(starts[at : min(at + (1 << 14), n)].tolist(), last[at : at + (1 << 14)])
+        if words == 1:
+            h = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans], np.uint64).view(np.uint8)
+        else:
+            h = np.frombuffer(b"".join([xxhash.xxh128_digest(joined[a:b], seed) for a, b in spans]), np.uint8)
+        ones += np.unpackbits(h.reshape(-1, 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.int64).tolist()
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
-    """docs with the column simhash (long), which is replaced if there is one; a null or empty text has 0."""
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 5, words: int = 1, seed: int = 42) -> DataFrame:
+    """docs with the columns simhash0, and simhash1 for two words, which replace any of these names; a null or empty text has zeros."""
 
     def run(batch):
-        return [pa.array([fingerprint(t, width, seed) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], pa.int64())]
+        marks = [fingerprint(t, width, words, seed) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        return [pa.array([m[k] for m in marks], pa.int64()) for k in range(words)]
 
-    return with_arrow_columns(docs, [T.StructField("simhash", T.LongType())], run)
+    return with_arrow_columns(docs, [T.StructField(f"simhash{k}", T.LongType()) for k in range(words)], run)
 
 
-def segments(distance: int) -> list[tuple[int, int, int]]:
-    """(first bit, bits, radius) of each segment.
+def segments(distance: int) -> list[tuple[int, int, int, int]]:
+    """(word, first bit, bits, radius) of each segment of one word, such that no pair at most distance apart is missed.
 
-    With m segments and radii r, pairs at most distance apart are met if the sum of r + 1 exceeds
-    distance: else each segment would differ in at least r + 1 bits. One radius in three is 0.
+    With m segments and radii r, such pairs are met if the sum of r + 1 exceeds distance: else each
+    segment would differ in at least r + 1 bits.
     """
     m = max(2, min((3 * (distance + 1) + 4) // 5, distance + 1))
     spare = max(0, distance + 1 - m)
-    radii = [spare // m + (i < spare % m) for i in range(m)]
     cuts = np.linspace(0, BITS, m + 1).astype(int)
-    return [(int(a), int(b - a), r) for a, b, r in zip(cuts[:-1], cuts[1:], radii)]
+    return [(0, int(a), int(b - a), spare // m + (i < spare % m)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+
+
+#: Six segments of two words, each with its ball of radius 1. They meet pairs that differ in a bit of ten nearly always, and two of three that differ in 15 of 100.
+WIDE = [(w, a, b, 1) for w in (0, 1) for a, b in ((0, 21), (21, 21), (42, 22))]
 
 
 def _ball(bits: int, radius: int) -> np.ndarray:
-    """All words of bits with 1 to radius bits set."""
+    """All numbers of so many bits with 1 to radius bits set."""
     level, out = {0}, []
     for _ in range(radius):
         level = {x | 1 << i for x in level for i in range(bits) if not x >> i & 1}
@@ -70,28 +81,28 @@ def _ball(bits: int, radius: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _filed(marks: DataFrame, distance: int) -> DataFrame:
-    """(entry, mark, asks): each mark filed under its segments, and its questions to entries in the Hamming balls.
+def _filed(marks: DataFrame, parts: list[tuple[int, int, int, int]], words: int) -> DataFrame:
+    """(entry, asks, simhash0, ...): each mark filed under its segments, and its questions to the entries in their Hamming balls.
 
     Of two segments that differ, the question of the one that is greater as a number suffices.
     """
-    parts = segments(distance)
-    width = max(b for _, b, _ in parts)
+    width = max(b for _, _, b, _ in parts)
     if width > 57:
         raise ValueError("too few segments")
+    names = ["entry", "asks", *(f"simhash{k}" for k in range(words))]
 
     def run(batches):
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for k, (first, bits, radius) in enumerate(parts):
-                own = (x >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+            x = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(words)]
+            for k, (word, first, bits, radius) in enumerate(parts):
+                own = (x[word].view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)
                 tag = np.uint64(k) << np.uint64(width)
-                yield pa.RecordBatch.from_arrays([pa.array((own | tag).view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.zeros(len(x), bool))], names=["entry", "mark", "asks"])
+                yield pa.RecordBatch.from_arrays([pa.array((own | tag).view(np.int64)), pa.array(np.zeros(len(own), bool)), *map(pa.array, x)], names=names)
                 for flip in _ball(bits, radius):
                     less = (own ^ flip) < own
-                    yield pa.RecordBatch.from_arrays([pa.array(((own ^ flip) | tag)[less].view(np.int64)), pa.array(x[less].view(np.int64)), pa.array(np.ones(less.sum(), bool))], names=["entry", "mark", "asks"])
+                    yield pa.RecordBatch.from_arrays([pa.array(((own ^ flip) | tag)[less].view(np.int64)), pa.array(np.ones(less.sum(), bool)), *(pa.array(y[less]) for y in x)], names=names)
 
-    return marks.select("mark").mapInArrow(run, "entry long, mark long, asks boolean")
+    return marks.select(*names[2:]).mapInArrow(run, "entry long, asks boolean, " + ", ".join(f"{n} long" for n in names[2:]))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,47 +123,55 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
+def _name(words: list[np.ndarray]) -> np.ndarray:
+    """One number for a fingerprint: itself if it is one word, else a mixture of both, which two fingerprints share with a chance of 2 ** -64."""
+    if len(words) == 1:
+        return words[0]
+    x = words[0] * np.uint64(0x9E3779B97F4A7C15) ^ (words[1] + np.uint64(0xD1342543DE82EF95)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def _met(rows: list[np.ndarray], distance: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows that share a key; rows: key, cell, mark, asks, sorted by the first two."""
-    key, cell, mark, asks = rows
-    links, held = [(mark[:0], mark[:0])], 0
-    alive, d = np.arange(len(key)), 0
+    """Links among rows that share an entry and a cell; rows: entry, cell, asks and the words of the mark, sorted by the first two."""
+    entry, cell, asks, words = rows[0], rows[1], rows[2], rows[3:]
+    name = _name(words)
+    found, held = [(name[:0], name[:0])], 0
+    alive, d = np.arange(len(entry)), 0
     while len(alive):
         d += 1
-        alive = alive[alive + d < len(key)]
-        alive = alive[(key[alive] == key[alive + d]) & (cell[alive] == cell[alive + d])]
+        alive = alive[alive + d < len(entry)]
+        alive = alive[(entry[alive] == entry[alive + d]) & (cell[alive] == cell[alive + d])]
         near = alive[~(asks[alive] & asks[alive + d])]
-        near = near[np.bitwise_count(mark[near] ^ mark[near + d]) <= distance]
-        near = near[mark[near] != mark[near + d]]
+        near = near[sum(np.bitwise_count(w[near] ^ w[near + d]) for w in words) <= distance]
+        near = near[name[near] != name[near + d]]
         if len(near):
-            links.append((mark[near], mark[near + d]))
+            found.append((name[near], name[near + d]))
             held += len(near)
         if held > most:
-            links, held = [_forest(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))], 0
-    return _forest(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
+            found, held = [_forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))], 0
+    return _forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
 
-def links(marks: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of marks (long, distinct) at most distance apart.
+def links(marks: DataFrame, parts: list[tuple[int, int, int, int]], distance: int, words: int = 1, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between names of marks whose components are those of all pairs that meet in a segment and are at most distance apart.
 
     Entries of more than block rows are cut into blocks, and each pair of blocks is compared apart.
     """
-    if distance < 0:
-        raise ValueError("distance")
-    filed = stored(_filed(marks, distance))
+    names = [f"simhash{k}" for k in range(words)]
+    filed = stored(_filed(marks, parts, words))
     large = stored(filed.groupBy("entry").count().filter(F.col("count") > block).select("entry", F.ceil(F.col("count") / block).cast("long").alias("blocks")))
     if large.isEmpty():
         dealt = filed.withColumn("cell", F.lit(0).cast("long"))
     else:
-        own = F.pmod(F.xxhash64("mark", "asks"), F.col("blocks"))
-        dealt = filed.join(large, "entry", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).select("entry", "mark", "asks", "cell")
-    dealt = dealt.select("entry", "cell", "mark", "asks").repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+        own = F.pmod(F.xxhash64("asks", *names), F.col("blocks"))
+        dealt = filed.join(large, "entry", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    dealt = dealt.select("entry", "cell", "asks", *names).repartition("entry", "cell").sortWithinPartitions("entry", "cell")
 
     def run(batches):
         rest = None
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            new[2] = new[2].view(np.uint64)
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + words)]
+            new[3:] = [x.view(np.uint64) for x in new[3:]]
             rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
             if not len(rows[0]):
                 continue
@@ -168,24 +187,32 @@ def links(marks: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, width: int = 5, seed: int = 42, block: int = BLOCK) -> DataFrame:
-    """(key, simhash, component_id) of each row of docs: the least key that links reach, its own included.
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 22, width: int = 5, words: int = 2, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """(key, simhash0, ..., component_id) of each row of docs: the least key that links reach, its own included.
 
-    Equal fingerprints are one node, so copies are never paired. Null and empty texts have
-    fingerprint 0 and are linked like any other. A null key gets a result but never names a
+    One word: all pairs at most distance apart are linked. Two words, as by default: 22 bits of 128
+    are those that texts differ in which share four fifths of their shingles; the segments of WIDE
+    find them. Equal fingerprints are one node, so copies are never paired. Null and empty texts
+    have zeros and are linked like any other. A null key gets a result but never names a
     component; a component of null keys alone has a null component_id. Repeated rows get a row
     each, other columns are left aside, an empty table gives no rows.
     """
-    marked = stored(with_fingerprint(docs.select(c(key).alias("key"), c(text).alias("text")), "text", width, seed).select("key", "simhash"))
-    marks = stored(marked.groupBy(F.col("simhash").alias("mark")).agg(F.min("key").alias("first")))
-    roots = stored(components(links(marks, distance, block)))
-    rooted = marks.join(roots, marks.mark == roots.node, "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(rooted.join(named, "root").select(F.col("mark").alias("simhash"), "component_id"))
-    return marked.join(named, "simhash").select(F.col("key").alias(key), "simhash", "component_id")
+    names = [f"simhash{k}" for k in range(words)]
+    marked = stored(with_fingerprint(docs.select(c(key).alias("key"), c(text).alias("text")), "text", width, words, seed).select("key", *names))
+
+    def named(batch):
+        return [pa.array(_name([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)]).view(np.int64))]
+
+    marks = marked.groupBy(*names).agg(F.min("key").alias("first"))
+    marks = stored(with_arrow_columns(marks, [T.StructField("mark", T.LongType())], named))
+    roots = stored(components(links(marks, segments(distance) if words == 1 else WIDE, distance, words, block)))
+    rooted = stored(marks.join(roots, marks.mark == roots.node, "left").select(*names, "first", F.coalesce("root", "mark").alias("root")))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    labelled = stored(rooted.join(least, "root").select(*names, "component_id"))
+    return marked.join(labelled, names).select(F.col("key").alias(key), *names, "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over four-word shingles, and its component."""
-    found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), distance=4, width=4)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+    found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), distance=4, width=4, words=1)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash0")), 16, "0").alias("fingerprint"), "component_id")
