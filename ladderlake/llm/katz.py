@@ -167,6 +167,13 @@ def _classes(counts: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _by_part(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of histories in the order of their partitions, and where each partition begins."""
+    part = (names % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def _add_up(parts: int):
     """Of one partition's pairs: answers to the chunks, sums by history, questions by history, and counts of counts."""
 
@@ -182,31 +189,29 @@ def _add_up(parts: int):
         del mixed
         pair_count = np.bincount(of_pair, weights=train, minlength=len(one)).astype(np.int64)
         word_count = np.bincount(pair_word, weights=train, minlength=len(distinct)).astype(np.int64)
-        rows, w, p = [], 0, 0
-        asks: list[tuple] = []
-        for number, b in zip(chunks, blobs):
+        rows, w, p, mine = [], 0, 0, int(table.column("part")[0].as_py())
+        which, names, places = [], [], []
+        for i, (number, b) in enumerate(zip(chunks, blobs)):
             own = pair_count[of_pair[p : p + len(b[2])]]
-            rows.append((2, 0, number, int(table.column("part")[0].as_py()), _pack(word_count[of_word[w : w + len(b[0])]], own), None))
+            rows.append((2, 0, number, mine, _pack(word_count[of_word[w : w + len(b[0])]], own), None))
             unseen = np.flatnonzero(own == 0)
-            asks.append((number, b[2][unseen], unseen))
+            which.append(np.full(len(unseen), i))
+            names.append(b[2][unseen])
+            places.append(unseen)
             w, p = w + len(b[0]), p + len(b[2])
+        asking, asked, place = (np.concatenate(x) for x in (which, names, places))
         seen = pair_count > 0
         names, of_history = np.unique(history[one[seen]], return_inverse=True)
         follow = word_count[pair_word[one[seen]]]
         sums = np.concatenate([_classes(pair_count[seen], of_history, len(names)), _classes(follow, of_history, len(names))], axis=1)
-        part = (names % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        mine = int(table.column("part")[0].as_py())
+        # one row for each partition of histories: its sums, and what all chunks ask of it
+        told, told_cuts = _by_part(names, parts)
+        ask, ask_cuts = _by_part(asked, parts)
+        numbers = np.array(chunks, np.int64).view(np.uint64)
         for q in range(parts):
-            at = order[cuts[q] : cuts[q + 1]]
-            if len(at):
-                rows.append((3, q, 0, mine, _pack(names[at], *sums[at].T), None))
-        for number, names, place in asks:
-            part = (names % np.uint64(parts)).astype(np.int64)
-            for q in np.unique(part):
-                at = part == q
-                rows.append((4, int(q), number, mine, _pack(names[at], place[at]), None))
+            i, j = told[told_cuts[q] : told_cuts[q + 1]], ask[ask_cuts[q] : ask_cuts[q + 1]]
+            if len(i) or len(j):
+                rows.append((3, q, 0, mine, _pack(names[i], *sums[i].T, numbers, asking[j], asked[j], place[j]), None))
         coc = lambda x: np.bincount(np.minimum(x, K + 2), minlength=K + 3)[1 : K + 2].tolist()
         rows.append((5, 0, 0, 0, None, [*coc(pair_count), *coc(word_count), int(word_count.sum()), int((word_count > 0).sum())]))
         return _rows(rows)
@@ -254,26 +259,23 @@ class _Model:
 
 
 def _answer(model: _Model):
-    """Of one partition's histories: log10 of weight times count for what unseen pairs ask; 0 of a history that training did not see."""
+    """Of one partition's histories, a row for each chunk: log10 of weight times count for what its unseen pairs ask; 0 of a history that training did not see."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        sums = [_unpack(x["blob"]) for x in rows if x["kind"] == 3]
-        asked = [(x, _unpack(x["blob"])) for x in rows if x["kind"] == 4]
-        if not asked:
-            return _rows([])
-        if sums:
-            names, at = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
-            fields = [np.bincount(at, weights=np.concatenate([s[i] for s in sums]).astype(float), minlength=len(names)) for i in range(1, 2 * K + 3)]
-            count, weight = model.backoff(np.stack(fields, axis=1))
-            value = np.log10(np.maximum(weight * count, 1e-300))
+        rows = [(x["sub"], _unpack(x["blob"])) for x in table.to_pylist()]
+        names, at = np.unique(np.concatenate([b[0] for _, b in rows]), return_inverse=True)
+        fields = [np.bincount(at, weights=np.concatenate([b[i] for _, b in rows]).astype(float), minlength=len(names)) for i in range(1, 2 * K + 3)]
+        count, weight = model.backoff(np.stack(fields, axis=1))
+        value = np.log10(np.maximum(weight * count, 1e-300))
+        chunk, sub, asked, place = (np.concatenate(x) for x in zip(*((b[-4][b[-3].astype(np.int64)], np.full(len(b[-3]), p, np.uint64), b[-2], b[-1]) for p, b in rows)))
+        got = np.zeros(len(asked))
+        if len(names):
+            i = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+            got = np.where(names[i] == asked, value[i], 0.0)
+        order = np.argsort(chunk, kind="stable")
         out = []
-        for x, (history, place) in asked:
-            got = np.zeros(len(history))
-            if sums:
-                i = np.minimum(np.searchsorted(names, history), len(names) - 1)
-                got = np.where(names[i] == history, value[i], 0.0)
-            out.append((6, 0, x["chunk"], x["sub"], _pack(place, got), None))
+        for at in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1) if len(order) else []:
+            out.append((6, 0, int(chunk[at[0]].astype(np.int64)), 0, _pack(sub[at], place[at], got[at]), None))
         return _rows(out)
 
     return run
@@ -294,12 +296,13 @@ def _sum_up(model: _Model):
         of_pair = np.concatenate([counts[p][1] for p in order]).astype(np.int64)
         if len(of_word) != len(pairs) or len(of_pair) != len(runs):
             raise RuntimeError("the documents were read in other chunks the second time; store them first")
-        begin = dict(zip(order.tolist(), np.cumsum([0, *(len(counts[p][1]) for p in order)]).tolist()))
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum([0, *(len(counts[p][1]) for p in order)])[:-1]
         answers = np.zeros(len(of_pair))
         for x in rows:
             if x["kind"] == 6:
-                place, got = _unpack(x["blob"])
-                answers[begin[x["sub"]] + place.astype(np.int64)] = got
+                sub, place, got = _unpack(x["blob"])
+                answers[begin[sub.astype(np.int64)] + place.astype(np.int64)] = got
         is_end = np.zeros(len(of_word), bool)
         is_end[int(end[0])] = True
         base = np.log10((of_word + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
@@ -334,7 +337,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", pa
     summed = stored(pairs.groupBy("part").applyInArrow(_add_up(parts), _ROW))
     stats = summed.filter("kind = 5").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).orderBy("pos").collect()
     model = _Model([int(x[1]) for x in stats] or [0] * (2 * K + 4))
-    answers = summed.filter("kind IN (3, 4)").groupBy("part").applyInArrow(_answer(model), _ROW)
+    answers = summed.filter("kind = 3").groupBy("part").applyInArrow(_answer(model), _ROW)
     mine = _chunks(rows, parts, chunk, _send_docs(parts), _ROW)
     met = summed.filter("kind = 2").unionByName(answers).unionByName(mine)
     scored = met.groupBy("chunk").applyInArrow(_sum_up(model), _SCORES)
