@@ -52,16 +52,18 @@ def _features(text: str) -> np.ndarray:
     return np.bincount(h, minlength=FEATURES)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_lang: int = 3000, alpha: float = 0.5, seed: int = 11) -> dict:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_lang: int = 3000, max_langs: int = 256, alpha: float = 0.5, seed: int = 11) -> dict:
     """Learns from the rows of docs whose lang is not null: a hash-drawn sample of about max_docs_per_lang whole texts of each language.
 
-    The driver gets one count for each language and bucket. No row to learn from gives a model that answers `und`.
+    Of more than max_langs values of lang, the most frequent are learnt: a codebook is small. The
+    driver gets one count for each language and bucket. No row to learn from gives a model that answers `und`.
     """
     rows = docs.select(c(text).alias("text"), c(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     share = sizes.select("lang", (F.lit(float(max_docs_per_lang)) / F.col("count")).alias("share"))
     # text alone would draw all copies of a text or none; their place tells them apart and decides nothing else
-    sample = rows.join(share, "lang").filter(uniform(F.col("text"), F.monotonically_increasing_id(), F.lit(seed)) < F.col("share"))
+    # at most max_langs short rows: a size bound that does not grow with the input, and texts stay where they are
+    sample = rows.join(F.broadcast(share), "lang").filter(uniform(F.col("text"), F.monotonically_increasing_id(), F.lit(seed)) < F.col("share"))
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
