@@ -73,7 +73,7 @@ SELECT *, {_BUILD.format('ce_oi_chg', 'ce_ltp_chg')} AS ce_signal, {_BUILD.forma
 query("oi_history", """, d AS (SELECT symbol, expiry, CAST(timestamp AS DATE) AS dt, strike_price, avg(ce_oi) AS c, avg(pe_oi) AS p FROM ocdata GROUP BY 1, 2, 3, 4)
 SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_oi, round(p, 4) AS pe_oi, round(c - lag(c) OVER w, 4) AS ce_oi_chg, round(p - lag(p) OVER w, 4) AS pe_oi_chg FROM d WINDOW w AS (PARTITION BY symbol, expiry, strike_price ORDER BY dt)""")(lambda c: screens.daily(c, ["ce_oi", "pe_oi"]))
 query("iv_history", """, d AS (SELECT symbol, expiry, CAST(timestamp AS DATE) AS dt, strike_price, avg(ce_iv) AS c FROM ocdata GROUP BY 1, 2, 3, 4)
-SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_iv, round(c - lag(c) OVER (PARTITION BY symbol, expiry, strike_price ORDER BY dt), 4) AS ce_iv_chg FROM d""")(lambda c: screens.daily(c, ["ce_iv"]))
+SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_iv, round(c - lag(c) OVER (PARTITION BY symbol, expiry, strike_price ORDER BY dt), 4) + 0 AS ce_iv_chg FROM d""")(lambda c: screens.daily(c, ["ce_iv"]))
 query("divergence", """, f AS (SELECT o.* FROM ocdata o JOIN (SELECT symbol, min(expiry) AS e FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol AND o.expiry = m.e), r AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rk FROM f),
 a AS (SELECT n.symbol, (n.underlying_price - b.underlying_price) / b.underlying_price * 100 AS s, CASE WHEN b.ce_ltp > 0 THEN (n.ce_ltp - b.ce_ltp) / b.ce_ltp * 100 ELSE 0 END AS c, CASE WHEN b.pe_ltp > 0 THEN (n.pe_ltp - b.pe_ltp) / b.pe_ltp * 100 ELSE 0 END AS p, n.ce_iv - b.ce_iv AS ci, n.pe_iv - b.pe_iv AS pi
   FROM (SELECT * FROM r WHERE rk = 1 AND distance_from_atm = 0) n JOIN (SELECT * FROM r WHERE rk = 2 AND distance_from_atm = 0) b ON n.symbol = b.symbol WHERE b.underlying_price > 0),
