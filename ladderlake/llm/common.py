@@ -41,13 +41,23 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [x for x in df.columns if x.lower() not in taken]
 
 
-def with_arrow_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
-    """df with columns that fn(RecordBatch) -> list of arrays computes; columns of the same names are replaced."""
+def _runs(batch: pa.RecordBatch, at_once: int | None):
+    """Rows of a batch that follow each other, about at_once bytes each time."""
+    rows = len(batch) if at_once is None else max(1, int(len(batch) * at_once / max(1, batch.nbytes)))
+    for at in range(0, len(batch), max(1, rows)):
+        yield batch.slice(at, rows)
+
+
+def with_arrow_columns(df: DataFrame, fields: list[T.StructField], fn, at_once: int | None = None) -> DataFrame:
+    """df with columns that fn(RecordBatch) -> list of arrays computes; columns of the same names are replaced.
+
+    With at_once, fn gets runs of rows of about so many bytes, one row at least.
+    """
     kept = without(df, [f.name for f in fields])
     schema = T.StructType([df.schema[x] for x in kept] + fields)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _runs(whole, at_once)):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + fn(batch), names=kept + [f.name for f in fields])
 
     # fn may need a column that is replaced: it sees the columns kept, then those.

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import c, with_arrow_columns
 
-#: Bytes of text that are segmented at once within a batch.
-AT_ONCE = 4 << 20
+#: Bytes of text that are segmented at once; a batch is worked off in runs of about four times as many.
+AT_ONCE = 1 << 20
 _SPACE = "▁"
 
 
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, vocab: dict, key: str = "doc_id", text: str = "text"
         return [ids, pa.array([None if x is None else held[0].decode(x.tolist()) == t for x, t in zip(out, texts)], pa.bool_())]
 
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False))]
-    return with_arrow_columns(docs, fields + [T.StructField("lossless", T.BooleanType())] * check, run)
+    return with_arrow_columns(docs, fields + [T.StructField("lossless", T.BooleanType())] * check, run, 4 * AT_ONCE)
 
 
 def decode(docs: DataFrame, vocab: dict, ids: str = "piece_ids") -> DataFrame:
