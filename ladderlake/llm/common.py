@@ -30,6 +30,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the Arrow batches that Spark sends to Python by bytes; a bound that the session has set itself stays.
+
+    Spark's own bound, 64 MB, is held several times by each task: as vectors, on the way, and by Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "-1b"):
+        spark.conf.set(key, most)
+
+
 def c(name: str) -> Column:
     """A column by its literal name."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -62,6 +72,7 @@ def with_arrow_columns(df: DataFrame, fields: list[T.StructField], fn, at_once:
 
     # fn may need a column that is replaced: it sees the columns kept, then those.
     seen = [*kept, *(x for x in df.columns if x not in kept)]
+    small_batches(df.sparkSession)
     return df.select(*map(c, seen)).mapInArrow(run, schema)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, remainder, uniform, with_arrow_columns
+from .common import c, remainder, small_batches, uniform, with_arrow_columns
 
 FEATURES = 1 << 13
 UND = "und"
@@ -75,6 +75,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_la
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], names=["lang", "f", "n"])
 
+    small_batches(docs.sparkSession)
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counted.lang))
     x = np.zeros((len(langs), FEATURES))
