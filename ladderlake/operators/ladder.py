@@ -97,18 +97,19 @@ def analysis_range(spot: Column, move: Column, buffer_pct: float = 0.5, max_pct:
     return spot - half, spot + half
 
 
-def gamma_profile(chain: DataFrame, keys=KEYS, levels: int = 200) -> DataFrame:
-    """(keys, level, price, call, put, total): gamma in billions of the strike nearest to each of so many prices from the lowest to the highest strike.
+def gamma_profile(chain: DataFrame, keys=KEYS, levels: int = 200, bounds: tuple[str, str] | None = None) -> DataFrame:
+    """(keys, level, price, call, put, total, near_strike): gamma in billions of the strike nearest to each of so many prices from the lowest to the highest strike.
 
-    A ladder's strikes travel as one small array, so levels never meet other ladders' strikes.
+    bounds names two columns, equal in all rows of a ladder, to take the prices from instead. A
+    ladder's strikes travel as one small array, so levels never meet other ladders' strikes.
     """
     lot = F.col("lotsize")
     at = F.struct(F.col("strike_price").alias("k"), (F.col("ce_gamma") * F.col("ce_oi") * lot / 1e9).alias("call"), (-F.col("pe_gamma") * F.col("pe_oi") * lot / 1e9).alias("put"))
-    ladders = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("rungs"), F.min("strike_price").alias("lo"), F.max("strike_price").alias("hi"))
+    ladders = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("rungs"), F.min(bounds[0] if bounds else "strike_price").alias("lo"), F.max(bounds[1] if bounds else "strike_price").alias("hi"))
     x = ladders.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("price", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("level") / (levels - 1))
     near = F.array_min(F.transform("rungs", lambda r: F.struct(F.round(F.abs(r["k"] - F.col("price")), 9).alias("d"), r["k"].alias("k"), r["call"].alias("call"), r["put"].alias("put"))))
     x = x.withColumn("near", near)
-    return x.select(*keys, "level", "price", "near.call", "near.put", (F.col("near.call") + F.col("near.put")).alias("total"))
+    return x.select(*keys, "level", "price", "near.call", "near.put", (F.col("near.call") + F.col("near.put")).alias("total"), F.col("near.k").alias("near_strike"))
 
 
 def magnet(profile: DataFrame, keys=KEYS, share: float = 0.75) -> DataFrame:

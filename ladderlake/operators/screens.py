@@ -241,3 +241,31 @@ def nearest_before(chain: DataFrame, tolerance_pct: float = 2.0) -> DataFrame:
     near = x.join(y, ["symbol", "timestamp"]).filter((F.col("expiry") != F.col("other")) & (F.abs(F.col("center") - F.col("other_center")) < F.col("spot") * (tolerance_pct / 100)))
     best = near.groupBy("symbol", "timestamp", "expiry").agg(F.min(F.struct(F.abs(F.col("center") - F.col("other_center")), "other_center"))["other_center"].alias("match"))
     return x.join(best, ["symbol", "timestamp", "expiry"], "left").select("symbol", "timestamp", "expiry", "center", "match")
+
+
+def oi_walls(chain: DataFrame, as_of: str) -> DataFrame:
+    """Each symbol's nearest live expiry at its last snapshot: the strikes of the most open interest on either side, how far they stand out, and the strike of the most gamma. Of equal strikes the lowest."""
+    live = latest(chain, "symbol").filter(F.col("expiry") >= F.lit(as_of).cast("date"))
+    first = live.groupBy("symbol").agg(F.min("expiry").alias("expiry"))
+    k = F.col("strike_price")
+    most = lambda x: F.min(F.struct((-F.round(x, 6)).alias("x"), k.alias("k")))["k"]
+
+    def side(s):
+        oi = _nz(f"{s}_oi")
+        return [most(oi).alias(f"{s}_wall"), F.round(ratio(F.max(oi), F.avg(F.when(oi > 0, oi))), 2).alias(f"{s}_strength")]
+
+    pcr = ratio(F.sum(_nz("pe_oi")), F.sum(_nz("ce_oi")))
+    return live.join(first, ["symbol", "expiry"], "left_semi").groupBy("symbol", "expiry").agg(*side("ce"), *side("pe"), most(F.abs("net_gexv")).alias("gamma_wall"), F.round(pcr, 3).alias("pcr"))
+
+
+def strike_snapshot(chain: DataFrame) -> DataFrame:
+    """Each strike at its symbol's last snapshot, with what its prices are of the theoretical ones."""
+    price = lambda s: F.round(ratio(F.col(f"{s}_ltp"), F.col(f"{s}_tprice")), 4).alias(f"{s}_ratio")
+    return latest(chain, "symbol").select("symbol", "expiry", "strike_price", "ce_ltp", "pe_ltp", "ce_oi", "pe_oi", price("ce"), price("pe"))
+
+
+def best_by_delta(chain: DataFrame, target: float = 0.3) -> DataFrame:
+    """Of each symbol, expiry and side at the last snapshot, the strike whose absolute delta is nearest to target, the lowest of several."""
+    one = lambda s: latest(chain, "symbol").select("symbol", "expiry", F.lit(s.upper()).alias("side"), "strike_price", F.abs(f"{s}_delta").alias("delta"), F.col(f"{s}_ltp").alias("ltp"))
+    near = F.min(F.struct(F.round(F.abs(F.col("delta") - target), 9).alias("d"), "strike_price", "delta", "ltp")).alias("n")
+    return one("ce").unionByName(one("pe")).groupBy("symbol", "expiry", "side").agg(near).select("symbol", "expiry", "side", "n.strike_price", F.round("n.delta", 4).alias("delta"), "n.ltp")

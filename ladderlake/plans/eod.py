@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, NEGATIVE, POSITIVE, Params
-from ..functions.expressions import basis, confidence, dealer_divergence, expected_move, in_deadzone, ratio, signals, strength
+from ..functions import narratives as words
+from ..functions.expressions import basis, confidence, dealer_divergence, expected_move, hold_probability, in_deadzone, ratio, signals, strength
 from ..operators.ladder import gamma_flip, gamma_shelf, net_gamma, oi_center, strike_interval
 from ..operators.screens import liquid
 from ..sources.ocdata import latest
@@ -148,3 +149,24 @@ def screener(eod: DataFrame, day: str, view: str = "all", rank: int = 0, signal:
 def signal_counts(eod: DataFrame) -> DataFrame:
     """(date, signal, n): how many rows of each day have each signal."""
     return eod.filter("signals <> ''").select("date", F.explode(F.split("signals", ",")).alias("signal")).groupBy("date", F.trim("signal").alias("signal")).agg(F.count("*").alias("n"))
+
+
+def narratives(eod: DataFrame) -> DataFrame:
+    """Each row of stage 2 in words: positioning, distribution, change, the chance that its level holds, and bands."""
+    col = F.col
+    hold = hold_probability(col("transition_width_norm"), col("concentration"), col("gex_regime"))
+    return eod.select(
+        *KEYS, F.round(words.center_distance(col("gamma_shelf_center"), col("fut_price"), col("expected_move")), 4).alias("center_distance"),
+        words.positioning(col("gamma_shelf_center"), col("fut_price"), col("expected_move"), col("dealer_divergence_label"), col("oi_com_inrange")).alias("positioning"),
+        words.distribution(col("concentration"), col("net_gex_norm"), col("gamma_shelf_width"), col("gamma_shelf_peak_strike")).alias("distribution"),
+        words.change(col("gamma_com_migration"), col("expected_move"), col("days_in_regime"), col("basis_chg")).alias("change"),
+        hold.alias("hold_probability"), words.hold_bucket(hold).alias("hold_bucket"), words.turnover_band(col("oi_turnover_ratio")).alias("turnover_band"), words.migration_band(col("migration_effectiveness")).alias("migration_band"),
+    )
+
+
+def change_summary(eod: DataFrame, first: str, last: str, metrics: list[str], rank: int = 0) -> DataFrame:
+    """(symbol, metric, change): each metric's change from the first to the last row of a symbol between two days."""
+    x = eod.filter((F.col("expiry_rank") == rank) & F.col("date").between(first, last))
+    ends = x.groupBy("symbol").agg(*(f(F.struct(*metrics), "date").alias(n) for n, f in (("a", F.min_by), ("b", F.max_by))))
+    told = F.array(*(F.struct(F.lit(m).alias("metric"), words.change_text(m, F.col(f"a.{m}"), F.col(f"b.{m}")).alias("change")) for m in metrics))
+    return ends.select("symbol", F.explode(told).alias("t")).select("symbol", "t.*")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import narratives as words
 from .functions.expressions import hold_probability, monthly_expiry, regime_order, vix_level
-from .operators import grouped, ladder, screens
+from .operators import gamma_page, grouped, ladder, screens
 from .plans import eod
 from .sources import ocdata
 from .sources.ocdata import chain, duckdb_chain
@@ -146,3 +147,22 @@ query("upsert", " SELECT symbol, expiry, timestamp, strike_price, CASE WHEN symb
 query("expiry_rule", """, d AS (SELECT DISTINCT CAST(timestamp AS DATE) AS day FROM ocdata), e AS (SELECT day, last_day(day) AS m, last_day(last_day(day) + 1) AS m2 FROM d), f AS (SELECT day, m - CAST((dayofweek(m) - 4 + 7) % 7 AS INTEGER) AS a, m2 - CAST((dayofweek(m2) - 4 + 7) % 7 AS INTEGER) AS b FROM e)
 SELECT day, CASE WHEN a >= day THEN a ELSE b END AS expiry FROM f""")(lambda c: c.select(F.to_date("timestamp").alias("day")).distinct().withColumn("expiry", monthly_expiry(F.col("day"))))
 query("vix_levels", " SELECT DISTINCT symbol, expiry, strike_price, timestamp, CASE WHEN ce_iv > 30 THEN 'extreme' WHEN ce_iv > 20 THEN 'elevated' WHEN ce_iv > 12 THEN 'normal' ELSE 'low' END AS level FROM ocdata")(lambda c: c.select("symbol", "expiry", "strike_price", "timestamp", vix_level(F.col("ce_iv")).alias("level")))
+query("strike_snapshot", _LATEST + " SELECT symbol, expiry, strike_price, ce_ltp, pe_ltp, ce_oi, pe_oi, round(ce_ltp / nullif(ce_tprice, 0), 4) AS ce_ratio, round(pe_ltp / nullif(pe_tprice, 0), 4) AS pe_ratio FROM last")(screens.strike_snapshot)
+query("oi_expiries", _LATEST + f" SELECT DISTINCT symbol, expiry FROM last WHERE expiry >= DATE '{AS_OF}' AND ce_oi + pe_oi > 0")(lambda c: ocdata.latest(c, "symbol").filter((F.col("expiry") >= F.lit(AS_OF).cast("date")) & (F.col("ce_oi") + F.col("pe_oi") > 0)).select("symbol", "expiry").distinct())
+query("oi_walls", _LATEST + f""", f AS (SELECT l.* FROM last l JOIN (SELECT symbol, min(expiry) AS e FROM last WHERE expiry >= DATE '{AS_OF}' GROUP BY 1) m ON l.symbol = m.symbol AND l.expiry = m.e),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ce_oi DESC, strike_price) AS cn, row_number() OVER (PARTITION BY symbol ORDER BY pe_oi DESC, strike_price) AS pn, row_number() OVER (PARTITION BY symbol ORDER BY round(abs(net_gexv), 6) DESC, strike_price) AS gn FROM f)
+SELECT symbol, expiry, max(strike_price) FILTER (cn = 1) AS ce_wall, round(max(ce_oi) / avg(ce_oi) FILTER (ce_oi > 0), 2) AS ce_strength, max(strike_price) FILTER (pn = 1) AS pe_wall, round(max(pe_oi) / avg(pe_oi) FILTER (pe_oi > 0), 2) AS pe_strength,
+  max(strike_price) FILTER (gn = 1) AS gamma_wall, round(sum(pe_oi) / nullif(sum(ce_oi), 0), 3) AS pcr FROM r GROUP BY 1, 2""")(lambda c: screens.oi_walls(c, AS_OF))
+query("best_by_delta", _LATEST + """, s AS (SELECT symbol, expiry, 'CE' AS side, strike_price, abs(ce_delta) AS delta, ce_ltp AS ltp FROM last UNION ALL SELECT symbol, expiry, 'PE', strike_price, abs(pe_delta), pe_ltp FROM last),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol, expiry, side ORDER BY round(abs(delta - 0.3), 9), strike_price) AS n FROM s) SELECT symbol, expiry, side, strike_price, round(delta, 4) AS delta, ltp FROM n WHERE n = 1""")(screens.best_by_delta)
+query("market_sessions", """, d AS (SELECT DISTINCT symbol, expiry, timestamp, days_to_expiry AS dte, hour(timestamp) * 60 + minute(timestamp) AS m FROM ocdata)
+SELECT symbol, expiry, timestamp, CASE WHEN m BETWEEN 540 AND 554 THEN 'PRE-OPEN' WHEN m BETWEEN 555 AND 929 THEN 'OPEN' WHEN m BETWEEN 930 AND 959 THEN 'POST-CLOSE' ELSE 'CLOSED' END AS session, CASE WHEN dte <= 7 THEN 'near' WHEN dte <= 30 THEN 'mid' ELSE 'far' END AS dte_band FROM d""")(
+    lambda c: c.select(*ladder.KEYS, words.session(F.col("timestamp")).alias("session"), words.dte_band(F.col("days_to_expiry")).alias("dte_band")).distinct()
+)
+query("spread_classes", """ SELECT symbol, expiry, timestamp, strike_price, CASE WHEN ce_ltp > 0 THEN CASE WHEN ce_bid_ask_spread / ce_ltp * 100 >= 0.5 THEN 'bad' WHEN ce_bid_ask_spread / ce_ltp * 100 >= 0.2 THEN 'warn' ELSE 'good' END END AS ce_class,
+  CASE WHEN pe_ltp > 0 THEN CASE WHEN pe_bid_ask_spread / pe_ltp * 100 >= 0.5 THEN 'bad' WHEN pe_bid_ask_spread / pe_ltp * 100 >= 0.2 THEN 'warn' ELSE 'good' END END AS pe_class FROM ocdata""")(
+    lambda c: c.select(*ladder.KEYS, "strike_price", *(words.spread_class(F.col(f"{s}_bid_ask_spread"), F.col(f"{s}_ltp"), 0.2, 0.5).alias(f"{s}_class") for s in ("ce", "pe")))
+)
+query("gamma_analysis")(lambda c: gamma_page.gamma_analysis(ocdata.latest(c, "symbol")))
+query("narratives")(lambda c: eod.narratives(eod.stage2(eod.stage1(c))))
+query("change_summary")(lambda c: eod.change_summary(eod.stage2(eod.stage1(c)), "2024-01-09", "2024-01-17", ["fut_price", "atm_iv", "net_gex_norm", "gamma_flip", "gex_regime", "confidence"]))
