@@ -32,7 +32,7 @@ def classify_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near duplicates; rows without an id stay."""
-    found = simhash.groups(docs.select("doc_id", "text"))
+    found = simhash.alike(docs.select("doc_id", "text"))
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(keep, "doc_id", "left_semi"))
 

@@ -2,7 +2,8 @@
 
 Fingerprints are cut into segments. If two differ in few bits, one segment differs in fewer still,
 so each fingerprint is filed under its own segments and asks for the small Hamming ball around
-them; what meets in a table entry is verified over all bits.
+them; what meets in a table entry is verified over all bits. Texts that share most of their shingles
+differ in more bits: their fingerprints are longer, the segments overlap, and the sets decide.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, stored, with_arrow_columns
+from .common import c, small_batches, stored, with_arrow_columns
 from .graph import components
 
 BITS = 64
@@ -25,7 +26,7 @@ BLOCK = 2048
 def fingerprint(text: str | None, width: int, words: int = 1, seed: int = 42) -> list[int]:
     """SimHash of the word shingles of a whole text, A-Z in lower case, as signed 64-bit words; zeros without words.
 
-    One word takes its bits from XXH64, two from XXH128.
+    One word takes its bits from XXH64, two from XXH128. These count a shingle as often as it occurs; see set_fingerprint.
     """
     found = (text or "").encode().lower().split()
     if not found:
@@ -68,10 +69,6 @@ def segments(distance: int) -> list[tuple[int, int, int, int]]:
     return [(0, int(a), int(b - a), spare // m + (i < spare % m)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
 
 
-#: Six segments of two words, each with its ball of radius 1. They meet pairs that differ in a bit of ten nearly always, and two of three that differ in 15 of 100.
-WIDE = [(w, a, b, 1) for w in (0, 1) for a, b in ((0, 21), (21, 21), (42, 22))]
-
-
 def _ball(bits: int, radius: int) -> np.ndarray:
     """All numbers of so many bits with 1 to radius bits set."""
     level, out = {0}, []
@@ -187,31 +184,196 @@ def links(marks: DataFrame, parts: list[tuple[int, int, int, int]], distance: in
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 22, width: int = 5, words: int = 2, seed: int = 42, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, words: int = 1, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """(key, simhash0, ..., component_id) of each row of docs: the least key that links reach, its own included.
 
-    One word: all pairs at most distance apart are linked. Two words, as by default: 22 bits of 128
-    are those that texts differ in which share four fifths of their shingles; the segments of WIDE
-    find them. Equal fingerprints are one node, so copies are never paired. Null and empty texts
+    All pairs at most distance apart are linked, as the segments of one word find them; several
+    words are for alike. Equal fingerprints are one node, so copies are never paired. Null and empty texts
     have zeros and are linked like any other. A null key gets a result but never names a
     component; a component of null keys alone has a null component_id. Repeated rows get a row
     each, other columns are left aside, an empty table gives no rows.
     """
+    if words != 1:
+        raise ValueError("groups takes one word")
     names = [f"simhash{k}" for k in range(words)]
     marked = stored(with_fingerprint(docs.select(c(key).alias("key"), c(text).alias("text")), "text", width, words, seed).select("key", *names))
-
-    def named(batch):
-        return [pa.array(_name([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)]).view(np.int64))]
-
-    marks = marked.groupBy(*names).agg(F.min("key").alias("first"))
-    marks = stored(with_arrow_columns(marks, [T.StructField("mark", T.LongType())], named))
-    roots = stored(components(links(marks, segments(distance) if words == 1 else WIDE, distance, words, block)))
+    marks = stored(marked.groupBy(*names).agg(F.min("key").alias("first")).withColumn("mark", F.col("simhash0")))
+    roots = stored(components(links(marks, segments(distance), distance, words, block)))
     rooted = stored(marks.join(roots, marks.mark == roots.node, "left").select(*names, "first", F.coalesce("root", "mark").alias("root")))
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     labelled = stored(rooted.join(least, "root").select(*names, "component_id"))
     return marked.join(labelled, names).select(F.col("key").alias(key), *names, "component_id")
 
 
+#: Words of a set fingerprint, and bits in which two may differ: texts that share four fifths of their shingles differ in 39 of 256 on average, with a deviation of 6.
+SET_WORDS, SET_DISTANCE = 4, 64
+#: Overlapping segments of a set fingerprint: so many draws of so many of its bits, fixed by a seed.
+SAMPLES, SAMPLED = 96, 16
+_DRAWN = np.array([np.random.default_rng(k).permutation(BITS * SET_WORDS)[:SAMPLED] for k in range(SAMPLES)])
+
+
+def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The different word shingles of a whole text, A-Z in lower case, as sorted XXH64 numbers; none without words."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
+    last = ends[min(width, len(found)) - 1 :].tolist()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last)), np.uint64, len(last)))
+
+
+def set_fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in SET_WORDS words; zeros of an empty one."""
+    ones = np.zeros(BITS * SET_WORDS, np.int64)
+    for at in range(0, len(found), 1 << 12):
+        x = found[at : at + (1 << 12), None] + np.arange(1, SET_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)
+
+
+def _sampled(x: list[np.ndarray]) -> np.ndarray:
+    """The entry of each mark in each overlapping segment, a row for each mark."""
+    bits = np.unpackbits(np.stack(x, 1).view(np.uint8), axis=1, bitorder="little")
+    out = np.zeros((len(bits), SAMPLES), np.int32)
+    for j in range(SAMPLED):
+        out |= bits[:, _DRAWN[:, j]].astype(np.int32) << j
+    return out | (np.arange(SAMPLES, dtype=np.int32) << SAMPLED)
+
+
+def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, d): names of all pairs of marks, a > b, that meet in an overlapping segment and differ in d bits, SET_DISTANCE at most; each pair once.
+
+    A pair is given in the first segment it shares. Entries of about block rows or more are cut into blocks.
+    """
+    names = [f"simhash{k}" for k in range(SET_WORDS)]
+    marks = marks.select(*names)
+    few = max(1, block // (2 * max(1, marks.rdd.getNumPartitions())))
+
+    def counted(batches):
+        n = np.zeros(SAMPLES << SAMPLED, np.int32)
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                np.add.at(n, _sampled([part.column(k).to_numpy(zero_copy_only=False) for k in range(SET_WORDS)]).ravel(), 1)
+        hot = np.flatnonzero(n >= few)
+        yield pa.RecordBatch.from_arrays([pa.array(hot.astype(np.int32)), pa.array(n[hot].astype(np.int64))], names=["entry", "n"])
+
+    def filed(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                x = [part.column(k).to_numpy(zero_copy_only=False) for k in range(SET_WORDS)]
+                entry = _sampled(x)
+                for k in range(SAMPLES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(entry[:, k])), *map(pa.array, x)], names=["entry", *names])
+
+    # a part's counts below few are left out: together they miss half a block of an entry at most
+    large = stored(marks.mapInArrow(counted, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") > block // 2).select("entry", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("blocks")))
+    dealt = marks.mapInArrow(filed, "entry int, " + ", ".join(f"{n} long" for n in names))
+    if large.isEmpty():
+        dealt = dealt.withColumn("own", F.lit(-1)).withColumn("cell", F.lit(0))
+    else:
+        dealt = dealt.join(large, "entry", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+        # of two rows of one block, only the block's own cell compares them
+        dealt = dealt.withColumn("own", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
+    dealt = dealt.select("entry", "cell", "own", *names).repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+
+    def meet(rows):
+        entry, cell, own, words = rows[0], rows[1], rows[2], rows[3:]
+        alive, d = np.arange(len(entry)), 0
+        while len(alive):
+            d += 1
+            alive = alive[alive + d < len(entry)]
+            alive = alive[(entry[alive] == entry[alive + d]) & (cell[alive] == cell[alive + d])]
+            near = alive[(own[alive] != own[alive + d]) | (own[alive] < 0)]
+            apart = sum(np.bitwise_count(w[near] ^ w[near + d]).astype(np.int32) for w in words)
+            near, apart = near[apart <= SET_DISTANCE], apart[apart <= SET_DISTANCE]
+            for at in range(0, len(near), 1 << 12):
+                i, far = near[at : at + (1 << 12)], apart[at : at + (1 << 12)]
+                one, two = [w[i] for w in words], [w[i + d] for w in words]
+                first = (_sampled([w.view(np.int64) for w in one]) == _sampled([w.view(np.int64) for w in two])).argmax(1)
+                a, b = _name(one), _name(two)
+                kept = (first == entry[i] >> SAMPLED) & (a != b)
+                a, b = a[kept].view(np.int64), b[kept].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(far[kept].astype(np.int32))], names=["a", "b", "d"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + SET_WORDS)]
+            new[3:] = [x.view(np.uint64) for x in new[3:]]
+            rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
+            if not len(rows[0]):
+                continue
+            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = cut[-1] + 1 if len(cut) else 0  # the last run may go on in the next batch
+            yield from meet([x[:cut] for x in rows])
+            rest = [x[cut:] for x in rows]
+        if rest is not None:
+            yield from meet(rest)
+
+    small_batches(marks.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long, d int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets, of sets (node, shingles), have a Jaccard similarity of least or more."""
+    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = 5, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """(key, mark, component_id, component_mark) of each row of docs: the least key, and text of it, that links reach.
+
+    Texts are linked whose sets of word shingles have a Jaccard similarity of least or more. Set
+    fingerprints find the candidates, the sets themselves decide. mark is the XXH64 of the text.
+    Texts with equal fingerprints are one node: at 256 bits they share all but a thousandth of
+    their shingles. First each node's nearest candidate is verified, then those that still lead to
+    another component, so a large group of copies is not verified pair by pair. Null and empty texts are one
+    node. A null key never names a component; a component of null keys alone has nulls.
+    """
+    names = [f"simhash{k}" for k in range(SET_WORDS)]
+    rows = docs.select(c(key).alias("key"), c(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+
+    def marks_of(batch):
+        found = np.array([set_fingerprint(shingle_set(t, width, seed)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], np.int64).reshape(-1, SET_WORDS)
+        return [*(pa.array(np.ascontiguousarray(found[:, k])) for k in range(SET_WORDS)), pa.array(_name([np.ascontiguousarray(found[:, k]).view(np.uint64) for k in range(SET_WORDS)]).view(np.int64))]
+
+    def sets_of(batch):
+        return [pa.array([shingle_set(t, width, seed).tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.binary())]
+
+    marked = stored(with_arrow_columns(rows, [T.StructField(n, T.LongType()) for n in (*names, "node")], marks_of).select("key", "mark", *names, "node"))
+    nodes = stored(marked.groupBy("node", *names).agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "mark"))).alias("first"), F.min("mark").alias("shown")))
+    pairs = stored(candidates(nodes, block))
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "shown"), "node"))
+    texts = rows.select("text", "mark").join(asked.select(F.col("shown").alias("mark")), "mark", "left_semi").dropDuplicates(["mark"])
+    sets = with_arrow_columns(texts, [T.StructField("shingles", T.BinaryType())], sets_of).select("mark", "shingles")
+    sets = stored(sets.join(asked, sets.mark == asked.shown).select("node", "shingles"))
+    near = stored(verified(pairs.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b")), sets, least))
+    roots = stored(components(near))
+    root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    open_ = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    roots = stored(components(near.unionByName(verified(open_, sets, least))))
+    rooted = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    named = stored(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("of")), "root").select("node", F.col("of.key").alias("component_id"), F.col("of.mark").alias("component_mark")))
+    return marked.join(named, "node").select(F.col("key").alias(key), "mark", "component_id", "component_mark")
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over four-word shingles, and its component."""
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), distance=4, width=4, words=1)

@@ -165,6 +165,34 @@ def test_simhash_odd(odd, none):
     assert len(x) == len(ODD) and {r.component_id for r in x if r.doc_id in (1, 2, 3)} == {1} and simhash.groups(none).count() == 0
 
 
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def changed(rng, text, share):
+    """text with its last words replaced, so that it shares about so much of all five-word shingles."""
+    w = text.split()
+    cut = round(2 * share / (1 + share) * (len(w) - 4)) + 4
+    return " ".join(w[:cut] + [f"n{rng.random()}" for _ in w[cut:]])
+
+
+def test_alike_against_brute_force(spark):
+    rng = random.Random(7)
+    base = [" ".join(f"w{rng.random()}" for _ in range(rng.randint(150, 400))) for _ in range(150)]
+    texts = [t for b in base for t in (b, changed(rng, b, 0.81))] + [t for b in base[:60] for t in (b[::-1], changed(rng, b[::-1], 0.75))] + ["", None, "One  Two", "one two", base[0]]
+    sets = [plain_shingles(t) for t in texts]
+    linked = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} | {(len(texts) - 5, len(texts) - 4)}
+    root = list(range(len(texts)))
+    for i, j in sorted(linked):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (simhash.BLOCK, 4):
+        got = {r.doc_id: r.component_id for r in simhash.alike(rows, block=block).collect()}
+        assert len(got) == len(texts) and all(got[got[i]] == got[i] and root[got[i]] == root[i] for i in got)  # no link that brute force lacks
+        assert sum(got[i] == got[j] for i, j in linked) >= 0.96 * len(linked)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     x = {r.node: r.root for r in graph.components(links).collect()}
