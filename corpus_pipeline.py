@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlake.llm import langid, mixing, pieces, quality, simhash
-from ladderlake.llm.common import c, shared_dir
+from ladderlake.llm.common import c, shared_dir, stored
 
 #: No stage is expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -31,20 +31,28 @@ def classify_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates; rows without an id stay."""
-    found = simhash.alike(docs.select("doc_id", "text"))
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(keep, "doc_id", "left_semi"))
+    """Keeps one row of each group of near duplicates: of the least id, and then of the least hash of the text; rows without an id stay."""
+    found = stored(simhash.alike(docs.select("doc_id", "text")).filter((F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("component_mark"))))
+    keep = found.groupBy("doc_id", "mark").count()
+    held = docs.withColumn("mark", F.xxhash64("text")).join(keep.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
+    if not keep.filter("count > 1").isEmpty():
+        held = held.dropDuplicates(["doc_id", "mark"])
+    return docs.filter(F.col("doc_id").isNull()).unionByName(held.select(*map(c, docs.columns)))
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does, in order of the time it is first taken."""
-    mixed = mixing.mix(docs)
-    taken = mixed.filter("times > 0").select(F.col("key").alias("doc_id"), "draw", "finish", "times")
-    row = F.xxhash64("doc_id", "text", F.lit(17))
-    held = docs.withColumn("draw", row).join(taken.dropDuplicates(["doc_id", "draw"]), ["doc_id", "draw"])
-    repeated = held.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.orderBy("nth", "finish", "doc_id").select(*map(c, docs.columns))
+    """Takes each row as often as the mix does, in order of the time it is first taken; null ids and repeated rows are rows like any other."""
+    same = ["key", "origin", "draw"]
+    mixed = stored(mixing.mix(docs).select("key", F.col("source").alias("origin"), "draw", "finish", "times"))
+    rows = docs.select(F.struct(*map(c, docs.columns)).alias("doc"), F.col("doc_id").alias("key"), F.col("source").alias("origin"), F.xxhash64("doc_id", "text", F.lit(17)).alias("draw"))
+    if mixed.groupBy(*same).count().filter("count > 1").isEmpty():
+        rows, mixed = rows.withColumn("nth", F.lit(1)), mixed.withColumn("nth", F.lit(1))
+    else:  # rows of one id, source and text have one size, so any of them may stand for any other
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("doc"))))
+        mixed = mixed.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("finish", F.desc("times"))))
+    held = rows.alias("r").join(mixed.filter("times > 0").alias("m"), F.expr("r.key <=> m.key AND r.origin <=> m.origin AND r.draw = m.draw AND r.nth = m.nth"))
+    taken = held.select("doc", "m.finish", "m.key", "m.draw", F.explode(F.expr("sequence(1, m.times)")).alias("pass"))
+    return taken.orderBy("pass", "finish", "key", "draw").select("doc.*")
 
 
 def encode_pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
+import collections
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from ladderlake.llm import pieces
+from ladderlake.llm import mixing, pieces
+from ladderlake.llm.common import WORD
 
 
 def test_stages_keep_whole_documents(spark):
@@ -27,3 +32,24 @@ def test_empty(spark):
     none = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "/root/testdata/sf0.001").count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    some = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.doc_id is not None and r.text]
+    a, b = some[:2]
+    rows = [r.asDict() | {"doc_id": None if k % 3 == 0 else r.doc_id} for k, r in enumerate(some)] + [a.asDict() | {"doc_id": 10**6}] * 3 + [b.asDict() | {"doc_id": 10**6, "text": f"{' '.join(f'w{k}' for k in range(90))}"}]
+    docs = spark.createDataFrame([tuple(r[x] for x in some[0].asDict()) for r in rows], spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema)
+    stages, sf = dict(corpus_pipeline.STAGES), "/root/testdata/sf0.001"
+    nulls = lambda x: x.filter("doc_id IS NULL").count()
+    assert nulls(stages["language"](spark, docs, sf)) > 0 and nulls(stages["quality"](spark, docs, sf)) > 0
+    unique = stages["near_duplicates"](spark, docs, sf)
+    assert nulls(unique) == nulls(docs) and unique.filter("doc_id = 1000000").count() == 2  # its copies are one, its second text stays
+    twice = stages["near_duplicates"](spark, docs.filter("doc_id = 1000000").unionByName(docs.filter("doc_id = 1000000")), sf)
+    assert twice.count() == 2
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.key, r.source, r.size] += r.times
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    got = {(r.doc_id, r.source, r["size"]): r["count"] for r in stages["mixture"](spark, docs, sf).groupBy("doc_id", "source", size.alias("size")).count().collect()}
+    assert got == {k: n for k, n in want.items() if n} and any(k[0] is None for k in got)
+    assert nulls(stages["pieces"](spark, docs, sf)) == nulls(docs)
