@@ -1,19 +1,22 @@
 """Chat formatting by quotation linking.
 
-Messages are parsed into lines of quote levels; a normalised quoted line is hashed and joined to the
-message of the conversation that first said it as its own. The links give reply order, and the
-conversation is built without the quotes.
+Messages are parsed into lines of quote levels, and lines of one level that follow each other into
+passages. A normalised quoted passage, or else a sentence or a line of it, is hashed and linked to
+the latest earlier message of the conversation that said it as its own. The links give reply order,
+and the conversation is built without the quotes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import c, stored
 
 #: Marks before a quoted line, with blanks between them.
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+#: The blanks between two sentences.
+_SENTENCE = r"(?<=[.!?;:…])[\s]+"
 #: A line that introduces a quotation: it ends so and a quoted line follows.
 _INTRODUCES = r"(?i)(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$"
 
@@ -35,27 +38,46 @@ def passage(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\p{Punct}\s]+", " "))
 
 
+def units(parsed: Column) -> Column:
+    """array of struct(level, kind, said, n): passages (kind 2), their sentences (1) and single lines (0), hashed, n characters long when normalised.
+
+    A passage ends at a blank line. Its lines are joined by blanks, so it does not matter where they were wrapped.
+    """
+    bare = F.transform(parsed, lambda x: F.struct(x["level"].alias("level"), F.translate(x["line"], "\x01\x02", "  ").alias("line")))
+    blank = lambda x: passage(x["line"]) == ""
+    goes_on = lambda x, i: (i > 0) & (F.get(bare, i - 1)["level"] == x["level"]) & ~blank(x) & ~blank(F.get(bare, i - 1))
+    joined = F.array_join(F.transform(bare, lambda x, i: F.concat(F.when(F.coalesce(goes_on(x, i), F.lit(False)), F.lit(" ")).otherwise(F.concat(F.lit("\x02"), x["level"].cast("string"), F.lit("\x01"))), x["line"])), "")
+    whole = F.transform(F.filter(F.split(joined, "\x02"), lambda b: b != ""), lambda b: F.struct(F.substring_index(b, "\x01", 1).cast("int").alias("level"), F.substring_index(b, "\x01", -1).alias("line")))
+    parts = F.flatten(F.transform(whole, lambda b: F.transform(F.split(b["line"], _SENTENCE), lambda t: F.struct(b["level"].alias("level"), t.alias("line")))))
+    named = lambda x, kind: F.transform(x, lambda b: F.struct(b["level"].cast("int").alias("level"), F.lit(kind).alias("kind"), F.xxhash64(passage(b["line"])).alias("said"), F.length(passage(b["line"])).alias("n")))
+    return F.filter(F.concat(named(whole, 2), named(parts, 1), named(bare, 0)), lambda x: x["n"] > 0)
+
+
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conversation, turn, role, text, reply_to, thread, quotes, deepest) of each message.
 
-    text is the message without quotes. reply_to is the turn of the message it quotes: of its
-    quoted lines of the least level that some earlier message said as its own, the latest one's
-    turn; null if none. thread is the turn at the end of the reply_to links, or for a message that
-    replies to none the conversation's first turn. quotes counts its quoted lines, deepest is
-    their deepest level. A line is linked to the first turn that said it; blank lines to none.
+    text is the message without quotes. reply_to is the turn of the message it quotes; null if
+    none. Of what some earlier message said as its own, the least quote level decides, then a whole
+    passage before a sentence and a sentence before a line, then the longest, then the latest turn.
+    thread is the turn at the end of the reply_to links, or for a message that replies to none the
+    conversation's first turn. quotes counts its quoted lines, deepest is their deepest level.
+    Each passage, sentence and line is linked to the latest earlier turn that said it; blank ones to none.
 
     Null texts are empty. Messages with a null conversation or turn have a row and no links.
     Repeated turns are messages of their own that share a turn. Hot conversations are joined by
-    their lines, not gathered.
+    their passages, sentences and lines, not gathered.
     """
     rows = messages.select(c(conversation).alias("conv"), c(turn).alias("turn"), c(role).alias("role"), c(text).alias("text"))
     rows = stored(rows.withColumn("mark", F.xxhash64("text", "role")).withColumn("parsed", parse(F.col("text"))))
-    lines = rows.select("conv", "turn", "mark", F.explode("parsed").alias("x")).select("conv", "turn", "mark", "x.level", F.xxhash64(passage(F.col("x.line"))).alias("said"), (passage(F.col("x.line")) == "").alias("blank")).filter("NOT blank AND conv IS NOT NULL AND turn IS NOT NULL")
-    quoted = stored(lines.filter("level > 0").select("conv", "turn", "mark", "level", "said").distinct())
-    # only conversations with quotations need their own lines
-    asked = quoted.select("conv", "said").distinct()
-    first = lines.filter("level = 0").join(asked, ["conv", "said"], "left_semi").groupBy("conv", "said").agg(F.min("turn").alias("origin"))
-    found = quoted.join(first, ["conv", "said"]).filter("origin < turn").groupBy("conv", "turn", "mark").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("reply_to"))
+    said = rows.filter("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", "mark", F.explode(units(F.col("parsed"))).alias("x")).select("conv", "turn", "mark", "x.*")
+    said = stored(said)
+    quoted = said.filter("level > 0").distinct()
+    # only conversations with quotations need their own words; a turn's questions come before what it says
+    asked = quoted.select("conv", "kind", "said").distinct()
+    own = said.filter("level = 0").join(asked, ["conv", "kind", "said"], "left_semi").select("conv", "kind", "said", "turn").distinct()
+    both = quoted.withColumn("says", F.lit(False)).unionByName(own.withColumn("says", F.lit(True)), allowMissingColumns=True)
+    latest = F.last(F.when(F.col("says"), F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv", "kind", "said").orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("origin", latest).filter("NOT says AND origin IS NOT NULL").groupBy("conv", "turn", "mark").agg(F.max(F.struct(-F.col("level"), "kind", "n", "origin"))["origin"].alias("reply_to"))
     found = stored(found)
     starts = rows.filter("conv IS NOT NULL").groupBy("conv").agg(F.min("turn").alias("start"))
     return _threads(rows, found, starts).select(F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role), own_text(F.col("parsed")).alias(text), "reply_to", "thread", F.size(F.filter("parsed", lambda x: x["level"] > 0)).alias("quotes"), F.array_max(F.transform("parsed", lambda x: x["level"])).alias("deepest"))

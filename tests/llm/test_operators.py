@@ -208,6 +208,12 @@ def test_chat(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_wrapped_and_repeated_quotes(spark):
+    rows = [(1, 0, "a", "Yes."), (1, 1, "b", "Alpha beta gamma delta epsilon.\nZeta eta."), (1, 2, "a", "Yes."), (1, 3, "b", "> Alpha beta gamma\n> delta epsilon. Zeta eta.\nok"), (1, 4, "b", "> Yes.\nwhy"), (1, 5, "a", "> delta. Alpha beta\n> gamma delta epsilon.\nhm"), (1, 6, "a", "First line\nsecond line"), (1, 7, "b", "> First line second line\nfine"), (1, 8, "b", "Yes.\n> Yes.")]
+    x = {r.turn: r.reply_to for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert x == {0: None, 1: None, 2: None, 3: 1, 4: 2, 5: 1, 6: None, 7: 6, 8: 2}
+
+
 # 8
 def test_quality(spark, odd, none):
     x = quality.op8_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
