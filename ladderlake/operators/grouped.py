@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, SNAPSHOT, Params
@@ -53,8 +53,17 @@ def shelf(strikes, oi, index: bool, p: Params = DEFAULTS) -> tuple[int, float, l
 
 
 def oi_shelves(chain: DataFrame, side: str = "ce", keys=KEYS, p: Params = DEFAULTS) -> DataFrame:
-    """(keys, wall_strike, wall_oi, lo, hi, oi, com, n_strikes, is_shelf, grid, oi_change, signal) of one side's shelf in each ladder."""
-    rows = chain.select(*keys, "strike_price", F.col(f"{side}_oi").alias("oi"), F.col(f"{side}_oi_change").alias("change"), F.col(f"{side}_ltp").alias("ltp"), is_index(F.col("symbol")).alias("index"))
+    """(keys, wall_strike, wall_oi, lo, hi, oi, com, n_strikes, is_shelf, grid, oi_change, signal) of one side's shelf in each ladder.
+
+    signal takes the change of price, weighted by open interest, since the symbol's previous
+    snapshot; a strike that was not listed then has changed by nothing.
+    """
+    *ladder, time = keys
+    price = F.coalesce(F.col(f"{side}_ltp").cast("double"), F.lit(0.0))
+    times = chain.select("symbol", time).distinct().withColumn("next", F.lead(time).over(Window.partitionBy("symbol").orderBy(time)))
+    earlier = chain.join(times, ["symbol", time]).groupBy(*ladder, F.col("next").alias(time), "strike_price").agg(F.max(price).alias("before")).filter(F.col(time).isNotNull())
+    chain = chain.join(earlier, [*keys, "strike_price"], "left").withColumn("moved", price - F.coalesce("before", price))
+    rows = chain.select(*keys, "strike_price", F.col(f"{side}_oi").alias("oi"), F.col(f"{side}_oi_change").alias("change"), F.col("moved").alias("ltp"), is_index(F.col("symbol")).alias("index"))
     fields = ", ".join(f"{k} {dict(chain.dtypes)[k]}" for k in keys)
 
     def one(x: pd.DataFrame) -> pd.DataFrame:

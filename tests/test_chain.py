@@ -78,6 +78,13 @@ def test_oi_shelf_walk():
     assert grouped.shelf([10.0, 10.5, 11.0], [5, 100, 6], False)[0] == 2
 
 
+def test_oi_shelf_signal_takes_the_change_of_price(spark):
+    rows = [(symbol, dt.date(2024, 1, 25), dt.datetime(2024, 1, 1, h), 100.0, 50.0, change, ltp) for symbol, change, ltps in (("A", 5.0, (9.0, 7.0)), ("B", -5.0, (9.0, 7.0)), ("C", 5.0, (7.0, 9.0))) for h, ltp in zip((9, 10), ltps)]
+    chain = spark.createDataFrame(rows, "symbol string, expiry date, timestamp timestamp, strike_price double, ce_oi double, ce_oi_change double, ce_ltp double")
+    found = {(r.symbol, r.timestamp.hour): r.signal for r in grouped.oi_shelves(chain).collect()}
+    assert [found[s, 10] for s in "ABC"] == ["Short Build-Up", "Long Unwinding", "Long Build-Up"] and {found[s, 9] for s in "ABC"} == {"Neutral"}
+
+
 def test_peaks():
     import numpy as np
 
