@@ -43,6 +43,9 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
     ("proprietary", "All rights reserved."),
 ]
+#: Names whose SPDX tags are known besides those of KNOWN, which the SQL reads.
+SPDX = ["0BSD", "AFL-3.0", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "PSF-2.0", "Python-2.0", "Unlicense", "WTFPL", "Zlib", "ZPL-2.1"]
+TAGS = [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
 #: Spellings that count as one, applied to words in lower case.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("https", "http"), ("v 2 0", "version 2 0")]
 #: A copyright line: the word, or a sign for it, and then a year, a holder in brackets, or another sign.
@@ -64,7 +67,7 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN + TAGS) -> DataFrame:
     """(license, digest) of known texts, each digest once, with the least name."""
     return spark.createDataFrame(texts, "license string, text string").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 

@@ -80,6 +80,12 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd, licenses.known(spark)).count() == len(ODD) and licenses.scan(none, licenses.known(spark)).count() == 0
 
 
+def test_license_tags(spark):
+    rows = [(1, "// SPDX-License-Identifier: MIT\nint x;"), (2, "SPDX-License-Identifier: MPL-2.0")]
+    x = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()}
+    assert x == {1: (None, "MIT"), 2: ("MPL-2.0", "MPL-2.0")}
+
+
 # 4
 def test_pieces_round_trip(odd, none, docs):
     vocab = pieces.vocabulary()
