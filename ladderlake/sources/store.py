@@ -1,22 +1,40 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Tables kept in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir; one of our own only where it is unset and driver and executors are one process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ladderlake-"))
+    return sc.getCheckpointDir()
+
+
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ladderlake-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read again; long plans end here, and a lost executor costs no more than one step.
+    """df written as a table in the shared folder and read again: lineage ends here, and an executor may be lost.
 
-    Where that setting is unset, as in tests, a folder of our own is set.
+    The table stays until drop_stored, as what is built on it may be run at any later time.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ladderlake-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> bool:
+    """Deletes the tables that this application has stored; call it once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
