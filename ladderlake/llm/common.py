@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import shared_dir, stored
+
+__all__ = ["WORD", "c", "kth_largest", "remainder", "shared_dir", "small_batches", "stored", "uniform", "with_arrow_columns", "without"]
 #: A word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ladderlake-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here, and an executor may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds the Arrow batches that Spark sends to Python by bytes; a bound that the session has set itself stays.
 
-    Spark's own bound, 64 MB, is held several times by each task: as vectors, on the way, and by Python.
+    Spark's own bound, 64 MB, is held several times by each task: as vectors, on the way, and by
+    Python. It is a setting of the session and stays set, so only queries and stages, which own
+    their session, call this; operators leave the session as it is.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "-1b"):
@@ -58,22 +44,24 @@ def _runs(batch: pa.RecordBatch, at_once: int | None):
         yield batch.slice(at, rows)
 
 
-def with_arrow_columns(df: DataFrame, fields: list[T.StructField], fn, at_once: int | None = None) -> DataFrame:
-    """df with columns that fn(RecordBatch) -> list of arrays computes; columns of the same names are replaced.
+def with_arrow_columns(df: DataFrame, fields: list[T.StructField], fn, inputs: list[str], at_once: int | None = None) -> DataFrame:
+    """df with columns that fn(arrays of the inputs) -> list of arrays computes; columns of the same names are replaced.
 
-    With at_once, fn gets runs of rows of about so many bytes, one row at least.
+    Spark resolves the inputs, so their case does not matter and an unknown name is an error. With
+    at_once, fn gets runs of rows of about so many bytes, one row at least.
     """
     kept = without(df, [f.name for f in fields])
     schema = T.StructType([df.schema[x] for x in kept] + fields)
+    names = [f"c{i}" for i in range(len(kept))] + [f"in{i}" for i in range(len(inputs))]
+    seen = df.select(*(c(x).alias(n) for x, n in zip([*kept, *inputs], names)))
 
     def run(batches):
         for batch in (part for whole in batches for part in _runs(whole, at_once)):
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + fn(batch), names=kept + [f.name for f in fields])
+            own, given = batch.columns[: len(kept)], batch.columns[len(kept) :]
+            yield pa.RecordBatch.from_arrays(own + fn(*given), names=names[: len(kept)] + [f.name for f in fields])
 
-    # fn may need a column that is replaced: it sees the columns kept, then those.
-    seen = [*kept, *(x for x in df.columns if x not in kept)]
-    small_batches(df.sparkSession)
-    return df.select(*map(c, seen)).mapInArrow(run, schema)
+    flat = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields[: len(kept)])] + fields)
+    return seen.mapInArrow(run, flat).toDF(*schema.names)
 
 
 def remainder(id_column: Column, n: int) -> Column:

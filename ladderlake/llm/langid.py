@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, remainder, small_batches, uniform, with_arrow_columns
+from .common import c, remainder, small_batches, stored, uniform, with_arrow_columns
 
 FEATURES = 1 << 13
 UND = "und"
@@ -33,9 +33,9 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         columns = [(1, *x) for x in itertools.product((1, -1), repeat=k - 1) if -1 in x]
         return np.array(columns, float).T
     rng, bits, best = np.random.default_rng(seed), max(15, math.ceil(10 * math.log2(k))), None
-    for _ in range(50):
+    for _ in range(50 if k <= 256 else 4):
         code = np.where(rng.permuted(np.tile(np.arange(k)[:, None] < k // 2, bits), axis=0), 1.0, -1.0)
-        apart = min((np.abs(code[i] - code[i + 1 :]).sum(1).min() for i in range(k - 1)))
+        apart = min(bits - (code[i + 1 :] @ code[i]).max() for i in range(k - 1))
         if best is None or apart > best[0]:
             best = apart, code
     return best[1]
@@ -52,18 +52,19 @@ def _features(text: str) -> np.ndarray:
     return np.bincount(h, minlength=FEATURES)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_lang: int = 3000, max_langs: int = 256, alpha: float = 0.5, seed: int = 11) -> dict:
-    """Learns from the rows of docs whose lang is not null: a hash-drawn sample of about max_docs_per_lang whole texts of each language.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_lang: int = 3000, alpha: float = 0.5, seed: int = 11) -> dict:
+    """Learns all values of lang that are not null, each from about max_docs_per_lang of its different whole texts at most.
 
-    Of more than max_langs values of lang, the most frequent are learnt: a codebook is small. The
-    driver gets one count for each language and bucket. No row to learn from gives a model that answers `und`.
+    The sample is drawn by the hash of the text, so it does not depend on files or partitions, and
+    a text that occurs often in a language counts once. A classifier's two sides are means over
+    their languages, summed up by Spark: the driver gets two numbers for each bucket and bit,
+    and bits grow as the logarithm of the number of languages. No row to learn from gives a
+    model that answers `und`.
     """
     rows = docs.select(c(text).alias("text"), c(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    share = sizes.select("lang", (F.lit(float(max_docs_per_lang)) / F.col("count")).alias("share"))
-    # text alone would draw all copies of a text or none; their place tells them apart and decides nothing else
-    # at most max_langs short rows: a size bound that does not grow with the input, and texts stay where they are
-    sample = rows.join(F.broadcast(share), "lang").filter(uniform(F.col("text"), F.monotonically_increasing_id(), F.lit(seed)) < F.col("share"))
+    share = rows.groupBy("lang").agg((F.lit(float(max_docs_per_lang)) / F.count("*")).alias("share"))
+    drawn = rows.join(share, "lang").filter(uniform(F.col("text"), F.lit(seed)) < F.col("share"))
+    sample = drawn.groupBy("lang", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"))
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -71,41 +72,65 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_la
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = _features(t)
                 held[name] = held[name] + x if name in held else x
+                if len(held) > 256:
+                    yield from told(held)
+                    held = {}
+        yield from told(held)
+
+    def told(held):
         for name, x in held.items():
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], names=["lang", "f", "n"])
 
-    small_batches(docs.sparkSession)
-    counted = sample.select("text", "lang").mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(set(counted.lang))
-    x = np.zeros((len(langs), FEATURES))
-    x[[{n: i for i, n in enumerate(langs)}[n] for n in counted.lang], counted.f] = counted.n
-    x[:, 0] = 0
-    p = (x + alpha) / (x.sum(1, keepdims=True) + alpha * FEATURES)
+    counted = stored(sample.select("text", "lang").mapInArrow(count, "lang string, f long, n long").filter("f > 0").groupBy("lang", "f").agg(F.sum("n").alias("n")))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     code = codewords(len(langs))
-    weights, importance = np.zeros((FEATURES, code.shape[1])), np.zeros(code.shape[1])
-    for j in range(code.shape[1]):
-        yes, no = p[code[:, j] > 0].mean(0), p[code[:, j] < 0].mean(0)
-        odds = np.log(yes / no)
+    bits = code.shape[1]
+    place = {name: i for i, name in enumerate(langs)}
+
+    def sides(batches):
+        """Of the buckets of one partition: the sum of n / (total + alpha * FEATURES) over the languages of each side of each bit."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, f, n, total in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if f not in held:
+                    held[f] = np.zeros((2, bits))
+                held[f] += np.stack([code[place[name]] > 0, code[place[name]] < 0]) * (n / (total + alpha * FEATURES))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *(pa.array([x[k].tolist() for x in held.values()], pa.list_(pa.float64())) for k in (0, 1))], names=["f", "yes", "no"])
+
+    learnt = counted.join(totals, "lang").select("lang", "f", "n", "total").repartition("f").sortWithinPartitions("f", "lang").mapInArrow(sides, "f long, yes array<double>, no array<double>").collect()
+    # what smoothing adds to each bucket is the same for all buckets of a language
+    base = {r.lang: alpha / (r.total + alpha * FEATURES) for r in totals.collect()}
+    added = np.array([base.get(name, 1 / FEATURES) for name in langs])
+    yes, no = (np.tile(added @ side, (FEATURES, 1)) if bits else np.zeros((FEATURES, 0)) for side in (code > 0, code < 0))
+    for r in learnt:
+        yes[r.f] += r.yes
+        no[r.f] += r.no
+    yes, no = yes / np.maximum((code > 0).sum(0), 1), no / np.maximum((code < 0).sum(0), 1)
+    weights, importance = np.zeros((FEATURES, bits)), np.zeros(bits)
+    for j in range(bits):
+        odds = np.log(yes[:, j] / no[:, j])
         odds[0] = 0
-        odds -= (yes @ odds + no @ odds) / 2
+        odds -= (yes[:, j] @ odds + no[:, j] @ odds) / 2
         odds[0] = 0
-        scale = max((yes @ odds - no @ odds) / 2, 1e-9)
+        scale = max((yes[:, j] @ odds - no[:, j] @ odds) / 2, 1e-9)
         weights[:, j] = odds / scale  # about 1 for an average text of the first side, -1 for the other
         importance[j] = scale
-    return {"langs": langs, "code": code, "weights": weights.astype(np.float32), "importance": importance / importance.sum() if len(importance) else importance}
+    return {"langs": langs, "code": code, "weights": weights.astype(np.float32), "importance": importance / importance.sum() if bits else importance}
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", steep: float = 4.0, near: float = 0.08) -> DataFrame:
     """docs with lang_pred, lang_score (0 to 1) and lang_ambiguous, from whole texts; columns of these names are replaced.
 
-    A null text, one without a letter, or a model without languages gives `und`, 0 and false.
-    Ambiguous: the two least losses differ by less than near.
+    A null text, one without a letter, or a model without languages gives `und`, 0 and false. Of
+    codewords with equal losses the language that sorts first is taken. Ambiguous: the two least
+    losses differ by less than near. Equal texts get equal answers; an empty table gives no rows.
     """
     langs, code, weights, importance = model["langs"], model["code"], model["weights"], model["importance"]
 
-    def decide(batch):
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+    def decide(given):
+        texts = given.to_pylist()
         names, scores, unsure = [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
         fit_for = [i for i, t in enumerate(texts) if langs and t and any(map(str.isalpha, t))]
         for at in range(0, len(fit_for), 64):
@@ -113,7 +138,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text", steep: float = 4.0
             x = np.stack([_features(texts[i]) for i in rows]).astype(np.float32)
             x[:, 0] = 0
             margin = (x @ weights) / np.maximum(x.sum(1, keepdims=True), 1)
-            loss = (np.logaddexp(0, -steep * margin[:, None, :] * code[None]) * importance).sum(2)
+            # a bit's loss is that of its sign, so the losses of all codewords are two matrix products
+            loss = (np.logaddexp(0, -steep * margin) * importance) @ (code > 0).T + (np.logaddexp(0, steep * margin) * importance) @ (code < 0).T
             order = np.sort(loss, axis=1)
             odds = np.exp(-steep * (loss - order[:, :1]))
             for i, best, o, s in zip(rows, loss.argmin(1), odds, order):
@@ -122,11 +148,12 @@ def predict(docs: DataFrame, model: dict, text: str = "text", steep: float = 4.0
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())]
-    return with_arrow_columns(docs, fields, decide)
+    return with_arrow_columns(docs, fields, decide, [text])
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every whole text, learnt from four fifths of the documents: doc_id, held_out, lang_pred, score, ambiguous."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = fit(docs.filter(~held_out))

@@ -5,7 +5,7 @@ of a public vocabulary; a character that is no piece goes byte by byte. Forward
 node the mass of all ways to reach it; backward, an edge is drawn at each node in proportion to
 the mass that comes through it. The draws depend on the row's key and text alone. Pieces hold
 spaces at their front only, so the lattice falls apart into words, and equal words of a batch
-share their sums.
+share their sums. A very long word is cut into blocks whose sums are worked out side by side.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import c, with_arrow_columns
+from .common import small_batches, with_arrow_columns
 
 #: Bytes of text that are segmented at once; a batch is worked off in runs of about four times as many.
 AT_ONCE = 1 << 20
+#: Words of more bytes than LONG go block by block, in stretches of so many bytes.
+LONG, STRETCH = 1024, 1 << 16
 _SPACE = "▁"
 
 
@@ -57,6 +59,15 @@ def vocabulary(model_file: str | None = None, power: float = 1.0) -> dict:
     return {"ids": pieces, "logs": {p: -power * np.log1p(r) - np.log(total) for p, r in ranks.items()}, "bytes": single, "byte_log": float(low), "lines": not any(b"\n" in p for p in pieces)}
 
 
+def _draws(seed, step) -> np.ndarray:
+    """32 random bits of each seed at a step."""
+    with np.errstate(over="ignore"):
+        z = seed + step * np.uint64(0xD1342543DE82EF95)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+
+
 class Lattice:
     """Draws segmentations with one vocabulary."""
 
@@ -117,17 +128,95 @@ class Lattice:
         order = np.argsort(end, kind="stable")
         return first, end[order], start[order], ids[order], logs[order]
 
+    @staticmethod
+    def _long_mass(n: int, end: np.ndarray, start: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Log mass of each of the n + 1 nodes of one long word.
+
+        A stretch is cut into blocks. What a block makes of each of the last nodes before it is a
+        small matrix; the matrices of all blocks are worked out at once, then applied one after
+        another, and then all blocks are filled in at once: as many steps as the root of the
+        stretch's length, thrice. Masses are scaled by exp(g) a byte so that they stay in range.
+        """
+        width = int((end - start).max())
+        g = -float(np.median(logs / (end - start))) / 2
+        mass = np.full(n + 1, -np.inf)
+        mass[0] = 0.0
+        cuts = np.searchsorted(end, np.arange(0, n + STRETCH, STRETCH), side="right")
+        for a, (low, high) in zip(range(0, n, STRETCH), zip(cuts, cuts[1:])):
+            size = min(STRETCH, n - a)
+            long = max(width, int(np.sqrt(size)))
+            blocks = -(-size // long)
+            weight = np.zeros((blocks * long, width))
+            length = end[low:high] - start[low:high]
+            weight[end[low:high] - a - 1, width - length] = np.exp(logs[low:high] + g * length)
+            weight = weight.reshape(blocks, long, width)
+
+            def fill(x):
+                """x (block, node, ...) filled on from its first width nodes; the log scale of each node."""
+                scale = np.zeros((blocks, long + 1))
+                for t in range(long):
+                    x[:, width + t] = (weight[:, t, None, :] @ x[:, t : t + width].reshape(blocks, width, -1)).reshape(x[:, 0].shape)
+                    scale[:, t + 1] = scale[:, t]
+                    if t % 8 == 7 or t == long - 1:
+                        top = x[:, t + 1 : t + 1 + width].reshape(blocks, -1).max(1)
+                        top = np.where(top > 0, top, 1.0)
+                        x[:, t + 1 : t + 1 + width] /= top.reshape(-1, *[1] * (x.ndim - 1))
+                        scale[:, t + 1] += np.log(top)
+                return scale
+
+            x = np.zeros((blocks, width + long, width))
+            x[:, np.arange(width), np.arange(width)] = 1.0
+            scale = fill(x)
+            before = np.full(width, -np.inf)
+            own = mass[max(0, a - width + 1) : a + 1]
+            before[width - len(own) :] = own
+            tops = np.zeros(blocks)
+            first = np.zeros((blocks, width))
+            total, v = before.max(), np.exp(before - before.max())
+            for b in range(blocks):
+                first[b], tops[b] = v, total
+                v = x[b, long:] @ v
+                top = v.max()
+                if top > 0:
+                    v, total = v / top, total + np.log(top) + scale[b, long]
+            held = np.zeros((blocks, width + long))
+            held[:, :width] = first
+            # node by node, as the scale of a node is that of the time it is made
+            scale = np.zeros(blocks)
+            found = np.full((blocks, long), -np.inf)
+            for t in range(long):
+                made = (weight[:, t] * held[:, t : t + width]).sum(1)
+                with np.errstate(divide="ignore"):
+                    found[:, t] = np.log(made) + scale + tops
+                held[:, width + t] = made
+                if t % 8 == 7:
+                    top = held[:, t + 1 : t + 1 + width].max(1)
+                    top = np.where(top > 0, top, 1.0)
+                    held[:, t + 1 : t + 1 + width] /= top[:, None]
+                    scale += np.log(top)
+            mass[a + 1 : a + 1 + size] = found.reshape(-1)[:size]
+        return mass - g * np.arange(n + 1)
+
     def filtered(self, words: list[bytes]) -> tuple:
         """first, the first edge of each end node, and of the edges: start, id, and the share of the end node's mass up to and with the edge."""
         first, end, start, ids, logs = self.edges(words)
         node = np.repeat(first[:-1], np.diff(first))
         mass = np.full(first[-1], -np.inf)
         mass[first[:-1]] = 0
-        # all edges whose end has one and the same distance from its word's start go together
+        share = np.empty(len(end))
+        lengths = np.diff(first) - 1
+        for w in np.flatnonzero(lengths > LONG):
+            a, b = np.searchsorted(end, [first[w], first[w + 1]])
+            e = slice(a, b)
+            own = self._long_mass(int(lengths[w]), end[e] - first[w], start[e] - first[w], logs[e])
+            mass[first[w] : first[w + 1]] = own
+            share[e] = np.exp(own[start[e] - first[w]] + logs[e] - own[end[e] - first[w]])
+        # of the other words, all edges whose end has one and the same distance from its word's start go together
         depth = (end - node[end]).astype(np.int64)
+        depth[np.repeat(lengths, lengths + 1)[end] > LONG] = 0
         order = np.argsort(depth, kind="stable")
+        order = order[depth[order] > 0]
         cuts = np.flatnonzero(np.diff(depth[order], prepend=-1))
-        share = np.empty(len(end))
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             e = order[a:b]
             x = mass[start[e]] + logs[e]
@@ -177,12 +266,12 @@ class Lattice:
         place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed += place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         base, node = first[word].astype(np.int32), (first[word + 1] - 1).astype(np.int32)
-        alive, steps = np.arange(len(word)), []
+        far = node - base > LONG
+        drawn_long = {w: self._walk(int(seed[w]), int(base[w]), int(node[w]), edge_of, start, ids, bound) for w in np.flatnonzero(far)}
+        alive, steps = np.flatnonzero(~far), []
+        seed, base, node = seed[alive], base[alive], node[alive]
         while len(alive):
-            z = (seed + np.uint64(len(steps) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            u = ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+            u = _draws(seed, np.uint64(len(steps)))
             e = edge_of[node]
             late = np.flatnonzero(bound[e] < u)
             while len(late):
@@ -195,13 +284,29 @@ class Lattice:
         drawn = np.zeros(len(word), np.int64)
         for who, _ in steps:
             drawn[who] += 1
+        for w, got in drawn_long.items():
+            drawn[w] = len(got)
         ends = np.cumsum(drawn)
         out = np.empty(ends[-1], np.int32)
         for k, (who, got) in enumerate(steps):  # a word's pieces were drawn last first
             out[ends[who] - 1 - k] = got
+        for w, got in drawn_long.items():
+            out[ends[w] - len(got) : ends[w]] = got[::-1]
         cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
+    @staticmethod
+    def _walk(seed: int, base: int, node: int, edge_of, start, ids, bound) -> np.ndarray:
+        """Piece ids of one long word, last first."""
+        u, out = _draws(np.uint64(seed), np.arange(node - base, dtype=np.uint64)), []
+        while node > base:
+            e, draw = edge_of.item(node), u.item(len(out))
+            while bound.item(e) < draw:
+                e += 1
+            out.append(ids.item(e))
+            node = start.item(e)
+        return np.array(out, np.int32)
+
     def decode(self, ids) -> str:
         """The text of piece ids, without the space put in front."""
         return b"".join(map(self.text_of.__getitem__, ids))[1:].decode("utf-8", "replace")
@@ -214,18 +319,15 @@ def encode(docs: DataFrame, vocab: dict, key: str = "doc_id", text: str = "text"
     alike, and a rerun agrees. A null text has null ids (and lossless null), an empty one no ids.
     Columns of these names are replaced.
     """
-    held: list[Lattice] = []
+    lattice = Lattice(vocab)
 
-    def run(batch):
-        if not held:
-            held.append(Lattice(vocab))
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+    def run(given, given_keys):
+        texts, keys = given.to_pylist(), given_keys.to_pylist()
         out, part, size = [None] * len(texts), [], 0
         for i in range(len(texts) + 1):
             if part and (i == len(texts) or size > AT_ONCE):
                 own = [texts[j] for j in part]
-                for j, ids in zip(part, held[0].sample(own, [xxhash.xxh64_intdigest(f"{keys[j]}\0{texts[j]}", seed) for j in part])):
+                for j, ids in zip(part, lattice.sample(own, [xxhash.xxh64_intdigest(f"{keys[j]}\0{texts[j]}", seed) for j in part])):
                     out[j] = ids
                 part, size = [], 0
             if i < len(texts) and texts[i] is not None:
@@ -237,26 +339,25 @@ def encode(docs: DataFrame, vocab: dict, key: str = "doc_id", text: str = "text"
         ids = pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()), mask=pa.array([x is None for x in out]))
         if not check:
             return [ids]
-        return [ids, pa.array([None if x is None else held[0].decode(x.tolist()) == t for x, t in zip(out, texts)], pa.bool_())]
+        return [ids, pa.array([None if x is None else lattice.decode(x.tolist()) == t for x, t in zip(out, texts)], pa.bool_())]
 
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False))]
-    return with_arrow_columns(docs, fields + [T.StructField("lossless", T.BooleanType())] * check, run, 4 * AT_ONCE)
+    return with_arrow_columns(docs, fields + [T.StructField("lossless", T.BooleanType())] * check, run, [text, key], 4 * AT_ONCE)
 
 
 def decode(docs: DataFrame, vocab: dict, ids: str = "piece_ids") -> DataFrame:
     """docs with decoded, the text of the piece ids; null for null, and replaced if there is such a column."""
-    held: list[Lattice] = []
+    lattice = Lattice(vocab)
 
-    def run(batch):
-        if not held:
-            held.append(Lattice(vocab))
-        return [pa.array([None if x is None else held[0].decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.string())]
+    def run(given):
+        return [pa.array([None if x is None else lattice.decode(x) for x in given.to_pylist()], pa.string())]
 
-    return with_arrow_columns(docs, [T.StructField("decoded", T.StringType())], run)
+    return with_arrow_columns(docs, [T.StructField("decoded", T.StringType())], run, [ids])
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """A drawn segmentation of every whole text and whether decoding it gives the text back."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = encode(docs, vocabulary(), check=True)
     return found.select("doc_id", F.size("piece_ids").alias("n_pieces"), "lossless", "piece_ids")

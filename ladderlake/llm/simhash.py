@@ -50,11 +50,11 @@ def fingerprint(text: str | None, width: int, words: int = 1, seed: int = 42) ->
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 5, words: int = 1, seed: int = 42) -> DataFrame:
     """docs with the columns simhash0, and simhash1 for two words, which replace any of these names; a null or empty text has zeros."""
 
-    def run(batch):
-        marks = [fingerprint(t, width, words, seed) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+    def run(given):
+        marks = [fingerprint(t, width, words, seed) for t in given.to_pylist()]
         return [pa.array([m[k] for m in marks], pa.int64()) for k in range(words)]
 
-    return with_arrow_columns(docs, [T.StructField(f"simhash{k}", T.LongType()) for k in range(words)], run)
+    return with_arrow_columns(docs, [T.StructField(f"simhash{k}", T.LongType()) for k in range(words)], run, [text])
 
 
 def segments(distance: int) -> list[tuple[int, int, int, int]]:
@@ -317,7 +317,6 @@ def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
         if rest is not None:
             yield from meet(rest)
 
-    small_batches(marks.sparkSession)
     return dealt.mapInArrow(run, "a long, b long, d int")
 
 
@@ -350,19 +349,19 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     names = [f"simhash{k}" for k in range(SET_WORDS)]
     rows = docs.select(c(key).alias("key"), c(text).alias("text")).withColumn("mark", F.xxhash64("text"))
 
-    def marks_of(batch):
-        found = np.array([set_fingerprint(shingle_set(t, width, seed)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], np.int64).reshape(-1, SET_WORDS)
+    def marks_of(given):
+        found = np.array([set_fingerprint(shingle_set(t, width, seed)) for t in given.to_pylist()], np.int64).reshape(-1, SET_WORDS)
         return [*(pa.array(np.ascontiguousarray(found[:, k])) for k in range(SET_WORDS)), pa.array(_name([np.ascontiguousarray(found[:, k]).view(np.uint64) for k in range(SET_WORDS)]).view(np.int64))]
 
-    def sets_of(batch):
-        return [pa.array([shingle_set(t, width, seed).tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.binary())]
+    def sets_of(given):
+        return [pa.array([shingle_set(t, width, seed).tobytes() for t in given.to_pylist()], pa.binary())]
 
-    marked = stored(with_arrow_columns(rows, [T.StructField(n, T.LongType()) for n in (*names, "node")], marks_of).select("key", "mark", *names, "node"))
+    marked = stored(with_arrow_columns(rows, [T.StructField(n, T.LongType()) for n in (*names, "node")], marks_of, ["text"]).select("key", "mark", *names, "node"))
     nodes = stored(marked.groupBy("node", *names).agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "mark"))).alias("first"), F.min("mark").alias("shown")))
     pairs = stored(candidates(nodes, block))
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "shown"), "node"))
     texts = rows.select("text", "mark").join(asked.select(F.col("shown").alias("mark")), "mark", "left_semi").dropDuplicates(["mark"])
-    sets = with_arrow_columns(texts, [T.StructField("shingles", T.BinaryType())], sets_of).select("mark", "shingles")
+    sets = with_arrow_columns(texts, [T.StructField("shingles", T.BinaryType())], sets_of, ["text"]).select("mark", "shingles")
     sets = stored(sets.join(asked, sets.mark == asked.shown).select("node", "shingles"))
     near = stored(verified(pairs.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b")), sets, least))
     roots = stored(components(near))
@@ -376,5 +375,6 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over four-word shingles, and its component."""
+    small_batches(spark)
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), distance=4, width=4, words=1)
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash0")), 16, "0").alias("fingerprint"), "component_id")

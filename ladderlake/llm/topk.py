@@ -1,28 +1,47 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-Vectors are packed into blocks that hold their components column by column. A query goes through a
-block a few columns at a time; what the columns to come can still add is bounded by the lengths of
-the rests, and candidates that cannot reach the k-th best are dropped by compacting the columns.
+Vectors are packed into blocks that hold their components column by column. A block of queries goes
+through a block of candidates a few columns at a time. What the columns to come can still add to a
+score is bounded by the lengths of the rests; a candidate of a query that cannot reach the query's k-th best so far
+is dropped, and once few are left the survivors are compacted to pairs. A query's k-th best is known
+from its own block before the search starts, and rises from block to block.
 """
 
 from __future__ import annotations
 
+import math
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import c, stored
+from .common import c, small_batches, stored
+
+#: Candidates and queries of a block, queries that go together, columns that are added at a time.
+BLOCK, ASKED, TILE, COLUMNS = 4096, 1024, 64, 8
+#: Below this share of survivors a tile goes on as pairs.
+SPARSE = 0.15
+#: Query blocks whose k-th best scores a task remembers.
+REMEMBERED = 64
+#: Vectors as long as this or longer, scaled and squared, take no part, so that no inner product exceeds a long.
+LONGEST = 2.0**62
+_PACKED = "block long, dims int, n int, ids array<long>, uids array<long>, vectors array<long>"
+
 
-BLOCK, TILE, COLUMNS = 4096, 32, 16
-_PACKED = "slot long, dims int, n int, ids binary, nulls binary, uids binary, vectors binary"
+def _row(block: int, ids: pa.Array, uids: np.ndarray, columns: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
+    """One packed row; columns has a row for each dimension."""
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+    return [pa.array([block], pa.int64()), pa.array([columns.shape[0]], pa.int32()), pa.array([columns.shape[1]], pa.int32()), one(ids), one(uids), one(np.ascontiguousarray(columns).reshape(-1)), *map(one, more)]
 
 
-def pack(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, chosen=None, block: int = BLOCK) -> DataFrame:
-    """Blocks of up to block vectors of one length, as floor(scale * x); chosen(ids) picks some rows.
+def pack(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block: int = BLOCK) -> DataFrame:
+    """Blocks of up to block vectors of one length, as floor(scale * x).
 
-    Vectors that are null, or hold a null or a component that is not finite, take no part. uids
-    number the rows of the input, so a row is told from others of the same key.
+    Vectors that are null, or hold a null or a component that is not finite, take no part, nor do
+    those of LONGEST or more. uids number the rows of the input, so that a row is told from others
+    of the same key; store what this returns before it is used twice.
     """
     wide = vectors.select(c(key).cast("long").alias("key"), F.transform(c(vector), lambda x: x.cast("double")).alias("v"))
     wide = wide.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
@@ -30,28 +49,25 @@ def pack(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
 
     def run(batches):
         held: dict[int, list] = {}
-        slot = 0
 
         def out(dims):
-            nonlocal slot
-            keys, nulls, uids, v = (np.concatenate(x) for x in zip(*held.pop(dims)))
-            columns = np.ascontiguousarray(np.floor(scale * v).astype(np.int64).T)
-            slot += 1
-            return pa.RecordBatch.from_arrays([pa.array([x]) if not isinstance(x, bytes) else pa.array([x], pa.binary()) for x in (int(uids[0] >> 33) * 1000003 + slot,)] + [pa.array([dims], pa.int32()), pa.array([len(keys)], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (keys, nulls, uids, columns)], names=["slot", "dims", "n", "ids", "nulls", "uids", "vectors"])
+            keys, uids, v = zip(*held.pop(dims))
+            uids = np.concatenate(uids)
+            return pa.RecordBatch.from_arrays(_row(int(uids[0]), pa.concat_arrays(keys), uids, np.concatenate(v).T), names=["block", "dims", "n", "ids", "uids", "vectors"])
 
         for batch in batches:
-            key_column = batch.column(0)
-            keys, nulls = key_column.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(key_column.is_null())
-            uids, lists = batch.column(1).to_numpy(), batch.column(2)
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            pick = np.ones(len(keys), bool) if chosen is None else chosen(keys) & ~nulls
+            keys, uids, lists = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            flat = np.floor(scale * lists.values.to_numpy(zero_copy_only=False))
+            lengths = np.diff(offsets)
             for dims in np.unique(lengths):
-                at = np.flatnonzero((lengths == dims) & pick)
+                at = np.flatnonzero(lengths == dims)
+                v = flat[offsets[at][:, None] + np.arange(dims)].reshape(len(at), dims)
+                fits = (v * v).sum(1) < LONGEST
+                at, v = at[fits], v[fits].astype(np.int64)
                 for a in range(0, len(at), block):
                     rows = at[a : a + block]
-                    start = lists.offsets.to_numpy()[rows]
-                    held.setdefault(int(dims), []).append((keys[rows], nulls[rows], uids[rows], flat[start[:, None] + np.arange(dims)].reshape(len(rows), dims)))
+                    held.setdefault(int(dims), []).append((keys.take(pa.array(rows)), uids[rows], v[a : a + block]))
                     if sum(len(x[0]) for x in held[int(dims)]) >= block:
                         yield out(int(dims))
         for dims in list(held):
@@ -60,72 +76,140 @@ def pack(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
     return wide.mapInArrow(run, _PACKED)
 
 
-def _unpack(row: dict) -> tuple:
-    n, dims = row["n"], row["dims"]
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["uids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(dims, n)
+def _lists(batch: pa.RecordBatch, names: list[str]):
+    """(values of each named column) of each row, lists as arrays."""
+    columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
+    for i in range(len(batch)):
+        yield [x[i].values if pa.types.is_list(x.type) else x[i].as_py() for x in columns]
+
+
+def _kind(q: np.ndarray, x: np.ndarray):
+    """double where all sums are below 2 ** 53 and so exact, which matrix products are fast for; else long."""
+    longest = lambda m: math.sqrt((m.astype(float) ** 2).sum(0).max(initial=0))
+    return np.float64 if longest(q) * longest(x) < 2**53 else np.int64
 
 
-def best(queries: tuple, candidates: tuple, k: int, tile: int = TILE, step: int = COLUMNS):
-    """For each query of a block its k best candidates of another: (query position, candidate position, score)."""
-    _, _, q_uids, q = queries
-    ids, nulls, uids, x = candidates
-    dims = len(q)
-    # sums below 2 ** 53 are exact as doubles, which matrix products are fast for
-    exact = dims == 0 or float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims < 2**53
-    kind = np.float64 if exact else np.int64
+def asked(blocks: DataFrame, k: int, every: int, size: int = ASKED) -> DataFrame:
+    """Blocks of the rows whose key is divisible by every, with floors: a score that k other rows of a query's first block reach."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def out(dims):
+            ids, uids, v, floors = (np.concatenate(x, axis=-1) for x in zip(*held.pop(dims)))
+            return pa.RecordBatch.from_arrays(_row(int(uids[0]), pa.array(ids), uids, v, floors), names=["block", "dims", "n", "ids", "uids", "vectors", "floors"])
+
+        for batch in batches:
+            for dims, n, ids, uids, v in _lists(batch, ["dims", "n", "ids", "uids", "vectors"]):
+                number = ids.fill_null(1).to_numpy()
+                at = np.flatnonzero((number % every == 0) & ids.is_valid().to_numpy(zero_copy_only=False))
+                uids, x = uids.to_numpy(), v.to_numpy().reshape(dims, n)
+                for a in range(0, len(at), TILE):
+                    rows = at[a : a + TILE]
+                    kind = _kind(x[:, rows], x)
+                    score = x[:, rows].astype(kind).T @ x.astype(kind)
+                    score[np.arange(len(rows)), rows] = -(2**62)
+                    floors = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -(2**62))
+                    held.setdefault(dims, []).append((number[rows], uids[rows], x[:, rows], floors.astype(np.int64)))
+                    if sum(len(y[0]) for y in held[dims]) >= size:
+                        yield out(dims)
+        for dims in list(held):
+            yield out(dims)
+
+    return blocks.mapInArrow(run, _PACKED + ", floors array<long>")
+
+
+def best(q_uids: np.ndarray, q: np.ndarray, top: np.ndarray, ids: pa.Array, uids: np.ndarray, x: np.ndarray, step: int = COLUMNS, reached: list | None = None):
+    """(query positions, candidate positions, scores) that may belong to the k best of a query; top, k best scores of each query so far in descending order, is brought up to date.
+
+    q and x have a row for each dimension. reached gets (pairs, pairs that came to the last columns).
+    """
+    dims, k = len(q), top.shape[1]
+    kind = _kind(q, x)
     q, x = q.astype(kind), x.astype(kind)
     # columns with the most mass first
-    order = np.argsort(-(x.astype(float) ** 2).sum(1), kind="stable")
+    order = np.argsort(-((q.astype(float) ** 2).mean(1) * (x.astype(float) ** 2).mean(1)), kind="stable")
     q, x = q[order], x[order]
-    rest = lambda m: np.sqrt(np.append(np.cumsum((m.astype(float) ** 2)[::-1], axis=0)[::-1], np.zeros((1, m.shape[1])), axis=0))
+    rest = lambda m: np.sqrt(np.append(np.cumsum((m.astype(float) ** 2)[::-1], axis=0)[::-1], np.zeros((1, m.shape[1])), axis=0)) * (1 + 1e-9)
     q_rest, x_rest = rest(q), rest(x)
-    for a in range(0, q.shape[1], tile):
-        block = np.arange(a, min(a + tile, q.shape[1]))
-        alive, columns, score = np.arange(x.shape[1]), x, np.zeros((len(block), x.shape[1]), kind)
-        for d in range(0, dims, step):
-            score = score + q[d : d + step, block].T @ columns[d : d + step]
-            done = min(d + step, dims)
-            if done == dims or len(alive) <= k + 1:
-                continue
-            spread = q_rest[done, block][:, None] * x_rest[done, alive][None, :] * (1 + 1e-9) + 1e-6
-            # k + 1, as one of them may be the query's own row
-            floor = np.partition(score - spread, len(alive) - k - 1, axis=1)[:, len(alive) - k - 1]
-            live = ((score + spread) >= floor[:, None]).any(0)
-            if live.mean() < 0.8:
-                alive, columns, score = alive[live], columns[:, live], score[:, live]
-        for i, row in zip(block, score):
-            own = np.flatnonzero(uids[alive] != q_uids[i])
-            if len(own) > k:
-                least = np.partition(row[own], len(own) - k)[len(own) - k]
-                own = own[row[own] >= least]
-            own = own[np.lexsort((ids[alive[own]], nulls[alive[own]], -row[own]))][:k]
-            for j in own:
-                yield i, alive[j], int(row[j])
-
-
-def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, slots: int | None = None) -> DataFrame:
+    names = np.where(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), np.iinfo(np.int64).max)
+    for a in range(0, q.shape[1], TILE):
+        own = np.arange(a, min(a + TILE, q.shape[1]))
+        floor = top[own, -1]
+        score, done, pairs = np.zeros((len(own), x.shape[1]), kind), 0, None
+        while done < dims:
+            last = done + step >= dims
+            if pairs is None:
+                score += q[done : done + step, own].T @ x[done : done + step]
+            else:
+                i, j = pairs
+                value += (q[done : done + step, own[i]] * x[done : done + step, j]).sum(0)  # noqa: F821
+            done = min(done + step, dims)
+            if not last and pairs is None:
+                alive = score + q_rest[done, own][:, None] * x_rest[done][None, :] + 1e-6 >= floor[:, None]
+                if alive.mean() < SPARSE:
+                    pairs = np.nonzero(alive)
+                    value = score[pairs]
+            elif not last:
+                alive = value + q_rest[done, own[i]] * x_rest[done, j] + 1e-6 >= floor[i]
+                pairs, value = (i[alive], j[alive]), value[alive]
+            if reached is not None and done + step >= dims and not last:
+                reached.append((score.size, int(alive.sum())))
+        if pairs is None:
+            pairs = np.nonzero(score >= floor[:, None])
+            value = score[pairs]
+        i, j = pairs
+        kept = (value >= floor[i]) & (uids[j] != q_uids[own[i]])
+        i, j, value = i[kept], j[kept], value[kept].astype(np.int64)
+        # the k best of each query, ties to the smaller key and null last
+        order = np.lexsort((names[j], -value, i))
+        i, j, value = i[order], j[order], value[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, value, rank = (y[rank < k] for y in (i, j, value, rank))
+        new = np.full((len(own), k), -(2**62))
+        new[i, rank] = value
+        top[own] = -np.sort(-np.concatenate([top[own], new], axis=1), axis=1)[:, :k]
+        yield own[i], j, value
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, tasks: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row whose key is divisible by every.
 
     Only vectors of a query's length are its candidates. Ties go to the smaller key, null last. A
     row is not its own candidate, another row of the same key is. Queries with fewer than k
-    candidates have as many; an empty table gives no rows. Components are scaled and floored.
-    Blocks of queries meet blocks of candidates in slots, each pair once.
+    candidates have as many; an empty table gives no rows; other columns are left aside.
+    Components are scaled and floored. Blocks of queries and of candidates meet in a grid of
+    tasks, each pair once: queries are copied to its columns and candidates to its rows, whose
+    numbers make the copies of both about as large.
     """
     spark = vectors.sparkSession
-    slots = slots or 4 * spark.sparkContext.defaultParallelism
-    blocks = stored(pack(vectors, key, vector, scale)).withColumn("slot", F.pmod(F.xxhash64("slot"), F.lit(slots)))
-    asked = stored(pack(vectors, key, vector, scale, lambda ids: ids % every == 0))
-    asked = asked.select(*(F.col(x).alias(f"q_{x}") for x in asked.columns if x != "slot"), F.explode(F.expr(f"sequence(0L, {slots - 1}L)")).alias("slot"))
-    met = asked.join(blocks, "slot").filter("q_dims = dims")
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    across = min(tasks, max(1, round(math.sqrt(tasks * every))))
+    down = max(1, tasks // across)
+    blocks = stored(pack(vectors, key, vector, scale, block))
+    queries = stored(asked(blocks, k, every))
+    spread = lambda n, salt: F.pmod(F.xxhash64("block", F.lit(salt)), F.lit(n)).cast("int")
+    queries = queries.select("dims", spread(down, 1).alias("row"), F.explode(F.expr(f"sequence(0, {across - 1})")).alias("col"), F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("n", "ids", "uids", "vectors", "floors")))
+    blocks = blocks.select("dims", spread(across, 2).alias("col"), F.explode(F.expr(f"sequence(0, {down - 1})")).alias("row"), "n", "ids", "uids", "vectors")
+    met = queries.join(blocks, ["dims", "row", "col"])
 
     def run(batches):
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
-            for row in batch.to_pylist():
-                queries, candidates = _unpack({x[2:]: v for x, v in row.items() if x.startswith("q_")}), _unpack(row)
-                found = list(best(queries, candidates, k))
-                if found:
-                    i, j, s = (np.array(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[0][i]), pa.array(queries[2][i]), pa.array(candidates[0][j], mask=candidates[1][j]), pa.array(s.astype(np.int64))], names=["query_id", "uid", "vec_id", "score"])
+            for dims, number, q_n, q_ids, q_uids, q, floors, n, ids, uids, x in _lists(batch, ["dims", "q_block", "q_n", "q_ids", "q_uids", "q_vectors", "q_floors", "n", "ids", "uids", "vectors"]):
+                # the k-th best scores that this task has found for a block of queries; forgotten ones only prune less
+                top = known.pop(number, None)
+                if top is None:
+                    top = np.full((q_n, k), -(2**62))
+                    top[:, -1] = floors.to_numpy()
+                    top = -np.sort(-np.where(top < top[:, -1:], top[:, -1:], top), axis=1)
+                known[number] = top
+                if len(known) > REMEMBERED:
+                    known.popitem(last=False)
+                q_uids, uids = q_uids.to_numpy(), uids.to_numpy()
+                for i, j, value in best(q_uids, q.to_numpy().reshape(dims, q_n), top, ids, uids, x.to_numpy().reshape(dims, n)):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), pa.array(q_uids[i]), ids.take(pa.array(j)), pa.array(value)], names=["query_id", "uid", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id long, uid long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
@@ -134,20 +218,24 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
 
 def op2_topk(spark, sf_dir: str) -> DataFrame:
     """The five highest inner products of each query vector."""
+    small_batches(spark)
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH u AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS d
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, uid, list_transform(d, lambda x: CAST(x AS BIGINT)) AS e
+  FROM u WHERE coalesce(list_sum(list_transform(d, lambda x: x * x)), 0) < 4611686018427387904
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  SELECT q.vec_id AS query_id, q.uid, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.uid <> c.uid AND len(q.e) = len(c.e)
   WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, uid ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

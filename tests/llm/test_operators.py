@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -54,12 +55,47 @@ def test_language_odd(odd, none):
     assert min(np.abs(a - b).sum() for a, b in itertools.combinations(code, 2)) > 0
 
 
+def test_language_of_many_languages(spark):
+    rng = random.Random(2)
+    rows = [(k, f"l{k}", " ".join("".join(rng.choice("".join(chr(97 + (k * 7 + j * j) % 26) for j in range(5))) for _ in range(6)) + f"{chr(0x4E00 + k)}" for _ in range(40))) for k in range(300) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, TEXT string")
+    model = langid.fit(docs)
+    assert len(model["langs"]) == 300
+    x = langid.predict(docs, model).toPandas()
+    assert (x.lang == x.lang_pred).mean() > 0.95
+    again = langid.fit(docs.repartition(7))
+    assert np.allclose(model["weights"], again["weights"], atol=1e-5)
+
+
+def test_language_against_brute_force(spark):
+    rows = [("a", "the cat sat on the mat"), ("a", "the hat"), ("b", "le chat est sur la table"), ("b", "la vie"), ("c", "der hund und die katze"), ("a", "the cat sat on the mat")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(docs)
+    counts = {name: sum((langid._features(t) for n, t in set(rows) if n == name), np.zeros(langid.FEATURES)) for name in "abc"}
+    for x in counts.values():
+        x[0] = 0
+    p = {name: (x + 0.5) / (x.sum() + 0.5 * langid.FEATURES) for name, x in counts.items()}
+    bit = model["code"][:, 0]
+    yes, no = (np.mean([p[n] for n, s in zip("abc", bit) if s == sign], axis=0) for sign in (1, -1))
+    odds = np.log(yes / no)
+    odds[0] = 0
+    odds -= (yes @ odds + no @ odds) / 2
+    odds[0] = 0
+    assert np.allclose(model["weights"][:, 0], odds / ((yes @ odds - no @ odds) / 2), atol=1e-4)
+    x = langid._features("the vat").astype(float)
+    x[0] = 0
+    losses = [sum(w * math.log1p(math.exp(-4 * m * s)) for m, s, w in zip(x @ model["weights"] / x.sum(), row, model["importance"])) for row in model["code"]]
+    got = langid.predict(spark.createDataFrame([("the vat", 9)], "text string, LANG_PRED int"), model).first()
+    odds = np.exp(-4 * (np.array(losses) - min(losses)))
+    assert got.lang_pred == "abc"[int(np.argmin(losses))] and abs(got.lang_score - 1 / odds.sum()) < 1e-5 and len(got) == 4
+
+
 # 2
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.integers(-3, 4, 24) / 256]) for i in range(300)] + [(50, [1.0] * 24), (400, None), (401, [1.0, None] * 12), (402, [math.nan] * 24), (403, [1.0] * 3), (None, [0.5] * 24)]
     got = collections.defaultdict(list)
-    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), slots=3).orderBy("query_id", "rank").collect():
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tasks=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id))
     good = [(i, np.floor(256 * np.array(v))) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     for q in (0, 100, 150, 200, 250):
@@ -68,6 +104,39 @@ def test_topk_against_brute_force(spark):
         assert [(-s, math.inf if j is None else j) for s, j in got[q]] == want
     assert len(got[50]) == 10  # two rows of one id ask each
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1.0]), (50, [2.0]), (2, []), (100, [])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in topk.search(huge).collect()) == [(50, 1, 256 * 512), (100, 2, 0)]
+
+
+def test_topk_prunes():
+    """On vectors in clusters, fewer than half of the candidates come to the last columns."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 64))
+    x = np.floor(256 * (centers[rng.integers(0, 40, 4096)] + 0.2 * rng.normal(size=(4096, 64)))).astype(np.int64).T
+    reached, ids, uids = [], __import__("pyarrow").array(range(4096)), np.arange(4096)
+    top = np.full((64, 5), -(2**62))
+    first = list(topk.best(uids[:64], x[:, :64], top, ids, uids, x))
+    assert len(first) == 1
+    for i, j, s in topk.best(uids[:64], x[:, :64], top.copy(), ids, uids, x, reached=reached):
+        best = (x[:, :64].T @ x)
+        best[np.arange(64), np.arange(64)] = -(2**62)
+        assert all(sorted(s[i == k])[-1] == best[k].max() for k in range(64))
+    assert sum(b for _, b in reached) < 0.5 * sum(a for a, _ in reached)
+
+
+def test_topk_grid(spark):
+    """Many blocks in a grid of several rows and columns, repeated ids, against a dense product."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 180), [float(v) for v in rng.normal(size=8)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "Vec_Id long, embedding array<double>").repartition(3)
+    got = collections.Counter((r.query_id, r.vec_id, r.score) for r in topk.search(vectors, tasks=24, every=3, block=16, k=2).collect())
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(np.int64)
+    want = collections.Counter()
+    for a, (i, _) in enumerate(rows):
+        if i % 3 == 0:
+            for s, j in sorted((-int(v[a] @ v[b]), j) for b, (j, _) in enumerate(rows) if b != a)[:2]:
+                want[i, j, -s] += 1
+    assert got == want
 
 
 # 3
@@ -105,6 +174,35 @@ def test_pieces_draw_as_the_lattice_says():
         assert abs(drawn[way] / 20000 - p / sum(ways.values())) < 0.02
 
 
+def test_pieces_of_a_long_word():
+    lattice = pieces.Lattice(pieces.vocabulary())
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF+/漢é") for _ in range(1_000_000))
+    began = time.time()
+    ids = lattice.sample([text], [5])[0]
+    assert time.time() - began < 30 and lattice.decode(ids.tolist()) == text
+    short = text[:3000]
+    whole = lattice.filtered([short.encode()])
+    try:
+        pieces.LONG = 10**9
+        plain = lattice.filtered([short.encode()])
+    finally:
+        pieces.LONG = 1024
+    assert all((a == b).all() for a, b in zip(whole[:4], plain[:4])) and np.abs(whole[4].astype(float) - plain[4].astype(float)).max() < 2**8
+
+
+def test_op4(spark):
+    x = pieces.op4_sentencepiece(spark, SF)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lattice, rows = pieces.Lattice(pieces.vocabulary()), x.collect()
+    assert len(rows) == len(docs) and all(r.lossless and lattice.decode(r.piece_ids) == docs[r.doc_id] and r.n_pieces == len(r.piece_ids) for r in rows if docs[r.doc_id] is not None)
+
+
+def test_pieces_clashing_names(spark):
+    x = pieces.encode(spark.createDataFrame([(1, "one two", "old")], "DOC_ID long, TEXT string, Piece_Ids string"), pieces.vocabulary()).first()
+    assert x["piece_ids"] and len(x) == 3
+
+
 # 5
 def test_mixing(docs, odd, none):
     x = mixing.mix(docs).toPandas()
@@ -122,6 +220,20 @@ def test_mixing(docs, odd, none):
     assert (x["size"] * x.times).sum() <= budget
     again = mixing.mix(docs.repartition(7)).toPandas().set_index("key").times
     assert (again.sort_index() == x.set_index("key").times.sort_index()).all()
+    # the queue: all passes by finish time, until the next document would exceed the budget
+    queue = []
+    for name, g in x.groupby("source"):
+        g = g.assign(order=[(d & 2**64 - 1) >> 11 for d in g.draw]).sort_values(["order", "draw", "key"])
+        total = g["size"].cumsum()
+        for i in (0, 1):
+            queue += [((t + i * sizes[name]) / target[name], d, k, i, s) for t, d, k, s in zip(total, g.draw, g.key, g["size"]) if s]
+    left, times = budget, collections.Counter()
+    for _, _, k, _, s in sorted(queue):
+        if s > left:
+            break
+        left -= s
+        times[k] += 1
+    assert all(times[r.key] == r.times for r in x.itertuples())
     y = mixing.mix(odd).toPandas()
     assert len(y) == len(ODD) and y["size"].sum() == sum(len(words(r[1])) for r in ODD) and mixing.mix(none).count() == 0
 
@@ -221,12 +333,58 @@ def test_chat_wrapped_and_repeated_quotes(spark):
 
 
 # 8
-def test_quality(spark, odd, none):
-    x = quality.op8_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
-    good = x[(x.quality == 1) & (x.toxic == 0)]
-    assert good.selected.mean() > 0.9
-    labels = spark.createDataFrame([(5, 1, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
-    assert quality.classify(odd, labels).count() == len(ODD) and quality.classify(none, labels).count() == 0
+def test_quality_on_labels_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learnt = remainder(F.col("doc_id"), 2) == 1
+    x = quality.classify(docs, labels.filter(learnt)).join(labels.filter(~learnt), "doc_id").toPandas()
+    good, bad = x[(x.quality == 1) & (x.toxic == 0)], x[x.quality == 0]
+    assert len(good) > 1000 and good.selected.mean() > 0.97
+    assert len(bad) > 200 and bad.selected.mean() < 0.1
+
+
+def plain_quality(rows, good):
+    """log_weight of each text by the definition."""
+    raw, target = collections.Counter(), collections.Counter()
+    grams = []
+    for i, t in rows:
+        data = (t or "").encode()
+        own = collections.Counter(("w", xxhash.xxh32_intdigest(w) % quality.FEATURES) for w in data.split())
+        if own:
+            data = b" " + data + b" "
+            own.update(("c", ((a * 0x9E3779B1 + b * 0x85EBCA6B + d * 0xC2B2AE35) % 2**32 >> 8) % quality.FEATURES) for a, b, d in zip(data, data[1:], data[2:]))
+        grams.append(own)
+        raw.update(own)
+        if i in good:
+            target.update(own)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + 1) / (n * scale + 1)) for g, n in raw.items()}
+    return [sum(ratio[g] * n for g, n in own.items()) if own else None for own in grams]
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "of", "é", "JUNK!!", "漢字", "x"]) for _ in range(rng.randint(1, 30)))) for i in range(200)] + [(200, None), (201, ""), (None, "the of"), (None, "x x"), (7, "the second")]
+    good = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "key long")
+    docs = spark.createDataFrame(rows, "doc_id long, Text string")
+    scored = quality.score(docs, quality.fit(docs, good, "text"), "text")
+    x = quality.resample(scored, 50, text="text").collect()
+    want = dict(zip(rows, plain_quality(rows, set(range(0, 200, 3)))))
+    assert len(x) == len(rows) and all(r.log_weight is None if want[r.doc_id, r.Text] is None else abs(r.log_weight - want[r.doc_id, r.Text]) < 1e-6 for r in x)
+    keys = sorted((r.gumbel_key for r in x if r.gumbel_key is not None), reverse=True)
+    assert all(r.selected == (r.gumbel_key is not None and r.gumbel_key >= keys[49]) for r in x) and sum(r.selected for r in x) == 50
+    # what is added to the weights is Gumbel noise: mean 0.577, deviation 1.283
+    noise = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(0.0).alias("log_weight"))
+    noise = quality.resample(noise, 20000).agg(F.avg("gumbel_key"), F.stddev("gumbel_key")).first()
+    assert abs(noise[0] - 0.577) < 0.05 and abs(noise[1] - 1.283) < 0.05
+
+
+def test_quality_odd(spark, odd, none):
+    labels = spark.createDataFrame([(5, 1, 0), (7, None, 1), (None, 1, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
+    x = quality.classify(odd, labels).collect()
+    assert len(x) == len(ODD) and not any(r.selected for r in x if r.doc_id in (1, 2, 3))
+    assert quality.classify(none, labels).count() == 0 and quality.classify(odd, labels.limit(0), k=0).filter("selected").count() == 0
+    assert {r.selected for r in quality.classify(odd, labels, k=100).filter("doc_id = 5").collect()} == {True}
     values = spark.createDataFrame([(float(i % 97),) for i in range(20000)], "x double")
     want = sorted((float(i % 97) for i in range(20000)), reverse=True)
     assert [kth_largest(values, "x", k) for k in (1, 9999, 20000, 20001)] == [want[0], want[9998], want[-1], None]
@@ -250,8 +408,67 @@ def test_fingerprints_odd(spark, odd, none):
     assert merkle.against_next(odd).count() == len(ODD) and merkle.against_next(none).count() == 0
     x = merkle.against_next(spark.createDataFrame([(1, "a b. c")], "doc_id long, text string")).first()
     assert x.near_next == 1.0
-    t = spark.createDataFrame([("one\ntwo\nthree", "one\n2\nthree")], "a string, b string").select(merkle.edited(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("e")).first()
-    assert t.e == [1]
+    with pytest.raises(ValueError):
+        merkle.against_next(odd, key="key")
+
+
+def cut(p, after):
+    ends = [i for i in range(2, len(p) + 1) if p[i - 1] == " " and p[i - 2] in after]
+    return [p[a:b] for a, b in zip([0, *ends], [*ends, len(p)])]
+
+
+def plain_tree(text):
+    """(root, sections, starts, paragraphs, leaves) by the definition."""
+    d, most = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32], merkle.LEAF
+    long = lambda x: len(x) > 2 * most
+    leaves = [[d(z) for x in cut(p, ".,;:!?") for y in (cut(x, merkle.ENDS) if long(x) else [x]) for z in ([y[i : i + most] for i in range(0, len(y) + 1, most)] if long(y) else [y])] for p in text.split("\n")]
+    paragraphs, sections, starts, run = [d("".join(x)) for x in leaves], [], [], []
+    for i, x in enumerate(paragraphs):
+        starts += [] if run else [i]
+        run.append(x)
+        if x[0] in "0123" or i == len(paragraphs) - 1:
+            sections.append(d("".join(run)))
+            run = []
+    return hashlib.sha256("".join(sections).encode()).hexdigest(), sections, starts, paragraphs, leaves
+
+
+def plain_changed(a, b):
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return head, len(a) - tail, len(b) - tail
+
+
+def test_edits_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        old = [" ".join(rng.choice(["abc", "de", "f.", "漢字", "\U0001f600", "xyz,", "long" * rng.randint(1, 200)]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 30))]
+        old, new = old + old[:2] * 2 * (k % 3 == 0), None
+        new = list(old)
+        if k % 5 == 0:
+            new.pop(rng.randrange(len(new)))
+        elif k % 5 == 1:
+            new.insert(rng.randint(0, len(new)), "new one.")
+        elif k % 5 == 2:
+            new.reverse()
+        elif k % 5 == 3:
+            new[-1] += " tail"
+        rows.append(("\n".join(old), "\n".join(new)))
+    rows += [("", ""), ("a. b. c.", "a. c. b."), ("a. a. b.", "a. b.")]
+    x = spark.createDataFrame(rows, "a string, b string").select("a", "b", merkle.tree(F.col("a")).alias("p"), merkle.tree(F.col("b")).alias("q"))
+    x = x.select("*", merkle.edited(F.col("p"), F.col("q")).alias("e"), merkle.likeness(merkle.brief(F.col("p")), merkle.brief(F.col("q"))).alias("near"))
+    for r in x.collect():
+        p, q = plain_tree(r.a), plain_tree(r.b)
+        assert tuple(r.p) == p and tuple(r.q) == q
+        m, n = (collections.Counter([*t[1], *t[3], *(y for z in t[4] for y in z)]) for t in (p, q))
+        assert abs(r.near - (1 if p[0] == q[0] else 2 * sum((m & n).values()) / (sum(m.values()) + sum(n.values()) + 2))) < 1e-12
+        if p[0] == q[0]:
+            assert r.e is None
+            continue
+        at, old, new = plain_changed(p[3], q[3])
+        below = plain_changed([y for z in p[4][at : at + old] for y in z], [y for z in q[4][at : at + new] for y in z])
+        assert tuple(r.e) == (at, old, new, *below)
 
 
 # 10
