@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Params:
-    """Thresholds that operators share; each is an argument of the plans that use them."""
+    """Thresholds that operators share; each is an argument of the plans that use them. Fixed values by default."""
 
     dte_exclude: int = 3
     iv_smooth_span: int = 5
@@ -37,5 +37,7 @@ BUCKETS = ("DEEP_ITM", "ATM", "NEAR_OTM", "FAR_OTM", "DEEP_OTM")
 #: Regimes with colour and order, from stabilising to destabilising.
 REGIMES = (("all_positive", "#0c8f4d", 0), ("positive", "#10b981", 1), ("mixed", "#9ca3af", 2), ("negative", "#f59e0b", 3), ("all_negative", "#dc2626", 4))
 POSITIVE, NEGATIVE = ("positive", "all_positive"), ("negative", "all_negative")
+#: How urgent a signal is, the most urgent first.
+SEVERITY = {"crash_risk": 0, "regime_flip_to_neg": 1, "regime_flip_to_pos": 1, "bull_trend_reinforce": 2, "bear_trend_reinforce": 2, "pin_strengthening": 3, "instability_widening": 3, "flip_drift_up": 4, "flip_drift_down": 4}
 #: The key of one ladder of strikes.
 SNAPSHOT = ("symbol", "expiry", "timestamp")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, SNAPSHOT
-from ..functions.expressions import buildup, buy_imbalance, chosen, delta_bucket, dte_regime, flow_type, is_index, ratio
+from ..functions.expressions import buildup, chosen, is_index, ratio
 from ..sources.ocdata import latest
 
 KEYS = list(SNAPSHOT)
@@ -106,19 +106,36 @@ def daily(chain: DataFrame, values: list[str]) -> DataFrame:
     return x.select("symbol", "expiry", "dt", "strike_price", *(F.round(v, 4).alias(v) for v in values), *(F.round(F.col(v) - F.lag(v).over(w), 4).alias(f"{v}_chg") for v in values))
 
 
-def divergence(chain: DataFrame, top_n: int = 30, min_spot: float = 0.03, min_premium: float = 0.5) -> DataFrame:
-    """Symbols whose premiums at the money moved against spot between the last two snapshots of the front expiry."""
-    front = chain.join(chain.groupBy("symbol").agg(F.min("expiry").alias("expiry")), ["symbol", "expiry"], "left_semi")
-    names = {"spot": "underlying_price", "ce": "ce_ltp", "pe": "pe_ltp", "ce_iv": "ce_iv", "pe_iv": "pe_iv"}
-    x = last_two(front, "symbol").filter("distance_from_atm = 0").groupBy("symbol").agg(*(F.avg(F.when(F.col("rk") == n, F.col(c))).alias(f"{k}{n}") for k, c in names.items() for n in (1, 2))).filter("spot2 > 0")
-    pct = lambda k: F.coalesce((F.col(f"{k}1") - F.col(f"{k}2")) / F.when(F.col(f"{k}2") > 0, F.col(f"{k}2")) * 100, F.lit(0.0))
-    x = x.withColumns({"s": pct("spot"), "c": pct("ce"), "p": pct("pe"), "ci": _nz("ce_iv1") - _nz("ce_iv2"), "pi": _nz("pe_iv1") - _nz("pe_iv2")})
+def divergence(chain: DataFrame, as_of: str, intraday: bool = False, top_n: int = 30, kind: str = "all", min_spot: float = 0.03, min_premium: float = 0.5) -> DataFrame:
+    """Symbols whose premiums at the money moved against spot, in the nearest expiry that is live.
+
+    Between the symbol's last two snapshots of live expiries or, intraday, between the first and
+    the last of the table's last day. A symbol needs both, in that expiry.
+    """
+    live = chain.filter(F.col("expiry") >= F.lit(as_of).cast("date"))
+    if kind != "all":
+        live = live.filter(is_index(F.col("symbol")) == F.lit(kind == "index"))
+    if intraday:
+        day = chain.agg(F.max(F.to_date("timestamp")).alias("day"))
+        today = chain.join(day, F.to_date("timestamp") == F.col("day"), "left_semi")
+        times = today.groupBy("symbol").agg(F.max("timestamp").alias("now"), F.min("timestamp").alias("ref")).filter("now <> ref")
+    else:
+        times = last_two(live.select("symbol", "timestamp").distinct(), "symbol").groupBy("symbol").agg(F.max("timestamp").alias("now"), F.min("timestamp").alias("ref")).filter("now <> ref")
+    front = live.join(live.groupBy("symbol").agg(F.min("expiry").alias("expiry")), ["symbol", "expiry"], "left_semi")
+    x = front.join(times, "symbol").filter("timestamp = now OR timestamp = ref")
+    at = lambda n, name, of: F.avg(F.when(F.col("timestamp") == F.col(n), name)).alias(f"{of}_{n}")
+    money = {"ce": "ce_ltp", "pe": "pe_ltp", "ce_iv": "ce_iv", "pe_iv": "pe_iv", "net_flow": "net_flow"}
+    x = x.groupBy("symbol", "now", "ref").agg(*(at(n, F.col("underlying_price"), "spot") for n in ("now", "ref")), *(at(n, F.when(F.col("distance_from_atm") == 0, F.col(c)), k) for k, c in money.items() for n in ("now", "ref")))
+    x = x.filter("spot_ref > 0 AND spot_now IS NOT NULL")
+    pct = lambda k: F.coalesce((_nz(f"{k}_now") - F.col(f"{k}_ref")) / F.when(F.col(f"{k}_ref") > 0, F.col(f"{k}_ref")) * 100, F.lit(0.0))
+    x = x.withColumns({"s": pct("spot"), "c": pct("ce"), "p": pct("pe"), "ci": _nz("ce_iv_now") - _nz("ce_iv_ref"), "pi": _nz("pe_iv_now") - _nz("pe_iv_ref")})
     s, c, p, iv = F.col("s"), F.col("c"), F.col("p"), (F.abs("ci") + F.abs("pi")) / 2
     flat = F.abs(s) < min_spot
     cases = [(~flat & (s > min_spot) & (p > min_premium), "BULL_HEDGE", p), (~flat & (s < -min_spot) & (c > min_premium), "BEAR_SQUEEZE", c), (~flat & (s > min_spot) & (c < -min_premium), "SMART_SELL", c), (~flat & (s < -min_spot) & (p < -min_premium), "SMART_BUY", p)]
     x = x.withColumns({"signal": chosen([*((when, name) for when, name, _ in cases), (flat & (iv >= 1.0), "IV_SPIKE")]), "magnitude": F.round(chosen([(when, F.abs(s) + F.abs(v)) for when, _, v in cases], iv), 3)})
     x = x.filter("signal IS NOT NULL").orderBy(F.desc("magnitude"), "symbol").limit(top_n)
-    return x.select("symbol", "signal", "magnitude", F.round(s, 3).alias("spot_pct"), F.round(c, 3).alias("ce_pct"), F.round(p, 3).alias("pe_pct"), F.round("ci", 3).alias("ce_iv_chg"), F.round("pi", 3).alias("pe_iv_chg"))
+    minute = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm")
+    return x.select("symbol", "signal", "magnitude", F.round(s, 3).alias("spot_pct"), F.round(c, 3).alias("ce_pct"), F.round(p, 3).alias("pe_pct"), F.round("ci", 3).alias("ce_iv_chg"), F.round("pi", 3).alias("pe_iv_chg"), F.round("spot_now", 2).alias("spot_now"), F.round(_nz("ce_now"), 2).alias("ce_ltp_now"), F.round(_nz("pe_now"), 2).alias("pe_ltp_now"), F.round(_nz("net_flow_now"), 2).alias("net_flow"), minute("now").alias("ts_now"), minute("ref").alias("ts_ref"))
 
 
 def delta_screener(chain: DataFrame, target: float = 30.0, width: float = 5.0) -> DataFrame:
@@ -194,9 +211,9 @@ def oi_weighted_iv(chain: DataFrame) -> DataFrame:
 
 
 def iv_intraday(chain: DataFrame) -> DataFrame:
-    """Weighted volatility at the first and last time of each symbol's last day."""
-    w = Window.partitionBy("symbol")
-    x = chain.withColumn("day", F.max(F.to_date("timestamp")).over(w)).filter(F.to_date("timestamp") == F.col("day")).groupBy("symbol", "timestamp").agg(weighted_iv().alias("iv"))
+    """Weighted volatility at the first and last time of each symbol's last day; the last days are an aggregate that is joined back."""
+    last = chain.groupBy("symbol").agg(F.to_date(F.max("timestamp")).alias("day"))
+    x = chain.withColumn("day", F.to_date("timestamp")).join(last, ["symbol", "day"], "left_semi").groupBy("symbol", "timestamp").agg(weighted_iv().alias("iv"))
     x = x.groupBy("symbol").agg(F.min_by("iv", "timestamp").alias("a"), F.max_by("iv", "timestamp").alias("b"))
     return x.select("symbol", F.round("a", 4).alias("iv_first"), F.round("b", 4).alias("iv_last"), F.round(F.col("b") - F.col("a"), 4).alias("iv_chg"))
 
@@ -204,33 +221,37 @@ def iv_intraday(chain: DataFrame) -> DataFrame:
 # --- flow
 
 
-def flow_buckets(chain: DataFrame) -> DataFrame:
-    """Flows of delta buckets over time: a strike keeps the bucket it had in its ladder's first snapshot, DEEP_OTM if it was absent.
+def eod_rows(chain: DataFrame, as_of: str, until: str = "15:30") -> DataFrame:
+    """Each day's last rows up to a time of day: those of the last time of a symbol's strike, whatever the expiry, so that an expiry without a row then has none."""
+    early = chain.filter((F.date_format("timestamp", "HH:mm") <= until) & (F.col("expiry") >= F.lit(as_of).cast("date")))
+    last = early.groupBy("symbol", F.to_date("timestamp").alias("date"), "strike_price").agg(F.max("timestamp").alias("timestamp"))
+    return chain.join(last, ["symbol", "strike_price", "timestamp"])
+
+
+def intraday_oi(chain: DataFrame, band_pct: float = 10.0) -> DataFrame:
+    """Open interest and its change at each time of a ladder's last day, of strikes with a price, within band_pct of the day's mean spot."""
+    last = chain.groupBy("symbol").agg(F.to_date(F.max("timestamp")).alias("day"))
+    x = chain.withColumn("day", F.to_date("timestamp")).join(last, ["symbol", "day"], "left_semi").filter(_nz("ce_ltp") + _nz("pe_ltp") > 0)
+    mean = x.groupBy("symbol", "expiry").agg(F.avg(_nz("underlying_price")).alias("mean"))
+    x = x.join(mean, ["symbol", "expiry"]).filter((F.col("mean") <= 0) | F.col("strike_price").between(F.col("mean") * (1 - band_pct / 100), F.col("mean") * (1 + band_pct / 100)))
+    return x.select("symbol", "expiry", F.date_format("timestamp", "HH:mm").alias("time"), "strike_price", *(_nz(n).alias(n) for n in ("ce_oi", "pe_oi", "ce_oi_change", "pe_oi_change")), _nz("underlying_price").alias("spot"))
+
+
+def risk_reversals(chain: DataFrame) -> DataFrame:
+    """The 25-delta risk reversal of each ladder over time."""
+    near = lambda s: F.min(F.struct(F.round(F.abs(F.abs(f"{s}_delta") - 0.25), 9), "strike_price", f"{s}_iv"))[f"{s}_iv"]
+    return chain.groupBy(*KEYS).agg(F.round(near("ce") - near("pe"), 4).alias("risk_reversal"))
 
-    Per time and bucket: changes of open interest, their running sums, velocity and acceleration,
-    put-call ratio, buy imbalance and the dominant flow.
-    """
-    first = chain.withColumn("t0", F.min("timestamp").over(Window.partitionBy("symbol", "expiry"))).filter("timestamp = t0").select("symbol", "expiry", "strike_price", delta_bucket(F.abs("ce_delta")).alias("cohort"))
-    x = chain.join(first, ["symbol", "expiry", "strike_price"], "left").withColumn("bucket", F.coalesce("cohort", F.lit("DEEP_OTM")))
-    x = x.groupBy("symbol", "expiry", "bucket", "timestamp").agg(F.sum("ce_oi_change").alias("ce"), F.sum("pe_oi_change").alias("pe"), F.sum("ce_oi").alias("ce_oi"), F.sum("pe_oi").alias("pe_oi"), F.sum("ce_tbq").alias("ce_tbq"), F.sum("pe_tbq").alias("pe_tbq"), F.max("underlying_price").alias("spot"), F.max("days_to_expiry").alias("dte"))
-    w = Window.partitionBy("symbol", "expiry", "bucket").orderBy("timestamp")
-    diff = lambda n: F.coalesce(F.col(n) - F.lag(n).over(w), F.lit(0.0))
-    x = x.withColumns({"net": F.col("ce") + F.col("pe"), "spot_chg": diff("spot")})
-    x = x.withColumns({"cumulative": F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0)), "velocity": diff("net")}).withColumn("acceleration", diff("velocity"))
-    return x.select("symbol", "expiry", "bucket", "timestamp", "net", "cumulative", "velocity", "acceleration", F.round(ratio(F.col("pe_oi"), F.col("ce_oi")), 4).alias("pcr"), F.round(buy_imbalance(F.col("ce_tbq"), F.col("pe_tbq")), 3).alias("buy_imbalance"), flow_type(F.col("ce"), F.col("pe"), F.col("spot_chg"), F.col("ce_tbq"), F.col("pe_tbq")).alias("flow_type"), dte_regime(F.col("dte")).alias("dte_regime"))
-
-
-def exposure_layers(chain: DataFrame) -> DataFrame:
-    """Gamma, delta and vanna layers of each ladder over time, and how they diverge from the time before."""
-    d = F.abs("delta_flow")
-    x = chain.withColumn("delta_flow", F.col("ce_delta_oi_chg") + F.col("pe_delta_oi_chg"))
-    x = x.groupBy(*KEYS).agg(F.round(F.sum("net_gexv") / 1e6, 4).alias("gex"), F.round(F.sum("delta_flow"), 2).alias("delta_flow"), F.round(ratio(F.sum(F.col("strike_price") * d), F.sum(d)), 2).alias("centroid"), F.sum("net_vanna_ex").alias("vanna"), F.max(F.struct(F.round(F.abs("net_vanna_ex"), 6), (-F.col("strike_price")).alias("s")))["s"].alias("s"), F.max("underlying_price").alias("spot"))
-    w = Window.partitionBy("symbol", "expiry").orderBy("timestamp")
-    moved = lambda n: F.col(n) - F.lag(n).over(w)
-    x = x.withColumns({"gex_chg": F.round(moved("gex"), 4), "vanna_chg": moved("vanna"), "spot_chg": moved("spot"), "vanna_peak": -F.col("s")})
-    size = lambda n: F.when(F.col(n) != 0, F.abs(n)).otherwise(1.0)
-    pin = (F.abs("gex_chg") < size("gex") * 0.15) & (F.abs("vanna_chg") > size("vanna") * 0.2)
-    return x.select(*KEYS, "gex", "delta_flow", "centroid", "vanna", "vanna_peak", chosen([(pin, "fragile_pin"), (F.abs("gex_chg") > size("gex") * 0.3, "gamma_shift")]).alias("gamma_vanna"), F.when((F.abs("delta_flow") > 100) & (F.col("gex") > 0) & F.col("gex_chg").isNotNull(), "coiled_spring").alias("delta_gamma"), chosen([((F.col("delta_flow") > 0) & (F.col("spot_chg") < 0), "bullish_accumulation"), ((F.col("delta_flow") < 0) & (F.col("spot_chg") > 0), "bearish_distribution")]).alias("delta_price"))
+
+def weighted_iv_overall(chain: DataFrame) -> DataFrame:
+    """Volatility weighted by open interest over all expiries at a symbol's last snapshot."""
+    return latest(chain, "symbol").filter("ce_iv > 0").groupBy("symbol").agg(F.round(weighted_iv(), 4).alias("iv"), F.sum(F.col("ce_oi") + F.col("pe_oi")).alias("oi"))
+
+
+def strike_gamma(chain: DataFrame) -> DataFrame:
+    """Gamma of both sides and net, in millions, at each strike of the last snapshot."""
+    side = lambda s: F.col(f"{s}_gamma") * F.col(f"{s}_oi") * F.col("lotsize") / 1e6
+    return latest(chain, "symbol").select("symbol", "expiry", "strike_price", F.round(side("ce"), 6).alias("ce_gex"), F.round(-side("pe"), 6).alias("pe_gex"), F.round(F.col("net_gexv") / 1e6, 6).alias("net_gex"))
 
 
 def nearest_before(chain: DataFrame, tolerance_pct: float = 2.0) -> DataFrame:
@@ -243,21 +264,6 @@ def nearest_before(chain: DataFrame, tolerance_pct: float = 2.0) -> DataFrame:
     return x.join(best, ["symbol", "timestamp", "expiry"], "left").select("symbol", "timestamp", "expiry", "center", "match")
 
 
-def oi_walls(chain: DataFrame, as_of: str) -> DataFrame:
-    """Each symbol's nearest live expiry at its last snapshot: the strikes of the most open interest on either side, how far they stand out, and the strike of the most gamma. Of equal strikes the lowest."""
-    live = latest(chain, "symbol").filter(F.col("expiry") >= F.lit(as_of).cast("date"))
-    first = live.groupBy("symbol").agg(F.min("expiry").alias("expiry"))
-    k = F.col("strike_price")
-    most = lambda x: F.min(F.struct((-F.round(x, 6)).alias("x"), k.alias("k")))["k"]
-
-    def side(s):
-        oi = _nz(f"{s}_oi")
-        return [most(oi).alias(f"{s}_wall"), F.round(ratio(F.max(oi), F.avg(F.when(oi > 0, oi))), 2).alias(f"{s}_strength")]
-
-    pcr = ratio(F.sum(_nz("pe_oi")), F.sum(_nz("ce_oi")))
-    return live.join(first, ["symbol", "expiry"], "left_semi").groupBy("symbol", "expiry").agg(*side("ce"), *side("pe"), most(F.abs("net_gexv")).alias("gamma_wall"), F.round(pcr, 3).alias("pcr"))
-
-
 def strike_snapshot(chain: DataFrame) -> DataFrame:
     """Each strike at its symbol's last snapshot, with what its prices are of the theoretical ones."""
     price = lambda s: F.round(ratio(F.col(f"{s}_ltp"), F.col(f"{s}_tprice")), 4).alias(f"{s}_ratio")
@@ -266,6 +272,7 @@ def strike_snapshot(chain: DataFrame) -> DataFrame:
 
 def best_by_delta(chain: DataFrame, target: float = 0.3) -> DataFrame:
     """Of each symbol, expiry and side at the last snapshot, the strike whose absolute delta is nearest to target, the lowest of several."""
-    one = lambda s: latest(chain, "symbol").select("symbol", "expiry", F.lit(s.upper()).alias("side"), "strike_price", F.abs(f"{s}_delta").alias("delta"), F.col(f"{s}_ltp").alias("ltp"))
+    side = lambda s: F.struct(F.lit(s.upper()).alias("side"), F.abs(f"{s}_delta").alias("delta"), F.col(f"{s}_ltp").alias("ltp"))
+    x = latest(chain, "symbol").select("symbol", "expiry", "strike_price", F.explode(F.array(side("ce"), side("pe"))).alias("o")).select("symbol", "expiry", "strike_price", "o.*")
     near = F.min(F.struct(F.round(F.abs(F.col("delta") - target), 9).alias("d"), "strike_price", "delta", "ltp")).alias("n")
-    return one("ce").unionByName(one("pe")).groupBy("symbol", "expiry", "side").agg(near).select("symbol", "expiry", "side", "n.strike_price", F.round("n.delta", 4).alias("delta"), "n.ltp")
+    return x.groupBy("symbol", "expiry", "side").agg(near).select("symbol", "expiry", "side", "n.strike_price", F.round("n.delta", 4).alias("delta"), "n.ltp")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, NEGATIVE, POSITIVE, Params
+from ..config import DEFAULTS, NEGATIVE, POSITIVE, SEVERITY, Params
 from ..functions import narratives as words
-from ..functions.expressions import basis, confidence, dealer_divergence, expected_move, hold_probability, in_deadzone, ratio, signals, strength
+from ..functions.expressions import basis, chosen, confidence, dealer_divergence, expected_move, hold_probability, in_deadzone, ratio, regime_color, regime_order, signals, strength
 from ..operators.ladder import gamma_flip, gamma_shelf, net_gamma, oi_center, strike_interval
 from ..operators.screens import liquid
 from ..sources.ocdata import latest
@@ -43,56 +43,120 @@ def day_ladders(chain: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return x.withColumn("rows", F.count("*").over(Window.partitionBy(*KEYS))).filter("rows >= 3").drop("rows")
 
 
-def ranges(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(keys, fut_price, spot, dte, expiry, atm_iv, atm_iv_smoothed, expected_move, strike_interval, half): the range of strikes to look at.
-
-    half follows the day before within range_change_cap; a day with fewer than two strikes in
-    range leaves no mark. It is a fold over each series: an array of days for each symbol and
-    rank, a few thousand at most.
-    """
+def _heads(rows: DataFrame) -> DataFrame:
+    """(keys, expiry, fut_price, spot, dte, iv_exact, strikes) of each day's ladder; iv_exact is that at the money or nearest to it."""
     near = F.min(F.struct(F.abs("distance_from_atm"), "strike_price", "ce_iv"))["ce_iv"]
-    x = rows.groupBy(*KEYS).agg(F.first("expiry").alias("expiry"), F.median("fut_price").alias("fut_price"), F.round(F.median("underlying_price"), 2).alias("spot"), F.median("days_to_expiry").alias("dte"), F.greatest(near, F.lit(0.0)).alias("atm_iv"), F.collect_list("strike_price").alias("strikes"))
-    seen = F.collect_list(F.when(F.col("atm_iv") > 0, F.col("atm_iv"))).over(_series())
+    return rows.groupBy(*KEYS).agg(
+        F.first("expiry").alias("expiry"), F.median("fut_price").alias("fut_price"), F.round(F.median("underlying_price"), 2).alias("spot"),
+        F.median("days_to_expiry").alias("dte"), F.greatest(near, F.lit(0.0)).alias("iv_exact"), F.collect_list("strike_price").alias("strikes"),
+    )
+
+
+def _smoothed(heads: DataFrame, before: DataFrame | None, p: Params) -> DataFrame:
+    """heads with atm_iv_smoothed, from the last values above 0 up to each day; those of before count too."""
     n = p.iv_smooth_span * 3
-    last = F.slice(seen, F.greatest(F.size(seen) - n + 1, F.lit(1)), n)
-    x = x.withColumn("atm_iv_smoothed", F.coalesce(ewma(last, p.iv_smooth_span), "atm_iv"))
-    x = x.withColumn("expected_move", expected_move(F.col("fut_price"), F.col("atm_iv_smoothed"), F.col("dte"))).join(strike_interval(rows, KEYS), KEYS)
+    x = heads.withColumn("_new", F.lit(True))
+    if before is not None:
+        latest_first = Window.partitionBy("symbol", "expiry_rank").orderBy(F.desc("date"))
+        known = before.filter("iv_exact > 0").withColumn("_n", F.row_number().over(latest_first)).filter(F.col("_n") <= n)
+        x = x.unionByName(known.select(*KEYS, "iv_exact", F.lit(False).alias("_new")), allowMissingColumns=True)
+    above = F.col("iv_exact") > 0
+    last = F.collect_list("iv_exact").over(Window.partitionBy("symbol", "expiry_rank", above).orderBy("date").rowsBetween(1 - n, 0))
+    values = F.last(F.when(above, last), ignorenulls=True).over(_series())
+    return x.withColumn("atm_iv_smoothed", F.coalesce(ewma(values, p.iv_smooth_span), "iv_exact")).filter("_new").drop("_new")
+
+
+def _halves(x: DataFrame, before: DataFrame | None, p: Params) -> DataFrame:
+    """(keys, range_half): each day's half range follows the day before within range_change_cap; a day with fewer than two strikes in range leaves no mark.
+
+    A fold over each series: an array of days for each symbol and rank, one day in a daily run
+    and a few thousand at most when all of history is worked out.
+    """
     raw = F.least(F.col("expected_move") + p.strike_buffer * F.col("strike_interval"), F.col("fut_price") * (p.max_range_pct / 100))
     series = x.groupBy("symbol", "expiry_rank").agg(F.array_sort(F.collect_list(F.struct("date", raw.alias("raw"), F.col("fut_price").alias("fut"), "strikes"))).alias("days"))
+    if before is None:
+        series = series.withColumn("seed", F.lit(0.0))
+    else:
+        series = series.join(before.groupBy("symbol", "expiry_rank").agg(F.max_by("range_half", "date").alias("seed")), ["symbol", "expiry_rank"], "left").withColumn("seed", F.coalesce("seed", F.lit(0.0)))
     cap = p.range_change_cap
 
     def step(a, d):
         half = F.when(a["half"] > 0, F.greatest(F.least(d["raw"], a["half"] * (1 + cap)), a["half"] * (1 - cap))).otherwise(d["raw"])
         inside = F.size(F.filter(d["strikes"], lambda s: (s >= d["fut"] - half) & (s <= d["fut"] + half))) >= 2
-        return F.struct(F.when(inside, half).otherwise(a["half"]).alias("half"), F.when(inside, F.concat(a["out"], F.array(F.struct(d["date"].alias("date"), half.alias("half"))))).otherwise(a["out"]).alias("out"))
+        marked = F.concat(a["out"], F.array(F.struct(d["date"].alias("date"), half.alias("range_half"))))
+        return F.struct(F.when(inside, half).otherwise(a["half"]).alias("half"), F.when(inside, marked).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.col("seed").alias("half"), F.array().cast("array<struct<date:date,range_half:double>>").alias("out"))
+    return series.select("symbol", "expiry_rank", F.explode(F.aggregate("days", start, step, lambda a: a["out"])).alias("h")).select("symbol", "expiry_rank", "h.date", "h.range_half")
 
-    start = F.struct(F.lit(0.0).alias("half"), F.array().cast("array<struct<date:date,half:double>>").alias("out"))
-    halves = series.select("symbol", "expiry_rank", F.explode(F.aggregate("days", start, step, lambda a: a["out"])).alias("h")).select("symbol", "expiry_rank", "h.date", "h.half")
-    return x.drop("strikes").join(halves, KEYS)
 
+def ranges(rows: DataFrame, p: Params = DEFAULTS, before: DataFrame | None = None) -> DataFrame:
+    """(keys, expiry, fut_price, spot, dte, iv_exact, atm_iv_smoothed, expected_move, strike_interval, range_half): the range of strikes to look at."""
+    x = _smoothed(_heads(rows), before, p)
+    x = x.withColumn("expected_move", expected_move(F.col("fut_price"), F.col("atm_iv_smoothed"), F.col("dte"))).join(strike_interval(rows, KEYS), KEYS)
+    x = stored(x)
+    return x.drop("strikes").join(_halves(x, before, p), KEYS)
+
+
+def stage1(chain: DataFrame, p: Params = DEFAULTS, before: DataFrame | None = None) -> DataFrame:
+    """The row of each symbol, day and expiry rank, from its own ladder and the day before.
 
-def stage1(chain: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """The row of each symbol, day and expiry rank, from its own ladder and the day before."""
+    before are rows of an earlier run, all of them older than the chain: a run over new days goes
+    on where that one ended, and gives what one run over all days gives. A day without a row
+    leaves its volatility out of later smoothing then.
+    """
     rows = stored(day_ladders(chain, p))
-    head = stored(ranges(rows, p))
-    inside = rows.join(head.select(*KEYS, "half", F.col("fut_price").alias("mid")), KEYS).filter(F.col("strike_price").between(F.col("mid") - F.col("half"), F.col("mid") + F.col("half")))
-    inside = inside.withColumn("lot", F.median("lotsize").over(Window.partitionBy(*KEYS))).withColumn("g", net_gamma("lot"))
-    inside = stored(inside)
-    oi = F.col("ce_oi") + F.col("pe_oi")
-    s = F.col("strike_price")
+    head = stored(ranges(rows, p, before))
+    inside = _inside(rows, head)
+    x = head.join(_sums(inside), KEYS)
+    x = x.join(gamma_flip(inside.withColumn("fut", F.col("mid")), KEYS, "fut", p.neutral_band), KEYS)
+    x = x.join(oi_center(inside, KEYS).withColumnRenamed("oi_com", "oi_com_inrange"), KEYS).join(_shelf(inside, p), KEYS, "left")
+    return _against_day_before(stored(_normalised(x)), before)
+
+
+def _inside(rows: DataFrame, head: DataFrame) -> DataFrame:
+    """The strikes within each day's range, with mid, lot and net gamma g."""
+    near = F.col("strike_price").between(F.col("mid") - F.col("range_half"), F.col("mid") + F.col("range_half"))
+    x = rows.join(head.select(*KEYS, "range_half", F.col("fut_price").alias("mid")), KEYS).filter(near)
+    return stored(x.withColumn("lot", F.median("lotsize").over(Window.partitionBy(*KEYS))).withColumn("g", net_gamma("lot")))
+
+
+def _sums(inside: DataFrame) -> DataFrame:
+    oi, s = F.col("ce_oi") + F.col("pe_oi"), F.col("strike_price")
     top, low = F.max(F.struct("g", (-s).alias("s"))), F.min(F.struct("g", s.alias("s")))
-    sums = inside.groupBy(*KEYS).agg(F.round(F.sum("net_gexv") / 1e6, 4).alias("net_gex"), *(F.round(F.sum(f"{n}_ex"), 2).alias(n) for n in ("ce_vanna", "pe_vanna", "net_vanna", "net_charm")), F.sum(oi).alias("total_oi_in_range"), F.round((F.sum(F.abs("ce_oi_change")) + F.sum(F.abs("pe_oi_change"))) / F.greatest(F.sum(oi), F.lit(1.0)), 4).alias("oi_turnover_ratio"), F.count("*").alias("n_strikes"), F.when(top["g"] > 0, -top["s"]).alias("peak_pos_gamma_strike"), F.when(low["g"] < 0, low["s"]).alias("peak_neg_gamma_strike"))
-    shelf = gamma_shelf(inside, KEYS, p.shelf_frac).select(*KEYS, "center_exact", *(F.col(a).alias(b) for a, b in (("center", "gamma_shelf_center"), ("width", "gamma_shelf_width"), ("peak_strike", "gamma_shelf_peak_strike"), ("peak_value", "gamma_shelf_peak_value"), ("concentration", "concentration"))))
-    x = head.join(sums, KEYS).join(gamma_flip(inside.withColumn("fut", F.col("mid")), KEYS, "fut", p.neutral_band), KEYS).join(oi_center(inside, KEYS).withColumnRenamed("oi_com", "oi_com_inrange"), KEYS).join(shelf, KEYS, "left")
-    x = stored(x)
+    turned = F.sum(F.abs("ce_oi_change")) + F.sum(F.abs("pe_oi_change"))
+    return inside.groupBy(*KEYS).agg(
+        F.round(F.sum("net_gexv") / 1e6, 4).alias("net_gex"), *(F.round(F.sum(f"{n}_ex"), 2).alias(n) for n in ("ce_vanna", "pe_vanna", "net_vanna", "net_charm")),
+        F.sum(oi).alias("total_oi_in_range"), F.round(turned / F.greatest(F.sum(oi), F.lit(1.0)), 4).alias("oi_turnover_ratio"), F.count("*").alias("n_strikes"),
+        F.when(top["g"] > 0, -top["s"]).alias("peak_pos_gamma_strike"), F.when(low["g"] < 0, low["s"]).alias("peak_neg_gamma_strike"),
+    )
+
+
+def _shelf(inside: DataFrame, p: Params) -> DataFrame:
+    named = {"center": "gamma_shelf_center", "width": "gamma_shelf_width", "peak_strike": "gamma_shelf_peak_strike", "peak_value": "gamma_shelf_peak_value", "concentration": "concentration"}
+    return gamma_shelf(inside, KEYS, p.shelf_frac).select(*KEYS, "center_exact", *(F.col(a).alias(b) for a, b in named.items()))
+
+
+def _normalised(x: DataFrame) -> DataFrame:
+    """x with distances in expected moves, basis, confidence and rounded prices."""
     em = F.when(F.col("expected_move") > 0, F.col("expected_move"))
-    gap = F.col("gamma_shelf_center") - F.col("oi_com_inrange")
-    x = x.withColumns({"flip_norm_distance": F.round((F.col("gamma_flip") - F.col("fut_price")) / em, 4), "transition_width_norm": F.round(F.col("transition_width") / em, 4), "b": basis(F.col("fut_price"), F.col("spot"), F.col("dte")), "dealer_divergence": F.round(gap / em, 4), "dealer_divergence_label": dealer_divergence(gap / em)})
-    before = F.lag(F.round("atm_iv", 2)).over(_series())
-    x = x.withColumns({"iv_change": F.round(F.coalesce(F.col("atm_iv") - before, F.lit(0.0)), 2), "gamma_com_migration": F.round(F.col("center_exact") - F.lag("gamma_shelf_center").over(_series()), 2), "confidence": confidence(F.col("total_oi_in_range"), F.col("n_strikes"), F.col("transition_width_norm"))})
-    rounded = {n: F.round(n, 2) for n in ("atm_iv", "atm_iv_smoothed", "fut_price", "expected_move")}
-    x = x.withColumns({"range_lo": F.round(F.col("fut_price") - F.col("half"), 2), "range_hi": F.round(F.col("fut_price") + F.col("half"), 2)})
-    return x.withColumns(rounded).select("*", "b.*").drop("b", "center_exact", "half").withColumn("dte", F.col("dte").cast("int")).withColumn("net_gex_sign", F.when(F.col("net_gex") >= 0, "positive").otherwise("negative"))
+    gap = (F.col("gamma_shelf_center") - F.col("oi_com_inrange")) / em
+    x = x.withColumns({"flip_norm_distance": F.round((F.col("gamma_flip") - F.col("fut_price")) / em, 4), "transition_width_norm": F.round(F.col("transition_width") / em, 4), "b": basis(F.col("fut_price"), F.col("spot"), F.col("dte")), "dealer_divergence": F.round(gap, 4), "dealer_divergence_label": dealer_divergence(gap)})
+    x = x.withColumns({"atm_iv": F.round("iv_exact", 2), "confidence": confidence(F.col("total_oi_in_range"), F.col("n_strikes"), F.col("transition_width_norm")), "range_lo": F.round(F.col("fut_price") - F.col("range_half"), 2), "range_hi": F.round(F.col("fut_price") + F.col("range_half"), 2)})
+    x = x.withColumns({n: F.round(n, 2) for n in ("atm_iv_smoothed", "fut_price", "expected_move")} | {"range_half": F.round("range_half", 9)})
+    return x.select("*", "b.*").drop("b").withColumn("dte", F.col("dte").cast("int")).withColumn("net_gex_sign", F.when(F.col("net_gex") >= 0, "positive").otherwise("negative"))
+
+
+def _against_day_before(x: DataFrame, before: DataFrame | None) -> DataFrame:
+    """x with what it takes from the row before."""
+    x = x.withColumn("_new", F.lit(True))
+    if before is not None:
+        last = before.groupBy("symbol", "expiry_rank").agg(F.max(F.struct("date", "atm_iv", "gamma_shelf_center")).alias("last")).select("symbol", "expiry_rank", "last.*")
+        x = x.unionByName(last.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    lag = lambda n: F.lag(n).over(_series())
+    iv_change = F.round(F.coalesce(F.col("iv_exact") - lag("atm_iv"), F.lit(0.0)), 2)
+    x = x.withColumns({"iv_change": iv_change, "gamma_com_migration": F.round(F.col("center_exact") - lag("gamma_shelf_center"), 2)})
+    return x.filter("_new").drop("_new", "center_exact")
 
 
 def _islands(flag: Column, name: str, df: DataFrame) -> DataFrame:
@@ -132,18 +196,57 @@ def history(eod: DataFrame, first: str, last: str, rank: int = 0) -> DataFrame:
     return x.withColumn("strength_cum", F.sum("strength").over(_series())).select("symbol", "date", "basis_pct", "in_deadzone", "left_deadzone", "gex_regime", *(f"axis_{k}" for k in axes), "strength", "strength_cum")
 
 
-def screener(eod: DataFrame, day: str, view: str = "all", rank: int = 0, signal: str | None = None, members: DataFrame | None = None) -> DataFrame:
-    """Rows of a day: all, those that have signals (changed), or those of the day before whose signals are gone (dropped)."""
+def regime_ramp(eod: DataFrame, rank: int = 0, days: int = 7) -> DataFrame:
+    """(gex_regime, place, color, days): the regimes of the last days, from stabilising to destabilising. The days end with the table's last."""
+    x = eod.filter(F.col("expiry_rank") == rank)
+    recent = x.join(x.agg(F.max("date").alias("_last")), F.col("date") >= F.date_sub("_last", days))
+    return recent.groupBy("gex_regime").agg(F.count("*").alias("days")).select("gex_regime", regime_order(F.col("gex_regime")).alias("place"), regime_color(F.col("gex_regime")).alias("color"), "days")
+
+
+def severity(signals: Column) -> Column:
+    """The most urgent of a row's signals as a number, 0 first; 9 for one without a rank, 99 without signals."""
+    ranks = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    each = F.transform(F.split(signals, ","), lambda s: F.coalesce(ranks[F.trim(s)], F.lit(9)))
+    return F.when(F.coalesce(signals, F.lit("")) == "", 99).otherwise(F.array_min(each))
+
+
+def screener(eod: DataFrame, day: str | None = None, view: str = "all", rank: int = 0, signal: str | None = None, regime: str | None = None, members: DataFrame | None = None, least_confidence: str = "low", sort_by: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of a day, by default the last: all; those with signals, compression or its release (changed); or those whose signals of the day before are gone (dropped).
+
+    members keeps their symbols alone, least_confidence is low, medium or high. prev_signals are
+    those of the day before in the view dropped, else null. sort_by orders by size, the most
+    extreme first, or for `signals` by severity; ties by symbol; limit keeps the first ones.
+    """
     x = eod.filter(F.col("expiry_rank") == rank)
+    date = F.lit(day).cast("date")
+    if day is None:
+        now = x.join(x.agg(F.max("date").alias("date")), "date")
+    else:
+        now = x.filter(F.col("date") == date)
+    trust = lambda c: chosen([(c == "high", 2), (c == "medium", 1)], 0)
+    out = now.filter(trust(F.col("confidence")) >= trust(F.lit(least_confidence)))
     if members is not None:
-        x = x.join(members, "symbol", "left_semi")
-    now = x.filter(F.col("date") == F.lit(day).cast("date"))
+        out = out.join(members, "symbol", "left_semi")
     if view == "dropped":
-        before = x.filter(F.col("date") < F.lit(day).cast("date"))
-        last = before.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).filter("_n = 1 AND signals <> ''").drop("_n")
-        return last.join(now.filter("signals <> ''").select("symbol"), "symbol", "left_anti")
-    now = now.filter("signals <> ''") if view == "changed" else now
-    return now.filter(F.col("signals").contains(signal)) if signal else now
+        older = x.join(now.agg(F.max("date").alias("_day")), F.col("date") < F.col("_day")).drop("_day")
+        last = older.join(older.agg(F.max("date").alias("date")), "date").filter("signals <> ''").select("symbol", F.col("signals").alias("prev_signals"))
+        out = out.join(last, "symbol").join(now.filter("signals <> ''").select("symbol"), "symbol", "left_anti")
+    else:
+        out = out.withColumn("prev_signals", F.lit(None).cast("string"))
+        if view == "changed":
+            out = out.filter("signals <> '' OR regime_compression OR compression_release")
+        if signal:
+            out = out.filter(F.col("signals").contains(signal))
+    out = out.filter(F.col("gex_regime") == regime) if regime else out
+    if sort_by:
+        out = out.orderBy(severity(F.col("signals")) if sort_by == "signals" else F.abs(sort_by).desc_nulls_last(), "symbol")
+    return out.limit(limit) if limit else out
+
+
+def indicator_counts(eod: DataFrame) -> DataFrame:
+    """(date, expiry_rank, compressing, releasing): how many rows of each day are in compression, and how many come out of it."""
+    n = lambda flag: F.sum(F.col(flag).cast("long"))
+    return eod.groupBy("date", "expiry_rank").agg(n("regime_compression").alias("compressing"), n("compression_release").alias("releasing"))
 
 
 def signal_counts(eod: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import narratives as words
 from .functions.expressions import hold_probability, monthly_expiry, regime_order, vix_level
-from .operators import gamma_page, grouped, ladder, screens
+from .operators import flows, gamma_page, grouped, ladder, layers, screens, walls
 from .plans import eod
 from .sources import ocdata
 from .sources.ocdata import chain, duckdb_chain
@@ -22,7 +23,11 @@ _TWO = ", r AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY timest
 
 
 #: Columns that are dates, given as text; other queries have expiry alone, or none.
-_DATES = {"overview": (), "oi_signals_all": (), "divergence": (), "metadata": (), "heatmap_pivot": (), "iv_intraday_trend": (), "oi_history": ("expiry", "dt"), "iv_history": ("expiry", "dt"), "monthly_expiries": ("expiry", "date"), "expiry_rule": ("expiry", "day")}
+_DATES = {"overview": (), "oi_signals_all": (), "divergence": (), "divergence_intraday": (), "oi_weighted_iv_overall": (), "regime_ramp": (), "eod_rows": ("expiry", "date"), "metadata": (), "heatmap_pivot": (), "iv_intraday_trend": (), "oi_history": ("expiry", "dt"), "iv_history": ("expiry", "dt"), "monthly_expiries": ("expiry", "date"), "expiry_rule": ("expiry", "day")}
+_DATES |= {n: ("date", "expiry") for n in ("stage1", "stage2", "exposure_screener_all", "exposure_screener_changed", "exposure_screener_dropped")} | {n: ("date",) for n in ("signals", "strength", "defense_hold", "indicator_counts", "narratives")} | {"change_summary": ()}
+
+
+_NULLABLE = ("days_since_release", "hold", "hold_probability", "gamma_shelf_width", "ce_hold", "first_seen")
 
 
 def query(name: str, sql: str | None = None):
@@ -31,7 +36,8 @@ def query(name: str, sql: str | None = None):
     def add(f):
         def run(spark, sf_dir):
             df = f(chain(spark, sf_dir))
-            return df.withColumns({n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"})
+            # dates are text, and whole numbers that may be null are doubles, so that all engines hand them over alike
+            return df.withColumns({n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"} | {n: F.col(n).cast("double") for n in df.columns if n in _NULLABLE})
 
         QUERIES[name] = run
         if sql is not None:
@@ -75,12 +81,8 @@ query("oi_history", """, d AS (SELECT symbol, expiry, CAST(timestamp AS DATE) AS
 SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_oi, round(p, 4) AS pe_oi, round(c - lag(c) OVER w, 4) AS ce_oi_chg, round(p - lag(p) OVER w, 4) AS pe_oi_chg FROM d WINDOW w AS (PARTITION BY symbol, expiry, strike_price ORDER BY dt)""")(lambda c: screens.daily(c, ["ce_oi", "pe_oi"]))
 query("iv_history", """, d AS (SELECT symbol, expiry, CAST(timestamp AS DATE) AS dt, strike_price, avg(ce_iv) AS c FROM ocdata GROUP BY 1, 2, 3, 4)
 SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_iv, round(c - lag(c) OVER (PARTITION BY symbol, expiry, strike_price ORDER BY dt), 4) + 0 AS ce_iv_chg FROM d""")(lambda c: screens.daily(c, ["ce_iv"]))
-query("divergence", """, f AS (SELECT o.* FROM ocdata o JOIN (SELECT symbol, min(expiry) AS e FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol AND o.expiry = m.e), r AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rk FROM f),
-a AS (SELECT n.symbol, (n.underlying_price - b.underlying_price) / b.underlying_price * 100 AS s, CASE WHEN b.ce_ltp > 0 THEN (n.ce_ltp - b.ce_ltp) / b.ce_ltp * 100 ELSE 0 END AS c, CASE WHEN b.pe_ltp > 0 THEN (n.pe_ltp - b.pe_ltp) / b.pe_ltp * 100 ELSE 0 END AS p, n.ce_iv - b.ce_iv AS ci, n.pe_iv - b.pe_iv AS pi
-  FROM (SELECT * FROM r WHERE rk = 1 AND distance_from_atm = 0) n JOIN (SELECT * FROM r WHERE rk = 2 AND distance_from_atm = 0) b ON n.symbol = b.symbol WHERE b.underlying_price > 0),
-g AS (SELECT *, CASE WHEN abs(s) >= 0.03 THEN CASE WHEN s > 0.03 AND p > 0.5 THEN 'BULL_HEDGE' WHEN s < -0.03 AND c > 0.5 THEN 'BEAR_SQUEEZE' WHEN s > 0.03 AND c < -0.5 THEN 'SMART_SELL' WHEN s < -0.03 AND p < -0.5 THEN 'SMART_BUY' END WHEN (abs(ci) + abs(pi)) / 2 >= 1 THEN 'IV_SPIKE' END AS signal FROM a)
-SELECT symbol, signal, round(CASE signal WHEN 'BULL_HEDGE' THEN abs(s) + abs(p) WHEN 'SMART_BUY' THEN abs(s) + abs(p) WHEN 'IV_SPIKE' THEN (abs(ci) + abs(pi)) / 2 ELSE abs(s) + abs(c) END, 3) AS magnitude, round(s, 3) AS spot_pct, round(c, 3) AS ce_pct, round(p, 3) AS pe_pct, round(ci, 3) AS ce_iv_chg, round(pi, 3) AS pe_iv_chg
-FROM g WHERE signal IS NOT NULL ORDER BY magnitude DESC, symbol LIMIT 30""")(screens.divergence)
+query("divergence", oracles.divergence(AS_OF))(lambda c: screens.divergence(c, AS_OF))
+query("divergence_intraday", oracles.divergence(AS_OF, True))(lambda c: screens.divergence(c, AS_OF, True))
 query("delta_oi", _LATEST + """, s AS (SELECT symbol, expiry, sum(abs(ce_delta) * ce_oi * lotsize) / 1e6 AS c, sum(abs(pe_delta) * pe_oi * lotsize) / 1e6 AS p FROM last GROUP BY 1, 2)
 SELECT symbol, expiry, round(c, 4) AS ce_m, round(p, 4) AS pe_m, round(c - p, 4) AS net_m, CASE WHEN c - p > 0.5 THEN 'bullish' WHEN c - p < -0.5 THEN 'bearish' ELSE 'neutral' END AS lean FROM s""")(screens.delta_oi)
 query("premium_lens", _LATEST + """, s AS (SELECT symbol, expiry, strike_price, round(ce_ltp / nullif(ce_tprice, 0), 4) AS ce_ratio, round((ce_ltp - ce_tprice) * 100 / nullif(ce_tprice, 0), 2) AS ce_diff_pct, round(pe_ltp / nullif(pe_tprice, 0), 4) AS pe_ratio, round((pe_ltp - pe_tprice) * 100 / nullif(pe_tprice, 0), 2) AS pe_diff_pct FROM last)
@@ -99,17 +101,18 @@ SELECT symbol, expiry, round(rr, 4) AS risk_reversal, round(c, 3) AS call_slope,
 query("oi_weighted_iv", _LATEST + " SELECT symbol, expiry, round(sum(ce_iv * ce_oi + pe_iv * pe_oi) / nullif(sum(ce_oi + pe_oi), 0), 4) AS iv, sum(ce_oi + pe_oi) AS oi FROM last WHERE ce_iv > 0 GROUP BY 1, 2")(screens.oi_weighted_iv)
 query("iv_intraday_trend", """, d AS (SELECT o.symbol, timestamp, sum(ce_iv * ce_oi + pe_iv * pe_oi) / sum(ce_oi + pe_oi) AS iv FROM ocdata o JOIN (SELECT symbol, max(CAST(timestamp AS DATE)) AS day FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol AND CAST(timestamp AS DATE) = day GROUP BY 1, 2)
 SELECT symbol, round(arg_min(iv, timestamp), 4) AS iv_first, round(arg_max(iv, timestamp), 4) AS iv_last, round(arg_max(iv, timestamp) - arg_min(iv, timestamp), 4) AS iv_chg FROM d GROUP BY 1""")(screens.iv_intraday)
-query("flow_buckets", """, f AS (SELECT symbol, expiry, min(timestamp) AS t FROM ocdata GROUP BY 1, 2), c AS (SELECT o.symbol, o.expiry, strike_price, CASE WHEN abs(ce_delta) >= 0.5 THEN 'DEEP_ITM' WHEN abs(ce_delta) >= 0.3 THEN 'ATM' WHEN abs(ce_delta) >= 0.15 THEN 'NEAR_OTM' WHEN abs(ce_delta) >= 0.05 THEN 'FAR_OTM' ELSE 'DEEP_OTM' END AS b FROM ocdata o JOIN f ON o.symbol = f.symbol AND o.expiry = f.expiry AND o.timestamp = f.t),
-g AS (SELECT o.symbol, o.expiry, coalesce(b, 'DEEP_OTM') AS bucket, timestamp, sum(ce_oi_change) AS ce, sum(pe_oi_change) AS pe, sum(ce_oi) AS co, sum(pe_oi) AS po, sum(ce_tbq) AS ct, sum(pe_tbq) AS pt, max(underlying_price) AS spot, max(days_to_expiry) AS dte FROM ocdata o LEFT JOIN c ON o.symbol = c.symbol AND o.expiry = c.expiry AND o.strike_price = c.strike_price GROUP BY 1, 2, 3, 4),
-h AS (SELECT *, ce + pe AS net, coalesce(spot - lag(spot) OVER w, 0) AS sc, coalesce(ce + pe - lag(ce + pe) OVER w, 0) AS velocity, sum(ce + pe) OVER (PARTITION BY symbol, expiry, bucket ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS cumulative, CASE WHEN ct + pt > 0 THEN (ct - pt) / (ct + pt) ELSE 0 END AS imb FROM g WINDOW w AS (PARTITION BY symbol, expiry, bucket ORDER BY timestamp))
-SELECT symbol, expiry, bucket, timestamp, net, cumulative, velocity, coalesce(velocity - lag(velocity) OVER (PARTITION BY symbol, expiry, bucket ORDER BY timestamp), 0) AS acceleration, round(po / nullif(co, 0), 4) AS pcr, round(imb, 3) AS buy_imbalance,
-  CASE WHEN ce > 0 AND pe > 0 AND imb > 0.2 THEN 'Speculative' WHEN pe > 0 AND sc > 0 THEN 'Hedging' WHEN ce > 0 AND pe < 0 AND imb > 0.1 THEN 'Squeeze Setup' WHEN pe > 0 AND abs(pe) > abs(ce) * 3 THEN 'Panic Flow' WHEN abs(imb) < 0.05 AND abs(ce + pe) < 100 THEN 'Dealer Positioning' ELSE 'Mixed' END AS flow_type,
-  CASE WHEN dte <= 1 THEN 'expiry' WHEN dte <= 7 THEN 'short' WHEN dte <= 21 THEN 'medium' ELSE 'long' END AS dte_regime FROM h""")(screens.flow_buckets)
-query("exposure_layers", """, a AS (SELECT *, ce_delta_oi_chg + pe_delta_oi_chg AS df, row_number() OVER (PARTITION BY symbol, expiry, timestamp ORDER BY round(abs(net_vanna_ex), 6) DESC, strike_price) AS k FROM ocdata),
-g AS (SELECT symbol, expiry, timestamp, round(sum(net_gexv) / 1e6, 4) AS gex, round(sum(df), 2) AS delta_flow, round(sum(strike_price * abs(df)) / nullif(sum(abs(df)), 0), 2) AS centroid, sum(net_vanna_ex) AS vanna, max(strike_price) FILTER (k = 1) AS vanna_peak, max(underlying_price) AS spot FROM a GROUP BY 1, 2, 3),
-h AS (SELECT *, round(gex - lag(gex) OVER w, 4) AS gc, vanna - lag(vanna) OVER w AS vc, spot - lag(spot) OVER w AS sc FROM g WINDOW w AS (PARTITION BY symbol, expiry ORDER BY timestamp))
-SELECT symbol, expiry, timestamp, gex, delta_flow, centroid, vanna, vanna_peak, CASE WHEN abs(gc) < abs(coalesce(nullif(gex, 0), 1)) * 0.15 AND abs(vc) > abs(coalesce(nullif(vanna, 0), 1)) * 0.2 THEN 'fragile_pin' WHEN abs(gc) > abs(coalesce(nullif(gex, 0), 1)) * 0.3 THEN 'gamma_shift' END AS gamma_vanna,
-  CASE WHEN abs(delta_flow) > 100 AND gex > 0 AND gc IS NOT NULL THEN 'coiled_spring' END AS delta_gamma, CASE WHEN delta_flow > 0 AND sc < 0 THEN 'bullish_accumulation' WHEN delta_flow < 0 AND sc > 0 THEN 'bearish_distribution' END AS delta_price FROM h""")(screens.exposure_layers)
+query("flow_buckets", oracles.FLOW_BUCKETS)(flows.flow_buckets)
+query("flow_signals", oracles.FLOW_SIGNALS)(flows.flow_signals)
+query("flow_crossing", oracles.FLOW_CROSSING)(flows.flow_crossing)
+query("migrated_strikes", oracles.MIGRATED)(flows.migrated_strikes)
+query("smart_money")(flows.smart_money)
+query("exposure_layers", oracles.EXPOSURE_LAYERS)(layers.exposure_layers)
+query("exposure_profiles", oracles.EXPOSURE_PROFILES)(layers.exposure_profiles)
+query("eod_rows", oracles.eod_rows(AS_OF))(lambda c: screens.eod_rows(c, AS_OF).select("symbol", "expiry", "timestamp", "date", "strike_price", "ce_oi", "pe_oi", "ce_ltp"))
+query("intraday_oi", oracles.INTRADAY_OI)(screens.intraday_oi)
+query("risk_reversals", oracles.RISK_REVERSALS)(screens.risk_reversals)
+query("oi_weighted_iv_overall", oracles.WEIGHTED_IV_OVERALL)(screens.weighted_iv_overall)
+query("strike_gamma", oracles.STRIKE_GAMMA)(screens.strike_gamma)
 query("join_nearest_tolerance", """, x AS (SELECT symbol, timestamp, expiry, round(sum(strike_price * (ce_oi + pe_oi)) / sum(ce_oi + pe_oi), 4) AS center, max(underlying_price) AS spot FROM ocdata GROUP BY 1, 2, 3)
 SELECT symbol, timestamp, expiry, center, (SELECT arg_min(y.center, abs(y.center - x.center)) FROM x y WHERE y.symbol = x.symbol AND y.timestamp = x.timestamp AND y.expiry <> x.expiry AND abs(y.center - x.center) < x.spot * 0.02) AS match FROM x""")(screens.nearest_before)
 query("strike_interval", """, d AS (SELECT DISTINCT symbol, expiry, timestamp, strike_price FROM ocdata), g AS (SELECT *, strike_price - lag(strike_price) OVER (PARTITION BY symbol, expiry, timestamp ORDER BY strike_price) AS gap FROM d)
@@ -129,30 +132,30 @@ r AS (SELECT *, row_number() OVER (PARTITION BY symbol, expiry, timestamp ORDER
 query("gamma_profile", _LATEST + """, m AS (SELECT symbol, expiry, timestamp, min(strike_price) AS lo, max(strike_price) AS hi FROM last GROUP BY 1, 2, 3), l AS (SELECT m.*, i AS level, lo + (hi - lo) * i / 199 AS price FROM m, range(200) t(i)),
 n AS (SELECT l.symbol, l.expiry, l.timestamp, level, price, ce_gamma * ce_oi * lotsize / 1e9 AS call, -pe_gamma * pe_oi * lotsize / 1e9 AS put, row_number() OVER (PARTITION BY l.symbol, l.expiry, level ORDER BY round(abs(strike_price - price), 9), strike_price) AS k FROM l JOIN last o ON l.symbol = o.symbol AND l.expiry = o.expiry)
 SELECT symbol, expiry, timestamp, CAST(level AS INTEGER) AS level, round(price, 4) AS price, round(call, 9) AS call, round(put, 9) AS put FROM n WHERE k = 1""")(lambda c: ladder.gamma_profile(ocdata.latest(c, "symbol")).select(*ladder.KEYS, "level", F.round("price", 4).alias("price"), F.round("call", 9).alias("call"), F.round("put", 9).alias("put")))
-query("gamma_magnet")(lambda c: ladder.magnet(ladder.gamma_profile(ocdata.latest(c, "symbol"))))
-query("dealer_divergence")(lambda c: ladder.divergence_of_centers(c, F.col("expected_move_theoretical")))
-query("oi_shelf")(lambda c: grouped.oi_shelves(c, "ce").withColumn("side", F.lit("CE")).unionByName(grouped.oi_shelves(c, "pe").withColumn("side", F.lit("PE"))))
+query("gamma_magnet", oracles.MAGNET)(lambda c: ladder.magnet(ladder.gamma_profile(ocdata.latest(c, "symbol"))))
+query("dealer_divergence", oracles.DEALER_DIVERGENCE)(lambda c: ladder.divergence_of_centers(c, F.col("expected_move_theoretical")))
+query("oi_shelf", oracles.OI_SHELF)(walls.oi_shelves)
 query("iv_smile_fit")(grouped.iv_smile)
 query("clusters")(lambda c: grouped.clusters(c, "ce"))
 query("tracks")(lambda c: grouped.tracks(grouped.clusters(c, "ce"), c.groupBy(*ladder.KEYS).agg(F.max("underlying_price").alias("spot"))))
 query("monthly_expiries", """, d AS (SELECT symbol, CAST(timestamp AS DATE) AS date, date_trunc('month', expiry) AS mo, max(expiry) AS expiry FROM ocdata WHERE expiry >= CAST(timestamp AS DATE) GROUP BY 1, 2, 3), r AS (SELECT symbol, date, expiry, CAST(row_number() OVER (PARTITION BY symbol, date ORDER BY expiry) - 1 AS INTEGER) AS expiry_rank FROM d WHERE expiry - date > 3)
 SELECT * FROM r WHERE expiry_rank <= 1""")(eod.monthly)
-query("stage1")(eod.stage1)
-query("stage2")(lambda c: eod.stage2(eod.stage1(c)))
-query("signals")(lambda c: eod.signal_counts(eod.stage2(eod.stage1(c))))
-query("strength")(lambda c: eod.history(eod.stage2(eod.stage1(c)), "2024-01-09", "2024-01-17"))
-query("exposure_screener")(lambda c: eod.screener(eod.stage2(eod.stage1(c)), AS_OF, "changed"))
-query("defense_hold")(lambda c: eod.stage1(c).select(*eod.KEYS, regime_order(F.col("gex_regime")).alias("regime_order"), hold_probability(F.col("transition_width_norm"), F.col("concentration"), F.col("gex_regime")).alias("hold")))
+query("stage1", oracles.STAGE1 + " SELECT * FROM stage1")(eod.stage1)
+query("stage2", oracles.STAGE2 + " SELECT * FROM stage2")(lambda c: eod.stage2(eod.stage1(c)))
+query("signals", oracles.SIGNALS)(lambda c: eod.signal_counts(eod.stage2(eod.stage1(c))))
+query("strength", oracles.strength("2024-01-09", "2024-01-17"))(lambda c: eod.history(eod.stage2(eod.stage1(c)), "2024-01-09", "2024-01-17"))
+for _v in ("all", "changed", "dropped"):
+    query(f"exposure_screener_{_v}", oracles.screener(AS_OF, _v))(lambda c, v=_v: eod.screener(eod.stage2(eod.stage1(c)), AS_OF, v))
+query("regime_ramp", oracles.SHORT_HISTORY)(lambda c: eod.regime_ramp(eod.stage2(eod.stage1(c))))
+query("indicator_counts", oracles.INDICATORS)(lambda c: eod.indicator_counts(eod.stage2(eod.stage1(c))))
+query("defense_hold", oracles.DEFENSE)(lambda c: eod.stage1(c).select(*eod.KEYS, regime_order(F.col("gex_regime")).alias("regime_order"), hold_probability(F.col("transition_width_norm"), F.col("concentration"), F.col("gex_regime")).alias("hold")))
 query("upsert", " SELECT symbol, expiry, timestamp, strike_price, CASE WHEN symbol = 'ITC' THEN 0 ELSE ce_oi END AS ce_oi FROM ocdata")(lambda c: (lambda x: ocdata.upserted(x, x.filter("symbol = 'ITC'").withColumn("ce_oi", F.lit(0.0)), [*ladder.KEYS, "strike_price"]))(c.select(*ladder.KEYS, "strike_price", "ce_oi")))
 query("expiry_rule", """, d AS (SELECT DISTINCT CAST(timestamp AS DATE) AS day FROM ocdata), e AS (SELECT day, last_day(day) AS m, last_day(last_day(day) + 1) AS m2 FROM d), f AS (SELECT day, m - CAST((dayofweek(m) - 4 + 7) % 7 AS INTEGER) AS a, m2 - CAST((dayofweek(m2) - 4 + 7) % 7 AS INTEGER) AS b FROM e)
 SELECT day, CASE WHEN a >= day THEN a ELSE b END AS expiry FROM f""")(lambda c: c.select(F.to_date("timestamp").alias("day")).distinct().withColumn("expiry", monthly_expiry(F.col("day"))))
 query("vix_levels", " SELECT DISTINCT symbol, expiry, strike_price, timestamp, CASE WHEN ce_iv > 30 THEN 'extreme' WHEN ce_iv > 20 THEN 'elevated' WHEN ce_iv > 12 THEN 'normal' ELSE 'low' END AS level FROM ocdata")(lambda c: c.select("symbol", "expiry", "strike_price", "timestamp", vix_level(F.col("ce_iv")).alias("level")))
 query("strike_snapshot", _LATEST + " SELECT symbol, expiry, strike_price, ce_ltp, pe_ltp, ce_oi, pe_oi, round(ce_ltp / nullif(ce_tprice, 0), 4) AS ce_ratio, round(pe_ltp / nullif(pe_tprice, 0), 4) AS pe_ratio FROM last")(screens.strike_snapshot)
 query("oi_expiries", _LATEST + f" SELECT DISTINCT symbol, expiry FROM last WHERE expiry >= DATE '{AS_OF}' AND ce_oi + pe_oi > 0")(lambda c: ocdata.latest(c, "symbol").filter((F.col("expiry") >= F.lit(AS_OF).cast("date")) & (F.col("ce_oi") + F.col("pe_oi") > 0)).select("symbol", "expiry").distinct())
-query("oi_walls", _LATEST + f""", f AS (SELECT l.* FROM last l JOIN (SELECT symbol, min(expiry) AS e FROM last WHERE expiry >= DATE '{AS_OF}' GROUP BY 1) m ON l.symbol = m.symbol AND l.expiry = m.e),
-r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ce_oi DESC, strike_price) AS cn, row_number() OVER (PARTITION BY symbol ORDER BY pe_oi DESC, strike_price) AS pn, row_number() OVER (PARTITION BY symbol ORDER BY round(abs(net_gexv), 6) DESC, strike_price) AS gn FROM f)
-SELECT symbol, expiry, max(strike_price) FILTER (cn = 1) AS ce_wall, round(max(ce_oi) / avg(ce_oi) FILTER (ce_oi > 0), 2) AS ce_strength, max(strike_price) FILTER (pn = 1) AS pe_wall, round(max(pe_oi) / avg(pe_oi) FILTER (pe_oi > 0), 2) AS pe_strength,
-  max(strike_price) FILTER (gn = 1) AS gamma_wall, round(sum(pe_oi) / nullif(sum(ce_oi), 0), 3) AS pcr FROM r GROUP BY 1, 2""")(lambda c: screens.oi_walls(c, AS_OF))
+query("oi_walls", oracles.oi_walls(AS_OF))(lambda c: walls.oi_walls(c, AS_OF))
 query("best_by_delta", _LATEST + """, s AS (SELECT symbol, expiry, 'CE' AS side, strike_price, abs(ce_delta) AS delta, ce_ltp AS ltp FROM last UNION ALL SELECT symbol, expiry, 'PE', strike_price, abs(pe_delta), pe_ltp FROM last),
 n AS (SELECT *, row_number() OVER (PARTITION BY symbol, expiry, side ORDER BY round(abs(delta - 0.3), 9), strike_price) AS n FROM s) SELECT symbol, expiry, side, strike_price, round(delta, 4) AS delta, ltp FROM n WHERE n = 1""")(screens.best_by_delta)
 query("market_sessions", """, d AS (SELECT DISTINCT symbol, expiry, timestamp, days_to_expiry AS dte, hour(timestamp) * 60 + minute(timestamp) AS m FROM ocdata)

@@ -60,6 +60,16 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH " + _CELL.replace("FROM lineitem", "FROM {lines}") + " SELECT * FROM ocdata", lines=lines)
 
 
+def chain_table(spark: SparkSession, name: str) -> DataFrame | None:
+    """The chain of a table or view of that name; None if there is no such table."""
+    return spark.table(name) if spark.catalog.tableExists(name) else None
+
+
+def to_csv(df: DataFrame, path: str) -> None:
+    """Writes df as CSV files with a header, nulls as empty fields."""
+    json_safe(df).write.mode("overwrite").csv(path, header=True, nullValue="")
+
+
 def at_time(when: str, column: str = "timestamp") -> Column:
     """A range filter on a day (10 characters), a minute (16) or an exact time, so that files are pruned by their statistics."""
     lo = F.to_timestamp(F.lit(when if len(when) > 10 else when + " 00:00:00"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ladderlake import queries
 from ladderlake.functions import expressions as E
-from ladderlake.operators import grouped, ladder
+from ladderlake.operators import flows, grouped, ladder, screens, walls
 from ladderlake.plans import eod
 from ladderlake.sources import ocdata
 from ladderlake.streaming import ingest
@@ -71,20 +71,134 @@ def test_expressions_by_hand(spark):
     assert r.x1 == dt.date(2024, 2, 29) and r.x2 == dt.date(2025, 8, 26) and r.p == 38
 
 
-def test_oi_shelf_walk():
-    strikes = [100, 200, 300, 500, 600, 700]
-    assert grouped.shelf(strikes, [1, 50, 100, 60, 10, 90], True) == (2, 100.0, [1, 2, 3])
-    assert grouped.shelf([], [], True) is None and grouped.shelf([100], [0], False) is None
-    assert grouped.shelf([10.0, 10.5, 11.0], [5, 100, 6], False)[0] == 2
+def plain_shelf(strikes, oi, index):
+    """(wall, grid, shelf) by walking outwards one grid step at a time."""
+    for step, least in ((100, 3), (50, 3)) if index else ((1, 2),):
+        on = [x % step == 0 for x in strikes]
+        if sum(on) >= least:
+            break
+    else:
+        on = [True] * len(strikes)
+    held = {x: o for x, o, keep in zip(strikes, oi, on) if keep}
+    wall = max(held, key=lambda x: (held[x], -x))
+    if held[wall] <= 0:
+        return None
+    xs = sorted(held)
+    at = xs.index(wall)
+    gaps = [round(b - a, 3) for a, b in zip(xs[max(0, at - 6) :], xs[max(0, at - 6) + 1 : at + 7])]
+    grid = max(dict.fromkeys(gaps), key=gaps.count) if gaps else 0
+    shelf = [wall]
+    for way in (-grid, grid) if grid else ():
+        x, missing = wall + way, 0
+        while missing <= 1 and (x not in held or held[x] >= 0.4 * held[wall]):
+            missing = 0 if x in held else missing + 1
+            shelf += [x] if x in held else []
+            x += way
+    return wall, grid, sorted(shelf)
+
+
+def test_shelves_against_walk(spark):
+    rng, rows, want = random.Random(5), [], {}
+    cases = [([100, 200, 300, 500, 600, 700], [1, 50, 100, 60, 10, 90], True), ([100], [0], False), ([10.0, 10.5, 11.0], [5, 100, 6], False)]
+    for _ in range(200):
+        step = rng.choice([0.5, 1, 2.5, 50, 100])
+        strikes = sorted(rng.sample([step * k for k in range(1, 40)], rng.randint(1, 25)))
+        cases.append(([float(x) for x in strikes], [float(rng.choice([0, 10, 40, 41, 90, 100])) for _ in strikes], rng.random() < 0.5))
+    for i, (strikes, oi, index) in enumerate(cases):
+        symbol = "NIFTY" if index else "ITC"
+        rows += [(symbol, i, "CE", float(x), float(o), 1.0, 0.5) for x, o in zip(strikes, oi)]
+        want[i] = plain_shelf(strikes, oi, index)
+    got = {r.id: (r.wall_strike, r.grid, [float(x) for x in r.members.split(",")]) for r in walls.shelves(spark.createDataFrame(rows, "symbol string, id int, side string, strike_price double, oi double, oi_change double, moved double"), ["symbol", "id", "side"]).collect()}
+    assert got == {i: w for i, w in want.items() if w}
 
 
 def test_oi_shelf_signal_takes_the_change_of_price(spark):
-    rows = [(symbol, dt.date(2024, 1, 25), dt.datetime(2024, 1, 1, h), 100.0, 50.0, change, ltp) for symbol, change, ltps in (("A", 5.0, (9.0, 7.0)), ("B", -5.0, (9.0, 7.0)), ("C", 5.0, (7.0, 9.0))) for h, ltp in zip((9, 10), ltps)]
-    chain = spark.createDataFrame(rows, "symbol string, expiry date, timestamp timestamp, strike_price double, ce_oi double, ce_oi_change double, ce_ltp double")
-    found = {(r.symbol, r.timestamp.hour): r.signal for r in grouped.oi_shelves(chain).collect()}
+    rows = [(symbol, dt.date(2024, 1, 25), dt.datetime(2024, 1, 1, h), 100.0, 50.0, change, ltp, 0.0, 0.0, 0.0) for symbol, change, ltps in (("A", 5.0, (9.0, 7.0)), ("B", -5.0, (9.0, 7.0)), ("C", 5.0, (7.0, 9.0))) for h, ltp in zip((9, 10), ltps)]
+    chain = spark.createDataFrame(rows, "symbol string, expiry date, timestamp timestamp, strike_price double, ce_oi double, ce_oi_change double, ce_ltp double, pe_oi double, pe_oi_change double, pe_ltp double")
+    found = {(r.symbol, r.timestamp.hour): r.signal for r in walls.oi_shelves(chain).collect()}
     assert [found[s, 10] for s in "ABC"] == ["Short Build-Up", "Long Unwinding", "Long Build-Up"] and {found[s, 9] for s in "ABC"} == {"Neutral"}
 
 
+def test_each_signal_rule(spark):
+    """Each rule fires alone when its condition holds, and not just before it."""
+    base = {"date": 1, "gex_regime": "mixed", "iv_change": 0.0, "expected_move": 100.0, "flip_norm_distance": 0.5, "flip_velocity": 0.0, "transition_width_norm": 0.5, "neg_gamma_fraction": 0.5, "pe_vanna": 0.0, "ce_vanna": 0.0}
+    cases = [
+        ({"gex_regime": "positive"}, {"gex_regime": "negative"}, "regime_flip_to_neg"), ({"gex_regime": "all_negative"}, {"gex_regime": "all_positive"}, "regime_flip_to_pos"), ({"gex_regime": "mixed"}, {"gex_regime": "negative"}, ""),
+        ({}, {"flip_velocity": -25.0}, "flip_drift_down"), ({}, {"flip_velocity": 25.0}, "flip_drift_up"), ({}, {"flip_velocity": 24.9}, ""), ({}, {"flip_velocity": 25.0, "flip_norm_distance": 1.0}, ""),
+        ({"gex_regime": "positive"}, {"gex_regime": "positive", "transition_width_norm": 0.44}, "pin_strengthening"), ({"gex_regime": "positive"}, {"gex_regime": "positive", "transition_width_norm": 0.45}, ""), ({}, {"transition_width_norm": 0.1}, ""),
+        ({}, {"neg_gamma_fraction": 0.56}, "instability_widening"), ({}, {"neg_gamma_fraction": 0.54}, ""),
+        ({"gex_regime": "negative"}, {"gex_regime": "negative", "iv_change": 0.1, "pe_vanna": -1.0}, "crash_risk"), ({"gex_regime": "negative"}, {"gex_regime": "negative", "iv_change": 0.1, "pe_vanna": 0.0}, ""),
+        ({"gex_regime": "positive"}, {"gex_regime": "positive", "iv_change": 0.1, "ce_vanna": 1.0}, "bull_trend_reinforce"), ({"gex_regime": "positive"}, {"gex_regime": "positive", "iv_change": 0.0, "ce_vanna": 1.0}, ""),
+        ({"gex_regime": "negative"}, {"gex_regime": "negative", "iv_change": -0.1, "pe_vanna": -1.0}, "bear_trend_reinforce"),
+        ({"date": None}, {"gex_regime": "negative", "iv_change": 0.1, "pe_vanna": -1.0}, ""),
+    ]
+    rows = [(i, *({**base, **now}[n] for n in base), *({**base, **before}[n] for n in base)) for i, (before, now, _) in enumerate(cases)]
+    types = {n: "string" if n == "gex_regime" else "int" if n == "date" else "double" for n in base}
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{p}{n} {t}" for p in ("n_", "b_") for n, t in types.items()))
+    got = {r.id: r.s for r in df.select("id", E.signals({n: F.col(f"n_{n}") for n in base}, {n: F.col(f"b_{n}") for n in base}).alias("s")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_run_over_new_days_goes_on_where_the_last_ended(spark):
+    chain = ocdata.chain(spark, "/root/testdata/sf0.01")
+    whole = eod.stage1(chain)
+    old = eod.stage1(chain.filter("timestamp < '2024-01-12'"))
+    new = eod.stage1(chain.filter("timestamp >= '2024-01-12'"), before=old)
+    want, got = ({(r.symbol, r.date, r.expiry_rank): r for r in x.select(sorted(whole.columns)).collect()} for x in (whole, old.unionByName(new)))
+    assert want == got and len(want) == 80
+
+
+def test_screener_filters_and_severity(spark):
+    rows = [("A", 2, 0, "high", "positive", "flip_drift_up,crash_risk", False, False, -3.0), ("B", 2, 0, "low", "negative", "", True, False, 1.0), ("C", 2, 0, "medium", "negative", "", False, False, 2.0), ("D", 2, 0, "medium", "negative", "pin_strengthening", False, False, None), ("C", 1, 0, "low", "mixed", "crash_risk", False, False, 0.0), ("D", 1, 0, "low", "mixed", "crash_risk", False, False, 0.0)]
+    x = spark.createDataFrame([(s, dt.date(2024, 1, d), *rest) for s, d, *rest in rows], "symbol string, date date, expiry_rank int, confidence string, gex_regime string, signals string, regime_compression boolean, compression_release boolean, net_gex_norm double")
+    names = lambda *a, **k: [r.symbol for r in eod.screener(x, *a, **k).collect()]
+    assert names(sort_by="net_gex_norm") == ["A", "C", "B", "D"] and names("2024-01-02", sort_by="signals") == ["A", "D", "B", "C"]
+    assert sorted(names(view="changed")) == ["A", "B", "D"] and sorted(names(least_confidence="medium")) == ["A", "C", "D"] and names(signal="crash") == ["A"]
+    assert sorted(names(regime="negative")) == ["B", "C", "D"] and names(members=x.filter("symbol = 'B'").select("symbol").distinct()) == ["B"] and names(sort_by="net_gex_norm", limit=1) == ["A"]
+    assert [(r.symbol, r.prev_signals) for r in eod.screener(x, view="dropped").collect()] == [("C", "crash_risk")]
+    assert [(r.date.day, r.compressing, r.releasing) for r in eod.indicator_counts(x).orderBy("date").collect()] == [(1, 0, 0), (2, 1, 0)]
+
+
+def test_flows_cross_and_migrate(spark):
+    """The far strike's share grows while all open interest stands still, and the near strike's delta falls below its bucket."""
+    t, e = lambda h: dt.datetime(2024, 1, 2, h), dt.date(2024, 1, 25)
+    rows = [("A", e, t(h), k, oi, 0.0, oi_chg, delta, spot) for h, k, oi, oi_chg, delta, spot in ((9, 100.0, 60.0, 0.0, 0.45, 100.0), (9, 110.0, 40.0, 0.0, 0.2, 100.0), (10, 100.0, 50.0, -10.0, 0.25, 101.0), (10, 110.0, 50.0, 10.0, 0.2, 101.0), (10, 120.0, 0.0, 0.0, 0.1, 101.0))]
+    x = spark.createDataFrame(rows, "symbol string, expiry date, timestamp timestamp, strike_price double, ce_oi double, pe_oi double, ce_oi_change double, ce_delta double, underlying_price double")
+    x = x.withColumns({"pe_delta": F.lit(-0.1), "pe_oi_change": F.lit(0.0), "ce_iv": F.lit(10.0), "pe_iv": F.lit(0.0), "days_to_expiry": F.lit(20), "net_vanna_ex": F.lit(0.0), "net_flow": F.lit(0.0)} | {f"{s}_{n}": F.lit(v) for s in ("ce", "pe") for n, v in (("ltp", 5.0), ("volume", 10.0), ("bid_ask_spread", 0.1), ("tbq", 1.0))})
+    assert [tuple(r)[2:] for r in flows.flow_crossing(x).collect()] == [("ATM", "decreasing", -10.0, 0.0)]
+    # the strike that was not listed at first counts as DEEP_OTM, and its delta says FAR_OTM now
+    assert [(r.strike_price, r.ce_open, r.ce_now) for r in flows.migrated_strikes(x).orderBy("strike_price").collect()] == [(100.0, "ATM", "NEAR_OTM"), (120.0, "DEEP_OTM", "FAR_OTM")]
+    told = {r.bucket: (r.ce_signal, r.migrated, r.spot_chg) for r in flows.flow_signals(x).collect()}
+    assert told == {"ATM": ("Short Covering", 1, 1.0), "NEAR_OTM": ("Long Build-Up", 0, 1.0), "DEEP_OTM": ("Neutral", 1, 1.0)}
+    cut = x.withColumn("ce_iv", F.lit(0.0))
+    assert flows.with_greeks(cut).isEmpty() and flows.tradeable(x, min_oi=55).count() == 1 and flows.tradeable(x.withColumn("ce_ltp", F.lit(0.0)).withColumn("pe_ltp", F.lit(0.0))).isEmpty()
+
+
+def test_smart_money_on_both_sides(spark):
+    x = flows.smart_money(ocdata.chain(spark, "/root/testdata/sf0.01")).toPandas()
+    assert set(x.side) == {"CE", "PE"} and x.avg_delta.between(0, 1).all() and x.buy_imbalance.between(-1, 1).all()
+    for _, g in x.sort_values(["timestamp", "center_strike"]).groupby(["symbol", "expiry", "side", "track"]):
+        assert g.velocity.iloc[0] == 0 and all(abs(v - (b - a)) < 0.011 for v, a, b in zip(g.velocity[1:], g.prem_flow, g.prem_flow[1:]))
+        assert all(abs(v - (b - a)) < 0.021 for v, a, b in zip(g.acceleration[1:], g.velocity, g.velocity[1:]))
+
+
+def test_divergence_ignores_lapsed_expiries(spark):
+    rows = [("A", dt.date(2024, 1, d), dt.datetime(2024, 1, t, 9), 0.0, 100.0 + t, ce, 5.0) for d, ces in ((3, (1.0, 9.0)), (25, (10.0, 8.0))) for t, ce in zip((1, 2), ces)]
+    x = spark.createDataFrame(rows, "symbol string, expiry date, timestamp timestamp, distance_from_atm double, underlying_price double, ce_ltp double, pe_ltp double").withColumns({n: F.lit(10.0) for n in ("ce_iv", "pe_iv", "net_flow")})
+    assert [(r.signal, r.ce_pct) for r in screens.divergence(x, "2024-01-05").collect()] == [("SMART_SELL", -20.0)]
+    assert screens.divergence(x, "2024-01-05", intraday=True).isEmpty()
+
+
+def test_tables_and_csv(spark, tmp_path):
+    assert ocdata.chain_table(spark, "no_such_table") is None
+    spark.createDataFrame([(1, float("nan"))], "a int, b double").createOrReplaceTempView("some_chain")
+    x = ocdata.chain_table(spark, "some_chain")
+    ocdata.to_csv(x, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).collect() == [("1", None)]
+    (tmp_path / "map.csv").write_text("ticker,code\nABC,XYZ\n")
+    assert [tuple(r) for r in ocdata.tickers(spark, str(tmp_path / "map.csv")).collect()] == [("ABC", "XYZ")]
+
+
 def test_peaks():
     import numpy as np
 
@@ -134,9 +248,7 @@ def test_upsert_and_json(spark):
 
 def test_empty_chain(spark):
     empty = ocdata.chain(spark, SF).limit(0)
-    from ladderlake.operators import screens
-
-    for f in (screens.overview, screens.flow_buckets, screens.skew, ladder.max_pain, eod.stage1, grouped.clusters, grouped.oi_shelves):
+    for f in (screens.overview, flows.flow_buckets, screens.skew, ladder.max_pain, eod.stage1, grouped.clusters, walls.oi_shelves):
         assert f(empty).count() == 0
 
 
@@ -152,7 +264,5 @@ def test_plans(spark):
     chain = ocdata.chain(spark, SF)
     plan = ladder.max_pain(chain)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
-    from ladderlake.operators import screens
-
     plan = screens.now_and_before(chain, F.col("ce_ltp"))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Join" not in plan
