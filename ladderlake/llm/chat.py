@@ -2,8 +2,8 @@
 
 Messages are parsed into lines of quote levels, and lines of one level that follow each other into
 passages. A normalised quoted passage, or else a sentence or a line of it, is hashed and linked to
-the latest earlier message of the conversation that said it as its own. The links give reply order,
-and the conversation is built without the quotes.
+the latest earlier message of the conversation that said it as its own. The links give threads, and
+conversations are built from them in reply order, without the quotes.
 """
 
 from __future__ import annotations
@@ -63,7 +63,8 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     conversation's first turn. quotes counts its quoted lines, deepest is their deepest level.
     Each passage, sentence and line is linked to the latest earlier turn that said it; blank ones to none.
 
-    Null texts are empty. Messages with a null conversation or turn have a row and no links.
+    Null texts are empty; whole texts are parsed, however long. Of equal claims the latest turn wins.
+    Other columns are left aside, so clashing names do no harm. Messages with a null conversation or turn have a row and no links.
     Repeated turns are messages of their own that share a turn. Hot conversations are joined by
     their passages, sentences and lines, not gathered.
     """
@@ -105,7 +106,27 @@ def formatted(linked: DataFrame, role: str = "role", text: str = "text") -> Data
     return linked.withColumn("message", F.concat(F.lit("<|im_start|>"), F.coalesce(c(role), F.lit("user")), F.lit("\n"), body, F.lit("<|im_end|>")))
 
 
+def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = 256) -> DataFrame:
+    """(conversation, thread, part, sub, messages, chat): the messages of each thread in reply order, without quotes, and their markup.
+
+    messages is an array of struct(turn, role, reply_to, text); a message follows the one it
+    replies to. A thread of more than most turns goes on in further parts, in order of part.
+    More than most messages within most turns, which takes repeated turns or null ones, are dealt
+    to subs by their hash, each in order of turn: no array grows with a hot conversation. A null
+    conversation or turn has a null thread and null parts.
+    """
+    body = F.struct(c(turn).alias("turn"), F.xxhash64(c(text), c(role)).alias("mark"), c(role).alias("role"), "reply_to", c(text).alias("text"), "message")
+    x = formatted(linked, role, text).select(c(conversation).alias("conv"), "thread", F.floor(c(turn) / most).alias("part"), body.alias("m"))
+    keys = ["conv", "thread", "part"]
+    large = x.groupBy(*keys).count().filter(F.col("count") > most).select(*(F.col(k).alias(f"l_{k}") for k in keys), F.ceil(F.col("count") / most).cast("int").alias("subs"))
+    x = x.join(large, F.expr(" AND ".join(f"{k} <=> l_{k}" for k in keys)), "left")
+    x = x.withColumn("sub", F.coalesce(F.pmod(F.xxhash64("m.turn", "m.mark"), F.col("subs")).cast("int"), F.lit(0)))
+    x = x.groupBy(*keys, "sub").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    told = F.transform("all", lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["reply_to"].alias("reply_to"), m["text"].alias("text")))
+    return x.select(F.col("conv").alias(conversation), "thread", "part", "sub", told.alias("messages"), F.array_join(F.transform("all", lambda m: m["message"]), "\n").alias("chat"))
+
+
 def op7_chat(spark, sf_dir: str) -> DataFrame:
-    """Every message without quotes, in reply order: by conversation, thread and turn."""
-    found = formatted(link(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    return found.orderBy("conv_id", "thread", "turn").select("conv_id", "thread", "turn", "role", "reply_to", "quotes", "deepest", "message")
+    """Every conversation as threads of messages without quotes, in reply order."""
+    found = conversations(link(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return found.select("conv_id", "thread", "part", "sub", F.size("messages").alias("n_messages"), F.col("messages.turn").alias("turns"), F.col("messages.role").alias("roles"), F.col("messages.reply_to").alias("reply_to"), "chat")

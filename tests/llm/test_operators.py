@@ -2,7 +2,9 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
+import re
 import time
 import zlib
 
@@ -145,10 +147,24 @@ def test_licenses(spark, odd, none):
     text = next(t for n, t in licenses.KNOWN if n == "MIT")
     rows = [(1, text.upper().replace(".", " ;")), (2, "Copyright (c) 2020 A. Person\n" + text.replace("sublicense", "sub-licence")), (3, text + " and more"), (4, "words\nLicensed under CC BY 4.0.\nwords"), (5, None), (6, "")]
     x = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()}
+    whole = licenses._MIT + "\n\n" + licenses._ZLIB.replace("\n\n", "\n \n") + "\n\nCopyright Acme Inc.\n\nlast words"
+    rows = [(1, "# header\n\n" + whole), (2, licenses._MIT.split("\n\n")[0] + "\n\nother words"), (1, "# header\n\n" + whole), (3, "# Copyright Acme Inc.\n" + "\n".join(f"# {x}" for x in licenses._MIT.split("\n")))]
+    assert sorted((r.doc_id, r.license or "", r.block_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()) == [(1, "", "MIT,Zlib"), (1, "", "MIT,Zlib"), (2, "", ""), (3, "MIT", "MIT")]
     assert mit and x[1][0] == x[2][0] == "MIT" and x[3][0] is None and x[4] == (None, "CC-BY-4.0") and x[5] == x[6] == (None, "")
     assert licenses.scan(odd, licenses.known(spark)).count() == len(ODD) and licenses.scan(none, licenses.known(spark)).count() == 0
 
 
+def test_license_digests(spark):
+    """Where the machine has the whole texts, their digests are those of the table."""
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(n, open(f"{folder}/{f}", encoding="utf-8", errors="replace").read()) for f, n in names.items() if os.path.exists(f"{folder}/{f}")]
+    x = licenses.scan(spark.createDataFrame([(n, "\n\n" + t.upper()) for n, t in rows], "doc_id string, text string"), licenses.known(spark)).collect()
+    assert {r.doc_id: r.license for r in x} == {n: n for n, _ in rows}
+
+
 def test_license_tags(spark):
     rows = [(1, "// SPDX-License-Identifier: MIT\nint x;"), (2, "SPDX-License-Identifier: MPL-2.0")]
     x = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()}
@@ -332,12 +348,83 @@ def test_chat_wrapped_and_repeated_quotes(spark):
     assert x == {0: None, 1: None, 2: None, 3: 1, 4: 2, 5: 1, 6: None, 7: 6, 8: 2}
 
 
+def plain_units(text):
+    """(level, kind, normalised) of passages, sentences and lines."""
+    lines = []
+    for x in (text or "").replace("\r\n", "\n").split("\n"):
+        m = re.match(r"[ \t]*((?:>[ \t]?)+)", x)
+        lines.append((m.group(1).count(">"), x[m.end() :]) if m else (0, x))
+    plain = lambda x: " ".join(re.sub(r"[!-/:-@\[-`{-~\s]+", " ", x.lower()).split())
+    passages, before = [], None
+    for level, x in lines:
+        if passages and before == level and plain(x) and plain(passages[-1][1].split("\n")[-1]):
+            passages[-1] = (level, passages[-1][1] + "\n" + x)
+        else:
+            passages.append((level, x))
+        before = level
+    passages = [(level, x.replace("\n", " ")) for level, x in passages]
+    out = [(level, 2, plain(x)) for level, x in passages] + [(level, 1, plain(y)) for level, x in passages for y in re.split(r"(?<=[.!?;:…])\s+", x)] + [(level, 0, plain(x)) for level, x in lines]
+    return {u for u in out if u[2]}
+
+
+def plain_links(rows):
+    """reply_to and thread of each (conv, turn)."""
+    links = {}
+    for conv, turn, _, text in rows:
+        best = None
+        for level, kind, said in plain_units(text):
+            origins = [t for k, t, _, x in rows if k == conv and t < turn and (0, kind, said) in plain_units(x)]
+            if level and origins:
+                best = max(best or (-99,), (-level, kind, len(said), max(origins)))
+        links[conv, turn] = best[-1] if best else None
+    top = {}
+    for conv, turn in links:
+        at = turn
+        while links[conv, at] is not None:
+            at = links[conv, at]
+        top[conv, turn] = at if at != turn else min(t for k, t in links if k == conv)
+    return links, top
+
+
+def test_chat_against_brute_force(spark):
+    """Planted quotes: whole, re-wrapped, nested, of single sentences, of words said often."""
+    rng, rows = random.Random(8), []
+    for conv in range(12):
+        said = []
+        for turn in range(14):
+            own = ["Yes.", "No way!"][: rng.randint(0, 1)] + [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(rng.randint(2, 9))) + rng.choice([".", "?", ""]) for _ in range(rng.randint(1, 3))]
+            lines = []
+            if said and rng.random() < 0.7:
+                words = rng.choice(said[-1:] if rng.random() < 0.3 else said).split(" ")
+                cut = rng.randint(1, len(words))
+                mark = rng.choice(["> ", ">", ">> ", "> > "])
+                lines = [mark + " ".join(words[:cut])] + ([mark + " ".join(words[cut:])] if cut < len(words) else [])
+                lines = ["On Monday A wrote:"] * (rng.random() < 0.3) + [x.upper() if rng.random() < 0.2 else x for x in lines]
+            said += [" ".join(own), *own]
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), "\n".join(lines + own)))
+    links, top = plain_links(rows)
+    df = spark.createDataFrame(rows, "CONV_ID long, turn long, role string, text string")
+    linked = chat.link(df, conversation="conv_id")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread) for r in linked.collect()}
+    assert got == {k: (links[k], top[k]) for k in links} and sum(x is not None for x in links.values()) > 60
+    for r in chat.conversations(linked, most=5).collect():
+        turns = [m.turn for m in r.messages]
+        assert turns == sorted(turns) and len(turns) <= 5 and r.chat.count("<|im_start|>") == len(turns) and all(top[r.conv_id, t] == r.thread for t in turns)
+        assert all(m.reply_to is None or m.reply_to < m.turn for m in r.messages) and "> alpha" not in r.chat
+
+
+def test_chat_hot_and_odd(spark):
+    rows = [(1, 1, "u", f"text {i}") for i in range(900)] + [(None, i, "u", "x") for i in range(600)] + [(2, None, "u", None), (3, 0, "u", "word " * 200_000)]
+    x = chat.conversations(chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sum(len(r.messages) for r in x) == len(rows) and max(len(r.messages) for r in x) < 600
+
+
 # 8
 def test_quality_on_labels_it_has_not_seen(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     learnt = remainder(F.col("doc_id"), 2) == 1
-    x = quality.classify(docs, labels.filter(learnt)).join(labels.filter(~learnt), "doc_id").toPandas()
+    x = quality.draw(docs, labels.filter(learnt)).join(labels.filter(~learnt), "doc_id").toPandas()
     good, bad = x[(x.quality == 1) & (x.toxic == 0)], x[x.quality == 0]
     assert len(good) > 1000 and good.selected.mean() > 0.97
     assert len(bad) > 200 and bad.selected.mean() < 0.1
@@ -368,23 +455,23 @@ def test_quality_against_brute_force(spark):
     good = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "key long")
     docs = spark.createDataFrame(rows, "doc_id long, Text string")
     scored = quality.score(docs, quality.fit(docs, good, "text"), "text")
-    x = quality.resample(scored, 50, text="text").collect()
+    x = quality.resample(scored, 50, ["doc_id", "text"]).collect()
     want = dict(zip(rows, plain_quality(rows, set(range(0, 200, 3)))))
     assert len(x) == len(rows) and all(r.log_weight is None if want[r.doc_id, r.Text] is None else abs(r.log_weight - want[r.doc_id, r.Text]) < 1e-6 for r in x)
     keys = sorted((r.gumbel_key for r in x if r.gumbel_key is not None), reverse=True)
     assert all(r.selected == (r.gumbel_key is not None and r.gumbel_key >= keys[49]) for r in x) and sum(r.selected for r in x) == 50
     # what is added to the weights is Gumbel noise: mean 0.577, deviation 1.283
     noise = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(0.0).alias("log_weight"))
-    noise = quality.resample(noise, 20000).agg(F.avg("gumbel_key"), F.stddev("gumbel_key")).first()
+    noise = quality.resample(noise, 20000, ["doc_id"]).agg(F.avg("gumbel_key"), F.stddev("gumbel_key")).first()
     assert abs(noise[0] - 0.577) < 0.05 and abs(noise[1] - 1.283) < 0.05
 
 
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 0), (7, None, 1), (None, 1, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
-    x = quality.classify(odd, labels).collect()
+    x = quality.draw(odd, labels).collect()
     assert len(x) == len(ODD) and not any(r.selected for r in x if r.doc_id in (1, 2, 3))
-    assert quality.classify(none, labels).count() == 0 and quality.classify(odd, labels.limit(0), k=0).filter("selected").count() == 0
-    assert {r.selected for r in quality.classify(odd, labels, k=100).filter("doc_id = 5").collect()} == {True}
+    assert quality.draw(none, labels).count() == 0 and quality.draw(odd, labels.limit(0), k=0).filter("selected").count() == 0
+    assert {r.selected for r in quality.draw(odd, labels, k=100).filter("doc_id = 5").collect()} == {True}
     values = spark.createDataFrame([(float(i % 97),) for i in range(20000)], "x double")
     want = sorted((float(i % 97) for i in range(20000)), reverse=True)
     assert [kth_largest(values, "x", k) for k in (1, 9999, 20000, 20001)] == [want[0], want[9998], want[-1], None]
