@@ -10,6 +10,10 @@ sends its different pairs to the partition of their second word, packed as array
 partitions add them up. The sums go back to the chunk, those that each history needs go to the
 partition of the history, which works out backoff weights and answers what the chunk's unseen pairs
 ask. In the second reading each chunk packs which document holds which pair, and meets its answers.
+
+Words are counted first, in a table of their own. There are as many partitions as keep each at about
+PART tokens, and the pairs of a frequent second word are dealt to all of them by their history, so what meets in
+a task does not grow with the input. backoff.score does the same for histories of any length, a row for each n-gram.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, remainder, stored
+from .common import c, remainder, small_batches, stored
 
 #: Counts up to K are discounted by Good-Turing; greater ones keep KEEP of their share, so that every history leaves some mass.
 K, KEEP = 5, 0.999
 #: Tokens of a chunk: what one task holds at once.
 CHUNK = 1_500_000
+#: Tokens whose pairs meet in one partition, about; a word that occurs more than a HOT-th as often is dealt to several, of about so many each.
+PART, HOT = 2_500_000, 4
 #: No word holds white space, so these stand for the end of a text and, as a history, for its start.
 END, START = b"\n", b"\r"
 _ROW = "kind int, part int, chunk long, sub int, blob binary, stats array<long>"
@@ -69,10 +75,16 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(columns, types)], names=["kind", "part", "chunk", "sub", "blob", "stats"])
 
 
+def _salted(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The hash of a word's share."""
+    x = (word ^ (salt.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 class _Chunk:
     """The tokens of some documents, sorted by the partition and hash of the token, then its history, then document."""
 
-    def __init__(self, ids: list, held_out: list, texts: list, parts: int):
+    def __init__(self, ids: list, held_out: list, texts: list, parts: int, hot: tuple[np.ndarray, np.ndarray]):
         index: dict[bytes, int] = {END: 0, START: 1}
         flat, lengths = [], []
         known = index.get
@@ -89,12 +101,26 @@ class _Chunk:
         history = np.roll(word, 1)
         history[starts] = 1
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+        # a frequent word counts as several, told apart by what stands before it
+        often = np.flatnonzero(np.isin(hashes, hot[0]))
+        split = np.flatnonzero(np.isin(word, often)) if len(often) else often
+        end_ids = [0]
+        if len(split):
+            most = int(hot[1].max())
+            shares = np.ones(len(index), np.int64)
+            shares[often] = hot[1][np.searchsorted(hot[0], hashes[often])]
+            salt = (hashes[history[split]] >> np.uint64(20)).astype(np.int64) % shares[word[split]]
+            salted, at = np.unique(word[split].astype(np.int64) * most + salt, return_inverse=True)
+            end_ids += (len(index) + np.flatnonzero(salted // most == 0)).tolist()
+            word = word.astype(np.int64)
+            word[split] = len(index) + at
+            hashes = np.concatenate([hashes, _salted(hashes[salted // most], salted % most)])
         part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((hashes, part))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.ids, self.held_out, self.lengths = ids, np.array(held_out, bool), lengths
-        key = rank[word] * len(order) + rank[history]
+        key = rank[word].astype(np.int64) * len(order) + rank[history]
         doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         at = np.argsort(key, kind="stable")
         key, self.doc = key[at], doc[at]
@@ -106,10 +132,10 @@ class _Chunk:
         used = np.unique(pair_word)
         self.words, self.part = hashes[order][used], part[order][used]
         self.pairs = np.diff(np.append(np.searchsorted(pair_word, used), len(pair_word)))
-        self.end = int(np.flatnonzero(used == rank[0])[0])
+        self.end = np.flatnonzero(np.isin(used, rank[end_ids]))
 
 
-def _chunks(docs: DataFrame, parts: int, limit: int, emit, schema: str) -> DataFrame:
+def _chunks(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray], limit: int, emit, schema: str) -> DataFrame:
     """emit(chunk number, _Chunk) for runs of documents of about limit tokens within each task."""
 
     def run(batches):
@@ -119,7 +145,7 @@ def _chunks(docs: DataFrame, parts: int, limit: int, emit, schema: str) -> DataF
             nonlocal number, held, size
             rows, held, size = held, [], 0
             number += 1
-            return emit(number, _Chunk(*zip(*rows), parts))
+            return emit(number, _Chunk(*zip(*rows), parts, hot))
 
         for batch in batches:
             number = number or batch.column(3)[0].as_py() << 24 if len(batch) else number
@@ -153,7 +179,7 @@ def _send_docs(parts: int):
         ids = np.array([i or 0 for i in x.ids], np.int64).view(np.uint64)
         missing = np.array([i is None for i in x.ids], np.int64)
         words = np.bincount(x.part, minlength=parts)
-        return _rows([(1, 0, number, 0, _pack(ids, missing, x.held_out.astype(np.int64), x.lengths, words, x.pairs, x.runs, x.doc.astype(np.int64), np.array([x.end])), None)])
+        return _rows([(1, 0, number, 0, _pack(ids, missing, x.held_out.astype(np.int64), x.lengths, words, x.pairs, x.runs, x.doc.astype(np.int64), x.end), None)])
 
     return emit
 
@@ -174,8 +200,8 @@ def _by_part(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def _add_up(parts: int):
-    """Of one partition's pairs: answers to the chunks, sums by history, questions by history, and counts of counts."""
+def _add_up(parts: int, hot: np.ndarray, totals: np.ndarray):
+    """Of one partition's pairs; hot and totals are the shares of frequent words and the words' counts: answers to the chunks, sums by history, questions by history, and counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
@@ -189,6 +215,8 @@ def _add_up(parts: int):
         del mixed
         pair_count = np.bincount(of_pair, weights=train, minlength=len(one)).astype(np.int64)
         word_count = np.bincount(pair_word, weights=train, minlength=len(distinct)).astype(np.int64)
+        shared = np.isin(distinct, hot)
+        word_count[shared] = totals[np.searchsorted(hot, distinct[shared])]
         rows, w, p, mine = [], 0, 0, int(table.column("part")[0].as_py())
         which, names, places = [], [], []
         for i, (number, b) in enumerate(zip(chunks, blobs)):
@@ -213,7 +241,7 @@ def _add_up(parts: int):
             if len(i) or len(j):
                 rows.append((3, q, 0, mine, _pack(names[i], *sums[i].T, numbers, asking[j], asked[j], place[j]), None))
         coc = lambda x: np.bincount(np.minimum(x, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-        rows.append((5, 0, 0, 0, None, [*coc(pair_count), *coc(word_count), int(word_count.sum()), int((word_count > 0).sum())]))
+        rows.append((5, 0, 0, 0, None, coc(pair_count)))
         return _rows(rows)
 
     return run
@@ -304,7 +332,7 @@ def _sum_up(model: _Model):
                 sub, place, got = _unpack(x["blob"])
                 answers[begin[sub.astype(np.int64)] + place.astype(np.int64)] = got
         is_end = np.zeros(len(of_word), bool)
-        is_end[int(end[0])] = True
+        is_end[end.astype(np.int64)] = True
         base = np.log10((of_word + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
         # every word but the end is the history of the next token
         as_history = np.where(is_end, 0.0, np.log10(np.maximum(of_word, 1)))
@@ -320,25 +348,59 @@ def _sum_up(model: _Model):
     return run
 
 
-def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", parts: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n, all_n): by the hash of a word, how often it and the end of a text occur in the rows (held_out, text) to learn from, and in all."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                held, texts = (batch.column(i).slice(at, 1024).to_pylist() for i in (0, 1))
+                index: dict[bytes, int] = {END: 0}
+                flat = []
+                for t in texts:
+                    flat.append(np.array([*(index.setdefault(w, len(index)) for w in (t or "").encode().lower().split()), 0], np.int64))
+                lengths = [len(x) for x in flat]
+                word, learnt = np.concatenate(flat), np.repeat(~np.array(held, bool), lengths)
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+                n = [np.bincount(word, weights=x, minlength=len(index)).astype(np.int64) for x in (learnt, np.ones(len(word)))]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *map(pa.array, n)], names=["word", "n", "all_n"])
+
+    found = docs.select("held_out", "text").mapInArrow(run, "word long, n long, all_n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("all_n").alias("all_n"))
+
+
+def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", parts: int | None = None, chunk: int = CHUNK, part_tokens: int = PART) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
     held_out is a boolean column; the model learns from the other rows. base_score is that of the
     words alone with 0.1 added to each count, score the model's log10 probability. A null text is
     empty and has one token, its end; repeated rows count and are scored each; without training
     rows all is one unknown event of probability 1. docs must give the same rows in the same tasks
-    when read twice, as a table does. parts grows with the input: by default the session's
-    shuffle partitions. A history is known by 48 bits of its hash, a word by 64.
+    when read again, as a table does. parts grows with the input: by default the session's
+    shuffle partitions, or more so that none gets more than about part_tokens tokens; the driver
+    gets the words that fill a fourth of a partition or more, at most four for each. A history is
+    known by 48 bits of its hash, a word by 64.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(c(key).cast("long").alias("key"), held_out.alias("held_out"), c(text).alias("text"), (F.spark_partition_id() + 1).cast("long").alias("task"))
-    pairs = _chunks(rows, parts, chunk, _send_pairs(parts), _ROW)
-    summed = stored(pairs.groupBy("part").applyInArrow(_add_up(parts), _ROW))
+    words = stored(word_counts(rows))
+    tokens = words.agg(F.sum("all_n")).first()[0] or 0
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // part_tokens))
+    share = max(tokens // (HOT * parts), 100)
+    frequent = sorted((r.word & 2**64 - 1, r.n, r.all_n // share + 1) for r in words.filter((F.col("all_n") > share) & (F.col("n") > K + 1)).collect())
+    names, n, sizes = (np.array(x, kind) for x, kind in zip(list(zip(*frequent)) or [()] * 3, (np.uint64, np.int64, np.int64)))
+    shares = _salted(np.repeat(names, sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    order = np.argsort(shares)
+    shares, totals = shares[order], np.repeat(n, sizes)[order]
+    few = {r.n: r["count"] for r in words.filter(F.col("n") <= K + 1).groupBy("n").count().collect()}
+    learnt = words.filter("n > 0").agg(F.sum("n"), F.count("*")).first()
+    of_words = [*(few.get(r, 0) for r in range(1, K + 2)), learnt[0] or 0, learnt[1]]
+    pairs = _chunks(rows, parts, (names, sizes), chunk, _send_pairs(parts), _ROW)
+    summed = stored(pairs.groupBy("part").applyInArrow(_add_up(parts, shares, totals), _ROW))
     stats = summed.filter("kind = 5").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).orderBy("pos").collect()
-    model = _Model([int(x[1]) for x in stats] or [0] * (2 * K + 4))
+    model = _Model([int(x[1]) for x in stats] + of_words if stats else [0] * (2 * K + 4))
     answers = summed.filter("kind = 3").groupBy("part").applyInArrow(_answer(model), _ROW)
-    mine = _chunks(rows, parts, chunk, _send_docs(parts), _ROW)
+    mine = _chunks(rows, parts, (names, sizes), chunk, _send_docs(parts), _ROW)
     met = summed.filter("kind = 2").unionByName(answers).unionByName(mine)
     scored = met.groupBy("chunk").applyInArrow(_sum_up(model), _SCORES)
     return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
@@ -346,4 +408,5 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", pa
 
 def op10_katz(spark, sf_dir: str) -> DataFrame:
     """Every document's score, learnt from nine tenths of them."""
+    small_batches(spark)
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), remainder(F.col("doc_id"), 10) == 0)

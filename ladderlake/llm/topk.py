@@ -191,7 +191,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     spread = lambda n, salt: F.pmod(F.xxhash64("block", F.lit(salt)), F.lit(n)).cast("int")
     queries = queries.select("dims", spread(down, 1).alias("row"), F.explode(F.expr(f"sequence(0, {across - 1})")).alias("col"), F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("n", "ids", "uids", "vectors", "floors")))
     blocks = blocks.select("dims", spread(across, 2).alias("col"), F.explode(F.expr(f"sequence(0, {down - 1})")).alias("row"), "n", "ids", "uids", "vectors")
-    met = queries.join(blocks, ["dims", "row", "col"])
+    # neither side has a bound, so none is broadcast; a block of queries then meets its candidates one after another
+    met = queries.hint("merge").join(blocks, ["dims", "row", "col"])
 
     def run(batches):
         known: OrderedDict[int, np.ndarray] = OrderedDict()

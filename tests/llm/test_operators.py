@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ladderlake.llm import chat, graph, katz, langid, licenses, merkle, mixing, pieces, quality, simhash, topk
+from ladderlake.llm import backoff, chat, graph, katz, langid, licenses, merkle, mixing, pieces, quality, simhash, topk
 from ladderlake.llm.common import kth_largest, remainder
 
 SF = "/root/testdata/sf0.001"
@@ -591,11 +591,12 @@ def plain_katz(rows, held):
     return out
 
 
-def test_katz_against_brute_force(spark, docs):
+@pytest.mark.parametrize("parts", [3, 150])  # with many parts, frequent words are dealt to several
+def test_katz_against_brute_force(spark, docs, parts):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
     want = plain_katz(rows, held)
-    got = katz.score(docs, remainder(F.col("doc_id"), 10) == 0, parts=3, chunk=20000).collect()
+    got = katz.score(docs, remainder(F.col("doc_id"), 10) == 0, parts=parts, chunk=20000).collect()
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base, score = want[r.doc_id]
@@ -608,3 +609,62 @@ def test_katz_odd(odd, none):
     x = katz.score(odd, held).collect()
     assert len(x) == len(ODD) and {r.n_tokens for r in x if r.doc_id in (1, 2, 3)} == {1} and katz.score(none, held).count() == 0
     assert all(r.score == 0 for r in katz.score(odd, F.lit(True)).collect())
+
+
+def plain_backoff(texts, held, order):
+    """(score of each text, sum over all words and the unknown one after each history) by the definition."""
+    toks = [[*(t or "").lower().split(), "\n"] for t in texts]
+    pads = ["\r"] * (order - 1)
+    grams = [[tuple(([*pads, *ws])[i : i + order]) for i in range(len(ws))] for ws in toks]
+    counts = [collections.Counter(g[order - 1 - k :] for i, gs in enumerate(grams) if i not in held for g in gs) for k in range(order)]
+    keep = []
+    for x in counts:
+        d = np.append(katz.good_turing([sum(1 for v in x.values() if v == r) for r in range(1, katz.K + 2)]), katz.KEEP)
+        keep.append({g: v * d[min(v, katz.K + 1) - 1] for g, v in x.items()})
+    n = sum(counts[0].values())
+    unknown = 1 - sum(keep[0].values()) / n if n else 1.0
+    after = [collections.defaultdict(list) for _ in range(order)]
+    for k in range(1, order):
+        for g in counts[k]:
+            after[k][g[:-1]].append(g)
+    weights = {}
+
+    def p(g):
+        k = len(g) - 1
+        if not k:
+            return keep[0][g] / n if g in keep[0] else unknown
+        seen = after[k].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        total = sum(counts[k][x] for x in seen)
+        if g in keep[k]:
+            return keep[k][g] / total
+        if g[:-1] not in weights:
+            weights[g[:-1]] = (1 - sum(keep[k][x] for x in seen) / total) / max(1 - sum(p(x[1:]) for x in seen), 1e-12)
+        return weights[g[:-1]] * p(g[1:])
+
+    sums = [sum(p((*h, w)) for w in [*(g[0] for g in counts[0]), None]) for h in list(after[order - 1])[:40]]
+    return [sum(math.log10(p(g)) for g in gs) for gs in grams], sums
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_against_brute_force(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("the of a cat Dog sat on mat é x y z".split()) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "unseen words here", "the the the"]
+    texts += texts[:3]
+    held = {i for i in range(len(texts)) if i % 4 == 0}
+    rows = [(None if i == 5 else i % 64, t, i in held) for i, t in enumerate(texts)]
+    want, sums = plain_backoff(texts, held, order)
+    got = backoff.score(spark.createDataFrame(rows, "Doc_Id long, text string, held boolean"), F.col("held"), order=order).collect()
+    assert len(got) == len(rows) and (order == 1 or all(abs(x - 1) < 1e-9 for x in sums))
+    key = lambda i, h, x: (-1 if i is None else i, h, round(x, 6))
+    assert sorted(key(r.doc_id, r.held_out, r.score) for r in got) == sorted(key(i, h, x) for (i, _, h), x in zip(rows, want))
+
+
+def test_backoff_equals_pairs(odd, none, docs):
+    held = remainder(F.col("doc_id"), 10) == 0
+    few = docs.filter("doc_id < 60")
+    a, b = ({r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in f.collect()} for f in (backoff.score(few, held, order=2), katz.score(few, held, parts=3, chunk=20000)))
+    assert a == b
+    assert backoff.score(odd, held).count() == len(ODD) and backoff.score(none, held).count() == 0
+    assert all(r.score == 0 for r in backoff.score(odd, F.lit(True)).collect())
