@@ -1,4 +1,7 @@
-"""Measures put into words: where gamma sits, how it is spread and how it changes; bands, sessions and changes."""
+"""Measures put into words: where gamma sits, how it is spread and how it changes; bands, sessions and changes.
+
+The sentences, names and bounds in this module are fixed values.
+"""
 
 from __future__ import annotations
 
