@@ -63,7 +63,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_la
     """
     rows = docs.select(c(text).alias("text"), c(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg((F.lit(float(max_docs_per_lang)) / F.count("*")).alias("share"))
-    drawn = rows.join(share, "lang").filter(uniform(F.col("text"), F.lit(seed)) < F.col("share"))
+    # one short row for each language, all of which the driver holds as the codebook anyway; texts stay where they are
+    drawn = rows.join(F.broadcast(share), "lang").filter(uniform(F.col("text"), F.lit(seed)) < F.col("share"))
     sample = drawn.groupBy("lang", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"))
 
     def count(batches):
