@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,10 +245,85 @@ def _sampled(x: list[np.ndarray]) -> np.ndarray:
     return out | (np.arange(SAMPLES, dtype=np.int32) << SAMPLED)
 
 
+def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) make up a least spanning forest by d: each tree picks its nearest pair to another until none is left."""
+    nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y, tree = at[: len(i)], at[len(i) :], np.arange(len(nodes))
+    key = d.astype(np.int64) << 32 | np.arange(len(i))
+    chosen, alive = np.zeros(len(i), bool), np.arange(len(i))
+    while True:
+        alive = alive[tree[x[alive]] != tree[y[alive]]]
+        if not len(alive):
+            return chosen
+        best = np.full(len(nodes), np.iinfo(np.int64).max)
+        for end in (x, y):
+            np.minimum.at(best, tree[end[alive]], key[alive])
+        picked = np.unique(best[best < np.iinfo(np.int64).max] & 0xFFFFFFFF)
+        chosen[picked] = True
+        far, root = _forest(tree[x[picked]], tree[y[picked]])
+        new = np.arange(len(nodes))
+        new[far] = root
+        tree = new[tree]
+
+
+def _close(rows: list[np.ndarray]):
+    """(i, j, d) of rows i and j of one cell, which differ in d bits, SET_DISTANCE at most, offset by offset; rows: entry, cell, own and the words, sorted by the first two."""
+    entry, cell, own, words = rows[0], rows[1], rows[2], rows[3:]
+    alive, d = np.arange(len(entry)), 0
+    while len(alive):
+        d += 1
+        alive = alive[alive + d < len(entry)]
+        alive = alive[(entry[alive] == entry[alive + d]) & (cell[alive] == cell[alive + d])]
+        near = alive[(own[alive] != own[alive + d]) | (own[alive] < 0)]
+        apart = sum(np.bitwise_count(w[near] ^ w[near + d]).astype(np.int32) for w in words)
+        near, apart = near[apart <= SET_DISTANCE], apart[apart <= SET_DISTANCE]
+        if len(near):
+            yield near, near + d, apart
+
+
+def _trees(rows: list[np.ndarray], most: int = 1 << 20):
+    """Of the close pairs of each cell a least spanning forest, (i, j, d), and the rows of pairs that it leaves out."""
+    held, size, left = [], 0, np.zeros(len(rows[0]), bool)
+    for part in _close(rows):
+        held.append(part)
+        size += len(part[0])
+        if size > most:
+            held = [_thinned(held, left)]
+            size = len(held[0][0])
+    return (*(_thinned(held, left) if held else (np.zeros(0, np.int64),) * 3), left)
+
+
+def _thinned(held: list, left: np.ndarray) -> tuple:
+    i, j, d = (np.concatenate(x) for x in zip(*held))
+    chosen = _spanning(i, j, d)
+    left[i[~chosen]] = left[j[~chosen]] = True
+    return i[chosen], j[chosen], d[chosen]
+
+
+def _by_cell(batches, words: int, emit):
+    """emit(rows) for whole cells of batches that are sorted by cell; the last one may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        new[3 : 3 + words] = [x.view(np.uint64) for x in new[3 : 3 + words]]
+        rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
+        if not len(rows[0]):
+            continue
+        cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        cut = cut[-1] + 1 if len(cut) else 0
+        yield from emit([x[:cut] for x in rows])
+        rest = [x[cut:] for x in rows]
+    if rest is not None:
+        yield from emit(rest)
+
+
 def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, d): names of all pairs of marks, a > b, that meet in an overlapping segment and differ in d bits, SET_DISTANCE at most; each pair once.
+    """Rows (a, b, d) and (entry, cell, a) from the cells in which marks meet, the segments they share.
 
-    A pair is given in the first segment it shares. Entries of about block rows or more are cut into blocks.
+    The first, with a > b, are pairs of names that differ in d bits, SET_DISTANCE at most: of each
+    cell a least spanning forest of all such pairs, so a cell of n marks gives fewer than n. The
+    second are the members of pairs that a forest leaves out. Entries of about block rows or more
+    are cut into blocks, and each pair of blocks is a cell.
     """
     names = [f"simhash{k}" for k in range(SET_WORDS)]
     marks = marks.select(*names)
@@ -284,40 +359,49 @@ def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.select("entry", "cell", "own", *names).repartition("entry", "cell").sortWithinPartitions("entry", "cell")
 
     def meet(rows):
-        entry, cell, own, words = rows[0], rows[1], rows[2], rows[3:]
-        alive, d = np.arange(len(entry)), 0
-        while len(alive):
-            d += 1
-            alive = alive[alive + d < len(entry)]
-            alive = alive[(entry[alive] == entry[alive + d]) & (cell[alive] == cell[alive + d])]
-            near = alive[(own[alive] != own[alive + d]) | (own[alive] < 0)]
-            apart = sum(np.bitwise_count(w[near] ^ w[near + d]).astype(np.int32) for w in words)
-            near, apart = near[apart <= SET_DISTANCE], apart[apart <= SET_DISTANCE]
-            for at in range(0, len(near), 1 << 12):
-                i, far = near[at : at + (1 << 12)], apart[at : at + (1 << 12)]
-                one, two = [w[i] for w in words], [w[i + d] for w in words]
-                first = (_sampled([w.view(np.int64) for w in one]) == _sampled([w.view(np.int64) for w in two])).argmax(1)
-                a, b = _name(one), _name(two)
-                kept = (first == entry[i] >> SAMPLED) & (a != b)
-                a, b = a[kept].view(np.int64), b[kept].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(far[kept].astype(np.int32))], names=["a", "b", "d"])
+        i, j, d, left = _trees(rows)
+        name = _name(rows[3:]).view(np.int64)
+        kept = name[i] != name[j]
+        a, b, none = name[i[kept]], name[j[kept]], pa.nulls
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d[kept].astype(np.int32)), *(none(len(a), pa.int32()) for _ in range(2))], names=["a", "b", "d", "entry", "cell"])
+        n = int(left.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(name[left]), none(n, pa.int64()), none(n, pa.int32()), *(pa.array(x[left].astype(np.int32)) for x in rows[:2])], names=["a", "b", "d", "entry", "cell"])
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + SET_WORDS)]
-            new[3:] = [x.view(np.uint64) for x in new[3:]]
-            rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
-            if not len(rows[0]):
-                continue
-            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = cut[-1] + 1 if len(cut) else 0  # the last run may go on in the next batch
-            yield from meet([x[:cut] for x in rows])
-            rest = [x[cut:] for x in rows]
-        if rest is not None:
-            yield from meet(rest)
+    return dealt.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, meet), "a long, b long, d int, entry int, cell int")
 
-    return dealt.mapInArrow(run, "a long, b long, d int")
+
+def left_out(members: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) of pairs of members (entry, cell, a) of cells that lie in different components of roots (node, root), as far as they may be alike.
+
+    If two sets have a similarity of least or more, they share one of their rarest shingles: of the
+    smaller set the first 1 - 2 least / (1 + least) of its size and one more, of the larger the
+    first 1 - least and one more, by how many of these sets hold a shingle. So sets that each have
+    more of their own than that meet nowhere, however many they are.
+    """
+    # a node has at most so many cells as it has segments and blocks, and a cell at most two blocks of nodes
+    nodes = members.groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("entry", "cell")).alias("cells")).join(roots, "node", "left")
+    cells = nodes.select("node", F.coalesce("root", "node").alias("root"), F.explode("cells").alias("of")).groupBy("of").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("node", "root")).alias("nodes"))
+    asked = stored(cells.filter("lo <> hi").select(F.explode("nodes").alias("n")).select("n.*").distinct())
+
+    def explode(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            n = [len(x) for x in found]
+            for at in range(0, len(found), 64):
+                own = n[at : at + 64]
+                node, root = (np.repeat(batch.column(i).to_numpy()[at : at + 64], own) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(np.repeat(own, own).astype(np.int64)), pa.array(np.concatenate([*found[at : at + 64], np.zeros(0, np.int64)]))], names=["node", "root", "size", "shingle"])
+
+    tokens = asked.join(sets, "node").select("node", "root", "shingles").mapInArrow(explode, "node long, root long, size long, shingle long")
+    tokens = stored(tokens)
+    rare = tokens.join(tokens.groupBy("shingle").agg(F.count("*").alias("held")), "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    rare = rare.withColumn("place", place).filter((F.col("held") > 1) & (F.col("place") <= first(least)))
+    rare = stored(rare.select("shingle", "node", "root", "size", (F.col("place") <= first(2 * least / (1 + least))).alias("few")))
+    larger = rare.select("shingle", *(F.col(n).alias(f"l_{n}") for n in ("node", "root", "size")))
+    met = rare.filter("few").join(larger, "shingle").filter("root <> l_root AND (size < l_size OR size = l_size AND node < l_node)")
+    return met.select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -337,14 +421,16 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = 5, seed: int = 42, block: int = BLOCK) -> DataFrame:
-    """(key, mark, component_id, component_mark) of each row of docs: the least key, and text of it, that links reach.
+    """(key, mark, component_id, component_mark) of each row of docs: the least key, null last, and text of it, that links reach.
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of least or more. Set
     fingerprints find the candidates, the sets themselves decide. mark is the XXH64 of the text.
     Texts with equal fingerprints are one node: at 256 bits they share all but a thousandth of
-    their shingles. First each node's nearest candidate is verified, then those that still lead to
-    another component, so a large group of copies is not verified pair by pair. Null and empty texts are one
-    node. A null key never names a component; a component of null keys alone has nulls.
+    their shingles. First each node's nearest candidate is verified, then those of the spanning
+    forests that still lead to another component, then what the forests left out and may still
+    link components (see left_out): a large group of near copies is not verified pair by pair, and
+    no candidate is lost. Null and empty texts are one
+    node. A component of null keys alone has a null component_id. Repeated rows get a row each.
     """
     names = [f"simhash{k}" for k in range(SET_WORDS)]
     rows = docs.select(c(key).alias("key"), c(text).alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -357,8 +443,10 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
         return [pa.array([shingle_set(t, width, seed).tobytes() for t in given.to_pylist()], pa.binary())]
 
     marked = stored(with_arrow_columns(rows, [T.StructField(n, T.LongType()) for n in (*names, "node")], marks_of, ["text"]).select("key", "mark", *names, "node"))
-    nodes = stored(marked.groupBy("node", *names).agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "mark"))).alias("first"), F.min("mark").alias("shown")))
-    pairs = stored(candidates(nodes, block))
+    nodes = stored(marked.groupBy("node", *names).agg(F.min(F.struct(F.col("key").isNull().alias("absent"), "key", "mark")).alias("first"), F.min("mark").alias("shown")))
+    met = stored(candidates(nodes, block))
+    pairs = stored(met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("d").alias("d")))
+    members = met.filter("b IS NULL").select("entry", "cell", "a")
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "shown"), "node"))
     texts = rows.select("text", "mark").join(asked.select(F.col("shown").alias("mark")), "mark", "left_semi").dropDuplicates(["mark"])
     sets = with_arrow_columns(texts, [T.StructField("shingles", T.BinaryType())], sets_of, ["text"]).select("mark", "shingles")
@@ -367,7 +455,11 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     roots = stored(components(near))
     root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     open_ = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    roots = stored(components(near.unionByName(verified(open_, sets, least))))
+    near = stored(near.unionByName(verified(open_, sets, least)))
+    roots = stored(components(near))
+    more = stored(verified(left_out(members, sets, roots, least), sets, least))
+    if not more.isEmpty():
+        roots = stored(components(near.unionByName(more)))
     rooted = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     named = stored(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("of")), "root").select("node", F.col("of.key").alias("component_id"), F.col("of.mark").alias("component_mark")))
     return marked.join(named, "node").select(F.col("key").alias(key), "mark", "component_id", "component_mark")
