@@ -116,7 +116,8 @@ def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str =
     conversation or turn has a null thread and null parts.
     """
     body = F.struct(c(turn).alias("turn"), F.xxhash64(c(text), c(role)).alias("mark"), c(role).alias("role"), "reply_to", c(text).alias("text"), "message")
-    x = formatted(linked, role, text).select(c(conversation).alias("conv"), "thread", F.floor(c(turn) / most).alias("part"), body.alias("m"))
+    # read twice, and linked is dear
+    x = stored(formatted(linked, role, text).select(c(conversation).alias("conv"), "thread", F.floor(c(turn) / most).alias("part"), body.alias("m")))
     keys = ["conv", "thread", "part"]
     large = x.groupBy(*keys).count().filter(F.col("count") > most).select(*(F.col(k).alias(f"l_{k}") for k in keys), F.ceil(F.col("count") / most).cast("int").alias("subs"))
     x = x.join(large, F.expr(" AND ".join(f"{k} <=> l_{k}" for k in keys)), "left")
