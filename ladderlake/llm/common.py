@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.store import shared_dir, stored
 
-__all__ = ["WORD", "c", "kth_largest", "remainder", "shared_dir", "small_batches", "stored", "uniform", "with_arrow_columns", "without"]
+__all__ = ["WORD", "c", "fresh", "kth_largest", "remainder", "shared_dir", "small_batches", "stored", "uniform", "with_arrow_columns", "without"]
 #: A word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +31,12 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that clash with none of df, in any case."""
+    taken = {n.lower() for n in df.columns}
+    return [next(x for x in ("_" * i + n for i in range(len(taken) + 1)) if x not in taken) for n in names]
+
+
 def without(df: DataFrame, names: list[str]) -> list[str]:
     """The columns of df whose names clash with none of names, in any case."""
     taken = {n.lower() for n in names}
