@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
+
+
 def _stored_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ladderlake-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/ladderlake-{spark.sparkContext.applicationId}{_scope.get()}"
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder of whatever file system the path names; False if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, whether it is reached or left by an error: what is built on them has to be written inside too."""
+    token = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        at = _stored_dir(spark)
+        _scope.reset(token)
+        delete(spark, at)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -36,5 +65,4 @@ def stored(df: DataFrame) -> DataFrame:
 
 def drop_stored(spark: SparkSession) -> bool:
     """Deletes the tables that this application has stored; call it once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return delete(spark, _stored_dir(spark))
