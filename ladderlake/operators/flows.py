@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import BUCKETS
 from ..functions.expressions import buy_imbalance, chosen, delta_bucket, dte_regime, flow_type, ratio
-from .grouped import clusters, tracks
+from ..sources.ocdata import at_time
+from .grouped import clusters, time_value_oi, tracks
+from .screens import eod_rows, live
 
 LADDER = ["symbol", "expiry"]
 _nz = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
@@ -99,27 +101,57 @@ def migrated_strikes(chain: DataFrame) -> DataFrame:
     return x.join(last, [*LADDER, "timestamp"], "left_semi").filter("migrated").select(*LADDER, "timestamp", "strike_price", *side("ce"), *side("pe"))
 
 
-def money_clusters(chain: DataFrame, min_volume: float = 100.0, **shape) -> DataFrame:
+def _money(rows: DataFrame, s: str) -> DataFrame:
+    """What is averaged over a cluster's strikes of one side, with the weight w. A chain without chances to end in the money has 0 there."""
+    nd2 = _nz(f"{s}_nd2") if f"{s}_nd2" in rows.columns else F.lit(0.0)
+    turned = F.coalesce(ratio(_nz(f"{s}_oi_change"), F.when(_nz(f"{s}_volume") > 0, _nz(f"{s}_volume"))), F.lit(0.0))
+    return rows.select(
+        *LADDER, "timestamp", F.col("strike_price").alias("k"), time_value_oi(s).alias("w"), F.abs(_nz(f"{s}_delta")).alias("avg_delta"), _nz(f"{s}_iv").alias("avg_iv"),
+        _nz(f"{s}_gamma").alias("avg_gamma"), nd2.alias("avg_nd2"), (_nz(f"{s}_ltp") * _nz(f"{s}_oi_change")).alias("prem_flow"), (_nz(f"{s}_ltp") * _nz(f"{s}_oi")).alias("premium_oi"),
+        turned.alias("oi_vol_ratio"), (_nz(f"{s}_oi_change") * _nz(f"{s}_gamma") * _nz("lotsize")).alias("gamma_adj_oi"), *(_nz(n).alias(n) for n in ("ce_oi", "pe_oi", "ce_tbq", "pe_tbq")),
+    )
+
+
+def money_clusters(chain: DataFrame, min_volume: float = 100.0, min_oi: float = 0.0, max_spread_pct: float = 15.0, min_oi_change: float = 0.0, **shape) -> DataFrame:
     """Clusters of both sides of each tradeable ladder, with means weighted as the clusters are, put-call ratio and buy imbalance of their strikes.
 
-    A cluster's strikes are joined back by its bounds, within its own ladder.
+    With min_oi_change, rows neither side of which changed by so much are left out. A cluster's
+    strikes are joined back by its bounds, within its own ladder.
     """
     keys = [*LADDER, "timestamp"]
-    rows = with_greeks(tradeable(chain, min_volume=min_volume))
+    if min_oi_change > 0:
+        chain = chain.filter((F.abs(_nz("ce_oi_change")) >= min_oi_change) | (F.abs(_nz("pe_oi_change")) >= min_oi_change))
+    rows = with_greeks(tradeable(chain, min_oi, min_volume, max_spread_pct))
+    means = ["avg_delta", "avg_iv", "avg_gamma", "avg_nd2", "prem_flow", "premium_oi", "oi_vol_ratio", "gamma_adj_oi"]
     found = None
     for s in ("ce", "pe"):
-        one = clusters(rows, s, **shape)
-        mine = rows.select(*keys, F.col("strike_price").alias("k"), _nz(f"{s}_prem_oi").alias("w"), F.abs(_nz(f"{s}_delta")).alias("delta"), _nz(f"{s}_iv").alias("iv"), _nz(f"{s}_gamma").alias("gamma"), (_nz(f"{s}_ltp") * _nz(f"{s}_oi_change")).alias("flow"), (_nz(f"{s}_ltp") * _nz(f"{s}_oi")).alias("premium"), F.coalesce(ratio(_nz(f"{s}_oi_change"), F.when(_nz(f"{s}_volume") > 0, _nz(f"{s}_volume"))), F.lit(0.0)).alias("oi_vol"), (_nz(f"{s}_oi_change") * _nz(f"{s}_gamma") * _nz("lotsize")).alias("gamma_oi"), _nz("ce_oi").alias("ce_oi"), _nz("pe_oi").alias("pe_oi"), _nz("ce_tbq").alias("ce_tbq"), _nz("pe_tbq").alias("pe_tbq"))
-        x = one.join(mine, keys).filter(F.col("k").between(F.col("min_strike"), F.col("max_strike")))
-        mean = lambda n: F.round(F.sum(F.col(n) * F.col("w")) / F.sum("w"), 4)
+        x = clusters(rows, s, **shape).join(_money(rows, s), keys).filter(F.col("k").between(F.col("min_strike"), F.col("max_strike")))
         x = x.groupBy(*keys, "center_strike", "peak_strike", "min_strike", "max_strike", "weight", "concentration", "members").agg(
-            *(mean(a).alias(b) for a, b in (("delta", "avg_delta"), ("iv", "avg_iv"), ("gamma", "avg_gamma"), ("flow", "prem_flow"), ("premium", "premium_oi"), ("oi_vol", "oi_vol_ratio"), ("gamma_oi", "gamma_adj_oi"))),
+            *(F.round(F.sum(F.col(n) * F.col("w")) / F.sum("w"), 4).alias(n) for n in means),
             F.round(ratio(F.sum("pe_oi"), F.when(F.sum("ce_oi") > 0, F.sum("ce_oi"))), 3).alias("pcr"), F.round(buy_imbalance(F.sum("ce_tbq"), F.sum("pe_tbq")), 3).alias("buy_imbalance"),
         ).withColumn("side", F.lit(s.upper()))
         found = x if found is None else found.unionByName(x)
     return found
 
 
+def end_of_day(chain: DataFrame, as_of: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A chain of one snapshot a day: the last rows of each live strike, all at the day's start; by default the five days up to a symbol's last one."""
+    rows = eod_rows(chain, as_of, first=first, last=last)
+    if first is None:
+        ends = chain.groupBy("symbol").agg(F.to_date(F.max("timestamp")).alias("_last"))
+        rows = rows.join(ends, "symbol").filter(F.col("date") >= F.date_sub("_last", 5)).drop("_last")
+    return rows.withColumn("timestamp", F.col("date").cast("timestamp")).drop("date")
+
+
+def one_day(chain: DataFrame, as_of: str, day: str | None = None) -> DataFrame:
+    """The live rows with a price of one day, by default each symbol's last one."""
+    rows = live(chain, as_of).filter((_nz("ce_ltp") > 0) | (_nz("pe_ltp") > 0))
+    if day is not None:
+        return rows.filter(at_time(day))
+    ends = chain.groupBy("symbol").agg(F.to_date(F.max("timestamp")).alias("_last"))
+    return rows.join(ends, "symbol").filter(F.to_date("timestamp") == F.col("_last")).drop("_last")
+
+
 def smart_money(chain: DataFrame, tolerance_pct: float = 2.0, **shape) -> DataFrame:
     """The clusters of both sides on their tracks, with velocity and acceleration of the flow of premium along a track."""
     found = money_clusters(chain, **shape)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SNAPSHOT
@@ -36,13 +36,20 @@ def peaks(y: np.ndarray, prominence: float, distance: int) -> list[int]:
     return sorted(filter(stands_out, kept))
 
 
+def time_value_oi(side: str) -> Column:
+    """Open interest times what of the price is no intrinsic value."""
+    return F.coalesce(F.col(f"{side}_time_value") * F.col(f"{side}_oi"), F.lit(0.0))
+
+
 def clusters(chain: DataFrame, side: str = "ce", keys=KEYS, smoothing: int = 3, prominence_pct: float = 10.0) -> DataFrame:
-    """(keys, center_strike, peak_strike, min_strike, max_strike, weight, concentration, members): bands of premium-weighted open interest around its peaks.
+    """(keys, center_strike, peak_strike, min_strike, max_strike, weight, concentration, members): bands of open interest, weighted by time value, around its peaks.
+
+    Not by the whole premium: what options deep in the money are worth at once would draw the bands to them.
 
     A band ends where the smoothed curve falls under a tenth of its peak or half way to the next peak.
     Ladders of fewer than three strikes or without weight have none.
     """
-    rows = chain.select(*keys, "strike_price", F.coalesce(f"{side}_prem_oi", F.lit(0.0)).alias("w"))
+    rows = chain.select(*keys, "strike_price", time_value_oi(side).alias("w"))
     fields = ", ".join(f"{k} {dict(chain.dtypes)[k]}" for k in keys)
 
     def one(x: pd.DataFrame) -> pd.DataFrame:

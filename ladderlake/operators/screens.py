@@ -70,19 +70,33 @@ def volume_shockers(chain: DataFrame, as_of: str, top_n: int = 30, kind: str = "
     return x.orderBy(*order).limit(top_n).select("symbol", "strike_price", "expiry", F.col("now").alias("vol_now"), F.col("before").alias("vol_prev"), F.col("delta").alias("vol_delta"), F.round(ratio(F.col("delta") * 100, F.col("before")), 1).alias("vol_pct_chg"))
 
 
-def iv_shockers(chain: DataFrame, top_n: int = 30) -> DataFrame:
-    """Strikes whose mean implied volatility moved the most."""
-    x = now_and_before(chain, (_nz("ce_iv") + _nz("pe_iv")) / 2).withColumn("iv_delta", F.round(F.col("now") - F.col("before"), 4))
-    return x.orderBy(F.desc(F.abs("iv_delta")), "symbol", "expiry", "strike_price").limit(top_n).select("symbol", "strike_price", "expiry", F.round("now", 4).alias("iv_now"), F.round("before", 4).alias("iv_prev"), "iv_delta")
+def live(chain: DataFrame, as_of: str, kind: str = "all") -> DataFrame:
+    """Rows of expiries that have not lapsed, of indices, of stocks or of all symbols."""
+    x = chain.filter(F.col("expiry") >= F.lit(as_of).cast("date"))
+    return x if kind == "all" else x.filter(is_index(F.col("symbol")) == F.lit(kind == "index"))
 
 
-def top_movers(chain: DataFrame, side: str = "ce", top_n: int = 20) -> DataFrame:
-    """The top_n strikes whose price rose the most, and those whose price fell the most."""
-    x = now_and_before(chain, F.col(f"{side}_ltp"), rank_by=("symbol", "strike_price", "expiry")).withColumn("ltp_chg", F.col("now") - F.col("before"))
+def iv_shockers(chain: DataFrame, as_of: str, top_n: int = 30, kind: str = "all") -> DataFrame:
+    """Live strikes whose mean implied volatility moved the most: the three times top_n greatest, then those of kind, then top_n.
+
+    Rows without any volatility do not count, so they make no snapshot either.
+    """
+    iv = (_nz("ce_iv") + _nz("pe_iv")) / 2
+    x = now_and_before(live(chain, as_of).filter(iv > 0), iv).withColumn("iv_delta", F.col("now") - F.col("before"))
+    order = [F.desc(F.round(F.abs("iv_delta"), 9)), F.col("symbol"), F.col("expiry"), F.col("strike_price")]
+    x = x.orderBy(*order).limit(3 * top_n)
+    x = x if kind == "all" else x.filter(is_index(F.col("symbol")) == F.lit(kind == "index"))
+    return x.orderBy(*order).limit(top_n).select("symbol", "strike_price", "expiry", F.round("now", 4).alias("iv_now"), F.round("before", 4).alias("iv_prev"), F.round("iv_delta", 4).alias("iv_delta"))
+
+
+def top_movers(chain: DataFrame, as_of: str, side: str = "ce", top_n: int = 20, kind: str = "all") -> DataFrame:
+    """The top_n live options whose price rose the most (gainer) and the least (loser) between their own last two snapshots, of those with a price at both."""
+    x = now_and_before(live(chain, as_of, kind), _nz(f"{side}_ltp"), rank_by=("symbol", "strike_price", "expiry")).filter("now > 0 AND before > 0")
+    x = x.withColumn("ltp_chg", F.col("now") - F.col("before"))
     ids = ["symbol", "expiry", "strike_price"]
     best = lambda how, name: x.orderBy(how("ltp_chg"), *ids).limit(top_n).withColumn("kind", F.lit(name))
-    both = best(F.desc, "gainer").filter("ltp_chg > 0").unionByName(best(F.asc, "loser").filter("ltp_chg < 0"))
-    return both.select("kind", *ids, F.col("now").alias("ltp_now"), F.col("before").alias("ltp_prev"), "ltp_chg")
+    both = best(F.desc, "gainer").unionByName(best(F.asc, "loser"))
+    return both.select("kind", *ids, F.col("now").alias("ltp_now"), F.col("before").alias("ltp_prev"), "ltp_chg", F.round(F.col("ltp_chg") * 100 / F.col("before"), 1).alias("ltp_pct_chg"))
 
 
 def oi_change(chain: DataFrame, as_of: str, least: float = 1.0) -> DataFrame:
@@ -99,11 +113,46 @@ def oi_signals(chain: DataFrame) -> DataFrame:
     return x.withColumns({f"{s}_signal": buildup(F.col(f"{s}_oi_chg"), F.col(f"{s}_ltp_chg")) for s in ("ce", "pe")})
 
 
-def daily(chain: DataFrame, values: list[str]) -> DataFrame:
-    """(symbol, expiry, dt, strike_price) with the day's mean of each value, and its change since the day before."""
-    w = Window.partitionBy("symbol", "expiry", "strike_price").orderBy("dt")
-    x = chain.groupBy("symbol", "expiry", F.to_date("timestamp").alias("dt"), "strike_price").agg(*(F.avg(v).alias(v) for v in values))
-    return x.select("symbol", "expiry", "dt", "strike_price", *(F.round(v, 4).alias(v) for v in values), *(F.round(F.col(v) - F.lag(v).over(w), 4).alias(f"{v}_chg") for v in values))
+def _windowed(chain: DataFrame, days: int) -> DataFrame:
+    """Rows of the days up to each symbol's last one, and that many before it."""
+    last = chain.groupBy("symbol").agg(F.to_date(F.max("timestamp")).alias("_last"))
+    x = chain.withColumn("dt", F.to_date("timestamp")).join(last, "symbol")
+    return x.filter(F.col("dt") >= F.date_sub("_last", days)).drop("_last")
+
+
+def _near_spot(rows: DataFrame, keys: list[str], pct: float) -> DataFrame:
+    """Rows whose strike lies within pct of the mean spot of their group's rows; all of a group without a spot."""
+    mean = rows.groupBy(*keys).agg(F.avg("spot").alias("_mean"))
+    band = F.col("strike_price").between(F.col("_mean") * (1 - pct / 100), F.col("_mean") * (1 + pct / 100))
+    return rows.join(mean, keys).filter((F.col("_mean") <= 0) | band).drop("_mean")
+
+
+def _daily(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(symbol, expiry, dt, strike_price, spot) with each day's means."""
+    spot = F.avg(_nz("underlying_price")).alias("spot")
+    return rows.groupBy("symbol", "expiry", "dt", "strike_price").agg(*(F.avg(v).alias(n) for n, v in values.items()), spot)
+
+
+def _before(name: str) -> Column:
+    """A strike's value of the day before."""
+    return F.lag(name).over(Window.partitionBy("symbol", "expiry", "strike_price").orderBy("dt"))
+
+
+def oi_history(chain: DataFrame, days: int = 5, band_pct: float = 10.0) -> DataFrame:
+    """Each day's mean open interest of the strikes near spot over the last days, of rows with a price, and its change since the strike's day before."""
+    priced = _windowed(chain, days).filter(_nz("ce_ltp") + _nz("pe_ltp") > 0)
+    x = _daily(priced, {f"{s}_oi": _nz(f"{s}_oi") for s in ("ce", "pe")})
+    x = x.withColumns({f"{s}_oi_chg": F.col(f"{s}_oi") - _before(f"{s}_oi") for s in ("ce", "pe")})
+    x = _near_spot(x, ["symbol", "expiry"], band_pct)
+    return x.select("symbol", "expiry", "dt", "strike_price", *(F.round(n, 4).alias(n) for n in ("ce_oi", "pe_oi", "spot", "ce_oi_chg", "pe_oi_chg")))
+
+
+def iv_history(chain: DataFrame, days: int = 5, band_pct: float = 10.0) -> DataFrame:
+    """Each day's mean volatilities of the strikes near spot over the last days, of rows with a call's volatility, their average and its change since the strike's day before."""
+    known = _windowed(chain, days).filter(_nz("ce_iv") > 0)
+    x = _daily(known, {f"{s}_iv": _nz(f"{s}_iv") for s in ("ce", "pe")}).withColumn("avg_iv", (F.col("ce_iv") + F.col("pe_iv")) / 2)
+    x = _near_spot(x.withColumn("iv_chg", F.col("avg_iv") - _before("avg_iv")), ["symbol", "expiry"], band_pct)
+    return x.select("symbol", "expiry", "dt", "strike_price", *(F.round(n, 4).alias(n) for n in ("ce_iv", "pe_iv", "spot", "avg_iv", "iv_chg")))
 
 
 def divergence(chain: DataFrame, as_of: str, intraday: bool = False, top_n: int = 30, kind: str = "all", min_spot: float = 0.03, min_premium: float = 0.5) -> DataFrame:
@@ -138,11 +187,14 @@ def divergence(chain: DataFrame, as_of: str, intraday: bool = False, top_n: int
     return x.select("symbol", "signal", "magnitude", F.round(s, 3).alias("spot_pct"), F.round(c, 3).alias("ce_pct"), F.round(p, 3).alias("pe_pct"), F.round("ci", 3).alias("ce_iv_chg"), F.round("pi", 3).alias("pe_iv_chg"), F.round("spot_now", 2).alias("spot_now"), F.round(_nz("ce_now"), 2).alias("ce_ltp_now"), F.round(_nz("pe_now"), 2).alias("pe_ltp_now"), F.round(_nz("net_flow_now"), 2).alias("net_flow"), minute("now").alias("ts_now"), minute("ref").alias("ts_ref"))
 
 
-def delta_screener(chain: DataFrame, target: float = 30.0, width: float = 5.0) -> DataFrame:
-    """A row for each side of the last snapshot whose absolute delta, in hundredths, lies within width of target."""
-    side = lambda s: F.struct(F.lit(s.upper()).alias("side"), F.abs(f"{s}_delta").alias("delta"), F.col(f"{s}_ltp").alias("ltp"), F.col(f"{s}_iv").alias("iv"))
-    x = latest(chain, "symbol").withColumn("o", F.explode(F.array(side("ce"), side("pe")))).filter(F.abs(F.round(F.col("o.delta") * 100, 6) - target) <= width)
-    return x.select("symbol", "expiry", "strike_price", "o.side", F.round("o.delta", 4).alias("delta"), "o.ltp", F.round("o.iv", 4).alias("iv"), (F.col("o.ltp") * F.col("lotsize")).alias("premium_lot"), (F.col("strike_price") * F.col("lotsize")).alias("notional"))
+def delta_screener(chain: DataFrame, as_of: str, most: float = 30.0, least: float = 5.0, kind: str = "all") -> DataFrame:
+    """A row for each side of a live, priced strike of its symbol's last snapshot whose absolute delta, in hundredths, lies between least and most."""
+    names = ("ltp", "iv", "oi", "volume")
+    side = lambda s: F.struct(F.lit(s.upper()).alias("side"), F.abs(_nz(f"{s}_delta")).alias("delta"), *(_nz(f"{s}_{n}").alias(n) for n in names))
+    rows = live(latest(chain, "symbol"), as_of, kind).filter(_nz("ce_ltp") + _nz("pe_ltp") > 0)
+    x = rows.withColumn("o", F.explode(F.array(side("ce"), side("pe")))).filter(F.col("o.delta").between(least / 100, most / 100))
+    lot = F.greatest(F.coalesce(F.col("lotsize"), F.lit(1)), F.lit(1))
+    return x.select("symbol", "expiry", "strike_price", "o.side", F.round("o.delta", 4).alias("delta"), *(f"o.{n}" for n in names), F.round(F.col("o.ltp") * lot, 2).alias("premium_lot"), F.round(F.col("strike_price") * lot, 2).alias("notional"), _nz("underlying_price").alias("spot"))
 
 
 def delta_oi(chain: DataFrame) -> DataFrame:
@@ -153,12 +205,17 @@ def delta_oi(chain: DataFrame) -> DataFrame:
 
 
 def premium_lens(chain: DataFrame, low: float = 0.0, high: float = 999.0, min_oi: float = 0.0) -> DataFrame:
-    """Prices against theoretical prices at the last snapshot; with a band, only strikes of which a side lies outside it."""
-    x = latest(chain, "symbol").filter((F.col("ce_oi") >= min_oi) & (F.col("pe_oi") >= min_oi))
+    """Prices against theoretical prices at the last snapshot, of strikes some side of which has a price and some side of which has the open interest.
+
+    With a band, only strikes of which a side that has a ratio lies outside it.
+    """
+    x = latest(chain, "symbol").filter((_nz("ce_ltp") > 0) | (_nz("pe_ltp") > 0)).filter((_nz("ce_oi") >= min_oi) | (_nz("pe_oi") >= min_oi))
     for s in ("ce", "pe"):
-        x = x.withColumns({f"{s}_ratio": F.round(ratio(F.col(f"{s}_ltp"), F.col(f"{s}_tprice")), 4), f"{s}_diff_pct": F.round(ratio((F.col(f"{s}_ltp") - F.col(f"{s}_tprice")) * 100, F.col(f"{s}_tprice")), 2)})
+        price, theory = _nz(f"{s}_ltp"), F.when(F.col(f"{s}_tprice") > 0, F.col(f"{s}_tprice"))
+        x = x.withColumns({f"{s}_ratio": F.round(price / theory, 4), f"{s}_diff_pct": F.round((price - theory) * 100 / theory, 2)})
     if low > 0 or high < 999:
-        x = x.filter(~F.col("ce_ratio").between(low, high) | ~F.col("pe_ratio").between(low, high))
+        outside = lambda s: F.coalesce(~F.col(f"{s}_ratio").between(low, high), F.lit(False))
+        x = x.filter(outside("ce") | outside("pe"))
     return x.select("symbol", "expiry", "strike_price", "ce_ratio", "ce_diff_pct", "pe_ratio", "pe_diff_pct")
 
 
@@ -187,45 +244,90 @@ def term_structure(chain: DataFrame) -> DataFrame:
     return x.select("symbol", "expiry", F.round("mid", 4).alias("mid"), F.round("skew", 4).alias("skew"), shape.alias("shape"))
 
 
-def iv_rank(chain: DataFrame) -> DataFrame:
-    """Rank and percentile of the last volatility at the money among all of each ladder's; at least two and not all equal."""
-    x = chain.filter("distance_from_atm = 0 AND ce_iv > 0").select("symbol", "expiry", "timestamp", "ce_iv", "m_volatility")
-    w = Window.partitionBy("symbol", "expiry")
-    x = x.withColumn("now", F.max_by("ce_iv", "timestamp").over(w))
-    lo, hi, now = F.min("ce_iv"), F.max("ce_iv"), F.max("now")
-    return x.groupBy("symbol", "expiry").agg(F.count("*").alias("n"), F.round(now, 4).alias("iv_now"), F.round((now - lo) / F.when(hi > lo, hi - lo) * 100, 2).alias("iv_rank"), F.round(F.avg((F.col("ce_iv") < F.col("now")).cast("double")) * 100, 2).alias("iv_percentile"), F.round(F.max("m_volatility") - now, 4).alias("rv_iv")).filter("n >= 2 AND iv_rank IS NOT NULL")
+def iv_rank(chain: DataFrame, lookback_days: int = 90) -> DataFrame:
+    """Rank and percentile of each ladder's volatility at the money at its symbol's last snapshot, among those of lookback_days before it on.
+
+    The volatility is the mean of both sides. n counts the past ones above 0; rank and percentile
+    need two, the rank also that not all are equal. The present one of a ladder is joined to its
+    past, which is added up, not sorted.
+    """
+    mid = (_nz("ce_iv") + _nz("pe_iv")) / 2
+    money = chain.filter("distance_from_atm = 0")
+    first = lambda x: F.min(F.struct("strike_price", x.alias("x")))["x"]
+    now = latest(chain, "symbol").filter("distance_from_atm = 0").groupBy("symbol", "expiry").agg(F.max("timestamp").alias("at"), *(first(_nz(n)).alias(n) for n in ("ce_iv", "pe_iv", "m_volatility")))
+    now = now.select("symbol", "expiry", "at", mid.alias("now"), F.col("m_volatility").alias("rv"))
+    past = money.select("symbol", "expiry", "timestamp", mid.alias("iv")).filter("iv > 0").join(now, ["symbol", "expiry"])
+    past = past.filter(F.col("timestamp") >= F.col("at") - F.make_dt_interval(F.lit(lookback_days)))
+    lo, hi = F.min("iv"), F.max("iv")
+    seen = past.groupBy("symbol", "expiry").agg(F.count("*").alias("n"), lo.alias("lo"), hi.alias("hi"), F.avg((F.col("iv") < F.col("now")).cast("double")).alias("under"))
+    x = now.join(seen, ["symbol", "expiry"], "left")
+    enough = F.col("n") >= 2
+    rank = F.when(enough & (F.col("hi") > F.col("lo")), (F.col("now") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100)
+    return x.select("symbol", "expiry", F.coalesce("n", F.lit(0)).alias("n"), F.round("now", 2).alias("iv_now"), F.round(rank, 1).alias("iv_rank"), F.round(F.when(enough, F.col("under") * 100), 1).alias("iv_percentile"), F.round(F.col("rv") - F.col("now"), 2).alias("rv_iv"))
+
+
+def _at_quarter_delta(side: str) -> Column:
+    """The volatility of a ladder's strike whose delta is nearest to a quarter, the lowest of several, among those with a volatility and a delta of the side's sign."""
+    sign = 1 if side == "ce" else -1
+    usable = (sign * F.col(f"{side}_delta") > 0) & (F.col(f"{side}_iv") > 0)
+    return F.min(F.when(usable, F.struct(F.round(F.abs(F.abs(f"{side}_delta") - 0.25), 9), "strike_price", f"{side}_iv")))[f"{side}_iv"]
 
 
 def skew(chain: DataFrame) -> DataFrame:
-    """25-delta risk reversal and slopes of the wings at the last snapshot of each ladder; a wing needs three strikes."""
-    near = lambda s: F.min(F.struct(F.round(F.abs(F.abs(f"{s}_delta") - 0.25), 9), "strike_price", f"{s}_iv"))[f"{s}_iv"]
-    out, money = F.col("distance_from_atm"), F.col("distance_from_atm") / F.col("atm_strike") * 100
-    slope = lambda s, wing: F.when(F.count(F.when(wing, 1)) >= 3, F.regr_slope(F.when(wing, F.col(f"{s}_iv")), F.when(wing, money)) * 100)
-    x = latest(chain, "symbol").groupBy("symbol", "expiry").agg((near("ce") - near("pe")).alias("rr"), slope("ce", out > 0).alias("c"), slope("pe", out < 0).alias("p"))
-    return x.select("symbol", "expiry", F.round("rr", 4).alias("risk_reversal"), F.round("c", 3).alias("call_slope"), F.round("p", 3).alias("put_slope"), F.round(F.abs("p") - F.abs("c"), 3).alias("asymmetry"))
+    """25-delta risk reversal, put less call, and slopes of volatility over 100 of strike on both wings, at the last snapshot of each ladder.
+
+    A wing lies beyond the strike at the money, or spot if no strike is, and needs three strikes
+    with a volatility over 1. asymmetry is how much steeper the put wing is.
+    """
+    rows = latest(chain, "symbol")
+    money = F.min(F.when(F.col("distance_from_atm") == 0, F.col("strike_price")))
+    middle = rows.groupBy("symbol", "expiry").agg(F.coalesce(money, F.max("underlying_price")).alias("middle"))
+    beyond = {"ce": F.col("strike_price") > F.col("middle"), "pe": F.col("strike_price") < F.col("middle")}
+
+    def slope(s: str) -> Column:
+        wing = beyond[s] & (F.col(f"{s}_iv") > 1)
+        return F.when(F.count(F.when(wing, 1)) >= 3, F.regr_slope(F.when(wing, F.col(f"{s}_iv")), F.when(wing, F.col("strike_price"))) * 100)
+
+    x = rows.join(middle, ["symbol", "expiry"]).groupBy("symbol", "expiry").agg((_at_quarter_delta("pe") - _at_quarter_delta("ce")).alias("rr"), slope("ce").alias("c"), slope("pe").alias("p"))
+    return x.select("symbol", "expiry", F.round("rr", 2).alias("risk_reversal"), F.round("c", 4).alias("call_slope"), F.round("p", 4).alias("put_slope"), F.round(F.abs("p") - F.abs("c"), 4).alias("asymmetry"))
+
+
+def _weighted_sides() -> list[Column]:
+    """Volatility weighted by open interest of each side and of both, and the open interest."""
+    side = lambda s: F.round(ratio(F.sum(_nz(f"{s}_iv") * _nz(f"{s}_oi")), F.when(F.sum(_nz(f"{s}_oi")) > 0, F.sum(_nz(f"{s}_oi")))), 4)
+    return [side("ce").alias("ce_iv"), side("pe").alias("pe_iv"), F.round(weighted_iv(), 4).alias("iv"), F.sum(_nz("ce_oi") + _nz("pe_oi")).alias("oi")]
 
 
 def oi_weighted_iv(chain: DataFrame) -> DataFrame:
-    """Volatility weighted by open interest for each expiry at the last snapshot."""
-    return latest(chain, "symbol").filter("ce_iv > 0").groupBy("symbol", "expiry").agg(F.round(weighted_iv(), 4).alias("iv"), F.sum(F.col("ce_oi") + F.col("pe_oi")).alias("oi"))
+    """Volatility weighted by open interest for each expiry at the last snapshot, of rows with a call's volatility."""
+    return latest(chain, "symbol").filter("ce_iv > 0").groupBy("symbol", "expiry").agg(*_weighted_sides())
 
 
-def iv_intraday(chain: DataFrame) -> DataFrame:
-    """Weighted volatility at the first and last time of each symbol's last day; the last days are an aggregate that is joined back."""
-    last = chain.groupBy("symbol").agg(F.to_date(F.max("timestamp")).alias("day"))
-    x = chain.withColumn("day", F.to_date("timestamp")).join(last, ["symbol", "day"], "left_semi").groupBy("symbol", "timestamp").agg(weighted_iv().alias("iv"))
-    x = x.groupBy("symbol").agg(F.min_by("iv", "timestamp").alias("a"), F.max_by("iv", "timestamp").alias("b"))
-    return x.select("symbol", F.round("a", 4).alias("iv_first"), F.round("b", 4).alias("iv_last"), F.round(F.col("b") - F.col("a"), 4).alias("iv_chg"))
+def iv_intraday(chain: DataFrame, as_of: str, kind: str = "all") -> DataFrame:
+    """Weighted volatility of live expiries at a symbol's first and last time of the table's last day, of rows with a call's volatility.
+
+    A symbol without rows on that day, or without such rows at one of the two times, is left out.
+    """
+    day = chain.agg(F.to_date(F.max("timestamp")).alias("day"))
+    today = chain.withColumn("day", F.to_date("timestamp")).join(day, "day", "left_semi")
+    bounds = today.groupBy("symbol").agg(F.min("timestamp").alias("open"), F.max("timestamp").alias("now"))
+    rows = live(today, as_of, kind).filter("ce_iv > 0").join(bounds, "symbol").filter("timestamp = open OR timestamp = now")
+    x = rows.groupBy("symbol", "timestamp", "open", "now").agg(weighted_iv().alias("iv")).groupBy("symbol").agg(*(F.max(F.when(F.col("timestamp") == F.col(n), F.col("iv"))).alias(n) for n in ("open", "now")), F.max((F.col("timestamp") == F.col("open")).cast("int")).alias("a"), F.max((F.col("timestamp") == F.col("now")).cast("int")).alias("b")).filter("a = 1 AND b = 1")
+    change = F.col("now") - F.col("open")
+    return x.select("symbol", F.round("open", 2).alias("iv_open"), F.round("now", 2).alias("iv_now"), F.round(change, 2).alias("iv_chg"), F.round(change / F.when(F.col("open") > 0, F.col("open")) * 100, 2).alias("iv_chg_pct"))
 
 
 # --- flow
 
 
-def eod_rows(chain: DataFrame, as_of: str, until: str = "15:30") -> DataFrame:
-    """Each day's last rows up to a time of day: those of the last time of a symbol's strike, whatever the expiry, so that an expiry without a row then has none."""
-    early = chain.filter((F.date_format("timestamp", "HH:mm") <= until) & (F.col("expiry") >= F.lit(as_of).cast("date")))
-    last = early.groupBy("symbol", F.to_date("timestamp").alias("date"), "strike_price").agg(F.max("timestamp").alias("timestamp"))
-    return chain.join(last, ["symbol", "strike_price", "timestamp"])
+def eod_rows(chain: DataFrame, as_of: str, until: str = "15:30", first: str | None = None, last: str | None = None) -> DataFrame:
+    """Each day's last rows up to a time of day of every live strike of every expiry, from a first to a last day, with date."""
+    early = live(chain, as_of).filter(F.date_format("timestamp", "HH:mm") <= until).withColumn("date", F.to_date("timestamp"))
+    if first is not None:
+        early = early.filter(F.col("timestamp") >= F.lit(first).cast("timestamp"))
+    if last is not None:
+        early = early.filter(F.col("timestamp") < F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+    return latest(early, "symbol", "expiry", "strike_price", "date")
 
 
 def intraday_oi(chain: DataFrame, band_pct: float = 10.0) -> DataFrame:
@@ -238,14 +340,13 @@ def intraday_oi(chain: DataFrame, band_pct: float = 10.0) -> DataFrame:
 
 
 def risk_reversals(chain: DataFrame) -> DataFrame:
-    """The 25-delta risk reversal of each ladder over time."""
-    near = lambda s: F.min(F.struct(F.round(F.abs(F.abs(f"{s}_delta") - 0.25), 9), "strike_price", f"{s}_iv"))[f"{s}_iv"]
-    return chain.groupBy(*KEYS).agg(F.round(near("ce") - near("pe"), 4).alias("risk_reversal"))
+    """The 25-delta risk reversal, put less call, of each ladder over time."""
+    return chain.groupBy(*KEYS).agg(F.round(_at_quarter_delta("pe") - _at_quarter_delta("ce"), 4).alias("risk_reversal"))
 
 
 def weighted_iv_overall(chain: DataFrame) -> DataFrame:
-    """Volatility weighted by open interest over all expiries at a symbol's last snapshot."""
-    return latest(chain, "symbol").filter("ce_iv > 0").groupBy("symbol").agg(F.round(weighted_iv(), 4).alias("iv"), F.sum(F.col("ce_oi") + F.col("pe_oi")).alias("oi"))
+    """Volatility weighted by open interest over all expiries at a symbol's last snapshot, of rows with a call's volatility."""
+    return latest(chain, "symbol").filter("ce_iv > 0").groupBy("symbol").agg(*_weighted_sides())
 
 
 def strike_gamma(chain: DataFrame) -> DataFrame:

@@ -549,11 +549,22 @@ FROM (SELECT *, dense_rank() OVER (PARTITION BY symbol, expiry ORDER BY timestam
 def eod_rows(as_of: str) -> str:
     return f"""
 , last_ts AS (
-  SELECT symbol, CAST(timestamp AS DATE) AS date, strike_price, max(timestamp) AS ts FROM ocdata WHERE strftime(timestamp, '%H:%M') <= '15:30' AND
-      expiry >= DATE '{as_of}' GROUP BY 1, 2, 3
+  SELECT symbol, expiry, CAST(timestamp AS DATE) AS date, strike_price, max(timestamp) AS ts FROM ocdata WHERE strftime(timestamp, '%H:%M') <= '15:30' AND
+      expiry >= DATE '{as_of}' GROUP BY 1, 2, 3, 4
 )
 SELECT o.symbol, o.expiry, o.timestamp, date, o.strike_price, ce_oi, pe_oi, ce_ltp FROM ocdata o JOIN last_ts l ON o.symbol = l.symbol AND
-    o.strike_price = l.strike_price AND o.timestamp = l.ts"""
+    o.expiry = l.expiry AND o.strike_price = l.strike_price AND o.timestamp = l.ts"""
+
+
+def end_of_day(as_of: str) -> str:
+    """The chain with one snapshot a day, of the five days up to a symbol's last one, as `eod`."""
+    return f"""
+, last_ts AS (
+  SELECT symbol, expiry, strike_price, CAST(timestamp AS DATE) AS date, max(timestamp) AS ts FROM ocdata WHERE strftime(timestamp, '%H:%M') <= '15:30' AND expiry >= DATE '{as_of}' GROUP BY ALL
+), ends AS (SELECT symbol, CAST(max(timestamp) AS DATE) AS final FROM ocdata GROUP BY 1), eod AS (
+  SELECT o.* REPLACE (CAST(date AS TIMESTAMP) AS timestamp) FROM ocdata o JOIN last_ts l ON o.symbol = l.symbol AND o.expiry = l.expiry AND o.strike_price = l.strike_price AND o.timestamp = l.ts
+    JOIN ends e ON e.symbol = o.symbol WHERE date >= final - 5
+)"""
 
 
 INTRADAY_OI = """
@@ -564,14 +575,19 @@ INTRADAY_OI = """
 SELECT t.symbol, t.expiry, strftime(timestamp, '%H:%M') AS time, strike_price, ce_oi, pe_oi, ce_oi_change, pe_oi_change, underlying_price AS spot
 FROM today t JOIN means m ON t.symbol = m.symbol AND t.expiry = m.expiry WHERE mean <= 0 OR strike_price BETWEEN mean * (1 - 10.0 / 100) AND mean * (1
     + 10.0 / 100)"""
-RISK_REVERSALS = """
-, w AS (
-  SELECT *, row_number() OVER (PARTITION BY symbol, expiry, timestamp ORDER BY round(abs(abs(ce_delta) - 0.25), 9), strike_price) AS cn, row_number()
-      OVER (PARTITION BY symbol, expiry, timestamp ORDER BY round(abs(abs(pe_delta) - 0.25), 9), strike_price) AS pn FROM ocdata
-)
-SELECT symbol, expiry, timestamp, round(max(ce_iv) FILTER (cn = 1) - max(pe_iv) FILTER (pn = 1), 4) AS risk_reversal FROM w GROUP BY 1, 2, 3"""
+
+
+def quarter_delta(keys: str, rows: str) -> str:
+    """(keys, rr): volatility of the put whose delta is nearest to minus a quarter less that of the call nearest to a quarter."""
+    side = lambda s, sign: f"arg_min({s}_iv, struct_pack(d := round(abs(abs({s}_delta) - 0.25), 9), k := strike_price)) FILTER ({sign}{s}_delta > 0 AND {s}_iv > 0)"
+    return f"SELECT {keys}, {side('pe', '-')} - {side('ce', '')} AS rr FROM {rows} GROUP BY ALL"
+
+
+RISK_REVERSALS = f", r AS ({quarter_delta('symbol, expiry, timestamp', 'ocdata')}) SELECT symbol, expiry, timestamp, round(rr, 4) AS risk_reversal FROM r"
+WEIGHTED_SIDES = """round(sum(ce_iv * ce_oi) / nullif(sum(ce_oi), 0), 4) AS ce_iv, round(sum(pe_iv * pe_oi) / nullif(sum(pe_oi), 0), 4) AS pe_iv,
+  round(sum(ce_iv * ce_oi + pe_iv * pe_oi) / nullif(sum(ce_oi + pe_oi), 0), 4) AS iv, sum(ce_oi + pe_oi) AS oi"""
 _LATEST = ", last AS (SELECT o.* FROM ocdata o JOIN (SELECT symbol, max(timestamp) AS ts FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol AND o.timestamp = m.ts)"
-WEIGHTED_IV_OVERALL = _LATEST + " SELECT symbol, round(sum(ce_iv * ce_oi + pe_iv * pe_oi) / nullif(sum(ce_oi + pe_oi), 0), 4) AS iv, sum(ce_oi + pe_oi) AS oi FROM last WHERE ce_iv > 0 GROUP BY 1"
+WEIGHTED_IV_OVERALL = _LATEST + f" SELECT symbol, {WEIGHTED_SIDES} FROM last WHERE ce_iv > 0 GROUP BY 1"
 STRIKE_GAMMA = _LATEST + " SELECT symbol, expiry, strike_price, round(ce_gamma * ce_oi * lotsize / 1e6, 6) AS ce_gex, round(-(pe_gamma * pe_oi * lotsize / 1e6), 6) AS pe_gex, round(net_gexv / 1e6, 6) AS net_gex FROM last"
 MAGNET = _LATEST + """
 , m AS (SELECT symbol, expiry, timestamp, min(strike_price) AS lo, max(strike_price) AS hi FROM last GROUP BY 1, 2, 3), l AS (SELECT m.*, i AS level,

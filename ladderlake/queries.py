@@ -16,12 +16,19 @@ from .sources import ocdata
 from .sources.ocdata import chain, duckdb_chain
 
 AS_OF = "2024-01-17"
+#: A day after the first expiry of the chain, so that lapsed rows are there to be left out.
+LATER = "2024-01-26"
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 _LATEST = ", last AS (SELECT o.* FROM ocdata o JOIN (SELECT symbol, max(timestamp) AS ts FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol AND o.timestamp = m.ts)"
 _TWO = ", r AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rk FROM ocdata)"
 
 
+def _window(days: int) -> str:
+    """Rows of the days up to each symbol's last one, and that many before it, as `recent`."""
+    return f""", recent AS (SELECT o.*, CAST(timestamp AS DATE) AS dt FROM ocdata o JOIN (SELECT symbol, CAST(max(timestamp) AS DATE) AS latest FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol WHERE CAST(timestamp AS DATE) >= latest - {days})"""
+
+
 #: Columns that are dates, given as text; other queries have expiry alone, or none.
 _DATES = {"overview": (), "oi_signals_all": (), "divergence": (), "divergence_intraday": (), "oi_weighted_iv_overall": (), "regime_ramp": (), "eod_rows": ("expiry", "date"), "metadata": (), "heatmap_pivot": (), "iv_intraday_trend": (), "oi_history": ("expiry", "dt"), "iv_history": ("expiry", "dt"), "monthly_expiries": ("expiry", "date"), "expiry_rule": ("expiry", "day")}
 _DATES |= {n: ("date", "expiry") for n in ("stage1", "stage2", "exposure_screener_all", "exposure_screener_changed", "exposure_screener_dropped")} | {n: ("date",) for n in ("signals", "strength", "defense_hold", "indicator_counts", "narratives")} | {"change_summary": ()}
@@ -65,40 +72,56 @@ query("filter_price_band", """, m AS (SELECT symbol, avg(underlying_price) AS s
 SELECT o.symbol, expiry, timestamp, strike_price FROM ocdata o JOIN m ON o.symbol = m.symbol WHERE abs(strike_price - s) <= s * 0.012""")(lambda c: screens.price_band(c, 1.2).select("symbol", "expiry", "timestamp", "strike_price"))
 for _n, _w, _q in (("day", "2024-01-16", "CAST(timestamp AS DATE) = DATE '2024-01-16'"), ("minute", "2024-01-16 15:29", "strftime(timestamp, '%Y-%m-%d %H:%M') = '2024-01-16 15:29'"), ("exact", "2024-01-16 15:29:00", "timestamp = TIMESTAMP '2024-01-16 15:29:00'")):
     query(f"filter_ts_{_n}", f" SELECT symbol, expiry, timestamp, strike_price FROM ocdata WHERE {_q}")(lambda c, w=_w: c.filter(ocdata.at_time(w)).select("symbol", "expiry", "timestamp", "strike_price"))
-query("delta_screener", _LATEST + """, s AS (SELECT symbol, expiry, strike_price, lotsize, 'CE' AS side, abs(ce_delta) AS delta, ce_ltp AS ltp, ce_iv AS iv FROM last UNION ALL SELECT symbol, expiry, strike_price, lotsize, 'PE', abs(pe_delta), pe_ltp, pe_iv FROM last)
-SELECT symbol, expiry, strike_price, side, round(delta, 4) AS delta, ltp, round(iv, 4) AS iv, ltp * lotsize AS premium_lot, strike_price * lotsize AS
-    notional FROM s WHERE abs(round(delta * 100, 6) - 30) <= 5""")(screens.delta_screener)
+query("delta_screener", _LATEST + f""", s AS (
+  SELECT *, 'CE' AS side, abs(ce_delta) AS delta, ce_ltp AS ltp, ce_iv AS iv, ce_oi AS oi, ce_volume AS volume FROM last UNION ALL
+  SELECT *, 'PE', abs(pe_delta), pe_ltp, pe_iv, pe_oi, pe_volume FROM last
+)
+SELECT symbol, expiry, strike_price, side, round(delta, 4) AS delta, ltp, iv, oi, volume, round(ltp * lotsize, 2) AS premium_lot, round(strike_price * lotsize, 2) AS notional, underlying_price AS spot
+FROM s WHERE expiry >= DATE '{LATER}' AND ce_ltp + pe_ltp > 0 AND delta >= 0.05 AND delta <= 0.3""")(lambda c: screens.delta_screener(c, LATER))
 query("volume_shockers", f""", a AS (SELECT *, ce_volume + pe_volume AS v, dense_rank() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rk FROM ocdata WHERE expiry >= DATE '{AS_OF}' AND ce_ltp + pe_ltp > 0),
 top AS (SELECT l.symbol, l.strike_price, l.expiry, l.v AS vol_now, p.v AS vol_prev, l.v - p.v AS vol_delta, round((l.v - p.v) * 100 / nullif(p.v, 0),
     1) AS vol_pct_chg FROM (SELECT * FROM a WHERE rk = 1) l JOIN (SELECT * FROM a WHERE rk = 2) p USING (symbol, strike_price, expiry)
   WHERE l.v > p.v AND l.v > 0 ORDER BY vol_delta DESC, 1, 3, 2 LIMIT 90)
 SELECT * FROM top WHERE symbol NOT IN ('NIFTY', 'BANKNIFTY') ORDER BY vol_delta DESC, symbol, expiry, strike_price LIMIT 30""")(lambda c: screens.volume_shockers(c, AS_OF, 30, "stock"))
-query("iv_shockers", _TWO + """ SELECT symbol, strike_price, expiry, round((a.ce_iv + a.pe_iv) / 2, 4) AS iv_now, round((b.ce_iv + b.pe_iv) / 2, 4) AS iv_prev, round((a.ce_iv + a.pe_iv) / 2 - (b.ce_iv + b.pe_iv) / 2, 4) AS iv_delta
-FROM (SELECT * FROM r WHERE rk = 1) a JOIN (SELECT * FROM r WHERE rk = 2) b USING (symbol, strike_price, expiry) ORDER BY abs(iv_delta) DESC, symbol,
-    expiry, strike_price LIMIT 30""")(screens.iv_shockers)
-query("top_movers", """, a AS (SELECT *, dense_rank() OVER (PARTITION BY symbol, strike_price, expiry ORDER BY timestamp DESC) AS rk FROM ocdata),
-d AS (SELECT symbol, expiry, strike_price, l.ce_ltp AS ltp_now, p.ce_ltp AS ltp_prev, l.ce_ltp - p.ce_ltp AS ltp_chg FROM (SELECT * FROM a WHERE rk =
-    1) l JOIN (SELECT * FROM a WHERE rk = 2) p USING (symbol, strike_price, expiry))
-SELECT 'gainer' AS kind, * FROM (SELECT * FROM d WHERE ltp_chg > 0 ORDER BY ltp_chg DESC, 1, 2, 3 LIMIT 20) UNION ALL SELECT 'loser', * FROM (SELECT *
-    FROM d WHERE ltp_chg < 0 ORDER BY ltp_chg, 1, 2, 3 LIMIT 20)""")(screens.top_movers)
+query("iv_shockers", f""", a AS (SELECT *, (ce_iv + pe_iv) / 2 AS v, dense_rank() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rk FROM ocdata WHERE expiry >= DATE '{LATER}' AND ce_iv + pe_iv > 0),
+top AS (SELECT l.symbol, l.strike_price, l.expiry, l.v AS now, p.v AS before, l.v - p.v AS d FROM (SELECT * FROM a WHERE rk = 1) l JOIN (SELECT * FROM a WHERE rk = 2) p USING (symbol, strike_price, expiry)
+  ORDER BY round(abs(d), 9) DESC, 1, 3, 2 LIMIT 90)
+SELECT symbol, strike_price, expiry, round(now, 4) AS iv_now, round(before, 4) AS iv_prev, round(d, 4) + 0 AS iv_delta FROM top WHERE symbol NOT IN ('NIFTY', 'BANKNIFTY')
+ORDER BY round(abs(d), 9) DESC, symbol, expiry, strike_price LIMIT 30""")(lambda c: screens.iv_shockers(c, LATER, 30, "stock"))
+query("top_movers", f""", a AS (SELECT *, dense_rank() OVER (PARTITION BY symbol, strike_price, expiry ORDER BY timestamp DESC) AS rk FROM ocdata WHERE expiry >= DATE '{LATER}'),
+d AS (SELECT symbol, expiry, strike_price, l.ce_ltp AS ltp_now, p.ce_ltp AS ltp_prev, l.ce_ltp - p.ce_ltp AS ltp_chg, round((l.ce_ltp - p.ce_ltp) * 100 / p.ce_ltp, 1) AS ltp_pct_chg
+  FROM (SELECT * FROM a WHERE rk = 1) l JOIN (SELECT * FROM a WHERE rk = 2) p USING (symbol, strike_price, expiry) WHERE l.ce_ltp > 0 AND p.ce_ltp > 0)
+SELECT 'gainer' AS kind, * FROM (SELECT * FROM d ORDER BY ltp_chg DESC, 1, 2, 3 LIMIT 20) UNION ALL SELECT 'loser', * FROM (SELECT * FROM d ORDER BY ltp_chg, 1, 2, 3 LIMIT 20)""")(lambda c: screens.top_movers(c, LATER))
 _BUILD = "CASE WHEN {0} > 0 AND {1} > 0 THEN 'Long Build-Up' WHEN {0} > 0 AND {1} < 0 THEN 'Short Build-Up' WHEN {0} < 0 AND {1} > 0 THEN 'Short Covering' WHEN {0} < 0 AND {1} < 0 THEN 'Long Unwinding' ELSE 'Neutral' END"
 query("oi_change", _LATEST + f""" SELECT symbol, expiry, strike_price, ce_oi_change, pe_oi_change, {_BUILD.format('ce_oi_change', 'ce_ltp')} AS ce_signal, {_BUILD.format('pe_oi_change', 'pe_ltp')} AS pe_signal, round(ce_volume / nullif(ce_oi, 0), 4) AS ce_vol_oi, round(pe_volume / nullif(pe_oi, 0), 4) AS pe_vol_oi
 FROM last WHERE expiry >= DATE '{AS_OF}' AND (abs(ce_oi_change) >= 1 OR abs(pe_oi_change) >= 1)""")(lambda c: screens.oi_change(c, AS_OF))
 query("oi_signals_all", _TWO + f""", s AS (SELECT symbol, sum(CASE rk WHEN 1 THEN ce_oi ELSE -ce_oi END) AS ce_oi_chg, sum(CASE rk WHEN 1 THEN pe_oi ELSE -pe_oi END) AS pe_oi_chg, round(avg(ce_ltp) FILTER (rk = 1) - avg(ce_ltp) FILTER (rk = 2), 4) AS ce_ltp_chg, round(avg(pe_ltp) FILTER (rk = 1) - avg(pe_ltp) FILTER (rk = 2), 4) AS pe_ltp_chg FROM r WHERE rk <= 2 GROUP BY 1 HAVING count(DISTINCT timestamp) >= 2)
 SELECT *, {_BUILD.format('ce_oi_chg', 'ce_ltp_chg')} AS ce_signal, {_BUILD.format('pe_oi_chg', 'pe_ltp_chg')} AS pe_signal FROM s""")(screens.oi_signals)
-query("oi_history", """, d AS (SELECT symbol, expiry, CAST(timestamp AS DATE) AS dt, strike_price, avg(ce_oi) AS c, avg(pe_oi) AS p FROM ocdata GROUP BY 1, 2, 3, 4)
-SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_oi, round(p, 4) AS pe_oi, round(c - lag(c) OVER w, 4) AS ce_oi_chg, round(p - lag(p) OVER
-    w, 4) AS pe_oi_chg FROM d WINDOW w AS (PARTITION BY symbol, expiry, strike_price ORDER BY dt)""")(lambda c: screens.daily(c, ["ce_oi", "pe_oi"]))
-query("iv_history", """, d AS (SELECT symbol, expiry, CAST(timestamp AS DATE) AS dt, strike_price, avg(ce_iv) AS c FROM ocdata GROUP BY 1, 2, 3, 4)
-SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_iv, round(c - lag(c) OVER (PARTITION BY symbol, expiry, strike_price ORDER BY dt), 4) + 0
-    AS ce_iv_chg FROM d""")(lambda c: screens.daily(c, ["ce_iv"]))
+query("oi_history", _window(3) + """, d AS (
+  SELECT symbol, expiry, dt, strike_price, avg(ce_oi) AS c, avg(pe_oi) AS p, avg(underlying_price) AS spot FROM recent WHERE ce_ltp + pe_ltp > 0 GROUP BY 1, 2, 3, 4
+), l AS (
+  SELECT *, c - lag(c) OVER w AS cc, p - lag(p) OVER w AS pc, avg(spot) OVER (PARTITION BY symbol, expiry) AS mean FROM d WINDOW w AS (PARTITION BY symbol, expiry, strike_price ORDER BY dt)
+)
+SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_oi, round(p, 4) AS pe_oi, round(spot, 4) AS spot, round(cc, 4) AS ce_oi_chg, round(pc, 4) AS pe_oi_chg FROM l
+WHERE strike_price BETWEEN mean * (1 - 1.5 / 100) AND mean * (1 + 1.5 / 100)""")(lambda c: screens.oi_history(c, 3, 1.5))
+query("iv_history", _window(3) + """, d AS (
+  SELECT symbol, expiry, dt, strike_price, avg(ce_iv) AS c, avg(pe_iv) AS p, avg(underlying_price) AS spot FROM recent WHERE ce_iv > 0 GROUP BY 1, 2, 3, 4
+), l AS (
+  SELECT *, (c + p) / 2 AS a, (c + p) / 2 - lag((c + p) / 2) OVER (PARTITION BY symbol, expiry, strike_price ORDER BY dt) AS ch, avg(spot) OVER (PARTITION BY symbol, expiry) AS mean FROM d
+)
+SELECT symbol, expiry, dt, strike_price, round(c, 4) AS ce_iv, round(p, 4) AS pe_iv, round(spot, 4) AS spot, round(a, 4) AS avg_iv, round(ch, 4) + 0 AS iv_chg FROM l
+WHERE strike_price BETWEEN mean * (1 - 1.5 / 100) AND mean * (1 + 1.5 / 100)""")(lambda c: screens.iv_history(c, 3, 1.5))
 query("divergence", oracles.divergence(AS_OF))(lambda c: screens.divergence(c, AS_OF))
 query("divergence_intraday", oracles.divergence(AS_OF, True))(lambda c: screens.divergence(c, AS_OF, True))
 query("delta_oi", _LATEST + """, s AS (SELECT symbol, expiry, sum(abs(ce_delta) * ce_oi * lotsize) / 1e6 AS c, sum(abs(pe_delta) * pe_oi * lotsize) / 1e6 AS p FROM last GROUP BY 1, 2)
 SELECT symbol, expiry, round(c, 4) AS ce_m, round(p, 4) AS pe_m, round(c - p, 4) AS net_m, CASE WHEN c - p > 0.5 THEN 'bullish' WHEN c - p < -0.5 THEN
     'bearish' ELSE 'neutral' END AS lean FROM s""")(screens.delta_oi)
-query("premium_lens", _LATEST + """, s AS (SELECT symbol, expiry, strike_price, round(ce_ltp / nullif(ce_tprice, 0), 4) AS ce_ratio, round((ce_ltp - ce_tprice) * 100 / nullif(ce_tprice, 0), 2) AS ce_diff_pct, round(pe_ltp / nullif(pe_tprice, 0), 4) AS pe_ratio, round((pe_ltp - pe_tprice) * 100 / nullif(pe_tprice, 0), 2) AS pe_diff_pct FROM last)
-SELECT * FROM s WHERE NOT ce_ratio BETWEEN 0.9 AND 1.2 OR NOT pe_ratio BETWEEN 0.9 AND 1.2""")(lambda c: screens.premium_lens(c, 0.9, 1.2))
+query("premium_lens", _LATEST + """, s AS (
+  SELECT symbol, expiry, strike_price, round(ce_ltp / nullif(ce_tprice, 0), 4) AS ce_ratio, round((ce_ltp - ce_tprice) * 100 / nullif(ce_tprice, 0), 2) AS ce_diff_pct,
+    round(pe_ltp / nullif(pe_tprice, 0), 4) AS pe_ratio, round((pe_ltp - pe_tprice) * 100 / nullif(pe_tprice, 0), 2) AS pe_diff_pct FROM last
+  WHERE (ce_ltp > 0 OR pe_ltp > 0) AND (ce_oi >= 20000 OR pe_oi >= 20000)
+)
+SELECT * FROM s WHERE ce_ratio < 0.9 OR ce_ratio > 1.2 OR pe_ratio < 0.9 OR pe_ratio > 1.2""")(lambda c: screens.premium_lens(c, 0.9, 1.2, 20000))
 query("metadata", " SELECT symbol, count(DISTINCT timestamp) AS timestamps, count(DISTINCT expiry) AS expiries, strftime(max(timestamp), '%Y-%m-%d %H:%M') AS latest, max(lotsize) AS lot_size FROM ocdata GROUP BY 1")(screens.metadata)
 query("strike_trend", " SELECT symbol, expiry, strike_price, timestamp, ce_ltp, pe_oi FROM ocdata")(lambda c: screens.strike_trend(c, ["ce_ltp", "pe_oi"]))
 query("atm_strikes", " SELECT DISTINCT symbol, expiry, distance_from_atm, strike_price, atm_strike FROM ocdata")(lambda c: c.select("symbol", "expiry", "distance_from_atm", "strike_price", "atm_strike").distinct())
@@ -106,28 +129,39 @@ query("heatmap_pivot", " SELECT symbol, strike_price, sum(ce_oi) FILTER (CAST(ti
 query("iv_term_structure", _LATEST + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol, expiry ORDER BY abs(distance_from_atm), strike_price) AS k FROM last), m AS (SELECT symbol, expiry, (ce_iv + pe_iv) / 2 AS mid, pe_iv - ce_iv AS skew FROM n WHERE k = 1)
 SELECT symbol, expiry, round(mid, 4) AS mid, round(skew, 4) AS skew, CASE WHEN arg_max(mid, expiry) OVER (PARTITION BY symbol) > arg_min(mid, expiry)
     OVER (PARTITION BY symbol) THEN 'contango' ELSE 'backwardation' END AS shape FROM m""")(screens.term_structure)
-query("iv_rank", """, a AS (SELECT *, last_value(ce_iv) OVER (PARTITION BY symbol, expiry ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM ocdata WHERE distance_from_atm = 0 AND ce_iv > 0)
-SELECT symbol, expiry, count(*) AS n, round(max(now), 4) AS iv_now, round((max(now) - min(ce_iv)) / nullif(max(ce_iv) - min(ce_iv), 0) * 100, 2) AS
-    iv_rank, round(avg(CASE WHEN ce_iv < now THEN 1.0 ELSE 0.0 END) * 100, 2) AS iv_percentile, round(max(m_volatility) - max(now), 4) AS rv_iv FROM a
-    GROUP BY 1, 2 HAVING count(*) >= 2 AND max(ce_iv) > min(ce_iv)""")(screens.iv_rank)
-query("pc_skew", _LATEST + """, w AS (SELECT *, distance_from_atm / atm_strike * 100 AS money, row_number() OVER (PARTITION BY symbol, expiry ORDER BY round(abs(abs(ce_delta) - 0.25), 9), strike_price) AS cn, row_number() OVER (PARTITION BY symbol, expiry ORDER BY round(abs(abs(pe_delta) - 0.25), 9), strike_price) AS pn FROM last),
-s AS (SELECT symbol, expiry, max(ce_iv) FILTER (cn = 1) - max(pe_iv) FILTER (pn = 1) AS rr, CASE WHEN count(*) FILTER (distance_from_atm > 0) >= 3
-    THEN regr_slope(ce_iv, money) FILTER (distance_from_atm > 0) * 100 END AS c, CASE WHEN count(*) FILTER (distance_from_atm < 0) >= 3 THEN
-    regr_slope(pe_iv, money) FILTER (distance_from_atm < 0) * 100 END AS p FROM w GROUP BY 1, 2)
-SELECT symbol, expiry, round(rr, 4) AS risk_reversal, round(c, 3) AS call_slope, round(p, 3) AS put_slope, round(abs(p) - abs(c), 3) AS asymmetry FROM
-    s""")(screens.skew)
-query("oi_weighted_iv", _LATEST + " SELECT symbol, expiry, round(sum(ce_iv * ce_oi + pe_iv * pe_oi) / nullif(sum(ce_oi + pe_oi), 0), 4) AS iv, sum(ce_oi + pe_oi) AS oi FROM last WHERE ce_iv > 0 GROUP BY 1, 2")(screens.oi_weighted_iv)
-query("iv_intraday_trend", """, d AS (SELECT o.symbol, timestamp, sum(ce_iv * ce_oi + pe_iv * pe_oi) / sum(ce_oi + pe_oi) AS iv FROM ocdata o JOIN (SELECT symbol, max(CAST(timestamp AS DATE)) AS day FROM ocdata GROUP BY 1) m ON o.symbol = m.symbol AND CAST(timestamp AS DATE) = day GROUP BY 1, 2)
-SELECT symbol, round(arg_min(iv, timestamp), 4) AS iv_first, round(arg_max(iv, timestamp), 4) AS iv_last, round(arg_max(iv, timestamp) - arg_min(iv,
-    timestamp), 4) AS iv_chg FROM d GROUP BY 1""")(screens.iv_intraday)
+query("iv_rank", _LATEST + """, n AS (
+  SELECT symbol, expiry, timestamp AS seen, (ce_iv + pe_iv) / 2 AS now, m_volatility AS rv FROM last WHERE distance_from_atm = 0
+), p AS (
+  SELECT n.symbol, n.expiry, count(*) AS n, min((ce_iv + pe_iv) / 2) AS lo, max((ce_iv + pe_iv) / 2) AS hi, avg(CASE WHEN (ce_iv + pe_iv) / 2 < now THEN 1.0 ELSE 0.0 END) AS under
+  FROM ocdata o JOIN n ON o.symbol = n.symbol AND o.expiry = n.expiry WHERE distance_from_atm = 0 AND ce_iv + pe_iv > 0 AND timestamp >= seen - INTERVAL 4 DAY GROUP BY 1, 2
+)
+SELECT n.symbol, n.expiry, CAST(coalesce(n, 0) AS BIGINT) AS n, round(now, 2) AS iv_now, CASE WHEN n >= 2 AND hi > lo THEN round((now - lo) / (hi - lo) * 100, 1) END AS iv_rank,
+  CASE WHEN n >= 2 THEN round(under * 100, 1) END AS iv_percentile, round(rv - now, 2) AS rv_iv FROM n LEFT JOIN p ON n.symbol = p.symbol AND n.expiry = p.expiry""")(lambda c: screens.iv_rank(c, 4))
+query("pc_skew", _LATEST + """, m AS (
+  SELECT symbol, expiry, coalesce(min(strike_price) FILTER (distance_from_atm = 0), max(underlying_price)) AS middle FROM last GROUP BY 1, 2
+), s AS (
+  SELECT l.symbol, l.expiry, CASE WHEN count(*) FILTER (strike_price > middle AND ce_iv > 1) >= 3 THEN regr_slope(ce_iv, strike_price) FILTER (strike_price > middle AND ce_iv > 1) * 100 END AS c,
+    CASE WHEN count(*) FILTER (strike_price < middle AND pe_iv > 1) >= 3 THEN regr_slope(pe_iv, strike_price) FILTER (strike_price < middle AND pe_iv > 1) * 100 END AS p
+  FROM last l JOIN m ON l.symbol = m.symbol AND l.expiry = m.expiry GROUP BY 1, 2
+), r AS (""" + oracles.quarter_delta("symbol, expiry", "last") + """)
+SELECT s.symbol, s.expiry, round(rr, 2) AS risk_reversal, round(c, 4) AS call_slope, round(p, 4) AS put_slope, round(abs(p) - abs(c), 4) AS asymmetry
+FROM s JOIN r ON s.symbol = r.symbol AND s.expiry = r.expiry""")(screens.skew)
+query("oi_weighted_iv", _LATEST + f" SELECT symbol, expiry, {oracles.WEIGHTED_SIDES} FROM last WHERE ce_iv > 0 GROUP BY 1, 2")(screens.oi_weighted_iv)
+query("iv_intraday_trend", f""", t AS (SELECT * FROM ocdata WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM ocdata)), b AS (SELECT symbol, min(timestamp) AS a, max(timestamp) AS z FROM t GROUP BY 1),
+v AS (SELECT t.symbol, timestamp, a, z, sum(ce_iv * ce_oi + pe_iv * pe_oi) / nullif(sum(ce_oi + pe_oi), 0) AS iv FROM t JOIN b ON t.symbol = b.symbol WHERE expiry >= DATE '{LATER}' AND ce_iv > 0 GROUP BY 1, 2, 3, 4),
+o AS (SELECT * FROM v WHERE timestamp = a), n AS (SELECT * FROM v WHERE timestamp = z)
+SELECT o.symbol, round(o.iv, 2) AS iv_open, round(n.iv, 2) AS iv_now, round(n.iv - o.iv, 2) + 0 AS iv_chg, CASE WHEN o.iv > 0 THEN round((n.iv - o.iv) / o.iv * 100, 2) + 0 END AS iv_chg_pct FROM o JOIN n ON o.symbol = n.symbol""")(lambda c: screens.iv_intraday(c, LATER))
 query("flow_buckets", oracles.FLOW_BUCKETS)(flows.flow_buckets)
 query("flow_signals", oracles.FLOW_SIGNALS)(flows.flow_signals)
 query("flow_crossing", oracles.FLOW_CROSSING)(flows.flow_crossing)
 query("migrated_strikes", oracles.MIGRATED)(flows.migrated_strikes)
 query("smart_money")(flows.smart_money)
+query("smart_money_eod")(lambda c: flows.smart_money(flows.end_of_day(c, AS_OF)))
+query("smart_money_intraday")(lambda c: flows.smart_money(flows.one_day(c, LATER), min_oi_change=500.0))
 query("exposure_layers", oracles.EXPOSURE_LAYERS)(layers.exposure_layers)
+query("exposure_layers_eod", oracles.end_of_day(AS_OF) + oracles.EXPOSURE_LAYERS.replace("ocdata", "eod"))(lambda c: layers.exposure_layers(flows.end_of_day(c, AS_OF)))
 query("exposure_profiles", oracles.EXPOSURE_PROFILES)(layers.exposure_profiles)
-query("eod_rows", oracles.eod_rows(AS_OF))(lambda c: screens.eod_rows(c, AS_OF).select("symbol", "expiry", "timestamp", "date", "strike_price", "ce_oi", "pe_oi", "ce_ltp"))
+query("eod_rows", oracles.eod_rows(LATER))(lambda c: screens.eod_rows(c, LATER).select("symbol", "expiry", "timestamp", "date", "strike_price", "ce_oi", "pe_oi", "ce_ltp"))
 query("intraday_oi", oracles.INTRADAY_OI)(screens.intraday_oi)
 query("risk_reversals", oracles.RISK_REVERSALS)(screens.risk_reversals)
 query("oi_weighted_iv_overall", oracles.WEIGHTED_IV_OVERALL)(screens.weighted_iv_overall)

@@ -39,8 +39,9 @@ cell AS (
 ), ocdata AS (
   SELECT *, (ce_gamma * ce_oi - pe_gamma * pe_oi) * lotsize AS net_gexv, ce_oi_change * 0.5D AS ce_vanna_ex, pe_oi_change * -0.25D AS pe_vanna_ex,
     ce_oi_change * 0.5D - pe_oi_change * 0.25D AS net_vanna_ex, (ce_oi - pe_oi) * 0.125D AS net_charm_ex, ce_oi_change - pe_oi_change AS net_flow,
-    ce_volume * 3 AS ce_tbq, pe_volume * 2 AS pe_tbq, ce_ltp * 0.75D + 1 AS ce_tprice, pe_ltp * 1.25D AS pe_tprice,
-    ce_delta * ce_oi_change AS ce_delta_oi_chg, pe_delta * pe_oi_change AS pe_delta_oi_chg, ce_oi * ce_time_value AS ce_prem_oi, pe_oi * pe_time_value AS pe_prem_oi,
+    ce_volume * 3 AS ce_tbq, pe_volume * 2 AS pe_tbq, ce_ltp * 0.75D + 1 AS ce_tprice, pe_ltp * 0.75D + 2 AS pe_tprice,
+    ce_delta * ce_oi_change AS ce_delta_oi_chg, pe_delta * pe_oi_change AS pe_delta_oi_chg, ce_oi * ce_ltp AS ce_prem_oi, pe_oi * pe_ltp AS pe_prem_oi,
+    ABS(ce_delta) * 0.875D AS ce_nd2, ABS(pe_delta) * 0.875D AS pe_nd2,
     12.0D AS m_volatility, ce_ltp + pe_ltp AS expected_move_straddle, underlying_price * 0.05D AS expected_move_theoretical
   FROM plain
 )"""
