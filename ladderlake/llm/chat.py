@@ -106,28 +106,43 @@ def formatted(linked: DataFrame, role: str = "role", text: str = "text") -> Data
     return linked.withColumn("message", F.concat(F.lit("<|im_start|>"), F.coalesce(c(role), F.lit("user")), F.lit("\n"), body, F.lit("<|im_end|>")))
 
 
+def _numbered(x: DataFrame, most: int) -> DataFrame:
+    """x with number: the place of a message m in its thread, from 0, by turn, then mark.
+
+    Messages are numbered within leaves, stretches of most turns, and leaves are added up; where a
+    stretch holds many messages of few turns its leaves are single turns and ranges of marks. So
+    a task orders a leaf of messages or the leaves of a thread, and only equal messages are never told apart.
+    """
+    keys = ["conv", "thread", "stretch"]
+    x = x.withColumn("stretch", F.floor(F.col("m.turn") / most))
+    crowded = x.groupBy(*keys).count().filter(F.col("count") > 4 * most).select(*(F.col(k).alias(f"c_{k}") for k in keys), F.lit(True).alias("crowded"))
+    x = x.join(crowded, F.expr(" AND ".join(f"{k} <=> c_{k}" for k in keys)), "left").drop(*(f"c_{k}" for k in keys))
+    x = x.withColumn("leaf", F.struct("stretch", F.when(F.col("crowded"), F.struct(F.col("m.turn"), F.shiftright("m.mark", 48)))))
+    leaves = x.groupBy("conv", "thread", "leaf").agg(F.count("*").alias("in_leaf"))
+    earlier = Window.partitionBy("conv", "thread").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = leaves.select(*(F.col(k).alias(f"l_{k}") for k in ("conv", "thread", "leaf")), F.coalesce(F.sum("in_leaf").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("conv", "thread", "leaf").orderBy("m.turn", "m.mark"))
+    joined = x.withColumn("own", own).join(leaves, F.expr("conv <=> l_conv AND thread <=> l_thread AND leaf <=> l_leaf"))
+    return joined.select("conv", "thread", "m", (F.col("before") + F.col("own") - 1).alias("number"))
+
+
 def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = 256) -> DataFrame:
-    """(conversation, thread, part, sub, messages, chat): the messages of each thread in reply order, without quotes, and their markup.
+    """(conversation, thread, part, messages, chat): the messages of each thread in reply order, without quotes, and their markup.
 
     messages is an array of struct(turn, role, reply_to, text); a message follows the one it
-    replies to. A thread of more than most turns goes on in further parts, in order of part.
-    More than most messages within most turns, which takes repeated turns or null ones, are dealt
-    to subs by their hash, each in order of turn: no array grows with a hot conversation. A null
-    conversation or turn has a null thread and null parts.
+    replies to. A thread of more than most messages goes on in further parts, each of most
+    messages but the last, in order of part: no array grows with a hot conversation. Null turns
+    come first. Messages of a null conversation have a null thread, which goes on in parts too.
     """
     body = F.struct(c(turn).alias("turn"), F.xxhash64(c(text), c(role)).alias("mark"), c(role).alias("role"), "reply_to", c(text).alias("text"), "message")
-    # read twice, and linked is dear
-    x = stored(formatted(linked, role, text).select(c(conversation).alias("conv"), "thread", F.floor(c(turn) / most).alias("part"), body.alias("m")))
-    keys = ["conv", "thread", "part"]
-    large = x.groupBy(*keys).count().filter(F.col("count") > most).select(*(F.col(k).alias(f"l_{k}") for k in keys), F.ceil(F.col("count") / most).cast("int").alias("subs"))
-    x = x.join(large, F.expr(" AND ".join(f"{k} <=> l_{k}" for k in keys)), "left")
-    x = x.withColumn("sub", F.coalesce(F.pmod(F.xxhash64("m.turn", "m.mark"), F.col("subs")).cast("int"), F.lit(0)))
-    x = x.groupBy(*keys, "sub").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    # read more than once, and linked is dear
+    x = stored(formatted(linked, role, text).select(c(conversation).alias("conv"), "thread", body.alias("m")))
+    x = _numbered(x, most).groupBy("conv", "thread", F.floor(F.col("number") / most).alias("part")).agg(F.array_sort(F.collect_list("m")).alias("all"))
     told = F.transform("all", lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["reply_to"].alias("reply_to"), m["text"].alias("text")))
-    return x.select(F.col("conv").alias(conversation), "thread", "part", "sub", told.alias("messages"), F.array_join(F.transform("all", lambda m: m["message"]), "\n").alias("chat"))
+    return x.select(F.col("conv").alias(conversation), "thread", "part", told.alias("messages"), F.array_join(F.transform("all", lambda m: m["message"]), "\n").alias("chat"))
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
     """Every conversation as threads of messages without quotes, in reply order."""
     found = conversations(link(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    return found.select("conv_id", "thread", "part", "sub", F.size("messages").alias("n_messages"), F.col("messages.turn").alias("turns"), F.col("messages.role").alias("roles"), F.col("messages.reply_to").alias("reply_to"), "chat")
+    return found.select("conv_id", "thread", "part", F.size("messages").alias("n_messages"), F.col("messages.turn").alias("turns"), F.col("messages.role").alias("roles"), F.col("messages.reply_to").alias("reply_to"), "chat")

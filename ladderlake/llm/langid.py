@@ -33,7 +33,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         columns = [(1, *x) for x in itertools.product((1, -1), repeat=k - 1) if -1 in x]
         return np.array(columns, float).T
     rng, bits, best = np.random.default_rng(seed), max(15, math.ceil(10 * math.log2(k))), None
-    for _ in range(50 if k <= 256 else 4):
+    for _ in range(20):
         code = np.where(rng.permuted(np.tile(np.arange(k)[:, None] < k // 2, bits), axis=0), 1.0, -1.0)
         apart = min(bits - (code[i + 1 :] @ code[i]).max() for i in range(k - 1))
         if best is None or apart > best[0]:
@@ -55,14 +55,15 @@ def _features(text: str) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_lang: int = 3000, alpha: float = 0.5, seed: int = 11) -> dict:
     """Learns all values of lang that are not null, each from about max_docs_per_lang of its different whole texts at most.
 
-    The sample is drawn by the hash of the text, so it does not depend on files or partitions, and
-    a text that occurs often in a language counts once. A classifier's two sides are means over
+    The sample is drawn by the hash of the text, so it does not depend on files or partitions. A
+    language's share is taken of its different texts, as a sketch counts them to about 2 %, so a
+    text that occurs often counts once and takes no other's place. A classifier's two sides are means over
     their languages, summed up by Spark: the driver gets two numbers for each bucket and bit,
     and bits grow as the logarithm of the number of languages. No row to learn from gives a
     model that answers `und`.
     """
     rows = docs.select(c(text).alias("text"), c(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(max_docs_per_lang)) / F.count("*")).alias("share"))
+    share = rows.groupBy("lang").agg((F.lit(float(max_docs_per_lang)) / F.approx_count_distinct(F.xxhash64("text"), 0.02)).alias("share"))
     # one short row for each language, all of which the driver holds as the codebook anyway; texts stay where they are
     drawn = rows.join(F.broadcast(share), "lang").filter(uniform(F.col("text"), F.lit(seed)) < F.col("share"))
     sample = drawn.groupBy("lang", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"))

@@ -60,23 +60,35 @@ def _running(rows: DataFrame, groups: list[str], leaf: Column, bits: Column, ord
     return rows.withColumn("own", own).join(before, [*groups, "leaf"]).withColumn("total", F.col("own") + F.col("before")).drop("own", "before", "leaf", "branch")
 
 
+def _copies(same: DataFrame, most: int = 1024) -> DataFrame:
+    """A row for each of the copies of a row, numbered from 1; rows of many copies are dealt out in runs before they are copied."""
+    few = same.filter(F.col("copies") <= most).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    runs = same.filter(F.col("copies") > most).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / most))))
+    first = F.col("run") * most + 1
+    many = runs.repartition("key", "draw", "run").withColumn("nth", F.explode(F.sequence(first, F.least(F.col("copies"), first + (most - 1)))))
+    return few.unionByName(many.drop("run"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, rows_per_leaf: int = 64) -> DataFrame:
     """(key, source, size, draw, source_size, target, finish, times) of each row of docs.
 
     finish is the virtual time at which a row is first taken, times how often the mix takes it, 0
     to most. The mix ends before the first document that would exceed the budget, share times all
     sizes. Rows of size 0 have times 0. Null sources are a source of their own; null texts have
-    size 0; rows that are equal may change places; an empty table gives no rows.
+    size 0; an empty table gives no rows. Rows of equal key, text and source follow each other;
+    they are added up before they are ordered and dealt out again after, however many there are.
     """
-    rows = stored(sized(docs, key, text, source).withColumn("group", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))))
-    per = rows.groupBy("group").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    rows = sized(docs, key, text, source).withColumn("group", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))))
+    rows = stored(rows.groupBy("group", "key", "source", "size", "draw").agg(F.count("*").alias("copies")))
+    per = rows.groupBy("group").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n"))
     per = stored(targets(per, weights, share, float(most)).withColumn("group", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))))
     n, budget = per.agg(F.sum("n"), share * F.sum("source_size")).first()
     rows = rows.join(per.drop("source"), "group")
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / rows_per_leaf))).cast("int")
     leaf = F.floor(F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(1 << 53)) * F.pow(F.lit(2.0), bits)).cast("long")
     unsigned = [F.shiftrightunsigned("draw", 11), F.col("draw"), F.col("key"), F.col("size")]
-    rows = _running(rows, ["group"], leaf, bits, unsigned, "size")
+    rows = _copies(_running(rows.withColumn("all", F.col("size") * F.col("copies")), ["group"], leaf, bits, unsigned, "all"))
+    rows = rows.withColumn("total", F.col("total") - F.col("size") * (F.col("copies") - F.col("nth"))).drop("all", "copies", "nth")
     finish = [(F.col("total") + i * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target")) for i in range(most)]
     rows = stored(rows.withColumns({f"finish{i}": F.when(F.col("size") > 0, x) for i, x in enumerate(finish)}).drop("total", "group", "n"))
     if not n or not budget:

@@ -25,9 +25,11 @@ BLOCK, ASKED, TILE, COLUMNS = 4096, 1024, 64, 8
 SPARSE = 0.15
 #: Query blocks whose k-th best scores a task remembers.
 REMEMBERED = 64
-#: Vectors as long as this or longer, scaled and squared, take no part, so that no inner product exceeds a long.
-LONGEST = 2.0**62
-_PACKED = "block long, dims int, n int, ids array<long>, uids array<long>, vectors array<long>"
+#: Vectors as long as this or longer, scaled and squared, have blocks of their own, as their products may need more than a double or a long.
+LONG = 2.0**52
+#: The greatest score; greater ones, and those below its negative, count as it. NONE is less than any score, and its negative is a long too.
+MOST, NONE = 2**63 - 2, -(2**63 - 1)
+_PACKED = "block long, dims int, n int, ids array<long>, uids array<long>, vectors array<double>"
 
 
 def _row(block: int, ids: pa.Array, uids: np.ndarray, columns: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
@@ -37,21 +39,21 @@ def _row(block: int, ids: pa.Array, uids: np.ndarray, columns: np.ndarray, *more
 
 
 def pack(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block: int = BLOCK) -> DataFrame:
-    """Blocks of up to block vectors of one length, as floor(scale * x).
+    """Blocks of up to block vectors of one length, as floor(scale * x), which a double holds exactly.
 
-    Vectors that are null, or hold a null or a component that is not finite, take no part, nor do
-    those of LONGEST or more. uids number the rows of the input, so that a row is told from others
+    Vectors that are null, or hold a null or a component that is not finite, also when scaled, take
+    no part. Very long vectors have blocks of their own. uids number the rows of the input, so that a row is told from others
     of the same key; store what this returns before it is used twice.
     """
     wide = vectors.select(c(key).cast("long").alias("key"), F.transform(c(vector), lambda x: x.cast("double")).alias("v"))
-    wide = wide.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    wide = wide.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) == float("inf"))))
     wide = wide.select("key", F.monotonically_increasing_id().alias("uid"), "v")
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def out(dims):
-            keys, uids, v = zip(*held.pop(dims))
+        def out(kind):
+            keys, uids, v = zip(*held.pop(kind))
             uids = np.concatenate(uids)
             return pa.RecordBatch.from_arrays(_row(int(uids[0]), pa.concat_arrays(keys), uids, np.concatenate(v).T), names=["block", "dims", "n", "ids", "uids", "vectors"])
 
@@ -63,15 +65,17 @@ def pack(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
             for dims in np.unique(lengths):
                 at = np.flatnonzero(lengths == dims)
                 v = flat[offsets[at][:, None] + np.arange(dims)].reshape(len(at), dims)
-                fits = (v * v).sum(1) < LONGEST
-                at, v = at[fits], v[fits].astype(np.int64)
-                for a in range(0, len(at), block):
-                    rows = at[a : a + block]
-                    held.setdefault(int(dims), []).append((keys.take(pa.array(rows)), uids[rows], v[a : a + block]))
-                    if sum(len(x[0]) for x in held[int(dims)]) >= block:
-                        yield out(int(dims))
-        for dims in list(held):
-            yield out(dims)
+                with np.errstate(over="ignore"):
+                    long = (v * v).sum(1) >= LONG
+                for kind in ((int(dims), False), (int(dims), True)):
+                    own = np.flatnonzero(long == kind[1])
+                    for a in range(0, len(own), block):
+                        rows = own[a : a + block]
+                        held.setdefault(kind, []).append((keys.take(pa.array(at[rows])), uids[at[rows]], v[rows]))
+                        if sum(len(x[0]) for x in held[kind]) >= block:
+                            yield out(kind)
+        for kind in list(held):
+            yield out(kind)
 
     return wide.mapInArrow(run, _PACKED)
 
@@ -84,9 +88,22 @@ def _lists(batch: pa.RecordBatch, names: list[str]):
 
 
 def _kind(q: np.ndarray, x: np.ndarray):
-    """double where all sums are below 2 ** 53 and so exact, which matrix products are fast for; else long."""
-    longest = lambda m: math.sqrt((m.astype(float) ** 2).sum(0).max(initial=0))
-    return np.float64 if longest(q) * longest(x) < 2**53 else np.int64
+    """double where all sums are below 2 ** 53 and so exact, which matrix products are fast for; long below 2 ** 62; else whole numbers of any size."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        longest = lambda m: math.sqrt((m.astype(float) ** 2).sum(0).max(initial=0))
+        most = longest(q) * longest(x)
+    return np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
+
+
+def _whole(m: np.ndarray, kind) -> np.ndarray:
+    """m, whose values are whole, as that kind of number."""
+    return np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) if kind is object else m.astype(kind)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, kind) -> np.ndarray:
+    """All inner products of the columns of q and x."""
+    score = _whole(q, kind).T @ _whole(x, kind)
+    return np.clip(score, -MOST, MOST).astype(np.int64) if kind is object else score
 
 
 def asked(blocks: DataFrame, k: int, every: int, size: int = ASKED) -> DataFrame:
@@ -106,10 +123,9 @@ def asked(blocks: DataFrame, k: int, every: int, size: int = ASKED) -> DataFrame
                 uids, x = uids.to_numpy(), v.to_numpy().reshape(dims, n)
                 for a in range(0, len(at), TILE):
                     rows = at[a : a + TILE]
-                    kind = _kind(x[:, rows], x)
-                    score = x[:, rows].astype(kind).T @ x.astype(kind)
-                    score[np.arange(len(rows)), rows] = -(2**62)
-                    floors = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -(2**62))
+                    score = _scores(x[:, rows], x, _kind(x[:, rows], x)).astype(np.int64)
+                    score[np.arange(len(rows)), rows] = NONE
+                    floors = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), NONE)
                     held.setdefault(dims, []).append((number[rows], uids[rows], x[:, rows], floors.astype(np.int64)))
                     if sum(len(y[0]) for y in held[dims]) >= size:
                         yield out(dims)
@@ -123,10 +139,16 @@ def best(q_uids: np.ndarray, q: np.ndarray, top: np.ndarray, ids: pa.Array, uids
     """(query positions, candidate positions, scores) that may belong to the k best of a query; top, k best scores of each query so far in descending order, is brought up to date.
 
     q and x have a row for each dimension. reached gets (pairs, pairs that came to the last columns).
+    Blocks whose products may exceed a long are compared in full: nothing is bounded by lengths then.
     """
     dims, k = len(q), top.shape[1]
     kind = _kind(q, x)
-    q, x = q.astype(kind), x.astype(kind)
+    exact = _scores(q, x, kind) if kind is object else None
+    if exact is None:
+        q, x = _whole(q, kind), _whole(x, kind)
+    else:
+        q, x = np.zeros((0, q.shape[1])), np.zeros((0, x.shape[1]))
+        dims = 0
     # columns with the most mass first
     order = np.argsort(-((q.astype(float) ** 2).mean(1) * (x.astype(float) ** 2).mean(1)), kind="stable")
     q, x = q[order], x[order]
@@ -136,7 +158,7 @@ def best(q_uids: np.ndarray, q: np.ndarray, top: np.ndarray, ids: pa.Array, uids
     for a in range(0, q.shape[1], TILE):
         own = np.arange(a, min(a + TILE, q.shape[1]))
         floor = top[own, -1]
-        score, done, pairs = np.zeros((len(own), x.shape[1]), kind), 0, None
+        score, done, pairs = np.zeros((len(own), x.shape[1]), kind) if exact is None else exact[own], 0, None
         while done < dims:
             last = done + step >= dims
             if pairs is None:
@@ -166,7 +188,7 @@ def best(q_uids: np.ndarray, q: np.ndarray, top: np.ndarray, ids: pa.Array, uids
         i, j, value = i[order], j[order], value[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         i, j, value, rank = (y[rank < k] for y in (i, j, value, rank))
-        new = np.full((len(own), k), -(2**62))
+        new = np.full((len(own), k), NONE)
         new[i, rank] = value
         top[own] = -np.sort(-np.concatenate([top[own], new], axis=1), axis=1)[:, :k]
         yield own[i], j, value
@@ -178,7 +200,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     Only vectors of a query's length are its candidates. Ties go to the smaller key, null last. A
     row is not its own candidate, another row of the same key is. Queries with fewer than k
     candidates have as many; an empty table gives no rows; other columns are left aside.
-    Components are scaled and floored. Blocks of queries and of candidates meet in a grid of
+    Components are scaled and floored; a score beyond a long counts as the greatest or least one. Blocks of queries and of candidates meet in a grid of
     tasks, each pair once: queries are copied to its columns and candidates to its rows, whose
     numbers make the copies of both about as large.
     """
@@ -201,7 +223,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
                 # the k-th best scores that this task has found for a block of queries; forgotten ones only prune less
                 top = known.pop(number, None)
                 if top is None:
-                    top = np.full((q_n, k), -(2**62))
+                    top = np.full((q_n, k), NONE)
                     top[:, -1] = floors.to_numpy()
                     top = -np.sort(-np.where(top < top[:, -1:], top[:, -1:], top), axis=1)
                 known[number] = top
@@ -229,10 +251,9 @@ WITH u AS MATERIALIZED (
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), v AS MATERIALIZED (
-  SELECT vec_id, uid, list_transform(d, lambda x: CAST(x AS BIGINT)) AS e
-  FROM u WHERE coalesce(list_sum(list_transform(d, lambda x: x * x)), 0) < 4611686018427387904
+  SELECT vec_id, uid, list_transform(d, lambda x: CAST(x AS HUGEINT)) AS e FROM u
 ), s AS (
-  SELECT q.vec_id AS query_id, q.uid, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, q.uid, c.vec_id AS vec_id, CAST(greatest(-9223372036854775806, least(9223372036854775806, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0))) AS BIGINT) AS score
   FROM v q JOIN v c ON q.uid <> c.uid AND len(q.e) = len(c.e)
   WHERE q.vec_id % 50 = 0
 ), r AS (

@@ -107,7 +107,7 @@ def test_topk_against_brute_force(spark):
     assert len(got[50]) == 10  # two rows of one id ask each
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     huge = spark.createDataFrame([(0, [1e300]), (1, [1.0]), (50, [2.0]), (2, []), (100, [])], "vec_id long, embedding array<double>")
-    assert sorted((r.query_id, r.vec_id, r.score) for r in topk.search(huge).collect()) == [(50, 1, 256 * 512), (100, 2, 0)]
+    assert sorted((r.query_id, r.vec_id, r.score) for r in topk.search(huge).collect()) == [(0, 1, topk.MOST), (0, 50, topk.MOST), (50, 0, topk.MOST), (50, 1, 256 * 512), (100, 2, 0)]
 
 
 def test_topk_prunes():
