@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, NEGATIVE, POSITIVE, SEVERITY, Params
+from ..config import DEFAULTS, NEGATIVE, POSITIVE, SEVERITY, SIGNAL_WORDS, Params
 from ..functions import narratives as words
 from ..functions.expressions import basis, chosen, confidence, dealer_divergence, expected_move, hold_probability, in_deadzone, ratio, regime_color, regime_order, signals, strength
 from ..operators.ladder import gamma_flip, gamma_shelf, net_gamma, oi_center, strike_interval
@@ -188,12 +188,45 @@ def stage2(eod: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def history(eod: DataFrame, first: str, last: str, rank: int = 0) -> DataFrame:
     """Strength day by day from first to last: six axes against the row before, their sum, and its running sum; the first day scores 0."""
-    x = eod.filter((F.col("expiry_rank") == rank) & F.col("date").between(first, last))
+    x = _scored(eod.filter((F.col("expiry_rank") == rank) & F.col("date").between(first, last)))
+    return x.select("symbol", "date", "basis_pct", "in_deadzone", "left_deadzone", "gex_regime", *(n for n in x.columns if n.startswith("axis_")), "strength", "strength_cum")
+
+
+def symbol_history(eod: DataFrame, symbols: list[str] | None = None, first: str | None = None, last: str | None = None, rank: int = 0, days: int = 7) -> DataFrame:
+    """All columns of each symbol's rows from first to last with their strength, regime colour and place.
+
+    By default the window ends with the symbol's last row and begins so many days before its end.
+    """
+    x = eod.filter(F.col("expiry_rank") == rank)
+    if symbols is not None:
+        x = x.filter(F.col("symbol").isin(symbols))
+    ends = x.groupBy("symbol").agg(F.coalesce(F.lit(last).cast("date"), F.max("date")).alias("_last"))
+    begin = F.coalesce(F.lit(first).cast("date"), F.date_sub("_last", days))
+    x = _scored(x.join(ends, "symbol").filter(F.col("date").between(begin, F.col("_last"))).drop("_last"))
+    return x.withColumns({"regime_color": regime_color(F.col("gex_regime")), "regime_place": regime_order(F.col("gex_regime"))})
+
+
+def dates(eod: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+    """(symbol, expiry_rank, date, recency): the days that each symbol has rows of, recency 1 for its last one."""
+    x = eod if symbols is None else eod.filter(F.col("symbol").isin(symbols))
+    days = x.select("symbol", "expiry_rank", "date").distinct()
+    return days.withColumn("recency", F.row_number().over(Window.partitionBy("symbol", "expiry_rank").orderBy(F.desc("date"))))
+
+
+def signal_info(eod: DataFrame) -> DataFrame:
+    """(signal, severity, description, rows): every known signal in words, how urgent it is, and how many rows have it."""
+    known = eod.sparkSession.createDataFrame([(k, SEVERITY[k], text) for k, text in SIGNAL_WORDS.items()], "signal string, severity int, description string")
+    counts = signal_counts(eod).groupBy("signal").agg(F.sum("n").alias("rows"))
+    return known.join(counts, "signal", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+def _scored(x: DataFrame) -> DataFrame:
+    """Rows with the axes of their strength against the row before, its sum and running sum, and how the basis stands to the dead zone."""
     names = ["date", "net_gex_norm", "neg_gamma_fraction", "iv_change", "atm_iv_smoothed", "flip_norm_distance", "gex_regime", "transition_width_norm"]
     axes = strength({n: F.col(n) for n in names}, {n: F.lag(n).over(_series()) for n in names})
     x = x.withColumns({**{f"axis_{k}": v for k, v in axes.items()}, "in_deadzone": in_deadzone(F.col("basis_pct"))})
     x = x.withColumns({"strength": sum((F.col(f"axis_{k}") for k in axes), F.lit(0)), "left_deadzone": ~F.col("in_deadzone") & F.coalesce(F.lag("in_deadzone").over(_series()), F.lit(True))})
-    return x.withColumn("strength_cum", F.sum("strength").over(_series())).select("symbol", "date", "basis_pct", "in_deadzone", "left_deadzone", "gex_regime", *(f"axis_{k}" for k in axes), "strength", "strength_cum")
+    return x.withColumn("strength_cum", F.sum("strength").over(_series()))
 
 
 def regime_ramp(eod: DataFrame, rank: int = 0, days: int = 7) -> DataFrame:

@@ -31,7 +31,7 @@ def _window(days: int) -> str:
 
 #: Columns that are dates, given as text; other queries have expiry alone, or none.
 _DATES = {"overview": (), "oi_signals_all": (), "divergence": (), "divergence_intraday": (), "oi_weighted_iv_overall": (), "regime_ramp": (), "eod_rows": ("expiry", "date"), "metadata": (), "heatmap_pivot": (), "iv_intraday_trend": (), "oi_history": ("expiry", "dt"), "iv_history": ("expiry", "dt"), "monthly_expiries": ("expiry", "date"), "expiry_rule": ("expiry", "day")}
-_DATES |= {n: ("date", "expiry") for n in ("stage1", "stage2", "exposure_screener_all", "exposure_screener_changed", "exposure_screener_dropped")} | {n: ("date",) for n in ("signals", "strength", "defense_hold", "indicator_counts", "narratives")} | {"change_summary": ()}
+_DATES |= {n: ("date", "expiry") for n in ("stage1", "stage2", "exposure_screener_all", "exposure_screener_changed", "exposure_screener_dropped")} | {n: ("date",) for n in ("eod_dates", "signals", "strength", "defense_hold", "indicator_counts", "narratives")} | {"change_summary": ()}
 
 
 _NULLABLE = ("days_since_release", "hold", "hold_probability", "gamma_shelf_width", "ce_hold", "first_seen")
@@ -216,6 +216,10 @@ query("strength", oracles.strength("2024-01-09", "2024-01-17"))(lambda c: eod.hi
 for _v in ("all", "changed", "dropped"):
     query(f"exposure_screener_{_v}", oracles.screener(AS_OF, _v))(lambda c, v=_v: eod.screener(eod.stage2(eod.stage1(c)), AS_OF, v))
 query("regime_ramp", oracles.SHORT_HISTORY)(lambda c: eod.regime_ramp(eod.stage2(eod.stage1(c))))
+query("eod_dates", oracles.STAGE2 + """
+SELECT symbol, expiry_rank, date, CAST(row_number() OVER (PARTITION BY symbol, expiry_rank ORDER BY date DESC) AS INTEGER) AS recency FROM (SELECT DISTINCT symbol, expiry_rank, date FROM stage2)""")(lambda c: eod.dates(eod.stage2(eod.stage1(c))))
+query("symbol_history")(lambda c: eod.symbol_history(eod.stage2(eod.stage1(c))))
+query("signal_info")(lambda c: eod.signal_info(eod.stage2(eod.stage1(c))))
 query("indicator_counts", oracles.INDICATORS)(lambda c: eod.indicator_counts(eod.stage2(eod.stage1(c))))
 query("defense_hold", oracles.DEFENSE)(lambda c: eod.stage1(c).select(*eod.KEYS, regime_order(F.col("gex_regime")).alias("regime_order"), hold_probability(F.col("transition_width_norm"), F.col("concentration"), F.col("gex_regime")).alias("hold")))
 query("upsert", " SELECT symbol, expiry, timestamp, strike_price, CASE WHEN symbol = 'ITC' THEN 0 ELSE ce_oi END AS ce_oi FROM ocdata")(lambda c: (lambda x: ocdata.upserted(x, x.filter("symbol = 'ITC'").withColumn("ce_oi", F.lit(0.0)), [*ladder.KEYS, "strike_price"]))(c.select(*ladder.KEYS, "strike_price", "ce_oi")))

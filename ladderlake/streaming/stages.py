@@ -26,6 +26,12 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     return x if x is None else x.drop(DAY)
 
 
+def last_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
+    """The rows of each symbol's last time; only the days that hold one are read."""
+    x = daytable.latest(spark, f"{base}/chain", "symbol")
+    return x if x is None else x.drop(DAY)
+
+
 def write_batch(rows: DataFrame, batch_id: int, base: str, p: Params = DEFAULTS) -> None:
     """Takes one batch into the three tables under base. An empty batch changes nothing; late rows redo their day and those after it."""
     spark, token = rows.sparkSession, f"batch-{batch_id}"
@@ -33,6 +39,7 @@ def write_batch(rows: DataFrame, batch_id: int, base: str, p: Params = DEFAULTS)
         days = daytable.upsert(spark, f"{base}/chain", rows.withColumn(DAY, F.to_date("timestamp")).filter(F.col(DAY).isNotNull()), KEY, token)
         if not days:
             return
+        daytable.note_last(spark, f"{base}/chain", days, "symbol", token)
         first = min(days)
         chain = daytable.read(spark, f"{base}/chain").filter(F.col(DAY) >= F.lit(first)).drop(DAY)
         stored = daytable.read(spark, f"{base}/stage1")

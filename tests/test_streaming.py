@@ -110,6 +110,9 @@ def test_stages_from_a_stream(spark, chain, tmp_path, monkeypatch):
     drop(chain, inbox, "c", (F.to_date("timestamp") > F.lit(days[4])) | late)
     run()
     same(stages.table(spark, base, "chain"), chain)
+    last = stages.last_snapshot(spark, base)
+    same(last, ocdata.latest(chain, "symbol"))
+    same(screens.overview(last), screens.overview(chain))
     first = store.stored(eod.stage1(chain))
     same(stages.table(spark, base, "stage1"), first)
     same(stages.table(spark, base, "stage2"), eod.stage2(first))
@@ -135,3 +138,44 @@ def test_live_shockers(spark, chain, tmp_path):
         later.coalesce(1).write.mode("append").parquet(str(inbox))
         live.start(spark.readStream.schema(chain.schema).parquet(str(inbox)), base, str(tmp_path / "cp"), "30 days").awaitTermination()
     assert {str(r.expiry) for r in live.current(spark, base).select("expiry").distinct().collect()} == {"2024-02-29"}
+
+
+def test_last_snapshot_reads_its_days_alone(spark, tmp_path):
+    at, d = str(tmp_path / "t"), lambda n: dt.date(2024, 1, n)
+    rows = [(s, dt.datetime(2024, 1, n, h), n + h, d(n)) for n in range(1, 9) for h in (9, 15) for s in ("A", "B") if s == "A" or n < 4]
+    days = daytable.upsert(spark, at, spark.createDataFrame(rows, "symbol string, timestamp timestamp, v int, trade_date date"), ["symbol", "timestamp"], "a")
+    daytable.note_last(spark, at, days, "symbol", "a")
+    x = daytable.latest(spark, at, "symbol")
+    assert {(r.symbol, r.v) for r in x.collect()} == {("A", 23), ("B", 18)}
+    assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()
+    # with all other days' files spoilt, it reads as before
+    for f in files(at):
+        if "2024-01-08" not in f and "2024-01-03" not in f:
+            with open(f, "wb") as out:
+                out.write(b"spoilt")
+    assert {(r.symbol, r.v) for r in daytable.latest(spark, at, "symbol").collect()} == {("A", 23), ("B", 18)}
+    with pytest.raises(Exception, match="(?i)parquet"):
+        daytable.read(spark, at).agg(F.sum("v")).collect()
+
+
+def test_a_column_keeps_its_type(spark, tmp_path):
+    at, d = str(tmp_path / "t"), dt.date(2024, 1, 1)
+    daytable.upsert(spark, at, spark.createDataFrame([(1, d, 1.0)], ROWS), ["k"], "a")
+    with pytest.raises(ValueError, match="type"):
+        daytable.upsert(spark, at, spark.createDataFrame([(1, d, "x")], "k long, trade_date date, v string"), ["k"], "b")
+    assert [r.v for r in daytable.read(spark, at).collect()] == [1.0]
+
+
+def test_history_window_and_dates(spark, chain):
+    rows = store.stored(eod.stage2(eod.stage1(chain)))
+    x = eod.symbol_history(rows, ["ITC"])
+    last = rows.filter("symbol = 'ITC' AND expiry_rank = 0").agg(F.max("date")).first()[0]
+    assert {r.date for r in x.collect()} == {r.date for r in rows.filter("symbol = 'ITC' AND expiry_rank = 0").collect() if (last - r.date).days <= 7}
+    assert set(rows.columns) < set(x.columns) and x.filter("regime_color IS NULL").isEmpty()
+    a, b = str(last - dt.timedelta(days=4)), str(last)
+    names = ["symbol", "date", "strength", "strength_cum", "left_deadzone"]
+    same(eod.symbol_history(rows, None, a, b).select(names), eod.history(rows, a, b).select(names))
+    d = eod.dates(rows, ["ITC"]).filter("expiry_rank = 0").orderBy("recency").collect()
+    assert d[0].date == last and [r.recency for r in d] == list(range(1, len(d) + 1)) and all(p.date > q.date for p, q in zip(d, d[1:]))
+    info = {r.signal: r.rows for r in eod.signal_info(rows).collect()}
+    assert len(info) == 9 and sum(info.values()) == eod.signal_counts(rows).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
