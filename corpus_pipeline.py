@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlake.llm import langid, mixing, pieces, quality, simhash
-from ladderlake.llm.common import c, shared_dir, small_batches, stored
+from ladderlake.llm.common import c, delete, scope, shared_dir, small_batches, stored
 
 #: No stage is expressed in SQL; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
@@ -74,10 +74,15 @@ STAGES = [("language", identify_language), ("quality", classify_quality), ("near
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage stored is deleted once it is written, and its result once the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            delete(spark, f"{at}/{before}")
+        before = name
     return docs

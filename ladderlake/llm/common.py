@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.store import shared_dir, stored
+from ..sources.store import delete, scope, shared_dir, stored
 
-__all__ = ["WORD", "c", "fresh", "kth_largest", "remainder", "shared_dir", "small_batches", "stored", "uniform", "with_arrow_columns", "without"]
+__all__ = ["WORD", "c", "delete", "fresh", "kth_largest", "remainder", "scope", "shared_dir", "small_batches", "stored", "uniform", "with_arrow_columns", "without"]
 #: A word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
