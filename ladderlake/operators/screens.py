@@ -289,7 +289,9 @@ def skew(chain: DataFrame) -> DataFrame:
         return F.when(F.count(F.when(wing, 1)) >= 3, F.regr_slope(F.when(wing, F.col(f"{s}_iv")), F.when(wing, F.col("strike_price"))) * 100)
 
     x = rows.join(middle, ["symbol", "expiry"]).groupBy("symbol", "expiry").agg((_at_quarter_delta("pe") - _at_quarter_delta("ce")).alias("rr"), slope("ce").alias("c"), slope("pe").alias("p"))
-    return x.select("symbol", "expiry", F.round("rr", 2).alias("risk_reversal"), F.round("c", 4).alias("call_slope"), F.round("p", 4).alias("put_slope"), F.round(F.abs("p") - F.abs("c"), 4).alias("asymmetry"))
+    # sums of doubles depend on their order: what lies on the edge of two roundings is settled first
+    near = lambda v: F.round(F.round(v, 9), 4)
+    return x.select("symbol", "expiry", F.round("rr", 2).alias("risk_reversal"), near(F.col("c")).alias("call_slope"), near(F.col("p")).alias("put_slope"), near(F.abs("p") - F.abs("c")).alias("asymmetry"))
 
 
 def _weighted_sides() -> list[Column]:

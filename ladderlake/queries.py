@@ -144,7 +144,7 @@ query("pc_skew", _LATEST + """, m AS (
     CASE WHEN count(*) FILTER (strike_price < middle AND pe_iv > 1) >= 3 THEN regr_slope(pe_iv, strike_price) FILTER (strike_price < middle AND pe_iv > 1) * 100 END AS p
   FROM last l JOIN m ON l.symbol = m.symbol AND l.expiry = m.expiry GROUP BY 1, 2
 ), r AS (""" + oracles.quarter_delta("symbol, expiry", "last") + """)
-SELECT s.symbol, s.expiry, round(rr, 2) AS risk_reversal, round(c, 4) AS call_slope, round(p, 4) AS put_slope, round(abs(p) - abs(c), 4) AS asymmetry
+SELECT s.symbol, s.expiry, round(rr, 2) AS risk_reversal, round(round(c, 9), 4) AS call_slope, round(round(p, 9), 4) AS put_slope, round(round(abs(p) - abs(c), 9), 4) AS asymmetry
 FROM s JOIN r ON s.symbol = r.symbol AND s.expiry = r.expiry""")(screens.skew)
 query("oi_weighted_iv", _LATEST + f" SELECT symbol, expiry, {oracles.WEIGHTED_SIDES} FROM last WHERE ce_iv > 0 GROUP BY 1, 2")(screens.oi_weighted_iv)
 query("iv_intraday_trend", f""", t AS (SELECT * FROM ocdata WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM ocdata)), b AS (SELECT symbol, min(timestamp) AS a, max(timestamp) AS z FROM t GROUP BY 1),
