@@ -41,15 +41,15 @@ POSITIVE, NEGATIVE = ("positive", "all_positive"), ("negative", "all_negative")
 SEVERITY = {"crash_risk": 0, "regime_flip_to_neg": 1, "regime_flip_to_pos": 1, "bull_trend_reinforce": 2, "bear_trend_reinforce": 2, "pin_strengthening": 3, "instability_widening": 3, "flip_drift_up": 4, "flip_drift_down": 4}
 #: What each signal says.
 SIGNAL_WORDS = {
-    "crash_risk": "dealers add to moves while volatility and put exposure rise",
+    "crash_risk": "negative gamma while volatility rises and the puts' vanna is negative",
     "regime_flip_to_neg": "gamma has turned negative since the day before",
     "regime_flip_to_pos": "gamma has turned positive since the day before",
-    "bull_trend_reinforce": "negative gamma with a flip that moves up beneath the price",
-    "bear_trend_reinforce": "negative gamma with a flip that moves down above the price",
+    "bull_trend_reinforce": "positive gamma while volatility rises and the calls' vanna is positive",
+    "bear_trend_reinforce": "negative gamma while volatility falls and the puts' vanna is negative",
     "pin_strengthening": "positive gamma whose transition narrows",
     "instability_widening": "the share of strikes with negative gamma grows",
-    "flip_drift_up": "the flip moves up by much of an expected move",
-    "flip_drift_down": "the flip moves down by much of an expected move",
+    "flip_drift_up": "a flip near the price moves up by much of an expected move",
+    "flip_drift_down": "a flip near the price moves down by much of an expected move",
 }
 #: The key of one ladder of strikes.
 SNAPSHOT = ("symbol", "expiry", "timestamp")
