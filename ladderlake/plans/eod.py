@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, NEGATIVE, POSITIVE, SEVERITY, SIGNAL_WORDS, Params
 from ..functions import narratives as words
 from ..functions.expressions import basis, chosen, confidence, dealer_divergence, expected_move, hold_probability, in_deadzone, ratio, regime_color, regime_order, signals, strength
+from ..operators.clamp import follow
 from ..operators.ladder import gamma_flip, gamma_shelf, net_gamma, oi_center, strike_interval
 from ..operators.screens import liquid
 from ..sources.ocdata import latest
@@ -44,12 +45,14 @@ def day_ladders(chain: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def _heads(rows: DataFrame) -> DataFrame:
-    """(keys, expiry, fut_price, spot, dte, iv_exact, strikes) of each day's ladder; iv_exact is that at the money or nearest to it."""
+    """(keys, expiry, fut_price, spot, dte, iv_exact, second) of each day's ladder; iv_exact is that at the money or nearest to it, second how far the second nearest strike is from the future."""
     near = F.min(F.struct(F.abs("distance_from_atm"), "strike_price", "ce_iv"))["ce_iv"]
-    return rows.groupBy(*KEYS).agg(
+    x = rows.groupBy(*KEYS).agg(
         F.first("expiry").alias("expiry"), F.median("fut_price").alias("fut_price"), F.round(F.median("underlying_price"), 2).alias("spot"),
         F.median("days_to_expiry").alias("dte"), F.greatest(near, F.lit(0.0)).alias("iv_exact"), F.collect_list("strike_price").alias("strikes"),
     )
+    away = F.array_sort(F.transform("strikes", lambda s: F.abs(s - F.col("fut_price"))))
+    return x.withColumn("second", F.get(away, F.lit(1))).drop("strikes")
 
 
 def _smoothed(heads: DataFrame, before: DataFrame | None, p: Params) -> DataFrame:
@@ -67,27 +70,13 @@ def _smoothed(heads: DataFrame, before: DataFrame | None, p: Params) -> DataFram
 
 
 def _halves(x: DataFrame, before: DataFrame | None, p: Params) -> DataFrame:
-    """(keys, range_half): each day's half range follows the day before within range_change_cap; a day with fewer than two strikes in range leaves no mark.
-
-    A fold over each series: an array of days for each symbol and rank, one day in a daily run
-    and a few thousand at most when all of history is worked out.
-    """
+    """(keys, range_half): each day's half range follows the day before within range_change_cap; a day with fewer than two strikes in range leaves no mark."""
     raw = F.least(F.col("expected_move") + p.strike_buffer * F.col("strike_interval"), F.col("fut_price") * (p.max_range_pct / 100))
-    series = x.groupBy("symbol", "expiry_rank").agg(F.array_sort(F.collect_list(F.struct("date", raw.alias("raw"), F.col("fut_price").alias("fut"), "strikes"))).alias("days"))
     if before is None:
-        series = series.withColumn("seed", F.lit(0.0))
+        seeds = x.select("symbol", "expiry_rank", F.lit(0.0).alias("seed")).distinct()
     else:
-        series = series.join(before.groupBy("symbol", "expiry_rank").agg(F.max_by("range_half", "date").alias("seed")), ["symbol", "expiry_rank"], "left").withColumn("seed", F.coalesce("seed", F.lit(0.0)))
-    cap = p.range_change_cap
-
-    def step(a, d):
-        half = F.when(a["half"] > 0, F.greatest(F.least(d["raw"], a["half"] * (1 + cap)), a["half"] * (1 - cap))).otherwise(d["raw"])
-        inside = F.size(F.filter(d["strikes"], lambda s: (s >= d["fut"] - half) & (s <= d["fut"] + half))) >= 2
-        marked = F.concat(a["out"], F.array(F.struct(d["date"].alias("date"), half.alias("range_half"))))
-        return F.struct(F.when(inside, half).otherwise(a["half"]).alias("half"), F.when(inside, marked).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(F.col("seed").alias("half"), F.array().cast("array<struct<date:date,range_half:double>>").alias("out"))
-    return series.select("symbol", "expiry_rank", F.explode(F.aggregate("days", start, step, lambda a: a["out"])).alias("h")).select("symbol", "expiry_rank", "h.date", "h.range_half")
+        seeds = before.groupBy("symbol", "expiry_rank").agg(F.max_by("range_half", "date").alias("seed"))
+    return follow(x.select(*KEYS, raw.alias("raw"), F.col("second").alias("need")), seeds, p.range_change_cap).withColumnRenamed("half", "range_half")
 
 
 def ranges(rows: DataFrame, p: Params = DEFAULTS, before: DataFrame | None = None) -> DataFrame:
@@ -95,7 +84,7 @@ def ranges(rows: DataFrame, p: Params = DEFAULTS, before: DataFrame | None = Non
     x = _smoothed(_heads(rows), before, p)
     x = x.withColumn("expected_move", expected_move(F.col("fut_price"), F.col("atm_iv_smoothed"), F.col("dte"))).join(strike_interval(rows, KEYS), KEYS)
     x = stored(x)
-    return x.drop("strikes").join(_halves(x, before, p), KEYS)
+    return x.drop("second").join(_halves(x, before, p), KEYS)
 
 
 def stage1(chain: DataFrame, p: Params = DEFAULTS, before: DataFrame | None = None) -> DataFrame:
