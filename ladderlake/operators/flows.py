@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import BUCKETS
 from ..functions.expressions import buy_imbalance, chosen, delta_bucket, dte_regime, flow_type, ratio
 from ..sources.ocdata import at_time
-from .grouped import clusters, time_value_oi, tracks
+from .clusters import clusters, time_value_oi, tracks
 from .screens import eod_rows, live
 
 LADDER = ["symbol", "expiry"]
@@ -159,10 +159,7 @@ def smart_money(chain: DataFrame, tolerance_pct: float = 2.0, **shape) -> DataFr
     spots = chain.groupBy(*keys).agg(F.median("underlying_price").alias("spot"))
     w = Window.partitionBy("symbol", "expiry", "side", "track").orderBy("timestamp", "center_strike")
     moved = lambda n: F.coalesce(F.col(n) - F.lag(n).over(w), F.lit(0.0))
-    out = None
-    for s in ("CE", "PE"):
-        mine = found.filter(F.col("side") == s)
-        x = mine.join(tracks(mine, spots, tolerance_pct).select(*keys, "center_strike", "track", "status"), [*keys, "center_strike"])
-        out = x if out is None else out.unionByName(x)
+    named = tracks(found, spots, tolerance_pct, (*LADDER, "side")).select(*keys, "side", "center_strike", "track", "status")
+    out = found.join(named, [*keys, "side", "center_strike"])
     x = out.withColumn("velocity", moved("prem_flow")).withColumn("acceleration", moved("velocity"))
     return x.withColumns({"velocity": F.round("velocity", 2), "acceleration": F.round("acceleration", 2)})

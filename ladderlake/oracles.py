@@ -679,3 +679,37 @@ def change_summary(first: str, last: str, metrics: dict[str, str]) -> str:
 ends_a AS (SELECT * FROM span WHERE date = d0), ends_b AS (SELECT * FROM span WHERE date = d1)
 {rows}"""
     )
+
+_SAME = "symbol, expiry, timestamp"
+#: Clusters of calls as `clusters`: smoothed rows, peaks by runs of equal values, kept in order of height, their prominence and skirts by joins.
+CLUSTERS = f""", cw AS (SELECT {_SAME}, strike_price AS k, coalesce(ce_time_value * ce_oi, 0) AS w FROM ocdata),
+cn AS (SELECT *, row_number() OVER l - 1 AS i, count(*) OVER (PARTITION BY {_SAME}) AS n, (coalesce(lag(w) OVER l, w) + w + coalesce(lead(w) OVER l, w)) / 3 AS y3 FROM cw WINDOW l AS (PARTITION BY {_SAME} ORDER BY k, w)),
+co AS (SELECT {_SAME}, k, w, i, n, CASE WHEN n >= 3 THEN y3 ELSE w END AS y FROM cn),
+ch AS (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY {_SAME} ORDER BY i) THEN 0 ELSE 1 END AS new FROM co),
+run AS (SELECT {_SAME}, no, min(i) AS b, max(i) AS e, min(y) AS y FROM (SELECT *, sum(new) OVER (PARTITION BY {_SAME} ORDER BY i) AS no FROM ch) GROUP BY ALL),
+mid AS (SELECT {_SAME}, (b + e) // 2 AS i, y FROM (SELECT *, lag(y) OVER r AS py, lead(y) OVER r AS ny FROM run WINDOW r AS (PARTITION BY {_SAME} ORDER BY no)) WHERE py < y AND ny < y),
+cand AS (SELECT *, row_number() OVER (PARTITION BY {_SAME} ORDER BY y DESC, i DESC) AS pr FROM mid),
+lad AS (SELECT {_SAME}, max(n) AS n, max(y) AS most, sum(w) AS total, arg_max(i, struct_pack(y := y, i := -i)) AS highest FROM co GROUP BY ALL HAVING max(n) >= 3 AND sum(w) <> 0),
+greedy AS (WITH RECURSIVE g AS (SELECT {_SAME}, n, CAST(0 AS BIGINT) AS pr, CAST([] AS BIGINT[]) AS kept FROM lad
+  UNION ALL SELECT g.symbol, g.expiry, g.timestamp, g.n, c.pr, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - c.i) < greatest(g.n // 20, 1))) > 0 THEN g.kept ELSE list_append(g.kept, c.i) END
+  FROM g JOIN cand c ON c.symbol = g.symbol AND c.expiry = g.expiry AND c.timestamp = g.timestamp AND c.pr = g.pr + 1)
+  SELECT {_SAME}, unnest(arg_max(kept, pr)) AS i FROM g GROUP BY {_SAME}),
+hi AS (SELECT {_SAME}, p.i, p.y, max(CASE WHEN o.i < p.i AND o.y > p.y THEN o.i END) AS lh, min(CASE WHEN o.i > p.i AND o.y > p.y THEN o.i END) AS rh, max(o.y) AS most FROM (SELECT * FROM greedy JOIN mid USING ({_SAME}, i)) p JOIN co o USING ({_SAME}) GROUP BY {_SAME}, p.i, p.y),
+prom AS (SELECT {_SAME}, h.i FROM hi h JOIN co o USING ({_SAME}) GROUP BY {_SAME}, h.i, h.y, h.most
+  HAVING h.y - greatest(min(CASE WHEN o.i > coalesce(h.lh, -1) AND o.i <= h.i THEN o.y END), min(CASE WHEN o.i >= h.i AND o.i < coalesce(h.rh, 1000000000) THEN o.y END)) >= h.most * 10.0 / 100),
+tops AS (SELECT * FROM prom UNION ALL SELECT {_SAME}, highest FROM lad ANTI JOIN prom USING ({_SAME})),
+lim AS (SELECT {_SAME}, t.i, o.y, coalesce((lag(t.i) OVER s + t.i) // 2, 0) AS l, coalesce((t.i + lead(t.i) OVER s) // 2, o.n - 1) AS r, o.k AS peak FROM tops t JOIN co o USING ({_SAME}, i) WINDOW s AS (PARTITION BY {_SAME} ORDER BY t.i)),
+skirt AS (SELECT m.symbol, m.expiry, m.timestamp, m.i, m.peak, greatest(m.l, max(CASE WHEN o.i >= m.l AND o.i < m.i THEN o.i END) + 1) AS lo, least(m.r, min(CASE WHEN o.i > m.i AND o.i <= m.r THEN o.i END) - 1) AS hi
+  FROM lim m LEFT JOIN co o ON o.symbol = m.symbol AND o.expiry = m.expiry AND o.timestamp = m.timestamp AND o.y < m.y / 10 GROUP BY m.symbol, m.expiry, m.timestamp, m.i, m.peak, m.l, m.r),
+cluster AS (SELECT {_SAME}, round(sum(o.k * o.w) / sum(o.w), 1) AS center_strike, s.peak AS peak_strike, min(o.k) AS min_strike, max(o.k) AS max_strike, round(sum(o.w), 2) AS weight,
+  round(list_sum(list_reverse_sort(list(o.w))[1:3]) / sum(o.w), 4) AS concentration, count(*) AS members FROM skirt s JOIN co o USING ({_SAME}) WHERE o.i BETWEEN s.lo AND s.hi GROUP BY {_SAME}, s.i, s.peak HAVING sum(o.w) > 0)"""
+#: Their tracks: links to the nearest cluster of the time before, and tracks handed on from there.
+TRACKS = CLUSTERS + f""", spot AS (SELECT {_SAME}, max(underlying_price) AS spot FROM ocdata GROUP BY ALL),
+num AS (SELECT {_SAME}, center_strike, weight, spot, row_number() OVER (PARTITION BY symbol, expiry ORDER BY timestamp, center_strike, weight) AS id, dense_rank() OVER (PARTITION BY symbol, expiry ORDER BY timestamp) AS t FROM cluster JOIN spot USING ({_SAME})),
+link AS (SELECT a.symbol, a.expiry, a.id, b.id AS up, a.weight - b.weight AS gained FROM num a JOIN num b ON a.symbol = b.symbol AND a.expiry = b.expiry AND a.t = b.t + 1 AND abs(a.center_strike - b.center_strike) < a.spot * 2.0 / 100
+  QUALIFY row_number() OVER (PARTITION BY a.symbol, a.expiry, a.id ORDER BY abs(a.center_strike - b.center_strike), b.id) = 1),
+led AS (WITH RECURSIVE w AS (SELECT symbol, expiry, id, id AS root FROM num ANTI JOIN link USING (symbol, expiry, id)
+  UNION ALL SELECT l.symbol, l.expiry, l.id, w.root FROM w JOIN link l ON l.symbol = w.symbol AND l.expiry = w.expiry AND l.up = w.id) SELECT * FROM w),
+named AS (SELECT n.*, gained, dense_rank() OVER (PARTITION BY symbol, expiry ORDER BY root) AS track, max(t) OVER (PARTITION BY symbol, expiry) AS ends FROM num n JOIN led USING (symbol, expiry, id) LEFT JOIN link USING (symbol, expiry, id))
+SELECT symbol, expiry, timestamp, center_strike, weight, track, CASE WHEN t < ends AND NOT EXISTS (SELECT 1 FROM named m WHERE m.symbol = n.symbol AND m.expiry = n.expiry AND m.track = n.track AND m.t = n.t + 1) THEN 'DISSOLVED' WHEN gained IS NOT NULL THEN 'TRACKED' ELSE 'EMERGING' END AS status,
+  coalesce(gained, 0) AS velocity FROM named n"""

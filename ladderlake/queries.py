@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import narratives as words
 from .functions.expressions import hold_probability, monthly_expiry, regime_order, vix_level
-from .operators import flows, gamma_page, grouped, ladder, layers, screens, walls
+from .operators import clusters, flows, gamma_page, grouped, ladder, layers, screens, walls
 from .plans import eod
 from .sources import ocdata
 from .sources.ocdata import chain, duckdb_chain
@@ -205,8 +205,8 @@ query("gamma_magnet", oracles.MAGNET)(lambda c: ladder.magnet(ladder.gamma_profi
 query("dealer_divergence", oracles.DEALER_DIVERGENCE)(lambda c: ladder.divergence_of_centers(c, F.col("expected_move_theoretical")))
 query("oi_shelf", oracles.OI_SHELF)(walls.oi_shelves)
 query("iv_smile_fit")(grouped.iv_smile)
-query("clusters")(lambda c: grouped.clusters(c, "ce"))
-query("tracks")(lambda c: grouped.tracks(grouped.clusters(c, "ce"), c.groupBy(*ladder.KEYS).agg(F.max("underlying_price").alias("spot"))))
+query("clusters", oracles.CLUSTERS + " SELECT * FROM cluster")(clusters.clusters)
+query("tracks", oracles.TRACKS)(lambda c: clusters.tracks(clusters.clusters(c), c.groupBy(*ladder.KEYS).agg(F.max("underlying_price").alias("spot"))))
 query("monthly_expiries", """, d AS (SELECT symbol, CAST(timestamp AS DATE) AS date, date_trunc('month', expiry) AS mo, max(expiry) AS expiry FROM ocdata WHERE expiry >= CAST(timestamp AS DATE) GROUP BY 1, 2, 3), r AS (SELECT symbol, date, expiry, CAST(row_number() OVER (PARTITION BY symbol, date ORDER BY expiry) - 1 AS INTEGER) AS expiry_rank FROM d WHERE expiry - date > 3)
 SELECT * FROM r WHERE expiry_rank <= 1""")(eod.monthly)
 query("stage1", oracles.STAGE1 + " SELECT * FROM stage1")(eod.stage1)

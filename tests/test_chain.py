@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ladderlake import queries
 from ladderlake.functions import expressions as E
-from ladderlake.operators import flows, grouped, ladder, screens, walls
+from ladderlake.operators import clusters, flows, ladder, screens, walls
 from ladderlake.plans import eod
 from ladderlake.sources import ocdata
 from ladderlake.streaming import ingest
@@ -199,20 +199,12 @@ def test_tables_and_csv(spark, tmp_path):
     assert [tuple(r) for r in ocdata.tickers(spark, str(tmp_path / "map.csv")).collect()] == [("ABC", "XYZ")]
 
 
-def test_peaks():
-    import numpy as np
-
-    assert grouped.peaks(np.array([0, 3, 1, 5, 5, 0, 1.0]), 1, 1) == [1, 3]
-    assert grouped.peaks(np.array([0, 3, 1, 5, 0.0]), 2.5, 1) == [3]
-    assert grouped.peaks(np.array([1.0, 2, 3]), 0, 1) == []
-
-
 def test_tracks_follow_and_end(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     e = dt.date(2024, 1, 25)
     found = spark.createDataFrame([("A", e, t(9), 100.0, 5.0), ("A", e, t(10), 101.0, 8.0), ("A", e, t(10), 150.0, 1.0), ("A", e, t(11), 102.0, 9.0)], "symbol string, expiry date, timestamp timestamp, center_strike double, weight double")
     spots = found.select("symbol", "expiry", "timestamp").distinct().withColumn("spot", F.lit(100.0))
-    x = {(r.timestamp.hour, r.center_strike): (r.track, r.status, r.velocity) for r in grouped.tracks(found, spots).collect()}
+    x = {(r.timestamp.hour, r.center_strike): (r.track, r.status, r.velocity) for r in clusters.tracks(found, spots).collect()}
     assert x == {(9, 100.0): (1, "EMERGING", 0.0), (10, 101.0): (1, "TRACKED", 3.0), (10, 150.0): (2, "DISSOLVED", 0.0), (11, 102.0): (1, "TRACKED", 1.0)}
 
 
@@ -248,7 +240,7 @@ def test_upsert_and_json(spark):
 
 def test_empty_chain(spark):
     empty = ocdata.chain(spark, SF).limit(0)
-    for f in (screens.overview, flows.flow_buckets, screens.skew, ladder.max_pain, eod.stage1, grouped.clusters, walls.oi_shelves):
+    for f in (screens.overview, flows.flow_buckets, screens.skew, ladder.max_pain, eod.stage1, clusters.clusters, walls.oi_shelves):
         assert f(empty).count() == 0
 
 

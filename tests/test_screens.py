@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ladderlake.operators import flows, grouped, screens
+from ladderlake.operators import clusters, flows, screens
 
 T = lambda d, h=9: dt.datetime(2024, 1, d, h)
 OLD, NEW = dt.date(2024, 1, 4), dt.date(2024, 1, 25)
@@ -102,7 +102,7 @@ def test_histories(spark):
 def test_clusters_follow_time_value(spark):
     strikes = [(80.0, 21.0, 1.0), (90.0, 11.0, 1.0), (100.0, 6.0, 6.0), (110.0, 2.0, 2.0), (120.0, 0.5, 0.5)]
     c = chain(spark, *({"strike_price": k, "ce_ltp": p, "ce_time_value": v} for k, p, v in strikes))
-    assert [r.peak_strike for r in grouped.clusters(c, "ce").collect()] == [100.0]
+    assert [r.peak_strike for r in clusters.clusters(c, "ce").collect()] == [100.0]
     x = flows.money_clusters(c).filter("side = 'CE'").first()
     assert x.peak_strike == 100.0 and x.avg_nd2 == 0.0 and flows.money_clusters(c, min_oi_change=6.0).count() == 0
     nd2 = flows.money_clusters(c.withColumn("ce_nd2", F.lit(0.4)).withColumn("pe_nd2", F.lit(0.6)))
