@@ -100,14 +100,26 @@ def analysis_range(spot: Column, move: Column, buffer_pct: float = 0.5, max_pct:
 def gamma_profile(chain: DataFrame, keys=KEYS, levels: int = 200, bounds: tuple[str, str] | None = None) -> DataFrame:
     """(keys, level, price, call, put, total, near_strike): gamma in billions of the strike nearest to each of so many prices from the lowest to the highest strike.
 
-    bounds names two columns, equal in all rows of a ladder, to take the prices from instead. A
-    ladder's strikes travel as one small array, so levels never meet other ladders' strikes.
+    bounds names two columns, equal in all rows of a ladder, to take the prices from instead. Of two
+    strikes equally near the lower one counts, of rows of one strike that of the least call, then
+    put. Prices are put among the strikes, and each sees the last strike below and the first one
+    above it by running windows that share the ladder's partitioning.
     """
-    lot = F.col("lotsize")
-    at = F.struct(F.col("strike_price").alias("k"), (F.col("ce_gamma") * F.col("ce_oi") * lot / 1e9).alias("call"), (-F.col("pe_gamma") * F.col("pe_oi") * lot / 1e9).alias("put"))
-    ladders = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("rungs"), F.min(bounds[0] if bounds else "strike_price").alias("lo"), F.max(bounds[1] if bounds else "strike_price").alias("hi"))
-    x = ladders.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("price", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("level") / (levels - 1))
-    near = F.array_min(F.transform("rungs", lambda r: F.struct(F.round(F.abs(r["k"] - F.col("price")), 9).alias("d"), r["k"].alias("k"), r["call"].alias("call"), r["put"].alias("put"))))
+    w = Window.partitionBy(*keys)
+    lot, k = F.col("lotsize"), F.col("strike_price")
+    at = F.struct(k.alias("k"), (F.col("ce_gamma") * F.col("ce_oi") * lot / 1e9).alias("call"), (-F.col("pe_gamma") * F.col("pe_oi") * lot / 1e9).alias("put"))
+    lo, hi = (F.col(n) for n in bounds) if bounds else (k, k)
+    rows = chain.select(*keys, at.alias("strike"), F.min(lo).over(w).alias("lo"), F.max(hi).over(w).alias("hi"), F.row_number().over(w.orderBy(k)).alias("nth"))
+    place = lambda level, price, strike: F.struct(level.cast("int").alias("level"), price.cast("double").alias("price"), strike.alias("strike"))
+    none = F.lit(None).cast(rows.schema["strike"].dataType)
+    prices = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: place(i, F.col("lo") + (F.col("hi") - F.col("lo")) * i / (levels - 1), none))
+    own = F.array(place(F.lit(None), F.col("strike.k"), F.col("strike")))
+    x = rows.select(*keys, F.explode(F.when(F.col("nth") == 1, F.concat(own, prices)).otherwise(own)).alias("p")).select(*keys, "p.*")
+    down = F.struct(F.col("strike.k").alias("k"), (-F.col("strike.call")).alias("call"), (-F.col("strike.put")).alias("put"))
+    x = x.withColumns({"below": F.max(F.when(F.col("strike").isNotNull(), down)).over(w.orderBy("price")), "above": F.min("strike").over(w.orderBy(F.desc("price")))}).filter("level IS NOT NULL")
+    away = lambda n: F.round(F.abs(F.col(f"{n}.k") - F.col("price")), 9)
+    lower = F.col("below").isNotNull() & (F.col("above").isNull() | (away("below") <= away("above")))
+    near = F.when(lower, F.struct(F.col("below.k").alias("k"), (-F.col("below.call")).alias("call"), (-F.col("below.put")).alias("put"))).otherwise(F.col("above"))
     x = x.withColumn("near", near)
     return x.select(*keys, "level", "price", "near.call", "near.put", (F.col("near.call") + F.col("near.put")).alias("total"), F.col("near.k").alias("near_strike"))
 

@@ -199,8 +199,8 @@ query("gamma_profile", _LATEST + """, m AS (SELECT symbol, expiry, timestamp, mi
 n AS (SELECT l.symbol, l.expiry, l.timestamp, level, price, ce_gamma * ce_oi * lotsize / 1e9 AS call, -pe_gamma * pe_oi * lotsize / 1e9 AS put,
     row_number() OVER (PARTITION BY l.symbol, l.expiry, level ORDER BY round(abs(strike_price - price), 9), strike_price) AS k FROM l JOIN last o ON
     l.symbol = o.symbol AND l.expiry = o.expiry)
-SELECT symbol, expiry, timestamp, CAST(level AS INTEGER) AS level, round(price, 4) AS price, round(call, 9) AS call, round(put, 9) AS put FROM n WHERE
-    k = 1""")(lambda c: ladder.gamma_profile(ocdata.latest(c, "symbol")).select(*ladder.KEYS, "level", F.round("price", 4).alias("price"), F.round("call", 9).alias("call"), F.round("put", 9).alias("put")))
+SELECT symbol, expiry, timestamp, CAST(level AS INTEGER) AS level, round(price, 4) AS price, round(call, 14) AS call, round(put, 14) AS put FROM n WHERE
+    k = 1""")(lambda c: ladder.gamma_profile(ocdata.latest(c, "symbol")).select(*ladder.KEYS, "level", F.round("price", 4).alias("price"), F.round("call", 14).alias("call"), F.round("put", 14).alias("put")))
 query("gamma_magnet", oracles.MAGNET)(lambda c: ladder.magnet(ladder.gamma_profile(ocdata.latest(c, "symbol"))))
 query("dealer_divergence", oracles.DEALER_DIVERGENCE)(lambda c: ladder.divergence_of_centers(c, F.col("expected_move_theoretical")))
 query("oi_shelf", oracles.OI_SHELF)(walls.oi_shelves)

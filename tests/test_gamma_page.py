@@ -111,3 +111,21 @@ def test_profile_keeps_to_bounds(spark):
     rows = ocdata.latest(ocdata.chain(spark, SF), "symbol").withColumns({"from": F.col("atm_strike") - 10, "to": F.col("atm_strike") + 10})
     x = ladder.gamma_profile(rows, levels=3, bounds=("from", "to")).join(rows.select(*ladder.KEYS, "atm_strike").distinct(), ladder.KEYS)
     assert x.filter("price <> atm_strike + 10 * (level - 1)").count() == 0
+
+
+def test_profile_against_nearest_strikes(spark):
+    """Prices between, on, half way and beyond strikes; rows of one strike; a ladder of one strike."""
+    day, at = dt.date(2024, 1, 25), dt.datetime(2024, 1, 8, 9)
+    strikes = {"A": [100.0, 110.0, 110.0, 140.0, 141.0, 200.0], "B": [50.0], "C": [10.0, 20.0, 30.0]}
+    rows = [(s, day, at, k, 0.1 * i, 10.0, 0.2, 7.0 + i, 100, k0[0] - 7.0, k0[-1] + 9.0) for s, k0 in strikes.items() for i, k in enumerate(k0)]
+    x = spark.createDataFrame(rows, "symbol string, expiry date, timestamp timestamp, strike_price double, ce_gamma double, ce_oi double, pe_gamma double, pe_oi double, lotsize int, lo double, hi double")
+    for bounds in (None, ("lo", "hi")):
+        got = ladder.gamma_profile(x, levels=41, bounds=bounds)
+        seen = got.collect()
+        assert len(seen) == 3 * 41
+        for r in seen:
+            own = [(round(abs(k - r.price), 9), k, g * o * lot / 1e9, -(pg * po * lot) / 1e9) for s, _, _, k, g, o, pg, po, lot, *_ in rows if s == r.symbol]
+            _, k, call, put = min(own)
+            assert (r.near_strike, round(r.call, 12), round(r.put, 12)) == (k, round(call, 12), round(put, 12))
+    plan = ladder.gamma_profile(x)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "array_min" not in plan
