@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,6 +209,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
 SET_WORDS, SET_DISTANCE = 4, 64
 #: Overlapping segments of a set fingerprint: so many draws of so many of its bits, fixed by a seed.
 SAMPLES, SAMPLED = 96, 16
+#: Bits of the widest sketch of a set of shingles; wider sets share bits, which makes the sketch rule out fewer pairs and loses none.
+SKETCH = 1 << 16
 _DRAWN = np.array([np.random.default_rng(k).permutation(BITS * SET_WORDS)[:SAMPLED] for k in range(SAMPLES)])
 
 
@@ -370,38 +372,71 @@ def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, meet), "a long, b long, d int, entry int, cell int")
 
 
-def left_out(members: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of a set of shingles, as bytes: each shingle flips one bit of at least four times as many, a power of two from 2 ** 10 to SKETCH.
+
+    Two sets differ in at least as many shingles as their sketches of one width differ in bits. The
+    two halves of a sketch, one laid over the other, are the sketch of half the width.
+    """
+    bits = min(SKETCH, 1 << max(10, (4 * len(found) - 1).bit_length()))
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def _may_be_alike(i: np.ndarray, j: np.ndarray, size: np.ndarray, shown: list[bytes], least: float, at_once: int = 1 << 22) -> np.ndarray:
+    """Which pairs (i, j) of sets of these sizes and sketches are not ruled out for a similarity of least or more: alike sets are of like sizes and differ in few shingles for them."""
+    both = size[i] + size[j]
+    may = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+    width = np.array([len(x) for x in shown])
+    shared = np.minimum(width[i], width[j])
+    for w in np.unique(shared[may]).tolist():
+        at = np.flatnonzero(may & (shared == w))
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(shown[k], np.uint64).reshape(-1, w // 8), axis=0) for k in used.tolist()])
+        x, y = place[: len(at)], place[len(at) :]
+        for k in range(0, len(at), max(1, at_once // w)):
+            part = slice(k, k + max(1, at_once // w))
+            apart = np.bitwise_count(folded[x[part]] ^ folded[y[part]]).sum(axis=1, dtype=np.int64)
+            may[at[part]] = apart <= (1 - least) / (1 + least) * both[at[part]] + 1e-9
+    return may
+
+
+def left_out(members: DataFrame, marks: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b) of pairs of members (entry, cell, a) of cells that lie in different components of roots (node, root), as far as they may be alike.
 
-    If two sets have a similarity of least or more, they share one of their rarest shingles: of the
-    smaller set the first 1 - 2 least / (1 + least) of its size and one more, of the larger the
-    first 1 - least and one more, by how many of these sets hold a shingle. So sets that each have
-    more of their own than that meet nowhere, however many they are.
+    The members of a cell meet once more, with a sketch of their sets; pairs of which it shows that
+    they differ in too many shingles never become rows. That is exact: no pair that is alike is
+    ruled out. A pair that shares several segments is given by the first alone.
     """
+    names = [f"simhash{k}" for k in range(SET_WORDS)]
     # a node has at most so many cells as it has segments and blocks, and a cell at most two blocks of nodes
     nodes = members.groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("entry", "cell")).alias("cells")).join(roots, "node", "left")
     cells = nodes.select("node", F.coalesce("root", "node").alias("root"), F.explode("cells").alias("of")).groupBy("of").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("node", "root")).alias("nodes"))
-    asked = stored(cells.filter("lo <> hi").select(F.explode("nodes").alias("n")).select("n.*").distinct())
+    mixed = cells.filter("lo <> hi").select("of", F.explode("nodes").alias("n"))
+    asked = stored(mixed.groupBy("n.node", "n.root").agg(F.collect_list("of").alias("cells")))
 
-    def explode(batches):
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            n = [len(x) for x in found]
-            for at in range(0, len(found), 64):
-                own = n[at : at + 64]
-                node, root = (np.repeat(batch.column(i).to_numpy()[at : at + 64], own) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(np.repeat(own, own).astype(np.int64)), pa.array(np.concatenate([*found[at : at + 64], np.zeros(0, np.int64)]))], names=["node", "root", "size", "shingle"])
-
-    tokens = asked.join(sets, "node").select("node", "root", "shingles").mapInArrow(explode, "node long, root long, size long, shingle long")
-    tokens = stored(tokens)
-    rare = tokens.join(tokens.groupBy("shingle").agg(F.count("*").alias("held")), "shingle")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
-    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
-    rare = rare.withColumn("place", place).filter((F.col("held") > 1) & (F.col("place") <= first(least)))
-    rare = stored(rare.select("shingle", "node", "root", "size", (F.col("place") <= first(2 * least / (1 + least))).alias("few")))
-    larger = rare.select("shingle", *(F.col(n).alias(f"l_{n}") for n in ("node", "root", "size")))
-    met = rare.filter("few").join(larger, "shingle").filter("root <> l_root AND (size < l_size OR size = l_size AND node < l_node)")
-    return met.select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b")).distinct()
+    def sketched(given):
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in given]
+        return [pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary())]
+
+    held = asked.join(marks.select("node", *names), "node").join(sets, "node")
+    held = with_arrow_columns(held, [T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType())], sketched, ["shingles"])
+    dealt = held.select(F.explode("cells").alias("of"), "root", *names, "node", "size", "sketch").select("of.entry", "of.cell", "root", *names, "node", "size", "sketch")
+    dealt = dealt.repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+
+    def meet(rows):
+        entry, root, words, node, size, shown = rows[0], rows[2], rows[3 : 3 + SET_WORDS], *rows[3 + SET_WORDS :]
+        own = np.unique(root, return_inverse=True)[1]
+        segment = _sampled([w.view(np.int64) for w in words])
+        for i, j, _ in _close([entry, rows[1], own, *words]):
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                may = _may_be_alike(x, y, size, shown, least)
+                x, y = x[may], y[may]
+                first = (segment[x] == segment[y]).argmax(axis=1) == entry[x] >> SAMPLED
+                a, b = node[x[first]], node[y[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return dealt.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, meet), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -457,7 +492,7 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     open_ = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     near = stored(near.unionByName(verified(open_, sets, least)))
     roots = stored(components(near))
-    more = stored(verified(left_out(members, sets, roots, least), sets, least))
+    more = stored(verified(left_out(members, nodes, sets, roots, least), sets, least))
     if not more.isEmpty():
         roots = stored(components(near.unionByName(more)))
     rooted = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))

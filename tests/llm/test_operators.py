@@ -668,3 +668,36 @@ def test_backoff_equals_pairs(odd, none, docs):
     assert a == b
     assert backoff.score(odd, held).count() == len(ODD) and backoff.score(none, held).count() == 0
     assert all(r.score == 0 for r in backoff.score(odd, F.lit(True)).collect())
+
+
+def test_sketches_rule_out_no_alike_sets():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 40, 300, 1100, 20_000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[: round(n * share)], rng.integers(0, 2**63, n - round(n * share)).astype(np.uint64)])) for share in (1, 0.97, 0.93, 0.9, 0.89, 0.85, 0.8, 0.6)]
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(sets)), 2)))
+    size = np.array([len(x) for x in sets])
+    may = simhash._may_be_alike(i, j, size, [simhash.sketch(x).tobytes() for x in sets], 0.8, at_once=4096)
+    shares = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert may[shares >= 0.8].all() and not may[shares < 0.7].any() and may.sum() < 1.2 * (shares >= 0.8).sum()
+
+
+def test_near_copies_just_too_different_make_few_rows(spark, monkeypatch):
+    """Of a large group whose pairs all lie under the similarity, only those that might reach it become rows; a bridge between two groups is found."""
+    rng = random.Random(3)
+    base = [f"w{rng.random()}" for _ in range(400)]
+    group = [" ".join(base[:360] + [f"n{rng.random()}" for _ in range(60)]) for _ in range(300)]
+    other = [" ".join(base[:392] + [f"n{rng.random()}" for _ in range(8)]) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(group + other)), "doc_id long, text string")
+    seen, given = [], simhash.left_out
+    monkeypatch.setattr(simhash, "left_out", lambda *x: seen.append(given(*x)) or seen[-1])
+    got = {r.doc_id: r.component_id for r in simhash.alike(rows).collect()}
+    sets = [plain_shingles(t) for t in group + other]
+    root = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) > 250
+    assert seen[0].count() < 0.02 * math.comb(len(sets), 2)  # those at 0.78 are ruled out less surely than those at 0.75
