@@ -73,12 +73,15 @@ def oi_shelves(chain: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """The shelf of each side of each ladder, and migration, the move of its centre since the ladder's snapshot before.
 
     moved is against the symbol's snapshot before; a strike that was not listed then has not moved.
+    Each strike looks back at its own last row, so the chain is not joined with itself.
     """
-    rows = sides(chain, "expiry", "timestamp")
-    times = chain.select("symbol", "timestamp").distinct().withColumn("next", F.lead("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp")))
-    strike = ["symbol", "expiry", "timestamp", "strike_price", "side"]
-    before = rows.join(times, ["symbol", "timestamp"]).filter("next IS NOT NULL").select("symbol", "expiry", F.col("next").alias("timestamp"), "strike_price", "side", F.col("ltp").alias("before"))
-    rows = rows.join(before, strike, "left").withColumn("moved", F.col("ltp") - F.coalesce("before", "ltp"))
+    times = chain.select("symbol", "timestamp").distinct().withColumn("earlier", F.lag("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp")))
+    strike = Window.partitionBy("symbol", "expiry", "strike_price").orderBy("timestamp")
+    seen = F.lag("timestamp").over(strike) == F.col("earlier")
+    ltp = lambda s: F.coalesce(F.col(f"{s}_ltp").cast("double"), F.lit(0.0))
+    x = chain.join(times, ["symbol", "timestamp"]).withColumns({f"{s}_before": F.when(seen, F.lag(ltp(s)).over(strike)) for s in ("ce", "pe")})
+    rows = sides(x, "expiry", "timestamp", "ce_before", "pe_before").withColumn("before", F.when(F.col("side") == "CE", F.col("ce_before")).otherwise(F.col("pe_before")))
+    rows = rows.drop("ce_before", "pe_before").withColumn("moved", F.col("ltp") - F.coalesce("before", "ltp"))
     found = shelves(rows, [*KEYS, "side"], p)
     series = Window.partitionBy("symbol", "expiry", "side").orderBy("timestamp")
     return found.withColumn("migration", F.round(F.col("com") - F.lag("com").over(series), 2))

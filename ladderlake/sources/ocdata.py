@@ -32,8 +32,8 @@ cell AS (
     GREATEST(step * (mv - kk), 0.0D) + CAST(1 + dsum AS DOUBLE) AS ce_ltp, GREATEST(step * (kk - mv), 0.0D) + CAST(1 + tsum AS DOUBLE) AS pe_ltp,
     CAST(1 + dsum AS DOUBLE) AS ce_time_value, CAST(1 + tsum AS DOUBLE) AS pe_time_value,
     10.0D + CAST(dsum AS DOUBLE) / CAST(n AS DOUBLE) AS ce_iv, 11.0D + CAST(tsum AS DOUBLE) / CAST(n AS DOUBLE) AS pe_iv,
-    0.5D - 0.046D * kk AS ce_delta, -0.5D - 0.046D * kk AS pe_delta,
-    0.001D / (1 + ABS(kk)) AS ce_gamma, 0.001D / (1 + ABS(ki - 9)) AS pe_gamma,
+    0.5D - 0.04D * (kk - mv) AS ce_delta, -0.5D - 0.04D * (kk - mv) AS pe_delta,
+    0.000244140625D * (1 + (di * 2) % 5) / (1 + ABS(kk - mv)) AS ce_gamma, 0.0006103515625D / (1 + ABS(kk - mv + 1)) AS pe_gamma,
     0.05D AS ce_bid_ask_spread, 0.05D AS pe_bid_ask_spread
   FROM geo
 ), ocdata AS (
