@@ -121,11 +121,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _name(words: list[np.ndarray]) -> np.ndarray:
-    """One number for a fingerprint: itself if it is one word, else a mixture of both, which two fingerprints share with a chance of 2 ** -64."""
-    if len(words) == 1:
-        return words[0]
-    x = words[0] * np.uint64(0x9E3779B97F4A7C15) ^ (words[1] + np.uint64(0xD1342543DE82EF95)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    """One number for a fingerprint: itself if it is one word, else a mixture of all, which two fingerprints share with a chance of 2 ** -64."""
+    x = words[0]
+    for w in words[1:]:
+        x = x * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0xD1342543DE82EF95)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(29))
+    return x
 
 
 def _met(rows: list[np.ndarray], distance: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:

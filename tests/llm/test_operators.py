@@ -701,3 +701,10 @@ def test_near_copies_just_too_different_make_few_rows(spark, monkeypatch):
             root = [low if r == high else r for r in root]
     assert got == dict(enumerate(root)) and len(set(root)) > 250
     assert seen[0].count() < 0.02 * math.comb(len(sets), 2)  # those at 0.78 are ruled out less surely than those at 0.75
+
+
+def test_names_tell_all_words_apart():
+    words = [np.zeros(5, np.uint64) for _ in range(4)]
+    for k in range(4):
+        words[k][k] = 1
+    assert len(set(simhash._name(words).tolist())) == 5
