@@ -210,6 +210,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
 SET_WORDS, SET_DISTANCE = 4, 64
 #: Overlapping segments of a set fingerprint: so many draws of so many of its bits, fixed by a seed.
 SAMPLES, SAMPLED = 96, 16
+#: Components of candidates of at most so many half blocks are compared whole in left_out; greater ones meet by segment.
+WHOLE = 32
 #: Bits of the widest sketch of a set of shingles; wider sets share bits, which makes the sketch rule out fewer pairs and loses none.
 SKETCH = 1 << 16
 _DRAWN = np.array([np.random.default_rng(k).permutation(BITS * SET_WORDS)[:SAMPLED] for k in range(SAMPLES)])
@@ -248,11 +250,11 @@ def _sampled(x: list[np.ndarray]) -> np.ndarray:
     return out | (np.arange(SAMPLES, dtype=np.int32) << SAMPLED)
 
 
-def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) make up a least spanning forest by d: each tree picks its nearest pair to another until none is left."""
+def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) make up a least spanning forest by d, of equal ones those that are not first: each tree picks its nearest pair to another until none is left."""
     nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
     x, y, tree = at[: len(i)], at[len(i) :], np.arange(len(nodes))
-    key = d.astype(np.int64) << 32 | np.arange(len(i))
+    key = d.astype(np.int64) << 33 | first.astype(np.int64) << 32 | np.arange(len(i))
     chosen, alive = np.zeros(len(i), bool), np.arange(len(i))
     while True:
         alive = alive[tree[x[alive]] != tree[y[alive]]]
@@ -284,23 +286,42 @@ def _close(rows: list[np.ndarray]):
             yield near, near + d, apart
 
 
-def _trees(rows: list[np.ndarray], most: int = 1 << 20):
-    """Of the close pairs of each cell a least spanning forest, (i, j, d), and the rows of pairs that it leaves out."""
-    held, size, left = [], 0, np.zeros(len(rows[0]), bool)
-    for part in _close(rows):
-        held.append(part)
-        size += len(part[0])
+def _sharing_first(entry: np.ndarray, words: list[np.ndarray]):
+    """A test of pairs (i, j) of rows of one entry: whether its segment is the first that they share."""
+    known, segment = np.zeros(len(entry), bool), np.zeros((len(entry), SAMPLES), np.int32)
+
+    def test(i, j):
+        new = np.unique(np.concatenate([i[~known[i]], j[~known[j]]]))
+        known[new] = True
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            segment[part] = _sampled([w[part].view(np.int64) for w in words])
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            out[at : at + (1 << 14)] = (segment[x] == segment[y]).argmax(axis=1) == entry[x] >> SAMPLED
+        return out
+
+    return test
+
+
+def _trees(rows: list[np.ndarray], most: int = 1 << 20) -> tuple:
+    """Of a least spanning forest of the close pairs of each cell those, (i, j, d), whose first segment is the cell's."""
+    held, size, first = [], 0, _sharing_first(rows[0], rows[3:])
+    for i, j, d in _close(rows):
+        held.append((i, j, d, first(i, j)))
+        size += len(i)
         if size > most:
-            held = [_thinned(held, left)]
+            held = [_thinned(held)]
             size = len(held[0][0])
-    return (*(_thinned(held, left) if held else (np.zeros(0, np.int64),) * 3), left)
+    i, j, d, own = _thinned(held) if held else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    return i[own], j[own], d[own]
 
 
-def _thinned(held: list, left: np.ndarray) -> tuple:
-    i, j, d = (np.concatenate(x) for x in zip(*held))
-    chosen = _spanning(i, j, d)
-    left[i[~chosen]] = left[j[~chosen]] = True
-    return i[chosen], j[chosen], d[chosen]
+def _thinned(held: list) -> tuple:
+    found = [np.concatenate(x) for x in zip(*held)]
+    chosen = _spanning(*found)
+    return tuple(x[chosen] for x in found)
 
 
 def _by_cell(batches, words: int, emit):
@@ -320,16 +341,15 @@ def _by_cell(batches, words: int, emit):
         yield from emit(rest)
 
 
-def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (a, b, d) and (entry, cell, a) from the cells in which marks meet, the segments they share.
+def _by_segment(marks: DataFrame, block: int) -> DataFrame:
+    """marks, a row for each of their segments: entry, cell, own, simhash0, ... and the other columns, whole cells in a task and sorted by them.
 
-    The first, with a > b, are pairs of names that differ in d bits, SET_DISTANCE at most: of each
-    cell a least spanning forest of all such pairs, so a cell of n marks gives fewer than n. The
-    second are the members of pairs that a forest leaves out. Entries of about block rows or more
-    are cut into blocks, and each pair of blocks is a cell.
+    Entries of about block rows or more are cut into blocks, and each pair of blocks is a cell. own
+    is the row's block, -1 in the cell of that block alone.
     """
     names = [f"simhash{k}" for k in range(SET_WORDS)]
-    marks = marks.select(*names)
+    others = [x for x in marks.columns if x not in names]
+    marks = marks.select(*names, *others)
     few = max(1, block // (2 * max(1, marks.rdd.getNumPartitions())))
 
     def counted(batches):
@@ -345,32 +365,45 @@ def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                x = [part.column(k).to_numpy(zero_copy_only=False) for k in range(SET_WORDS)]
-                entry = _sampled(x)
+                entry = _sampled([part.column(k).to_numpy(zero_copy_only=False) for k in range(SET_WORDS)])
                 for k in range(SAMPLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(entry[:, k])), *map(pa.array, x)], names=["entry", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(entry[:, k])), *part.columns], names=["entry", *names, *others])
 
     # a part's counts below few are left out: together they miss half a block of an entry at most
-    large = stored(marks.mapInArrow(counted, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") > block // 2).select("entry", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("blocks")))
-    dealt = marks.mapInArrow(filed, "entry int, " + ", ".join(f"{n} long" for n in names))
+    large = stored(marks.select(*names).mapInArrow(counted, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") > block // 2).select("entry", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("blocks")))
+    dealt = marks.mapInArrow(filed, T.StructType([T.StructField("entry", T.IntegerType()), *marks.schema.fields]))
     if large.isEmpty():
         dealt = dealt.withColumn("own", F.lit(-1)).withColumn("cell", F.lit(0))
     else:
-        dealt = dealt.join(large, "entry", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-        # of two rows of one block, only the block's own cell compares them
-        dealt = dealt.withColumn("own", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
-    dealt = dealt.select("entry", "cell", "own", *names).repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+        dealt = _in_blocks(dealt.join(large, "entry", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+    return dealt.select("entry", "cell", "own", *names, *others).repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows in each cell of their block, of as many blocks as they say, with any other block: cell, and own, which is -1 in the cell of that block alone, the only one that compares two of its rows."""
+    own = F.pmod(F.xxhash64(*(f"simhash{k}" for k in range(SET_WORDS))), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    return dealt.withColumn("own", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
+
+
+def candidates(marks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, d), a > b, of names of marks that share a segment and differ in d bits, SET_DISTANCE at most: not all of them, but such that between the two of any such pair lead some that are no farther apart.
+
+    Of each cell a least spanning forest of its pairs, less those that share an earlier segment:
+    that segment's cell has them, or pairs that lead from one to the other and are no farther
+    apart. So no pair is given twice, and a group of near copies gives some pairs for each of its
+    members, not some for each segment of each.
+    """
 
     def meet(rows):
-        i, j, d, left = _trees(rows)
+        i, j, d = _trees(rows)
         name = _name(rows[3:]).view(np.int64)
         kept = name[i] != name[j]
-        a, b, none = name[i[kept]], name[j[kept]], pa.nulls
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d[kept].astype(np.int32)), *(none(len(a), pa.int32()) for _ in range(2))], names=["a", "b", "d", "entry", "cell"])
-        n = int(left.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(name[left]), none(n, pa.int64()), none(n, pa.int32()), *(pa.array(x[left].astype(np.int32)) for x in rows[:2])], names=["a", "b", "d", "entry", "cell"])
+        a, b = name[i[kept]], name[j[kept]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d[kept].astype(np.int32))], names=["a", "b", "d"])
 
-    return dealt.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, meet), "a long, b long, d int, entry int, cell int")
+    dealt = _by_segment(marks.select(*(f"simhash{k}" for k in range(SET_WORDS))), block)
+    return dealt.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, meet), "a long, b long, d int")
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -401,43 +434,50 @@ def _may_be_alike(i: np.ndarray, j: np.ndarray, size: np.ndarray, shown: list[by
     return may
 
 
-def left_out(members: DataFrame, marks: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b) of pairs of members (entry, cell, a) of cells that lie in different components of roots (node, root), as far as they may be alike.
+def left_out(pairs: DataFrame, marks: DataFrame, sets: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) of marks that pairs, the candidates, connect and that lie in different components of roots (node, root), as far as they may be alike: differ in SET_DISTANCE bits at most and are not ruled out by sketches of their sets.
 
-    The members of a cell meet once more, with a sketch of their sets; pairs of which it shows that
-    they differ in too many shingles never become rows. That is exact: no pair that is alike is
-    ruled out. A pair that shares several segments is given by the first alone.
+    The sketches rule out no pair that is alike. Each component of the candidates is compared whole,
+    in cells of two half blocks, so a node is one row for each of its half blocks' cells; those of
+    more than WHOLE half blocks meet by segment once more. Either way each pair meets once.
     """
     names = [f"simhash{k}" for k in range(SET_WORDS)]
-    # a node has at most so many cells as it has segments and blocks, and a cell at most two blocks of nodes
-    nodes = members.groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("entry", "cell")).alias("cells")).join(roots, "node", "left")
-    cells = nodes.select("node", F.coalesce("root", "node").alias("root"), F.explode("cells").alias("of")).groupBy("of").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("node", "root")).alias("nodes"))
-    mixed = cells.filter("lo <> hi").select("of", F.explode("nodes").alias("n"))
-    asked = stored(mixed.groupBy("n.node", "n.root").agg(F.collect_list("of").alias("cells")))
+    half = max(1, block // 2)
+    trees = components(pairs.select("a", "b")).withColumnRenamed("root", "tree")
+    nodes = stored(trees.join(roots, "node", "left").select("node", "tree", F.coalesce("root", "node").alias("root")))
+    # the one pair of a component of two is a candidate, and known
+    mixed = stored(nodes.groupBy("tree").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi").select("tree", F.ceil(F.col("n") / half).cast("int").alias("blocks")))
 
     def sketched(given):
         found = [np.frombuffer(x.as_buffer(), np.uint64) for x in given]
         return [pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary())]
 
-    held = asked.join(marks.select("node", *names), "node").join(sets, "node")
-    held = with_arrow_columns(held, [T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType())], sketched, ["shingles"])
-    dealt = held.select(F.explode("cells").alias("of"), "root", *names, "node", "size", "sketch").select("of.entry", "of.cell", "root", *names, "node", "size", "sketch")
-    dealt = dealt.repartition("entry", "cell").sortWithinPartitions("entry", "cell")
+    held = nodes.join(mixed, "tree").join(marks.select("node", *names), "node").join(sets, "node")
+    held = stored(with_arrow_columns(held, [T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType())], sketched, ["shingles"]).drop("shingles"))
+    others = [*names, "root", "node", "size", "sketch"]
 
-    def meet(rows):
-        entry, root, words, node, size, shown = rows[0], rows[2], rows[3 : 3 + SET_WORDS], *rows[3 + SET_WORDS :]
-        own = np.unique(root, return_inverse=True)[1]
-        segment = _sampled([w.view(np.int64) for w in words])
-        for i, j, _ in _close([entry, rows[1], own, *words]):
+    def meet(rows, by_segment):
+        own, words, (root, node, size, shown) = rows[2], rows[3 : 3 + SET_WORDS], rows[3 + SET_WORDS :]
+        apart = np.unique(root, return_inverse=True)[1]
+        first = _sharing_first(rows[0], words) if by_segment else None
+        for i, j, _ in _close([*rows[:2], apart, *words]):
             for at in range(0, len(i), 1 << 16):
                 x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                met = (own[x] != own[y]) | (own[x] < 0)
+                x, y = x[met], y[met]
                 may = _may_be_alike(x, y, size, shown, least)
                 x, y = x[may], y[may]
-                first = (segment[x] == segment[y]).argmax(axis=1) == entry[x] >> SAMPLED
-                a, b = node[x[first]], node[y[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                if first:
+                    met = first(x, y)
+                    x, y = x[met], y[met]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y]))], names=["a", "b"])
 
-    return dealt.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, meet), "a long, b long").distinct()
+    whole = _in_blocks(held.filter(F.col("blocks") <= WHOLE)).select("tree", "cell", "own", *others).repartition("tree", "cell").sortWithinPartitions("tree", "cell")
+    found = whole.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, lambda rows: meet(rows, False)), "a long, b long")
+    if mixed.filter(F.col("blocks") > WHOLE).isEmpty():
+        return found
+    parts = _by_segment(held.filter(F.col("blocks") > WHOLE).select(*others), block)
+    return found.unionByName(parts.mapInArrow(lambda batches: _by_cell(batches, SET_WORDS, lambda rows: meet(rows, True)), "a long, b long"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -480,9 +520,7 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
     marked = stored(with_arrow_columns(rows, [T.StructField(n, T.LongType()) for n in (*names, "node")], marks_of, ["text"]).select("key", "mark", *names, "node"))
     nodes = stored(marked.groupBy("node", *names).agg(F.min(F.struct(F.col("key").isNull().alias("absent"), "key", "mark")).alias("first"), F.min("mark").alias("shown")))
-    met = stored(candidates(nodes, block))
-    pairs = stored(met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("d").alias("d")))
-    members = met.filter("b IS NULL").select("entry", "cell", "a")
+    pairs = stored(candidates(nodes, block))
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "shown"), "node"))
     texts = rows.select("text", "mark").join(asked.select(F.col("shown").alias("mark")), "mark", "left_semi").dropDuplicates(["mark"])
     sets = with_arrow_columns(texts, [T.StructField("shingles", T.BinaryType())], sets_of, ["text"]).select("mark", "shingles")
@@ -493,7 +531,7 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     open_ = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     near = stored(near.unionByName(verified(open_, sets, least)))
     roots = stored(components(near))
-    more = stored(verified(left_out(members, nodes, sets, roots, least), sets, least))
+    more = stored(verified(left_out(pairs, nodes, sets, roots, least, block), sets, least))
     if not more.isEmpty():
         roots = stored(components(near.unionByName(more)))
     rooted = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))

@@ -708,3 +708,48 @@ def test_names_tell_all_words_apart():
     for k in range(4):
         words[k][k] = 1
     assert len(set(simhash._name(words).tolist())) == 5
+
+
+def test_candidates_of_a_large_group_grow_with_it(spark):
+    """Each pair is given once, a group of near copies gives a few pairs for each member, and what is given links whatever close pairs link, at each distance."""
+    rng, given = np.random.default_rng(11), {}
+    base = rng.integers(0, 2, 256).astype(bool)
+    bits = np.array([base ^ (rng.random(256) < rng.choice([0.01, 0.04, 0.12])) for _ in range(1200)])
+    bits = bits[np.sort(np.unique(bits, axis=0, return_index=True)[1])][:1000]
+    assert len(bits) == 1000
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    name = simhash._name([np.ascontiguousarray(words[:, k]).view(np.uint64) for k in range(4)]).view(np.int64)
+    entry = simhash._sampled([np.ascontiguousarray(words[:, k]) for k in range(4)])
+    for n, block in ((250, simhash.BLOCK), (1000, simhash.BLOCK), (250, 32)):
+        marks = spark.createDataFrame(words[:n].tolist(), "simhash0 long, simhash1 long, simhash2 long, simhash3 long").repartition(4)
+        rows = simhash.candidates(marks, block).select("a", "b", "d").toPandas()
+        given[n, block] = len(rows)
+        assert not rows.duplicated(["a", "b"]).any() and (rows.a > rows.b).all()
+        i, j = np.triu_indices(n, 1)
+        d = np.concatenate([(bits[k] ^ bits[k + 1 : n]).sum(axis=1) for k in range(n - 1)])
+        near = d <= simhash.SET_DISTANCE
+        near[near] = (entry[i[near]] == entry[j[near]]).any(axis=1)
+        close = {(max(a, b), min(a, b)): x for a, b, x in zip(name[i[near]], name[j[near]], d[near])}
+        assert all(close[r.a, r.b] == r.d for r in rows.itertuples())
+        for t in range(0, simhash.SET_DISTANCE + 1, 4):
+            assert len(simhash._forest(name[i[near & (d <= t)]], name[j[near & (d <= t)]])[0]) == len(simhash._forest(rows.a[rows.d <= t].to_numpy(), rows.b[rows.d <= t].to_numpy())[0])
+    print(given)
+    assert given[1000, simhash.BLOCK] < 5 * given[250, simhash.BLOCK] < 5 * 12 * 250
+
+
+def test_left_out_of_large_components(spark, monkeypatch):
+    """Components of candidates in several blocks, compared whole or by segment, against all pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.random()}" for _ in range(300)]
+    texts = [" ".join(base[:at] + [f"n{rng.random()}" for _ in range(300 - at)]) for at in [262] * 60 + [285] * 20 + [270] * 30]
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 1 < len(set(root)) < len(root)
+    for whole in (simhash.WHOLE, 1):
+        monkeypatch.setattr(simhash, "WHOLE", whole)
+        assert {r.doc_id: r.component_id for r in simhash.alike(rows, block=16).collect()} == dict(enumerate(root))
